@@ -6,7 +6,7 @@ exact: a prefix filter finds candidates, and whole sets decide. Two kinds of ski
 * *Index-level.* The index lists hold (set size, position) with each token. Sizes fall into geometric blocks, and the
   position of a token bounds the sizes that can still reach the overlap, so a probe names only the blocks in that
   range and never meets the others.
-* *Answer-level.* Sets that share one of their first tokens with a leader are compared with it first. A set that is
+* *Answer-level.* Sets that share a band of min-hashes are compared with the first and the last of them, its leaders. A set that is
   verified to be highly similar takes over the leader's answer, its class; afterwards only pairs of different classes
   are candidates. Equal sets share one answer from the start.
 
@@ -27,6 +27,10 @@ from .textnp import Words, blocks, mix, shingle_sets, shingles
 
 #: The most tokens whose frequency is known everywhere (8 bytes each), and the least frequency of such a token.
 HOT, HOT_LEAST = 100_000, 16
+#: Pairs of min-hashes by which a set finds its leaders.
+BANDS = 6
+#: Bits of the parity bitmap.
+BITS = 2048
 
 
 def hot_tokens(docs: DataFrame, hot: int = HOT, k: int = 5) -> np.ndarray:
@@ -49,18 +53,26 @@ def hot_tokens(docs: DataFrame, hot: int = HOT, k: int = 5) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, k: int = 5) -> DataFrame:
-    """(doc_id, n, k1, k2): the set's size and a 128-bit hash of the set."""
+    """(doc_id, n, k1, k2, bands, odd): the set's size, a 128-bit hash of the set, ``BANDS`` hashes of two min-hashes each, and
+    a bitmap of ``BITS`` bits that tells of which residues of the hashes the set has an odd number."""
+    seeds = mix(np.arange(1, 2 * BANDS + 1, dtype=np.uint64))
 
     def sign(batches):
         for batch in batches:
-            n, keys = [], []
+            n, keys, bands, odd = [], [], [], []
             for s in shingle_sets(batch.column(1), k):
                 n.append(len(s))
                 keys.append(xxhash.xxh3_128_digest(s.tobytes()))
+                low = np.array([((s ^ x) * np.uint64(0xD6E8FEB86659FD93)).min() for x in seeds]) if len(s) else seeds
+                odd.append(np.packbits(np.bincount((s & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) & 1))
+                bands.append(mix(low[::2] + mix(low[1::2])))
             two = np.frombuffer(b"".join(keys), np.int64).reshape(-1, 2) if keys else np.zeros((0, 2), np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(two[:, 0].copy()), pa.array(two[:, 1].copy())], ["doc_id", "n", "k1", "k2"])
+            flat = np.concatenate(bands).view(np.int64) if bands else np.zeros(0, np.int64)
+            bits = np.concatenate(odd).view(np.int64) if odd else np.zeros(0, np.int64)
+            listed = lambda x, m: pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * m), pa.array(x))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(two[:, 0].copy()), pa.array(two[:, 1].copy()), listed(flat, BANDS), listed(bits, BITS // 64)], ["doc_id", "n", "k1", "k2", "bands", "odd"])
 
-    return docs.select("doc_id", "text").mapInArrow(sign, "doc_id long, n long, k1 long, k2 long")
+    return docs.select("doc_id", "text").mapInArrow(sign, "doc_id long, n long, k1 long, k2 long, bands array<long>, odd array<long>")
 
 
 def prefixes(docs: DataFrame, hot: np.ndarray, percent: int = 75, k: int = 5) -> DataFrame:
@@ -103,9 +115,16 @@ def prefixes(docs: DataFrame, hot: np.ndarray, percent: int = 75, k: int = 5) ->
     return docs.select("doc_id", "text").mapInArrow(first, "token long, doc_id long, n int, pos int")
 
 
-def verified(docs: DataFrame, pairs: DataFrame, percent: int = 75, k: int = 5) -> DataFrame:
-    """Those of the pairs (a, b) whose whole sets are similar enough."""
-    pairs = cut(pairs)
+def verified(docs: DataFrame, signed: DataFrame, pairs: DataFrame, percent: int = 75, k: int = 5) -> DataFrame:
+    """Those of the pairs (a, b) whose whole sets are similar enough.
+
+    Sets differ in at least as many shingles as their parity bitmaps differ in bits; pairs whose bitmaps differ in too
+    many bits can't be similar and are left before any set is fetched.
+    """
+    odd = signed.select("doc_id", "n", "odd").dropDuplicates(["doc_id"])
+    both = pairs.join(odd.toDF("a", "na", "oa"), "a").join(odd.toDF("b", "nb", "ob"), "b")
+    apart = F.aggregate(F.zip_with("oa", "ob", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
+    pairs = cut(both.where((100 + percent) * apart <= (100 - percent) * (F.col("na") + F.col("nb"))).select("a", "b"))
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
 
     def sets(batches):
@@ -141,13 +160,13 @@ def jaccard_components(docs: DataFrame, percent: int = 75, k: int = 5) -> DataFr
     shared = rows.withColumns({"x": F.lag("doc_id").over(lists), "y": F.lead("doc_id").over(lists)}).where("x is not null or y is not null")
     shared = cut(shared.drop("x", "y").join(reps, "doc_id", "left_semi"))
 
-    # Answer-level skipping: compare with the leader of the block first.
+    # Answer-level skipping: compare with the two leaders of each band first.
     block = lambda n, ratio: F.floor(F.log(n.cast("double")) / float(np.log(ratio)))
-    near = shared.where("pos < 4").withColumn("block", block(F.col("n"), 1.15))
-    led = near.withColumns({"lead": F.first("doc_id").over(Window.partitionBy("token", "block").orderBy("n", "doc_id")), "ln": F.first("n").over(Window.partitionBy("token", "block").orderBy("n", "doc_id")), "before": F.lag("doc_id").over(lists), "bn": F.lag("n").over(lists)})
-    tries = led.select(F.explode(F.array(F.struct(F.col("lead").alias("a"), F.col("ln").alias("m")), F.struct(F.when(F.col("lead") == F.col("doc_id"), F.col("before")).alias("a"), F.col("bn").alias("m")))).alias("s"), F.col("doc_id").alias("b"), "n")
-    tries = tries.where((F.col("s.a") != F.col("b")) & (100 * F.col("s.m") >= percent * F.col("n"))).select("s.a", "b").distinct()
-    taken = cut(components(verified(docs, tries, percent, k)))
+    banded = cut(signed.join(reps, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "n", F.posexplode("bands").alias("band", "key")))
+    leads = banded.groupBy("band", "key").agg(F.min(F.struct("doc_id", "n")).alias("x"), F.max(F.struct("doc_id", "n")).alias("y")).where("x != y")
+    tries = banded.join(leads, ["band", "key"]).select(F.explode(F.array("x", "y")).alias("s"), F.col("doc_id").alias("b"), "n")
+    tries = tries.where((F.col("s.doc_id") != F.col("b")) & (100 * F.least("s.n", "n") >= percent * F.greatest("s.n", "n"))).select(F.col("s.doc_id").alias("a"), "b").distinct()
+    taken = cut(components(verified(docs, signed, tries, percent, k)))
 
     # Index-level skipping: probe only the blocks that the position leaves in reach; pairs of one class have their answer.
     entry = cut(shared.join(taken.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("comp", F.coalesce("comp", "doc_id")))
@@ -161,7 +180,7 @@ def jaccard_components(docs: DataFrame, percent: int = 75, k: int = 5) -> DataFr
     probe = entry.select("token", F.col("doc_id").alias("b"), n.alias("bn"), pos.alias("bp"), F.col("comp").alias("bc"), block(n, ratio).alias("block"))
     able = (F.col("ac") != F.col("bc")) & ((F.col("bn") > F.col("an")) | (F.col("bn") == F.col("an")) & (F.col("b") > F.col("a"))) & (percent * F.col("bn") <= 100 * F.col("an")) & ((100 + percent) * F.least(F.col("an") - F.col("ap"), F.col("bn") - F.col("bp")) >= percent * (F.col("an") + F.col("bn")))
     pairs = index.join(probe, ["token", "block"]).where(able).select("a", "b").distinct()
-    more = verified(docs, pairs, percent, k)
+    more = verified(docs, signed, pairs, percent, k)
     ends = more.join(taken.select(F.col("node").alias("a"), F.col("comp").alias("ca")), "a", "left").join(taken.select(F.col("node").alias("b"), F.col("comp").alias("cb")), "b", "left")
     merged = components(ends.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")))
 
