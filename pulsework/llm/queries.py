@@ -1,10 +1,13 @@
 """The registered queries of this subpackage, and their SQL."""
 
-from . import op1_sharding, op3_substring, op8_jaccard
+from . import op1_sharding, op2_quality, op3_substring, op8_jaccard, op9_toxicity, op10_html
 
 QUERIES = {
     "op1_sharding": op1_sharding.query,
+    "op2_quality": op2_quality.query,
     "op3_substring_dedup": op3_substring.query,
     "op8_jaccard_join": op8_jaccard.query,
+    "op9_toxicity": op9_toxicity.query,
+    "op10_html_extraction": op10_html.query,
 }
 ORACLE: dict[str, str] = {}
