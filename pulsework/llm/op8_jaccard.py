@@ -31,6 +31,8 @@ HOT, HOT_LEAST = 100_000, 16
 BANDS = 6
 #: Bits of the parity bitmap.
 BITS = 2048
+#: Bits of the filter that spares most texts the shuffle; a fixed bound, so on very large inputs it lets more through.
+FILTER = 1 << 26
 
 
 def hot_tokens(docs: DataFrame, hot: int = HOT, k: int = 5) -> np.ndarray:
@@ -115,6 +117,23 @@ def prefixes(docs: DataFrame, hot: np.ndarray, percent: int = 75, k: int = 5) ->
     return docs.select("doc_id", "text").mapInArrow(first, "token long, doc_id long, n int, pos int")
 
 
+def maybe_in(ids: DataFrame):
+    """A test that holds for all of the ids (doc_id) and, by a bitmap of hashes of ``FILTER`` bits at most, for few others."""
+    n = ids.count()
+    bits = min(FILTER, 1 << max(16, (16 * n).bit_length()))
+    at = F.pmod(F.xxhash64("doc_id"), F.lit(bits))
+    words = ids.groupBy(F.shiftright(at, 6).alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(xxhash64(doc_id), {bits}) & 63 as int))")).alias("b")).toArrow()
+    table = np.zeros(bits // 64, np.int64)
+    table[words["w"].to_numpy()] = words["b"].to_numpy()
+
+    @F.arrow_udf("boolean")
+    def test(place: pa.Array) -> pa.Array:
+        i = place.to_numpy(zero_copy_only=False)
+        return pa.array((table[i >> 6] >> (i & 63)) & 1 == 1)
+
+    return lambda column: test(F.pmod(F.xxhash64(column), F.lit(bits)))
+
+
 def verified(docs: DataFrame, signed: DataFrame, pairs: DataFrame, percent: int = 75, k: int = 5) -> DataFrame:
     """Those of the pairs (a, b) whose whole sets are similar enough.
 
@@ -134,7 +153,7 @@ def verified(docs: DataFrame, signed: DataFrame, pairs: DataFrame, percent: int
             values = np.concatenate(made) if made else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(values))], ["doc_id", "s"])
 
-    held = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    held = docs.select("doc_id", "text").where(maybe_in(ids)("doc_id")).join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     held = cut(held.mapInArrow(sets, "doc_id long, s array<long>"))
     both = pairs.join(held.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), "a").join(held.select(F.col("doc_id").alias("b"), F.col("s").alias("sb")), "b")
     both = both.withColumn("common", F.size(F.array_intersect("sa", "sb")))
