@@ -30,7 +30,7 @@ _PART = re.compile(r"[A-Za-z]+")
 TABLE = [
     (*x, y)
     for y, rows in (
-        (1, [(40, 0, 30, 0, 50, 0, 1, 0), (3, 0, 40, 0, 60, 0, 1, 0), (1, 0, 0, 0, 20, 0, 1, 0), (8, 0, 4, 0, 90, 0, 1, 0), (120, 0.1, 10, 0, 0, 0, 1, 0), (2, 1, 30, 0, 30, 0, 1, 0), (12, 0.5, 20, 0, 4, 1, 1, 0), (60, 0, 2, 1, 80, 0, 0, 0), (45, 0.05, 60, 0, 3, 1, 0, 0), (30, 0, 5, 1, 25, 0, 0, 0), (18, 0, 70, 0, 40, 0, 0, 0), (6, 0, 55, 0, 48, 0, 0, 0), (4, 0, 30, 0.1, 90, 0, 0, 0), (25, 0.2, 1, 1, 1, 1, 0, 0)]),
+        (1, [(40, 0, 30, 0, 50, 0, 1, 0), (3, 0, 40, 0, 60, 0, 1, 0), (1, 0, 0, 0, 20, 0, 1, 0), (8, 0, 4, 0, 90, 0, 1, 0), (120, 0.1, 10, 0, 0, 0, 1, 0), (2, 1, 30, 0, 30, 0, 1, 0), (12, 0.5, 20, 0, 4, 1, 1, 0), (60, 0, 2, 1, 80, 0, 0, 0), (45, 0.05, 60, 0, 3, 1, 0, 0), (30, 0, 5, 1, 25, 0, 0, 0), (18, 0, 70, 0, 40, 0, 0, 0), (6, 0, 55, 0, 48, 0, 0, 0), (4, 0, 30, 0.1, 90, 0, 0, 0), (25, 0.2, 1, 1, 1, 1, 0, 0), (1, 1, 1, 1, 1, 1, 1, 0), (3, 1, 2, 1, 60, 0, 1, 0), (12, 0.9, 30, 0, 10, 0.9, 1, 0), (2, 0, 1, 1, 1, 1, 1, 0), (4, 0, 60, 0, 0, 0, 1, 0), (3, 0, 0, 0, 5, 1, 1, 0), (7, 0.6, 8, 0.7, 3, 1, 1, 0), (20, 0.8, 40, 0, 30, 0, 1, 0), (2, 0, 3, 0, 2, 0, 1, 0), (1, 0, 6, 0, 1, 0, 1, 0), (2, 0, 9, 0, 11, 0, 1, 0), (4, 0, 12, 0, 8, 0, 1, 0)]),
         (0, [(40, 0, 30, 0, 50, 0, 1, 1), (5, 0, 1, 1, 12, 0, 0, 1), (30, 0, 2, 1, 40, 0, 0, 1), (1, 1, 1, 1, 1, 1, 0, 1), (8, 0, 40, 0, 0, 0, 0, 1), (90, 0, 10, 0, 20, 0, 0, 1), (1, 1, 1, 1, 1, 1, 0, 0), (3, 1, 2, 1, 60, 0, 0, 0), (12, 0.9, 30, 0, 10, 0.9, 0, 0), (2, 0, 1, 1, 1, 1, 0, 0), (4, 0, 60, 0, 0, 0, 0, 0), (3, 0, 0, 0, 5, 1, 0, 0), (7, 0.6, 8, 0.7, 3, 1, 0, 0), (20, 0.8, 40, 0, 30, 0, 0, 0), (3, 0, 12, 0, 40, 0, 1, 1), (2, 1, 8, 0, 0, 0, 1, 1)]),
     )
     for x in rows
