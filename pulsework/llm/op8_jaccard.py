@@ -30,7 +30,7 @@ HOT, HOT_LEAST = 100_000, 16
 #: Pairs of min-hashes by which a set finds its leaders.
 BANDS = 6
 #: Bits of the parity bitmap.
-BITS = 2048
+BITS = 512
 #: Bits of the filter that spares most texts the shuffle; a fixed bound, so on very large inputs it lets more through.
 FILTER = 1 << 26
 
@@ -176,7 +176,9 @@ def jaccard_components(docs: DataFrame, percent: int = 75, k: int = 5) -> DataFr
 
     lists = Window.partitionBy("token").orderBy("n", "doc_id")
     rows = prefixes(docs, hot, percent, k)
-    shared = rows.withColumns({"x": F.lag("doc_id").over(lists), "y": F.lead("doc_id").over(lists)}).where("x is not null or y is not null")
+    # In a list by size, only the neighbours matter: if they are out of reach, so are all others.
+    shared = rows.withColumns({"x": F.lag("n").over(lists), "y": F.lead("n").over(lists)})
+    shared = shared.where(f"100 * x >= {percent} * n or 100 * n >= {percent} * y and {100 + percent} * (n - pos) >= {percent} * (n + y)")
     shared = cut(shared.drop("x", "y").join(reps, "doc_id", "left_semi"))
 
     # Answer-level skipping: compare with the two leaders of each band first.
@@ -189,12 +191,12 @@ def jaccard_components(docs: DataFrame, percent: int = 75, k: int = 5) -> DataFr
 
     # Index-level skipping: probe only the blocks that the position leaves in reach; pairs of one class have their answer.
     entry = cut(shared.join(taken.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("comp", F.coalesce("comp", "doc_id")))
-    mixed = entry.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x != y").select("token")
-    entry = cut(entry.join(mixed, "token", "left_semi"))
+    mixed = entry.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.max("n").alias("top")).where("x != y").select("token", "top")
+    entry = cut(entry.join(mixed, "token"))
     ratio = 100 / percent
     # overlap >= percent / (100 + percent) * (n + m), and it is at most the number of tokens from the position on
     n, pos = F.col("n"), F.col("pos")
-    most = F.floor((100 + percent) * (n - pos) / percent).cast("long") - n
+    most = F.least(F.floor((100 + percent) * (n - pos) / percent).cast("long") - n, "top")
     index = entry.where((pos < n - F.ceil(2 * percent * n / (100 + percent)) + 1) & (most >= n)).select("token", F.col("doc_id").alias("a"), n.alias("an"), pos.alias("ap"), F.col("comp").alias("ac"), F.explode(F.sequence(block(n, ratio), block(most, ratio))).alias("block"))
     probe = entry.select("token", F.col("doc_id").alias("b"), n.alias("bn"), pos.alias("bp"), F.col("comp").alias("bc"), block(n, ratio).alias("block"))
     able = (F.col("ac") != F.col("bc")) & ((F.col("bn") > F.col("an")) | (F.col("bn") == F.col("an")) & (F.col("b") > F.col("a"))) & (percent * F.col("bn") <= 100 * F.col("an")) & ((100 + percent) * F.least(F.col("an") - F.col("ap"), F.col("bn") - F.col("bp")) >= percent * (F.col("an") + F.col("bn")))
