@@ -29,7 +29,7 @@ from .textnp import Words, blocks, mix, shingle_sets, shingles
 HOT, HOT_LEAST = 100_000, 16
 #: Pairs of min-hashes by which a set finds its leaders.
 BANDS = 6
-#: Bits of the parity bitmap.
+#: The fewest bits of a parity bitmap; larger sets have as many as the power of two that isn't below their size.
 BITS = 512
 #: Bits of the filter that spares most texts the shuffle; a fixed bound, so on very large inputs it lets more through.
 FILTER = 1 << 26
@@ -56,7 +56,7 @@ def hot_tokens(docs: DataFrame, hot: int = HOT, k: int = 5) -> np.ndarray:
 
 def signatures(docs: DataFrame, k: int = 5) -> DataFrame:
     """(doc_id, n, k1, k2, bands, odd): the set's size, a 128-bit hash of the set, ``BANDS`` hashes of two min-hashes each, and
-    a bitmap of ``BITS`` bits that tells of which residues of the hashes the set has an odd number."""
+    a bitmap (``BITS`` bits, or more for large sets) that tells of which residues of the hashes the set has an odd number."""
     seeds = mix(np.arange(1, 2 * BANDS + 1, dtype=np.uint64))
 
     def sign(batches):
@@ -66,13 +66,14 @@ def signatures(docs: DataFrame, k: int = 5) -> DataFrame:
                 n.append(len(s))
                 keys.append(xxhash.xxh3_128_digest(s.tobytes()))
                 low = np.array([((s ^ x) * np.uint64(0xD6E8FEB86659FD93)).min() for x in seeds]) if len(s) else seeds
-                odd.append(np.packbits(np.bincount((s & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) & 1))
+                m = max(BITS, 1 << (len(s) - 1).bit_length())
+                odd.append(np.packbits(np.bincount((s & np.uint64(m - 1)).astype(np.int64), minlength=m) & 1).view(np.int64))
                 bands.append(mix(low[::2] + mix(low[1::2])))
             two = np.frombuffer(b"".join(keys), np.int64).reshape(-1, 2) if keys else np.zeros((0, 2), np.int64)
             flat = np.concatenate(bands).view(np.int64) if bands else np.zeros(0, np.int64)
-            bits = np.concatenate(odd).view(np.int64) if odd else np.zeros(0, np.int64)
-            listed = lambda x, m: pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * m), pa.array(x))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(two[:, 0].copy()), pa.array(two[:, 1].copy()), listed(flat, BANDS), listed(bits, BITS // 64)], ["doc_id", "n", "k1", "k2", "bands", "odd"])
+            bits = np.concatenate(odd) if odd else np.zeros(0, np.int64)
+            listed = lambda x, sizes: pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes], dtype=np.int32)), pa.array(x))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(two[:, 0].copy()), pa.array(two[:, 1].copy()), listed(flat, [BANDS] * len(n)), listed(bits, map(len, odd))], ["doc_id", "n", "k1", "k2", "bands", "odd"])
 
     return docs.select("doc_id", "text").mapInArrow(sign, "doc_id long, n long, k1 long, k2 long, bands array<long>, odd array<long>")
 
@@ -138,10 +139,14 @@ def verified(docs: DataFrame, signed: DataFrame, pairs: DataFrame, percent: int
     """Those of the pairs (a, b) whose whole sets are similar enough.
 
     Sets differ in at least as many shingles as their parity bitmaps differ in bits; pairs whose bitmaps differ in too
-    many bits can't be similar and are left before any set is fetched.
+    many bits can't be similar and are left before any set is fetched. ``percent`` is at least 50.
     """
     odd = signed.select("doc_id", "n", "odd").dropDuplicates(["doc_id"])
     both = pairs.join(odd.toDF("a", "na", "oa"), "a").join(odd.toDF("b", "nb", "ob"), "b")
+    # halving a bitmap by xor gives the bitmap of half as many residues, so the two can have one size
+    m = F.least(F.size("oa"), F.size("ob"))
+    halved = lambda x: F.when(F.size(x) > m, F.zip_with(F.slice(x, F.lit(1), m), F.slice(x, m + 1, m), lambda x, y: x.bitwiseXOR(y))).otherwise(F.col(x))
+    both = both.where((F.size("oa") <= 2 * F.size("ob")) & (F.size("ob") <= 2 * F.size("oa"))).withColumns({"oa": halved("oa"), "ob": halved("ob")})
     apart = F.aggregate(F.zip_with("oa", "ob", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
     pairs = cut(both.where((100 + percent) * apart <= (100 - percent) * (F.col("na") + F.col("nb"))).select("a", "b"))
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
