@@ -2,9 +2,52 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from pyspark.sql import functions as F
+
+from .operators import calibration, reduced, series
+
+
+def _traces(spark, d):
+    e = spark.read.parquet(f"{d}/embeddings.parquet")
+    return e.select(F.col("vec_id").alias("trace_id"), F.col("embedding").alias("samples"), F.col("label").alias("energy"), F.floor(F.col("vec_id") / 9).cast("long").alias("event_id"), (F.col("vec_id") % 9).alias("channel"))
+
+
+def _series(spark, d):
+    return spark.read.parquet(f"{d}/events.parquet").select(F.col("event_type").alias("channel"), "ts", "event_id", "value")
+
+
+def _items(spark, d):
+    return spark.read.parquet(f"{d}/lineitem.parquet")
+
+
+GRID = [0.1, 0.2, 0.3]
+QUERIES = {
+    "reduced_quantities": lambda s, d: reduced.reduced(_traces(s, d)),
+    "trigger_efficiency": lambda s, d: reduced.efficiency(_traces(s, d), GRID),
+    "fold_maximum": lambda s, d: reduced.fold_maximum(_traces(s, d)),
+    "sum_channel": lambda s, d: reduced.pooled_sum(_traces(s, d)),
+    "range_query": lambda s, d: calibration.within(_items(s, d), l_quantity=(10, 20), l_discount=(0.02, 0.05)).select("l_orderkey", "l_linenumber", "l_quantity", "l_discount"),
+    "histogram": lambda s, d: calibration.histogram(_items(s, d), "l_quantity", 0, 50, 20),
+    "group_summary": lambda s, d: calibration.summary(_items(s, d), "l_returnflag", "l_extendedprice"),
+    "tumbling_windows": lambda s, d: series.tumbling(_series(s, d), 64),
+    "hysteresis_trigger": lambda s, d: series.hysteresis(_series(s, d), 80.0, 0.5),
+}
+_V = "(SELECT event_type AS channel, ts, event_id, value FROM events)"
+ORACLE = {
+    "reduced_quantities": """SELECT vec_id AS trace_id, round(list_sum(v) / len(v), 6) AS mean, round(list_sum(v[1:16]) / 16, 6) AS mean_baseline, round(list_max(v) - list_sum(v[1:16]) / 16, 6) AS amplitude,
+ CAST(list_position(v, list_max(v)) - 1 AS BIGINT) AS peak_arg, round(list_max(v) - list_min(v), 6) AS height FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)""",
+    "trigger_efficiency": """SELECT energy, threshold, n, n_pass, round(n_pass / n, 6) AS eff, round(sqrt(n_pass / n * (1 - n_pass / n) / n), 6) AS err FROM (
+ SELECT label AS energy, threshold, count(*) AS n, CAST(sum(CASE WHEN list_max(CAST(embedding AS DOUBLE[])) > threshold THEN 1 ELSE 0 END) AS BIGINT) AS n_pass FROM embeddings, (VALUES (0.1::DOUBLE), (0.2::DOUBLE), (0.3::DOUBLE)) t(threshold) GROUP BY ALL)""",
+    "fold_maximum": """SELECT event_id, round(coalesce(t[2], t[1]), 6) AS score FROM (SELECT vec_id // 9 AS event_id, list_reverse_sort(list(list_max(CAST(embedding AS DOUBLE[])))) AS t FROM embeddings GROUP BY 1)""",
+    "sum_channel": """SELECT event_id, i, round(sum(v), 5) AS v FROM (SELECT vec_id // 9 AS event_id, CAST(unnest(range(0, len(embedding))) AS INTEGER) AS i, unnest(CAST(embedding AS DOUBLE[])) AS v FROM embeddings) GROUP BY ALL""",
+    "range_query": "SELECT l_orderkey, l_linenumber, l_quantity, l_discount FROM lineitem WHERE l_quantity BETWEEN 10 AND 20 AND l_discount BETWEEN 0.02 AND 0.05",
+    "histogram": "SELECT CAST(least(floor(l_quantity / 2.5), 19) AS BIGINT) AS bin, count(*) AS n FROM lineitem WHERE l_quantity BETWEEN 0 AND 50 GROUP BY 1",
+    "group_summary": "SELECT l_returnflag, count(l_extendedprice) AS n, round(avg(l_extendedprice), 4) AS mean, round(stddev_pop(l_extendedprice), 4) AS std, round(quantile_cont(l_extendedprice, 0.01), 4) AS p1, round(quantile_cont(l_extendedprice, 0.99), 4) AS p99 FROM lineitem GROUP BY 1",
+    "tumbling_windows": f"""SELECT channel, "window", round(avg(value), 6) AS mean, max(value) AS top FROM (SELECT *, (row_number() OVER (PARTITION BY channel ORDER BY ts, event_id) - 1) // 64 AS "window" FROM {_V}) GROUP BY 1, 2 HAVING count(*) = 64""",
+    "hysteresis_trigger": f"""SELECT channel, event_id FROM (SELECT *, last_value(mark IGNORE NULLS) OVER (PARTITION BY channel ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS was FROM (
+ SELECT *, CASE WHEN value > 80 THEN 1 WHEN value < 40 THEN 0 END AS mark FROM {_V})) WHERE mark = 1 AND coalesce(was, 0) = 0""",
+}
 
 
 def flagship(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/events.parquet").groupBy("event_type").count()
+    return QUERIES["trigger_efficiency"](spark, sf_dir)
