@@ -19,7 +19,7 @@ from .tables import read
 from .textnp import Words, blocks, mix
 
 #: Labelled rows of either label, and characters of a text, that are learnt from at most.
-EACH, CHARS = 1500, 20_000
+EACH, CHARS = 700, 20_000
 #: A token is labelled toxic if in as many toxic texts at least, at this many times the rate of other texts.
 LEAST, TIMES = 5, 8
 BUCKETS_LOG2, HEADS = 18, (5, 6, 7, 8)
@@ -34,7 +34,7 @@ def places(w: Words) -> list[np.ndarray]:
     full = w.first[:-1][w.counts > 0]
     before[full] = 0
     after[w.first[1:][w.counts > 0] - 1] = 0
-    return [place(h, 1), *(place(w.head_hashes(k), 10 + k) for k in HEADS), place(before, 2), place(after, 3)]
+    return [x.astype(np.int32) for x in (place(h, 1), *(place(w.head_hashes(k), 10 + k) for k in HEADS), place(before, 2), place(after, 3))]
 
 
 def scan(a, b, c, d, at: float = 1.0) -> np.ndarray:
