@@ -19,7 +19,7 @@ from .tables import read
 from .textnp import Words, blocks, mix
 
 #: Labelled rows of either label, and characters of a text, that are learnt from at most.
-EACH, CHARS = 700, 20_000
+EACH, CHARS = 1100, 20_000
 #: A token is labelled toxic if in as many toxic texts at least, at this many times the rate of other texts.
 LEAST, TIMES = 5, 8
 BUCKETS_LOG2, HEADS = 18, (5, 6, 7, 8)
