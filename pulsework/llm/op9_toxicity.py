@@ -9,6 +9,8 @@ With two states, the forward and the backward messages are one ratio each, which
 fraction; these are composed in blocks, so a whole block of texts is tagged by vector operations, exactly.
 """
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -19,7 +21,9 @@ from .tables import read
 from .textnp import Words, blocks, mix
 
 #: Labelled rows of either label, and characters of a text, that are learnt from at most.
-EACH, CHARS = 1100, 20_000
+EACH, CHARS = 2500, 20_000
+#: One learnt text in so many is for the document's score alone.
+APART = 4
 #: A token is labelled toxic if in as many toxic texts at least, at this many times the rate of other texts.
 LEAST, TIMES = 5, 8
 BUCKETS_LOG2, HEADS = 18, (5, 6, 7, 8)
@@ -89,55 +93,91 @@ def digest(p: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.stack([np.ones(len(n)), np.log1p(total), np.minimum(total, 5) / 5, top, np.sqrt(total / np.maximum(n, 1))], 1)
 
 
-def token_labels(w: Words, toxic: np.ndarray) -> np.ndarray:
-    """1 for tokens of toxic texts whose word, or a head of it, is far more frequent there than elsewhere."""
-    owner, out = w.owner(), np.zeros(len(w), bool)
-    sides = np.maximum(1, [(1 - toxic).sum(), toxic.sum()])
-    for h in (w.hashes(), *(w.head_hashes(k) for k in HEADS)):
-        names, which = np.unique(h, return_inverse=True)
-        pairs = np.unique(which * len(toxic) + owner)
-        name, side = pairs // len(toxic), toxic[pairs % len(toxic)]
-        ones = np.bincount(name, side, len(names))
-        zeros = np.bincount(name, 1 - side, len(names))
-        out |= ((ones >= LEAST) & (ones / sides[1] >= TIMES * (zeros + 0.5) / sides[0]))[which]
-    return out & (toxic[owner] == 1)
-
-
-def train(texts: list[str], labels: np.ndarray, odds: float, rounds: int = 30, rate: float = 0.5):
-    """(number for each bucket, chain, weights of the document's score). Without labels of both kinds, scores are the rate of label 1."""
-    raw = [t.encode() for t in texts]
-    w = Words(np.cumsum([0] + [len(x) for x in raw]), np.frombuffer(b"".join(raw), np.uint8), marks=True)
-    table, chain = np.zeros(1 << BUCKETS_LOG2), np.array([-3.0, 0.0, -3.0, 0.0, 0.0])
-    weights = np.zeros(5)
-    weights[0] = odds
-    if not len(w) or labels.min() == labels.max():
-        return table, chain, weights
-    y, at = token_labels(w, labels).astype(float), places(w)
-    table[:] = -1.0 / len(at)
+def pieces(texts: list[str], labels: np.ndarray):
+    """The words of some texts at a time and their labels, so that memory for vectors of all words is never needed."""
+    for at, offsets, data in blocks(pa.array(texts, pa.large_string())):
+        yield Words(offsets, data, marks=True), labels[at : at + len(offsets) - 1]
+
+
+def spans(w: Words):
+    """Hashes of the words, then of their heads."""
+    yield w.hashes()
+    yield from (w.head_hashes(k) for k in HEADS)
+
+
+def toxic_names(texts: list[str], labels: np.ndarray) -> list[np.ndarray]:
+    """The words, and the heads of each length, that are far more frequent in toxic texts than elsewhere."""
+    sides, found = np.maximum(1, [(1 - labels).sum(), labels.sum()]), [[] for _ in range(1 + len(HEADS))]
+    for w, toxic in pieces(texts, labels):
+        owner = w.owner()
+        for out, h in zip(found, spans(w), strict=True):
+            names, which = np.unique(h, return_inverse=True)
+            pairs = np.unique(which * len(toxic) + owner)
+            name, side = pairs // len(toxic), toxic[pairs % len(toxic)]
+            out.append((names, np.bincount(name, side, len(names)), np.bincount(name, 1 - side, len(names))))
+    kept = []
+    for out in found:
+        names, which = np.unique(np.concatenate([x[0] for x in out]), return_inverse=True)
+        ones, zeros = (np.bincount(which, np.concatenate([x[i] for x in out]), len(names)) for i in (1, 2))
+        kept.append(names[(ones >= LEAST) & (ones / sides[1] >= TIMES * (zeros + 0.5) / sides[0])])
+    return kept
+
+
+def token_labels(w: Words, toxic: np.ndarray, names: list[np.ndarray]) -> np.ndarray:
+    """1 for tokens of toxic texts whose word, or a head of it, is among the names."""
+    out = np.zeros(len(w), bool)
+    for h, of in zip(spans(w), names, strict=True):
+        out |= np.isin(h, of)
+    return out & (toxic[w.owner()] == 1)
+
+
+def tagger(texts: list[str], labels: np.ndarray, rounds: int, rate: float):
+    """(number for each bucket, chain) of the field, by adaptive gradient steps over all pieces at once."""
+    names = toxic_names(texts, labels)
+    parts = [(token_labels(w, toxic, names).astype(np.float32), places(w), w.first) for w, toxic in pieces(texts, labels) if len(w)]
+    table, chain = np.full(1 << BUCKETS_LOG2, -1.0 / (3 + len(HEADS))), np.array([-3.0, 0.0, -3.0, 0.0, 0.0])
     push, pull = np.full(len(table), 1e-2), np.full(5, 1e-2)
     for _ in range(rounds):
-        f, g, e, new = messages(sum(table[x] for x in at), chain, w.first)
-        p = f * g / (1 + f * g)
-        slope = np.zeros(len(table))
-        for x in at:
-            slope += np.bincount(x, p - y, len(table))
+        slope, turn, k = np.zeros(len(table)), np.zeros(5), np.exp(chain)
+        for y, at, first in parts:
+            f, g, e, new = messages(sum(table[x] for x in at), chain, first)
+            p = f * g / (1 + f * g)
+            for x in at:
+                slope += np.bincount(x, p - y, len(table))
+            j = np.flatnonzero(~new)
+            four = np.stack([np.full(len(j), k[1]), k[2] * e[j] * g[j], f[j - 1] * k[3], f[j - 1] * k[4] * e[j] * g[j]])
+            four /= four.sum(0)
+            real = np.stack([(1 - y[j - 1]) * (1 - y[j]), (1 - y[j - 1]) * y[j], y[j - 1] * (1 - y[j]), y[j - 1] * y[j]])
+            turn += np.append((p - y)[new].sum(), (four - real).sum(1))
         push += slope**2
         table -= rate * slope / np.sqrt(push)
-        j = np.flatnonzero(~new)
-        k = np.exp(chain)
-        four = np.stack([np.full(len(j), k[1]), k[2] * e[j] * g[j], f[j - 1] * k[3], f[j - 1] * k[4] * e[j] * g[j]])
-        four /= four.sum(0)
-        real = np.stack([(1 - y[j - 1]) * (1 - y[j]), (1 - y[j - 1]) * y[j], y[j - 1] * (1 - y[j]), y[j - 1] * y[j]])
-        turn = np.append((p - y)[new].sum(), (four - real).sum(1))
         pull += turn**2
         chain -= rate * turn / np.sqrt(pull)
-    x = digest(marginals(w, table, chain), w.first)
-    share = np.where(labels == 1, sigmoid(odds) / max(1, labels.sum()), sigmoid(-odds) / max(1, (1 - labels).sum())) * len(labels)
+    return table.astype(np.float32), chain
+
+
+def train(texts: list[str], labels: np.ndarray, odds: float, rounds: int = 30, rate: float = 0.5):
+    """(number for each bucket, chain, weights of the document's score). Without labels of both kinds, scores are the rate of label 1.
+
+    One text in ``APART`` is kept from the field: the document's score learns from marginals as unseen texts have them.
+    """
+    table, chain = np.zeros(1 << BUCKETS_LOG2, np.float32), np.array([-3.0, 0.0, -3.0, 0.0, 0.0])
+    weights = np.zeros(5)
+    weights[0] = odds
+    # in order of a hash of the text, not of the doc_id
+    rest = np.array([zlib.crc32(t.encode()) % APART == 0 for t in texts], bool)
+    few = [len(np.unique(labels[x])) < 2 for x in (rest, ~rest)]
+    if any(few):
+        return table, chain, weights
+    table, chain = tagger([t for t, r in zip(texts, rest, strict=True) if not r], labels[~rest], rounds, rate)
+    x = np.concatenate([digest(marginals(w, table, chain), w.first) for w, _ in pieces([t for t, r in zip(texts, rest, strict=True) if r], labels[rest])])
+    labels = labels[rest]
+    share = np.where(labels == 1, sigmoid(odds) / labels.sum(), sigmoid(-odds) / (1 - labels).sum()) * len(labels)
     for _ in range(30):  # Newton's method with a small ridge
         q = sigmoid(x @ weights)
         bend = (x * (share * q * (1 - q))[:, None]).T @ x + 0.3 * np.eye(5)
         weights += np.linalg.solve(bend, x.T @ (share * (labels - q)) - 0.3 * weights)
-    return table.astype(np.float32), chain, weights
+    return table, chain, weights
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic"):
