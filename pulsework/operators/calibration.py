@@ -22,3 +22,28 @@ def summary(rows: DataFrame, group: str, column: str) -> DataFrame:
     """n, mean, std (population), p1 and p99 (exact, linear) of each group."""
     p = lambda q: F.round(F.percentile(column, F.lit(q)), 4)
     return rows.groupBy(group).agg(F.count(column).alias("n"), F.round(F.avg(column), 4).alias("mean"), F.round(F.stddev_pop(column), 4).alias("std"), p(0.01).alias("p1"), p(0.99).alias("p99"))
+
+
+def _place(column: str, low: float, high: float, bins: int):
+    return F.least(F.floor((F.col(column) - low) / ((high - low) / bins)), F.lit(bins - 1)).cast("long")
+
+
+def binned_mean(rows: DataFrame, x: str, y: str, low: float, high: float, bins: int) -> DataFrame:
+    """bin, n, mean: the mean of ``y`` in equal bins of ``x``, the last one closed; null ``y`` don't count."""
+    inside = rows.where(F.col(x).between(low, high))
+    return inside.groupBy(_place(x, low, high, bins).alias("bin")).agg(F.count(y).alias("n"), F.round(F.avg(y), 4).alias("mean"))
+
+
+def histogram_2d(rows: DataFrame, x: tuple[str, float, float, int], y: tuple[str, float, float, int]) -> DataFrame:
+    """x, y, n: counts in equal bins of two columns (column, low, high, bins); rows outside either range are left out."""
+    inside = rows.where(F.col(x[0]).between(*x[1:3]) & F.col(y[0]).between(*y[1:3]))
+    return inside.groupBy(_place(*x).alias("x"), _place(*y).alias("y")).agg(F.count("*").alias("n"))
+
+
+def cut_flow(rows: DataFrame, cuts: dict[str, str]) -> DataFrame:
+    """One row: n, and for each cut in turn the rows that pass it and all before it; one pass. A null condition doesn't pass."""
+    out, passed = [F.count("*").alias("n")], F.lit(True)
+    for name, condition in cuts.items():
+        passed = passed & F.expr(condition)
+        out.append(F.count_if(passed).alias(name))
+    return rows.agg(*out)

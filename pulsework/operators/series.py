@@ -23,3 +23,10 @@ def hysteresis(series: DataFrame, threshold: float, rearm: float) -> DataFrame:
     mark = F.when(F.col("value") > threshold, 1).when(F.col("value") < rearm * threshold, 0)
     rows = series.withColumn("mark", mark).withColumn("last", F.last("mark", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1)))
     return rows.where("mark = 1 and coalesce(last, 0) = 0").select("channel", "event_id")
+
+
+def moving_power(series: DataFrame, length: int) -> DataFrame:
+    """channel, event_id, power: the sum of squares of the last ``length`` samples, where there are as many."""
+    order = Window.partitionBy("channel").orderBy("ts", "event_id").rowsBetween(1 - length, 0)
+    rows = series.select("channel", "event_id", F.sum(F.col("value") * F.col("value")).over(order).alias("power"), F.count("*").over(order).alias("n"))
+    return rows.where(F.col("n") == length).select("channel", "event_id", F.round("power", 4).alias("power"))
