@@ -73,7 +73,8 @@ def fit(docs: DataFrame, labels: DataFrame, domain: str = "lang", weights: dict[
     steps, now = [], have
     while len(steps) < STEPS and np.abs(now - target).max() > CLOSE * target.max():
         steps.append(np.linalg.lstsq(gram + 1e-12 * np.trace(gram) * np.eye(k), now - target, rcond=None)[0].tolist())
-        sums = rows.agg(*(F.sum(F.col("_tokens") * p[i] * _rate(steps, least)).alias(f"s{i}") for i in range(k))).first()
+        rated = rows.withColumn("_rate", _rate(steps, least))
+        sums = rated.agg(*(F.sum(F.col("_tokens") * p[i] * F.col("_rate")).alias(f"s{i}") for i in range(k))).first()
         was, now = now, np.array([sums[f"s{i}"] for i in range(k)])
         if np.abs(was - now).max() <= CLOSE * target.max():
             break  # the projection leaves no better fit
@@ -87,10 +88,12 @@ def _posterior(rows: DataFrame, logs: list[Column]) -> DataFrame:
 
 
 def _rate(steps, least: float) -> Column:
-    rate = F.lit(1.0)
-    for e in steps:
-        rate = F.greatest(F.lit(float(least)), rate - sum((F.get("_p", F.lit(i)) * F.lit(x) for i, x in enumerate(e)), F.lit(0.0)))
-    return rate
+    """All steps are one literal, so the expression, and what is compiled for it, is the same at every step."""
+    if not steps:
+        return F.lit(1.0)
+    e = F.expr("array(" + ", ".join("array(" + ", ".join(f"{x!r}D" for x in step) + ")" for step in steps) + ")")
+    dot = lambda step: F.aggregate(F.zip_with("_p", step, lambda p, x: p * x), F.lit(0.0), lambda a, b: a + b)
+    return F.aggregate(e, F.lit(1.0), lambda rate, step: F.greatest(F.lit(float(least)), rate - dot(step)))
 
 
 def mixed(docs: DataFrame, model) -> DataFrame:

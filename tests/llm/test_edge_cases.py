@@ -67,6 +67,18 @@ def test_empty_tables(spark, docs):
     assert op9_toxicity.toxicity(docs, op9_toxicity.fit(docs, labels)).where("score is null").count() == 0
 
 
+def test_mixing_rates_against_brute_force(spark):
+    r, steps = random.Random(2), [[0.3, -0.5, 1e-07], [-0.2, 0.1, -0.7], [0.9, 0.0, -1e-05]]
+    rows = [[r.random() for _ in range(3)] for _ in range(50)]
+    for least in (0.0, 1.0):
+        got = spark.createDataFrame([(p,) for p in rows], "_p array<double>").select(op5_mixing._rate(steps, least).alias("x")).collect()
+        for p, x in zip(rows, got, strict=True):
+            rate = 1.0
+            for e in steps:
+                rate = max(least, rate - sum(a * b for a, b in zip(p, e, strict=True)))
+            assert abs(x.x - rate) < 1e-12
+
+
 def test_page_text():
     page = '<nav><a href=x>Menu</a></nav><article><h1>T</h1><p>A &amp; <b>b<br>c<p>To.</article><footer>f</footer><script>"</p>"'
     assert op10_html.main_text(page, op10_html.tree()) == "T\nA & b c\nTo."
