@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .operators import calibration, events, joins, reduced, series, shape, spectra
+from .plans import matched
 
 
 def _traces(spark, d):
@@ -106,5 +107,10 @@ ORACLE |= {
 }
 
 
+for _more in (matched,):
+    QUERIES |= _more.QUERIES
+    ORACLE |= _more.ORACLE
+
+
 def flagship(spark, sf_dir):
     return QUERIES["trigger_efficiency"](spark, sf_dir)

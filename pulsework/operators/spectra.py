@@ -10,32 +10,49 @@ from pyspark.sql import functions as F
 BLOCK = 1 << 20
 
 
-def psd(traces: DataFrame, fs: float = 1.0) -> DataFrame:
-    """length, k, frequency, psd: the one-sided power density averaged over the traces of each length; inner bins count twice.
+def psd(traces: DataFrame, fs: float = 1.0, keys: tuple[str, ...] = ()) -> DataFrame:
+    """As ``density``, rounded."""
+    out = density(traces, fs, keys)
+    return out.withColumn("psd", F.round("psd", 8))
 
-    Each task sends one row of sums for each length and bin, whatever the number of its traces. Null and empty traces
+
+def density(traces: DataFrame, fs: float = 1.0, keys: tuple[str, ...] = ()) -> DataFrame:
+    """keys, length, k, frequency, psd: the one-sided power density averaged over the traces of each length (and key); inner bins count twice.
+
+    Each task sends one row of sums for each key, length and bin, whatever the number of its traces. Null and empty traces
     are left out; a null sample counts as 0.
     """
+    names = [*keys, "length", "k", "s", "n"]
 
     def part(batches):
-        sums: dict[int, list] = {}
+        sums: dict[tuple, list] = {}
+        types = [pa.null()] * len(keys)
         for batch in batches:
-            column = batch.column(0).drop_null()
-            sizes = pc.list_value_length(column).to_numpy(zero_copy_only=False)
-            for n in set(sizes.tolist()) - {0}:
-                rows = np.flatnonzero(sizes == n)
+            types = [batch.schema.field(j).type for j in range(len(keys))]
+            column = batch.column(len(keys))
+            sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+            groups: dict[tuple, list] = {}
+            marks = [batch.column(j).to_pylist() for j in range(len(keys))]
+            for row, n in enumerate(sizes.tolist()):
+                if n:
+                    groups.setdefault((*(m[row] for m in marks), n), []).append(row)
+            for key, rows in groups.items():
+                n = key[-1]
                 step = max(1, BLOCK // n)
                 for at in range(0, len(rows), step):
                     some = column.take(pa.array(rows[at : at + step]))
                     x = pc.fill_null(some.flatten(), 0.0).to_numpy(zero_copy_only=False).reshape(-1, n)
                     power = (np.abs(np.fft.rfft(x)) ** 2).sum(0)
-                    have = sums.setdefault(n, [np.zeros(len(power)), 0])
+                    have = sums.setdefault(key, [np.zeros(len(power)), 0])
                     have[0] += power
                     have[1] += len(x)
-        for n, (power, count) in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(power), n, np.int32)), pa.array(np.arange(len(power), dtype=np.int32)), pa.array(power), pa.array(np.full(len(power), count, np.int64))], ["length", "k", "s", "n"])
+        for key, (power, count) in sums.items():
+            many = len(power)
+            marks = [pa.array([value] * many, kind) for value, kind in zip(key, types)]
+            yield pa.RecordBatch.from_arrays([*marks, pa.array(np.full(many, key[-1], np.int32)), pa.array(np.arange(many, dtype=np.int32)), pa.array(power), pa.array(np.full(many, count, np.int64))], names)
 
-    rows = traces.select(F.col("samples").cast("array<double>")).mapInArrow(part, "length int, k int, s double, n long")
+    kinds = "".join(f"{k} {traces.schema[k].dataType.simpleString()}, " for k in keys)
+    rows = traces.select(*keys, F.col("samples").cast("array<double>")).mapInArrow(part, f"{kinds}length int, k int, s double, n long")
     once = (F.col("k") == 0) | (2 * F.col("k") == F.col("length"))
-    mean = rows.groupBy("length", "k").agg((F.sum("s") / F.sum("n")).alias("p"))
-    return mean.select("length", "k", (F.col("k") * fs / F.col("length")).alias("frequency"), F.round(F.col("p") * F.when(once, 1.0).otherwise(2.0) / (fs * F.col("length")), 8).alias("psd"))
+    mean = rows.groupBy(*keys, "length", "k").agg((F.sum("s") / F.sum("n")).alias("p"))
+    return mean.select(*keys, "length", "k", (F.col("k") * fs / F.col("length")).alias("frequency"), (F.col("p") * F.when(once, 1.0).otherwise(2.0) / (fs * F.col("length"))).alias("psd"))
