@@ -2,6 +2,7 @@
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .reduced import doubles
 
@@ -61,3 +62,51 @@ def correlation(traces: DataFrame) -> DataFrame:
     add = lambda f: F.sum(F.aggregate(F.filter(xy, lambda z: z["x"].isNotNull() & z["y"].isNotNull()), F.lit(0.0), lambda s, z: s + f(z["x"], z["y"])))
     sums = both.groupBy("a", "b").agg(add(lambda x, y: F.lit(1.0)).alias("n"), add(lambda x, y: x).alias("x"), add(lambda x, y: y).alias("y"), add(lambda x, y: x * x).alias("xx"), add(lambda x, y: y * y).alias("yy"), add(lambda x, y: x * y).alias("xy"))
     return sums.select("a", "b", F.round(F.expr("(n * xy - x * y) / sqrt((n * xx - x * x) * (n * yy - y * y))"), 6).alias("corr"))
+
+
+def spike(traces: DataFrame) -> DataFrame:
+    """event_id, channel, trace_id, top: the trace with the event's largest sample, the lower channel of a tie."""
+    rows = traces.where("size(samples) > 0").select("event_id", "channel", "trace_id", F.array_max(doubles()).alias("top"))
+    best = rows.groupBy("event_id").agg(F.max_by(F.struct("channel", "trace_id", "top"), F.struct("top", -F.col("channel"))).alias("b"))
+    return best.select("event_id", "b.channel", "b.trace_id", F.round("b.top", 6).alias("top"))
+
+
+def dark_counts(traces: DataFrame, thresholds: list[float]) -> DataFrame:
+    """threshold, n, n_fired, rate: events with a channel above each threshold; events are reduced to one maximum before they meet the grid."""
+    top = traces.groupBy("event_id").agg(F.max(F.array_max(doubles())).alias("top"))
+    rows = top.select("top", F.explode(F.array(*map(F.lit, map(float, thresholds)))).alias("threshold"))
+    out = rows.groupBy("threshold").agg(F.count("*").alias("n"), F.count_if(F.col("top") > F.col("threshold")).alias("n_fired"))
+    return out.withColumn("rate", F.round(F.col("n_fired") / F.col("n"), 6))
+
+
+def leading_spread(traces: DataFrame) -> DataFrame:
+    """event_id, spread: samples between the maxima of the two leading channels; null with fewer than two."""
+    v = doubles()
+    peak = F.struct(F.array_max(v).alias("a"), (-F.col("channel")).alias("c"), F.array_position(v, F.array_max(v)).alias("t"))
+    two = traces.where("size(samples) > 0").groupBy("event_id").agg(F.slice(F.sort_array(F.collect_list(peak), asc=False), 1, 2).alias("p"))
+    return two.select("event_id", F.abs(F.col("p")[0]["t"] - F.get("p", F.lit(1))["t"]).cast("long").alias("spread"))
+
+
+def weighted_sum(traces: DataFrame, weights: DataFrame) -> DataFrame:
+    """event_id, channel (-1), i, v: the sum of weight * sample over the channels that have a weight (channel, weight); others count as 0."""
+    long = traces.join(weights, "channel").select("event_id", "weight", F.posexplode("samples").alias("i", "v"))
+    out = long.groupBy("event_id", "i").agg(F.sum(F.col("weight") * F.col("v").cast("double")).alias("v"))
+    return out.select("event_id", F.lit(-1).cast("long").alias("channel"), "i", F.round("v", 5).alias("v"))
+
+
+def merged_triggers(triggers: DataFrame, gap: int) -> DataFrame:
+    """start, stop, n, n_channels: triggers (t, channel) of any channel that are no more than ``gap`` apart, merged into one event.
+
+    A trigger begins an event if none lies in the ``gap`` before it. Time is cut into slices, sorted in each and joined at
+    their edges, so no task holds all triggers: only the last time of each slice crosses to the next ones.
+    """
+    slices = triggers.withColumn("s", F.floor(F.col("t") / (64 * gap)).cast("long"))
+    inner = Window.partitionBy("s").orderBy("t", "channel")
+    ends = slices.groupBy("s").agg(F.max("t").alias("end"))
+    rows = slices.join(ends.select((F.col("s") + 1).alias("s"), "end"), "s", "left").withColumn("before", F.coalesce(F.lag("t").over(inner), F.col("end")))
+    begins = rows.withColumn("new", F.coalesce(F.col("t") - F.col("before") > gap, F.lit(True)).cast("long"))
+    # The number of an event is a running count of beginnings: over slices first (one row each), then inside.
+    counts = begins.groupBy("s").agg(F.sum("new").alias("k")).withColumn("base", F.sum("k").over(Window.orderBy("s")) - F.col("k"))
+    numbered = begins.join(counts.select("s", "base"), "s").withColumn("event", F.col("base") + F.sum("new").over(inner.rowsBetween(Window.unboundedPreceding, 0)))
+    out = numbered.groupBy("event").agg(F.min("t").alias("start"), F.max("t").alias("stop"), F.count("*").alias("n"), F.count_distinct("channel").alias("n_channels"))
+    return out.drop("event")

@@ -2,6 +2,7 @@
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def by_channel_range(traces: DataFrame, bank: DataFrame) -> DataFrame:
@@ -21,3 +22,65 @@ def quiet(windows: DataFrame, triggers: DataFrame, before: int, after: int, key:
     near = triggers.select(F.col(key).alias("k"), F.col("t").alias("u"), F.explode(F.array_distinct(F.array(bucket(F.col("t") - after), bucket(F.col("t") + before)))).alias("b"))
     hit = (F.col(key) == F.col("k")) & (bucket(F.col("t")) == F.col("b")) & F.col("u").between(F.col("t") - before, F.col("t") + after)
     return windows.join(near, hit, "left_anti")
+
+
+def cut_out(records: DataFrame, windows: DataFrame, key: str = "channel") -> DataFrame:
+    """window, key, i, v: the samples of records (key, i, v) inside each window (key, window, start, length), across record borders.
+
+    Places fall into buckets as wide as the longest window, which is one aggregate of the windows, so that a window
+    meets at most two buckets and the join is one by equal keys. Windows without samples give no row.
+    """
+    width = max(1, windows.agg(F.max("length")).first()[0] or 1)
+    bucket = lambda i: F.floor(i / width).cast("long")
+    spread = windows.select(F.col(key).alias("k"), "window", "start", "length", F.explode(F.array_distinct(F.array(bucket(F.col("start")), bucket(F.col("start") + F.col("length") - 1)))).alias("b"))
+    inside = (F.col(key) == F.col("k")) & (bucket(F.col("i")) == F.col("b")) & (F.col("i") >= F.col("start")) & (F.col("i") < F.col("start") + F.col("length"))
+    return records.join(spread, inside).select("window", key, "i", "v")
+
+
+def resampled(known: DataFrame, wanted: DataFrame, key: str, mode: str = "clamp") -> DataFrame:
+    """key, x, y: ``known`` (key, x, y) interpolated linearly at the places of ``wanted`` (key, x).
+
+    Both sides are sorted once by (key, x); running windows bring the neighbours. Outside the known range: ``clamp`` has the nearest known
+    value, ``zero`` has 0. A key without known places gives null (0 with ``zero``); a place that is known twice has one of its values.
+    """
+    if mode not in ("clamp", "zero"):
+        raise ValueError(mode)
+    a = known.select(F.col(key).alias("k"), "x", "y", F.lit(0).alias("side"))
+    b = wanted.select(F.col(key).alias("k"), "x", F.lit(None).cast("double").alias("y"), F.lit(1).alias("side"))
+    at = F.when(F.col("side") == 0, F.struct("x", "y"))
+    order = Window.partitionBy("k").orderBy("x", "side")
+    rows = a.unionByName(b).withColumn("p", F.last(at, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = rows.withColumn("n", F.first(at, ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing))).where("side = 1")
+    between = F.col("p.y") + (F.col("n.y") - F.col("p.y")) * F.coalesce(F.try_divide(F.col("x") - F.col("p.x"), F.col("n.x") - F.col("p.x")), F.lit(0.0))
+    on_known = F.when(F.col("p.x") == F.col("x"), F.col("p.y"))
+    out = F.coalesce(on_known, between, F.lit(0.0)) if mode == "zero" else F.coalesce(on_known, between, F.col("p.y"), F.col("n.y"))
+    return rows.select(F.col("k").alias(key), "x", out.alias("y"))
+
+
+def with_truth(fits: DataFrame, truth: DataFrame, key: str, limit: int) -> DataFrame:
+    """The fits (key, position) with truth (key, inject): delta, distance, and whether the distance is above ``limit``; fits without truth are left out."""
+    delta = F.col("position") - F.col("inject")
+    return fits.join(truth.select(key, "inject"), key).select(*fits.columns, delta.alias("delta"), F.abs(delta).alias("distance"), (F.abs(delta) > limit).alias("implausible"))
+
+
+def side_by_side(first: DataFrame, second: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """keys, first, second: two methods' values at the same keys; null where one has none."""
+    return first.select(*keys, F.col(value).alias("first")).join(second.select(*keys, F.col(value).alias("second")), keys, "full")
+
+
+def agreement(both: DataFrame, rtol: float = 1e-8, atol: float = 1e-12) -> DataFrame:
+    """One row on columns first, second: n (both present), n_missing, max_abs, rms, relative (norm of the difference by that of second), corr, close."""
+    d, y = F.col("first") - F.col("second"), F.col("second")
+    full = d.isNotNull()
+    return both.agg(
+        F.count_if(full).alias("n"), F.count_if(~full).alias("n_missing"), F.round(F.max(F.abs(d)), 6).alias("max_abs"), F.round(F.sqrt(F.avg(d * d)), 6).alias("rms"),
+        F.round(F.sqrt(F.try_divide(F.sum(d * d), F.sum(F.when(full, y * y)))), 6).alias("relative"), F.round(F.corr("first", "second"), 6).alias("corr"),
+        F.bool_and(F.abs(d) <= atol + rtol * F.abs(y)).alias("close"),
+    )
+
+
+def also_significant(fits: DataFrame, key: str, value: str, threshold: float) -> DataFrame:
+    """The significant fits (above the threshold) whose key has another one: counts by key meet the rows again, so a hot key is no window of its own."""
+    some = fits.where(F.col(value) > threshold)
+    many = some.groupBy(key).agg(F.count("*").alias("n_significant")).where("n_significant > 1")
+    return some.join(many, key)

@@ -1,5 +1,7 @@
 """Noise spectra of traces."""
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -56,3 +58,50 @@ def density(traces: DataFrame, fs: float = 1.0, keys: tuple[str, ...] = ()) -> D
     once = (F.col("k") == 0) | (2 * F.col("k") == F.col("length"))
     mean = rows.groupBy(*keys, "length", "k").agg((F.sum("s") / F.sum("n")).alias("p"))
     return mean.select(*keys, "length", "k", (F.col("k") * fs / F.col("length")).alias("frequency"), (F.col("p") * F.when(once, 1.0).otherwise(2.0) / (fs * F.col("length"))).alias("psd"))
+
+
+def unfolded(one_sided: DataFrame) -> DataFrame:
+    """length, k, psd, weight: the two-sided density at every k below the length. Inner bins are halved and mirrored; the weight of a filter is
+    1 / psd, 0 at frequency 0 (its density is infinite, given as null) and where the density is 0."""
+    n, k = F.col("length"), F.col("k")
+    mirror = (k > 0) & (2 * k < n)
+    both = one_sided.select("length", F.explode(F.when(mirror, F.array(k, n - k)).otherwise(F.array(k))).alias("at"), F.when(k == 0, None).when(mirror, F.col("psd") / 2).otherwise(F.col("psd")).alias("psd"))
+    return both.select("length", F.col("at").alias("k"), "psd", F.coalesce(F.try_divide(F.lit(1.0), "psd"), F.lit(0.0)).alias("weight"))
+
+
+def welch(traces: DataFrame, segment: int, fs: float = 1.0) -> DataFrame:
+    """k, frequency, psd after Welch: halves overlap, each segment loses its mean and has a periodic Hann window; traces of all lengths count together."""
+    from .sequence import hop_windows
+
+    bell = [float(x) for x in 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(segment) / segment)]
+    scale = segment / sum(b * b for b in bell)
+    parts = hop_windows(traces.select("trace_id", F.col("samples").cast("array<double>").alias("samples")), segment, segment // 2)
+    mean = F.aggregate("samples", F.lit(0.0), lambda s, x: s + x) / segment
+    tapered = parts.withColumn("m", mean).select(F.zip_with("samples", F.array(*map(F.lit, bell)), lambda x, b: (x - F.col("m")) * b).alias("samples"))
+    return density(tapered, fs).select("k", "frequency", (F.col("psd") * scale).alias("psd"))
+
+
+def cross(traces: DataFrame, fs: float = 1.0) -> DataFrame:
+    """a, b, k, re, im: the one-sided cross density of every two channels (a <= b), averaged over the events that have both.
+
+    One task sees an event's channels at once (as many as the detector has) and sends sums, so nothing grows with the events
+    but the reading. Channels of another length than the event's first are left out; n counts events.
+    """
+
+    def event(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(batches).sort_by("channel")
+        lists = [(c, np.nan_to_num(np.asarray(v, float))) for c, v in zip(rows["channel"].to_pylist(), rows["samples"].to_pylist()) if c is not None and v]
+        if not lists:
+            return
+        n = len(lists[0][1])
+        lists = [(c, np.fft.rfft(v)) for c, v in lists if len(v) == n]
+        for at, (a, x) in enumerate(lists):
+            for b, y in lists[at:]:
+                z = np.conj(x) * y
+                m = len(z)
+                yield pa.RecordBatch.from_pydict({"a": np.full(m, a), "b": np.full(m, b), "length": np.full(m, n, np.int32), "k": np.arange(m, dtype=np.int32), "re": z.real, "im": z.imag})
+
+    rows = traces.select("event_id", F.col("channel").cast("long").alias("channel"), F.col("samples").cast("array<double>").alias("samples"))
+    sums = rows.groupBy("event_id").applyInArrow(event, "a long, b long, length int, k int, re double, im double").groupBy("a", "b", "length", "k").agg(F.avg("re").alias("re"), F.avg("im").alias("im"))
+    twice = F.when((F.col("k") == 0) | (2 * F.col("k") == F.col("length")), 1.0).otherwise(2.0) / (fs * F.col("length"))
+    return sums.select("a", "b", "k", (F.col("re") * twice).alias("re"), (F.col("im") * twice).alias("im"))

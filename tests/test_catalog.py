@@ -13,6 +13,7 @@ def test_same_rows_as_sql(spark, name):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{D}/{t}.parquet'")
     df = catalog.QUERIES[name](spark, D)
     names = sorted(df.columns)
-    got = sorted(tuple(r) for r in df.select(*names).collect())
-    want = sorted(con.sql(f"SELECT {', '.join(chr(34) + n + chr(34) for n in names)} FROM ({catalog.ORACLE[name]})").fetchall())
+    order = lambda r: tuple((x is not None, x if x is not None else 0) for x in r)
+    got = sorted((tuple(r) for r in df.select(*names).collect()), key=order)
+    want = sorted(con.sql(f"SELECT {', '.join(chr(34) + n + chr(34) for n in names)} FROM ({catalog.ORACLE[name]})").fetchall(), key=order)
     assert got == want and got
