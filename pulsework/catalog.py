@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .operators import calibration, events, joins, reduced, series, shape, spectra
-from .plans import calibrated, combined, matched, sequences
+from .plans import calibrated, combined, matched, sequences, streams
 
 
 def _traces(spark, d):
@@ -107,7 +107,7 @@ ORACLE |= {
 }
 
 
-for _more in (matched, sequences, calibrated, combined):
+for _more in (matched, sequences, calibrated, combined, streams):
     QUERIES |= _more.QUERIES
     ORACLE |= _more.ORACLE
 

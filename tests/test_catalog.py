@@ -9,7 +9,7 @@ D = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("name", sorted(catalog.QUERIES))
 def test_same_rows_as_sql(spark, name):
     con = duckdb.connect()
-    for t in ("embeddings", "events", "lineitem"):
+    for t in ("embeddings", "events", "lineitem", "documents"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{D}/{t}.parquet'")
     df = catalog.QUERIES[name](spark, D)
     names = sorted(df.columns)
