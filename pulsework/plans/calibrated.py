@@ -61,7 +61,7 @@ QUERIES = {
     "find_line": lambda s, d: models.find_line(items(s, d), "l_extendedprice", 10000, 60000, 25),
     "chi2_scan": _scan,
     "class_shares": lambda s, d: models.shares(items(s, d), "l_extendedprice", "l_returnflag", "l_linestatus"),
-    "variation_envelope": lambda s, d: models.envelope(items(s, d), "l_quantity", "l_returnflag", "l_extendedprice"),
+    "variation_envelope": lambda s, d: models.envelope(items(s, d).withColumn("root", F.sqrt("l_extendedprice")), "l_quantity", "l_returnflag", "root"),
     "finite_ranks": lambda s, d: traces(s, d).groupBy("energy").agg(F.round(F.max(selection.finite("trace_id")), 1).alias("top")),
     "daily_pivot": lambda s, d: events(s, d).groupBy(F.hour("ts").alias("hour")).pivot("event_type", ["click", "error", "purchase", "signup", "view"]).agg(F.count("event_id")).na.fill(0),
 }
@@ -89,7 +89,7 @@ ORACLE = {
     "chi2_scan": f"""SELECT slope, level, round(c, 3) AS chi2, ndof, round(c / ndof, 4) AS reduced FROM (SELECT slope, level, sum((n - level * (1 + slope * x / 100000)) ** 2 / n) AS c, count(*) - 2 AS ndof
  FROM {_HIST}, (SELECT a * 0.25::DOUBLE - 0.5::DOUBLE AS slope, b * 100.0::DOUBLE + 100 AS level FROM range(0, 5) p(a), range(0, 5) q(b)) GROUP BY 1, 2)""",
     "class_shares": "SELECT l_returnflag, l_linestatus, round(t, 2) AS total, round(100 * t / sum(t) OVER (), 6) AS percent FROM (SELECT l_returnflag, l_linestatus, sum(l_extendedprice) AS t FROM lineitem GROUP BY 1, 2)",
-    "variation_envelope": "SELECT l_quantity, round(min(m), 4) AS lower, round(max(m), 4) AS upper FROM (SELECT l_quantity, l_returnflag, avg(l_extendedprice) AS m FROM lineitem GROUP BY 1, 2) GROUP BY 1",
+    "variation_envelope": "SELECT l_quantity, round(min(m), 4) AS lower, round(max(m), 4) AS upper FROM (SELECT l_quantity, l_returnflag, avg(sqrt(l_extendedprice)) AS m FROM lineitem GROUP BY 1, 2) GROUP BY 1",
     "finite_ranks": "SELECT label AS energy, CAST(max(vec_id) AS DOUBLE) AS top FROM embeddings GROUP BY 1",
     "daily_pivot": "SELECT CAST(hour(ts) AS INTEGER) AS hour, " + ", ".join(f"count(*) FILTER (event_type = '{e}') AS {e}" for e in ("click", "error", "purchase", "signup", "view")) + " FROM events GROUP BY 1",
 }
