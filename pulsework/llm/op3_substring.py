@@ -1,51 +1,76 @@
-"""Substring dedup over sliding spans of sentences.
-
-A span starts at a sentence and takes the fewest consecutive sentences, at least ``sentences``, that hold at least
-``words`` words; so equal passages give equal spans whatever stands around them. Spans are hashed, the hashes are
-joined over the whole corpus, and a sentence is removed if any span that covers it is not the first of its kind. The
-first is the one with the smallest (doc_id, sentence number).
+"""Substring dedup over sliding spans of sentences and parts of sentences.
+
+A text is cut into parts: at line ends, after words that end a sentence, and in stretches of ``CUT`` words without such an
+end after the word with the smallest hash. The words alone decide the latter two, so equal passages are cut alike whatever
+stands around them. A span is the fewest consecutive parts with at least ``words`` words that lead from a place to a place
+the words decide, or back from a place where no such span ends. Spans are hashed, the hashes are joined over the whole
+corpus, and a part is removed if any span that covers it is not the first of its kind. The first is the one with the
+smallest (doc_id, part number). Every run of ``words + 3 * CUT - 2`` words (48) that an earlier place has loses words;
+at either end of a run less than a span may stay.
 """
 
 import re
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-
-from .tables import cut, read
-
-#: A sentence ends at a newline or after . ! ? and white space; the white space belongs to the sentence before it.
-_END = re.compile(r"[.!?]+[ \t\r\f\v]+|[.!?]*[ \t\r\f\v]*\n\s*")
-
-
-def sentences_of(text: str) -> list[str]:
-    """The sentences with all they are separated by; joined they give the text."""
-    out, at = [], 0
-    for m in _END.finditer(text):
-        if m.end() > at:
-            out.append(text[at : m.end()])
-            at = m.end()
-    return [*out, text[at:]] if at < len(text) else out
-
-
-def spans_of(text: str, sentences: int, words: int):
-    """Yields (hash, first sentence, sentences in it) of each span. Words are compared without case or white space."""
-    parts = [" ".join(s.lower().split()) for s in sentences_of(text)]
-    counts = [len(p.split()) for p in parts]
-    end, have = 0, 0
-    for i in range(len(parts)):
-        while end < len(parts) and (end - i < sentences or have < words):
-            have += counts[end]
-            end += 1
-        if end - i < sentences or have < words:
-            return
-        yield xxhash.xxh3_128_digest("\n".join(parts[i:end])), i, end - i
-        have -= counts[i]
-
-
-def spans(docs: DataFrame, sentences: int = 2, words: int = 20) -> DataFrame:
+from pyspark.sql.window import Window
+
+from .tables import read
+
+#: The most words of a part.
+CUT = 10
+_WORD = re.compile(r"\S+\s*")
+
+
+def _places(text: str) -> tuple[list[str], list[str], np.ndarray, np.ndarray]:
+    """The words as they stand (with the white space after them), the words as compared (without case), and the places,
+    counted in words, at which the words alone decide to cut and at which parts begin or end (0 and the last one too)."""
+    raw, words = _WORD.findall(text), text.lower().split()
+    n = len(raw)
+    ends = np.array([w[-1] in ".!?" for w in words], bool)
+    inner = ends.copy()
+    if n >= CUT:
+        hashes = np.array([xxhash.xxh3_64_intdigest(w) for w in words], np.uint64)
+        low = np.lib.stride_tricks.sliding_window_view(hashes, CUT).argmin(1) + np.arange(n - CUT + 1)
+        before = np.concatenate([[0], np.cumsum(ends)])
+        inner[low[before[CUT - 1 : n] == before[: n - CUT + 1]]] = True
+    every = inner | np.array(["\n" in w for w in raw], bool)
+    every[n - 1 :] = True
+    return raw, words, np.flatnonzero(inner) + 1, np.concatenate([[0], np.flatnonzero(every) + 1])
+
+
+def parts_of(text: str) -> list[str]:
+    """The parts with all they are separated by; joined they give the text."""
+    raw, _, _, places = _places(text)
+    at = [0, *accumulate(map(len, raw))]
+    lead = len(text) - at[-1]
+    cuts = [0, *(lead + at[i] for i in places[1:])] if raw else [0, len(text)][: 1 + len(text)]
+    return [text[i:j] for i, j in zip(cuts, cuts[1:])]
+
+
+def spans_of(text: str, words: int):
+    """Yields (hash, first part, parts in it) of each span. Words are compared without case or white space."""
+    _, w, inner, places = _places(text)
+    if len(w) < words:
+        return
+    number = {p: i for i, p in enumerate(places.tolist())}
+    starts = places[:-1]
+    at = np.searchsorted(inner, starts + words)
+    forward = [(s, e) for s, e in zip(starts[at < len(inner)].tolist(), inner[at[at < len(inner)]].tolist(), strict=True)]
+    decided = {0, *inner.tolist()}
+    reached = {e for s, e in forward if s in decided}
+    ends = np.array([p for p in places.tolist() if p >= words and p not in reached], np.int64)
+    from_ = np.concatenate([[0], inner])
+    back = from_[np.searchsorted(from_, ends - words, "right") - 1]
+    for s, e in [*forward, *zip(back.tolist(), ends.tolist(), strict=True)]:
+        yield xxhash.xxh3_128_digest(" ".join(w[s:e])), number[s], number[e] - number[s]
+
+
+def spans(docs: DataFrame, words: int = 20) -> DataFrame:
     """(h1, h2, doc_id, start, n) of each span of each text."""
 
     def run(batches):
@@ -53,7 +78,7 @@ def spans(docs: DataFrame, sentences: int = 2, words: int = 20) -> DataFrame:
             ids, texts = batch.column(0).to_pylist(), batch.column(1)
             doc, keys, start, n = [], [], [], []
             for row, d in enumerate(ids):
-                for key, i, m in spans_of(texts[row].as_py() or "", sentences, words):
+                for key, i, m in spans_of(texts[row].as_py() or "", words):
                     doc.append(d), keys.append(key), start.append(i), n.append(m)
                 if len(doc) > 50_000 or row == len(ids) - 1:
                     two = np.frombuffer(b"".join(keys), np.int64).reshape(-1, 2)
@@ -63,16 +88,16 @@ def spans(docs: DataFrame, sentences: int = 2, words: int = 20) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "h1 long, h2 long, doc_id long, start int, n int")
 
 
-def dedup_spans(docs: DataFrame, sentences: int = 2, words: int = 20) -> DataFrame:
-    """The columns of ``docs`` with the remaining text, and n_sentences, n_removed, removed (numbers of the sentences).
+def dedup_spans(docs: DataFrame, words: int = 20) -> DataFrame:
+    """The columns of ``docs`` with the remaining text, and n_sentences, n_removed (both of parts), removed (numbers of the parts).
 
     Needs a doc_id of its own in each row; rows with a null doc_id or text (kept as it is: null) lose nothing, and a
     passage in them removes nothing elsewhere. Rows that share doc_id and text are the same document and lose the same
-    sentences. Texts without a whole span, such as empty or short ones, stay as they are.
+    parts. Texts without a whole span, such as empty or short ones, stay as they are.
     """
-    made = cut(spans(docs.where("doc_id is not null"), sentences, words))
-    twice = made.groupBy("h1", "h2").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "start")).alias("first")).where("copies > 1")
-    hit = made.join(twice, ["h1", "h2"]).where(F.struct("doc_id", "start") != F.col("first"))
+    # one shuffle, read in order: a span's later places are known without a second pass
+    place = F.rank().over(Window.partitionBy("h1", "h2").orderBy("doc_id", "start"))
+    hit = spans(docs.where("doc_id is not null"), words).withColumn("place", place).where("place > 1")
     gone = hit.groupBy("doc_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.sequence(F.col("start"), F.col("start") + F.col("n") - 1))))).alias("removed"))
     out = docs.drop("removed", "n_sentences", "n_removed").join(gone, "doc_id", "left")
 
@@ -81,7 +106,7 @@ def dedup_spans(docs: DataFrame, sentences: int = 2, words: int = 20) -> DataFra
         rows = []
         for text, numbers in zip(texts, removed, strict=True):
             text, drop = text.as_py(), set(numbers.as_py() or [])
-            parts = sentences_of(text or "")
+            parts = parts_of(text or "")
             rows.append({"text": text and ("".join(p for i, p in enumerate(parts) if i not in drop) if drop else text), "n_sentences": len(parts), "n_removed": len(drop)})
         return pa.array(rows, pa.struct([("text", pa.string()), ("n_sentences", pa.int32()), ("n_removed", pa.int32())]))
 

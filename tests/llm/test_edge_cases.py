@@ -83,3 +83,23 @@ def test_page_text():
     page = '<nav><a href=x>Menu</a></nav><article><h1>T</h1><p>A &amp; <b>b<br>c<p>To.</article><footer>f</footer><script>"</p>"'
     assert op10_html.main_text(page, op10_html.tree()) == "T\nA & b c\nTo."
     assert op10_html.main_text("", op10_html.tree()) == ""
+
+
+def test_substring_finds_every_repeated_run_of_50_words(spark):
+    r = random.Random(3)
+    some = lambda n, end: " ".join(r.choice("abcdefgh") + str(r.randrange(300)) + (r.choice(".!,") if r.random() < end else "") for _ in range(n))
+    long = [some(n, 0) for n in (50, 70, 101)]
+    texts = [*long, long[2].upper(), *(some(30, 0.1) + "\n" + some(90, e) for e in (0, 0.02, 0.1, 0.4))]
+    texts += [some(7, 0.1) + " " + " ".join(t.split()[a : a + n]) + r.choice([" ", "\n"]) + some(13, 0.2) for t in texts[:8] for a, n in ((0, 50), (11, 60))]
+    texts += [texts[5].replace(" ", "\n", 40)]
+    rows = op3_substring.dedup_spans(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    gone, seen = {x.doc_id: set(x.removed) for x in rows}, set()
+    for i, text in enumerate(texts):
+        parts, w = op3_substring.parts_of(text), text.lower().split()
+        lost = [k in gone[i] for k, p in enumerate(parts) for _ in p.split()]
+        runs, short = ([tuple(w[k : k + n]) for k in range(len(w) - n + 1)] for n in (50, 20))
+        assert "".join(parts) == text and len(lost) == len(w)
+        assert all(any(lost[k : k + 50]) for k, run in enumerate(runs) if run in seen)
+        assert any(run in seen for run in short) or not gone[i]
+        seen |= {*runs, *short}
+    assert {x.doc_id: x.text for x in rows}[3] == ""
