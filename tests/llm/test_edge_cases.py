@@ -103,3 +103,13 @@ def test_substring_finds_every_repeated_run_of_50_words(spark):
         assert any(run in seen for run in short) or not gone[i]
         seen |= {*runs, *short}
     assert {x.doc_id: x.text for x in rows}[3] == ""
+
+
+def test_a_frequent_line_of_a_large_host_counts(spark):
+    own = lambda i: " ".join(f"{a}{b}{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}" for a in "abcdefghijklmnopqrstuvwxyz" for b in "xy")
+    line = " ".join(chr(97 + k % 26) * (2 + k // 26) for k in range(60))
+    texts = [own(i) + ("\n" + line if i < 31 else "\nrare " + line if i < 61 else "") for i in range(800)]
+    rows = spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], "doc_id long, text string, source string")
+    got = {r.doc_id: r for r in op7_quality_rules.quality_rules(rows).collect()}
+    assert not any(r.base_failed for r in got.values())
+    assert {i for i, r in got.items() if not r.kept} == set(range(31)) and got[0].n_removed_words == 60 and got[31].n_removed_words == 0
