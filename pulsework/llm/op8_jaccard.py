@@ -221,6 +221,15 @@ def query(spark, sf_dir):
 
 
 def keep_one_of_each(docs: DataFrame, percent: int = 75) -> DataFrame:
-    """The document with the smallest doc_id of each group; texts without words stay. One row of a repeated doc_id stays."""
-    keep = jaccard_components(docs, percent).where("component_id = doc_id").select("doc_id").distinct()
-    return docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
+    """Of each group of near copies the row with the smallest doc_id (a null one comes last).
+
+    Rows are told apart by a number of their own, not by doc_id: rows with a null doc_id and different texts under one
+    doc_id are linked, kept or dropped as any other. Texts without words stay; of equal ones under one doc_id, one.
+    """
+    rows = cut(docs.withColumn("_row", F.monotonically_increasing_id()))
+    groups = jaccard_components(rows.select(F.col("_row").alias("doc_id"), "text"), percent)
+    groups = rows.select("_row", "doc_id", F.xxhash64("text").alias("h")).join(groups.toDF("_row", "n", "comp"), "_row")
+    blank = (F.col("n") == 0) & F.col("doc_id").isNotNull()
+    of = [F.when(~blank, F.col("comp")).alias("comp"), F.when(blank, F.col("doc_id")).alias("d"), F.when(blank, F.col("h")).alias("t")]
+    keep = groups.groupBy(*of).agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h", "_row")).alias("first"))
+    return rows.join(cut(keep.select(F.col("first._row").alias("_row"))), "_row", "left_semi").select(docs.columns)
