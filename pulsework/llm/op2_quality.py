@@ -1,7 +1,7 @@
 """Quality classifier with supervised subword embeddings.
 
-Words, character n-grams (with the blanks around a word) and self-repeats (a word that equals the word k places
-before) are hashed to learned vectors; a document is the average of its vectors, and a softmax over it gives the label.
+Words, pairs of neighbouring words and character n-grams (short ones inside a word and its blanks, long ones across words)
+are hashed to learned vectors; a document is the average of its vectors, and a softmax over it gives the label.
 Training is stochastic gradient descent in numpy over a bounded sample of labelled rows. As the score is linear in the
 average, a trained model is one number for each bucket, and scoring is a vectorised sum over whole texts.
 """
@@ -15,9 +15,10 @@ from .labelled import held_out, sample, sigmoid, sums
 from .tables import read
 from .textnp import Words, blocks, mix
 
-#: Labelled rows of either label, and characters of a text, that are learnt from at most.
-EACH, CHARS = 1500, 60_000
-BUCKETS_LOG2, DIM, GRAMS, LAGS = 18, 16, (3, 4), 16
+#: Labelled rows of either label, and characters of a text, that are learnt from at most: 24 million characters in all.
+EACH, CHARS = 1500, 8_000
+#: Lengths of n-grams that stay inside a word, and of those that don't. Chosen on a quarter of the rows that may be learnt from.
+BUCKETS_LOG2, DIM, GRAMS, ACROSS = 18, 16, (3,), (6, 8)
 
 
 def features(offsets: np.ndarray, data: np.ndarray):
@@ -27,18 +28,18 @@ def features(offsets: np.ndarray, data: np.ndarray):
     h = w.hashes()
     yield place(h, 1), w.first
     owner = w.owner()
-    for lag in range(1, LAGS + 1):
-        same = np.flatnonzero((h[lag:] == h[:-lag]) & (owner[lag:] == owner[:-lag])) + lag if len(h) > lag else np.zeros(0, np.int64)
-        yield np.full(len(same), place(np.array([lag], np.uint64), 99)[0]), np.searchsorted(same, w.first)
+    pair = np.flatnonzero(owner[1:] == owner[:-1])
+    yield place(mix(h[pair]) + h[pair + 1], 2), np.searchsorted(pair, w.first)
     chars = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))
     n = len(chars) - 1
     blank = np.concatenate([[0], np.cumsum((data[chars[:-1]] <= 32).astype(np.int64))])
     text = np.searchsorted(offsets, chars[:-1], "right")
-    for g in GRAMS:
+    for g in (*GRAMS, *ACROSS):
         if n < g:
             yield np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
             continue
-        inside = np.flatnonzero((blank[g - 1 : n - g + g] [: n - g + 1] == blank[1 : n - g + 2]) & (text[: n - g + 1] == text[g - 1 :]))
+        whole = text[: n - g + 1] == text[g - 1 :]
+        inside = np.flatnonzero(whole if g in ACROSS else whole & (blank[g - 1 : n] == blank[1 : n - g + 2]))
         yield place(w.span_hash(chars[inside], chars[inside + g]), g), np.searchsorted(chars[inside], offsets)
 
 
@@ -51,7 +52,7 @@ def train(texts: list[str], labels: np.ndarray, odds: float, epochs: int = 8, ra
     for text in texts:
         raw = np.frombuffer(text.encode(), np.uint8)
         ids, n = np.unique(np.concatenate([f for f, _ in features(np.array([0, len(raw)]), raw)]), return_counts=True)
-        bags.append((ids, (n / max(1, n.sum())).astype(np.float32)))
+        bags.append((ids.astype(np.int32), (n / max(1, n.sum())).astype(np.float32)))
     steps, step = max(1, epochs * len(bags)), 0
     for _ in range(epochs):
         for i in rng.permutation(len(bags)):
@@ -85,11 +86,13 @@ def scores(column, table: np.ndarray, bias: float) -> np.ndarray:
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality") -> tuple[np.ndarray, float]:
+    """The model for ``quality``. Null texts and labels teach nothing; without labelled rows every score is near 0.5. Of several
+    texts or labels under one doc_id, the least text and the largest label count; so ties don't depend on the order of rows."""
     return train(*sample(docs, labels, label, EACH, CHARS))
 
 
 def quality(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
-    """``docs`` with a column score (any such column is replaced). Null and empty texts get the score of no features, the bias."""
+    """``docs`` with a column score (a column of its own of that name is replaced). Every row has its score, repeated rows the same. Null and empty texts get the score of no features, the bias."""
     table, bias = model
 
     @F.arrow_udf("double")

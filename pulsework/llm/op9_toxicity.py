@@ -21,11 +21,11 @@ from .tables import read
 from .textnp import Words, blocks, mix
 
 #: Labelled rows of either label, and characters of a text, that are learnt from at most.
-EACH, CHARS = 2500, 20_000
+EACH, CHARS = 2500, 8_000
 #: One learnt text in so many is for the document's score alone.
 APART = 4
-#: A token is labelled toxic if in as many toxic texts at least, at this many times the rate of other texts.
-LEAST, TIMES = 5, 8
+#: A token is labelled toxic if it has as many contexts in toxic texts at least, at this many times the rate of other texts.
+LEAST, TIMES = 8, 8
 BUCKETS_LOG2, HEADS = 18, (5, 6, 7, 8)
 _ROW = 64
 
@@ -106,20 +106,32 @@ def spans(w: Words):
 
 
 def toxic_names(texts: list[str], labels: np.ndarray) -> list[np.ndarray]:
-    """The words, and the heads of each length, that are far more frequent in toxic texts than elsewhere."""
-    sides, found = np.maximum(1, [(1 - labels).sum(), labels.sum()]), [[] for _ in range(1 + len(HEADS))]
-    for w, toxic in pieces(texts, labels):
-        owner = w.owner()
-        for out, h in zip(found, spans(w), strict=True):
-            names, which = np.unique(h, return_inverse=True)
-            pairs = np.unique(which * len(toxic) + owner)
-            name, side = pairs // len(toxic), toxic[pairs % len(toxic)]
-            out.append((names, np.bincount(name, side, len(names)), np.bincount(name, 1 - side, len(names))))
+    """The words, and the heads of each length, that are far more frequent in toxic texts than elsewhere.
+
+    A name counts once for each pair of neighbours it has, so what stands in many copies of one text counts once.
+    """
     kept = []
-    for out in found:
-        names, which = np.unique(np.concatenate([x[0] for x in out]), return_inverse=True)
-        ones, zeros = (np.bincount(which, np.concatenate([x[i] for x in out]), len(names)) for i in (1, 2))
-        kept.append(names[(ones >= LEAST) & (ones / sides[1] >= TIMES * (zeros + 0.5) / sides[0])])
+    for kind in range(1 + len(HEADS)):
+        sides = [np.zeros((0, 2), np.uint64)] * 2
+        for w, toxic in pieces(texts, labels):
+            h = w.hashes()
+            if not len(h):
+                continue
+            around = mix(np.roll(h, 1)) + np.roll(h, -1)
+            name, mine = next(x for i, x in enumerate(spans(w)) if i == kind), toxic[w.owner()] == 1
+            for i, rows in enumerate((~mine, mine)):
+                sides[i] = np.concatenate([sides[i], np.stack([name[rows], around[rows]], 1)])
+        counts = []
+        for rows in sides:
+            order = np.lexsort((rows[:, 1], rows[:, 0]))
+            rows = rows[order]
+            new = np.ones(len(rows), bool)
+            new[1:] = (rows[1:] != rows[:-1]).any(1)
+            counts.append((np.unique(rows[new, 0], return_counts=True), max(1, int(new.sum()))))
+        ((zero, nz), all0), ((one, n1), all1) = counts
+        at = np.minimum(np.searchsorted(zero, one), max(len(zero) - 1, 0))
+        else_ = np.where(zero[at] == one, nz[at], 0) if len(zero) else np.zeros(len(one))
+        kept.append(one[(n1 >= LEAST) & (n1 / all1 >= TIMES * (else_ + 0.5) / all0)])
     return kept
 
 
@@ -156,6 +168,27 @@ def tagger(texts: list[str], labels: np.ndarray, rounds: int, rate: float):
     return table.astype(np.float32), chain
 
 
+def logistic(x: np.ndarray, y: np.ndarray, share: np.ndarray, weights: np.ndarray, ridge: float = 0.3) -> np.ndarray:
+    """Weights of a logistic model by Newton's method; a step is halved until the loss falls, so separable labels can't make it run away."""
+
+    def loss(w):
+        z = x @ w
+        return (share * (np.logaddexp(0, z) - y * z)).sum() + ridge / 2 * (w @ w)
+
+    now = loss(weights)
+    for _ in range(50):
+        q = sigmoid(x @ weights)
+        slope = x.T @ (share * (q - y)) + ridge * weights
+        way = np.linalg.solve((x * (share * q * (1 - q))[:, None]).T @ x + ridge * np.eye(x.shape[1]), slope)
+        pace = 1.0
+        while (then := loss(weights - pace * way)) > now and pace > 1e-6:
+            pace /= 2
+        if now - then < 1e-9 * max(1.0, now):
+            break
+        weights, now = weights - pace * way, then
+    return weights
+
+
 def train(texts: list[str], labels: np.ndarray, odds: float, rounds: int = 30, rate: float = 0.5):
     """(number for each bucket, chain, weights of the document's score). Without labels of both kinds, scores are the rate of label 1.
 
@@ -173,53 +206,56 @@ def train(texts: list[str], labels: np.ndarray, odds: float, rounds: int = 30, r
     x = np.concatenate([digest(marginals(w, table, chain), w.first) for w, _ in pieces([t for t, r in zip(texts, rest, strict=True) if r], labels[rest])])
     labels = labels[rest]
     share = np.where(labels == 1, sigmoid(odds) / labels.sum(), sigmoid(-odds) / (1 - labels).sum()) * len(labels)
-    for _ in range(30):  # Newton's method with a small ridge
-        q = sigmoid(x @ weights)
-        bend = (x * (share * q * (1 - q))[:, None]).T @ x + 0.3 * np.eye(5)
-        weights += np.linalg.solve(bend, x.T @ (share * (labels - q)) - 0.3 * weights)
+    weights = logistic(x, labels, share, weights)
     return table, chain, weights
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic"):
+    """The model for ``tagged``. Null texts and labels teach nothing. Of several texts or labels under one doc_id the least text
+    and the largest label count, so ties don't depend on the order of rows. Without rows of both labels all scores are one number."""
     return train(*sample(docs, labels, label, EACH, CHARS))
 
 
-def toxicity(docs: DataFrame, model) -> DataFrame:
-    """``docs`` with a column score (any such column is replaced). Null texts count as empty; texts without tokens get the score of no toxic token."""
+def read_spans(column: pa.Array, model, least: float):
+    """(scores, span of each text as (first span, and the end), starts, ends, largest marginals) of an Arrow column of texts."""
     table, chain, weights = model
+    scores, counts, starts, ends, tops = [np.zeros(0)], [np.zeros(0, np.int64)], [], [], []
+    for _, offsets, data in blocks(column):
+        w = Words(offsets, data, marks=True)
+        p, owner = marginals(w, table, chain), w.owner()
+        scores.append(sigmoid(digest(p, w.first) @ weights))
+        hit = np.flatnonzero(p >= least)
+        start = np.flatnonzero(np.r_[True, (np.diff(hit) > 1) | (np.diff(owner[hit]) > 0)]) if len(hit) else hit
+        stop = np.append(start[1:], len(hit))[: len(start)] - 1
+        o = owner[hit[start]]
+        counts.append(np.bincount(o, minlength=len(offsets) - 1))
+        starts.append(w.starts[hit[start]] - offsets[o])
+        ends.append(w.ends[hit[stop]] - offsets[o])
+        if len(hit):
+            tops.append(np.maximum.reduceat(p[hit], start))
+    join = lambda x, kind: np.concatenate(x).astype(kind) if x else np.zeros(0, kind)
+    return np.concatenate(scores), np.cumsum(np.concatenate([[0], *counts])), join(starts, np.int64), join(ends, np.int64), join(tops, float)
+
+
+def tagged(docs: DataFrame, model, least: float = 0.5, score: str = "score", spans: str = "spans") -> DataFrame:
+    """``docs`` with a score and the offending spans, an array of (start, end, p): byte offsets in the UTF-8 text of each run of tokens
+    with a marginal of ``least`` or more, and the largest of them.
+
+    Columns of its own of these two names are replaced; the names are parameters. Every row has its result, repeated rows the
+    same. Null texts count as empty; texts without tokens have the score of no toxic token and no spans.
+    """
 
-    @F.arrow_udf("double")
-    def score(text: pa.Array) -> pa.Array:
-        out = [np.zeros(0)]
-        for _, offsets, data in blocks(text):
-            w = Words(offsets, data, marks=True)
-            out.append(sigmoid(digest(marginals(w, table, chain), w.first) @ weights))
-        return pa.array(np.concatenate(out))
-
-    return docs.withColumn("score", score("text"))
-
-
-def toxic_spans(docs: DataFrame, model, least: float = 0.5) -> DataFrame:
-    """(doc_id, start, end, p): byte offsets in the UTF-8 text of each run of tokens with a marginal of ``least`` or more, and the largest of them."""
-    table, chain, _ = model
-
-    def run(batches):
-        for batch in batches:
-            for row, offsets, data in blocks(batch.column(1)):
-                w = Words(offsets, data, marks=True)
-                p, owner = marginals(w, table, chain), w.owner()
-                hit = np.flatnonzero(p >= least)
-                if not len(hit):
-                    continue
-                start = np.flatnonzero(np.r_[True, (np.diff(hit) > 1) | (np.diff(owner[hit]) > 0)])
-                stop = np.append(start[1:], len(hit)) - 1
-                o = owner[hit[start]]
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(o + row)), pa.array(w.starts[hit[start]] - offsets[o]), pa.array(w.ends[hit[stop]] - offsets[o]), pa.array(np.maximum.reduceat(p[hit], start))], ["doc_id", "start", "end", "p"])
+    @F.arrow_udf("struct<score double, spans array<struct<start long, end long, p double>>>")
+    def tag(text: pa.Array) -> pa.Array:
+        scores, first, starts, ends, tops = read_spans(text, model, least)
+        spans = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.StructArray.from_arrays([pa.array(starts), pa.array(ends), pa.array(tops)], ["start", "end", "p"]))
+        return pa.StructArray.from_arrays([pa.array(scores), spans], ["score", "spans"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, start long, end long, p double")
+    rows = docs.select(*(c for c in docs.columns if c not in (score, spans)), tag("text").alias("_tagged"))
+    return rows.withColumns({score: F.col("_tagged.score"), spans: F.col("_tagged.spans")}).drop("_tagged")
 
 
 def query(spark, sf_dir):
     docs = read(spark, sf_dir, "documents")
-    out = toxicity(docs.select("doc_id", "text"), fit(docs, read(spark, sf_dir, "labels")))
-    return out.select("doc_id", held_out().alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
+    out = tagged(docs.select("doc_id", "text"), fit(docs, read(spark, sf_dir, "labels")))
+    return out.select("doc_id", held_out().alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"), "spans")

@@ -1,4 +1,4 @@
-"""Reading inputs and cutting lineage."""
+"""Reading inputs, cutting lineage, and what is left of it afterwards."""
 
 import tempfile
 import uuid
@@ -11,9 +11,11 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, as the cluster names it; a temporary one only where it is unset, as in tests."""
+    """The folder that all executors share, as the cluster names it. Where it is unset, a temporary folder, on a local master only."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = tempfile.mkdtemp(prefix="pulsework-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
@@ -24,4 +26,23 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+_written: list[str] = []
+
+
+def mark() -> int:
+    """The state of ``cut`` for ``forget``."""
+    return len(_written)
+
+
+def forget(spark: SparkSession, since: int = 0, keep: DataFrame | None = None) -> None:
+    """Deletes the tables that ``cut`` has written since the mark, but for those that ``keep`` reads: nothing that is still to be computed may need the others."""
+    kept = {f.rsplit("/", 2)[-2] for f in keep.inputFiles()} if keep is not None else set()
+    for path in _written[since:]:
+        if path.rsplit("/", 1)[-1] not in kept:
+            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    _written[since:] = [p for p in _written[since:] if p.rsplit("/", 1)[-1] in kept]
