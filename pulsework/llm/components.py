@@ -3,29 +3,33 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import cut
+from .tables import cut, forget, mark, spread
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, comp): each node of the edges with the smallest node that it is connected with.
 
     Repeated edges, self-loops and both directions are allowed; edges with a null end are left out. No edges give
-    an empty table. Each round rewrites the edges in two joins on nodes; a node with very many edges is a hub whose
-    partition AQE splits. The rounds grow with the logarithm of the longest chain.
+    an empty table. Each round rewrites the edges in two joins on nodes; the edges of a hub, a node with a large part of
+    all edges, stay where they are in these. The rounds grow with the logarithm of the longest chain.
     """
+    since = mark()
     e = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u != v")
     e = cut(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    mark = None
+    was = None
     while True:
         both = e.union(e.select("v", "u"))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("x"), F.least("u", "m").alias("m"))
-        large = both.join(low, both.u == low.x).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        down = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(down.withColumnRenamed("u", "x"), F.col("u") == F.col("x"))
-        small = small.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("s"))
+        large = cut(_least(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        small = _least(large).select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("s"))
         e = cut(small.select("s.u", "s.v").where("u != v").distinct())
         now = e.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long")), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if now == mark or not now[0]:
+        forget(e.sparkSession, since, keep=e)
+        if now == was or not now[0]:
             break
-        mark = now
+        was = now
     return e.select(F.col("u").alias("node"), F.col("v").alias("comp")).union(e.select("v", "v").distinct())
+
+
+def _least(pairs: DataFrame) -> DataFrame:
+    """(u, v, m): the pairs with the least of u and all its v."""
+    return spread(pairs, pairs.groupBy("u").agg(F.least("u", F.min("v")).alias("m")), ["u"])

@@ -2,14 +2,19 @@
 
 A text is cut into parts: at line ends, after words that end a sentence, and in stretches of ``CUT`` words without such an
 end after the word with the smallest hash. The words alone decide the latter two, so equal passages are cut alike whatever
-stands around them. A span is the fewest consecutive parts with at least ``words`` words that lead from a place to a place
-the words decide, or back from a place where no such span ends. Spans are hashed, the hashes are joined over the whole
-corpus, and a part is removed if any span that covers it is not the first of its kind. The first is the one with the
-smallest (doc_id, part number). Every run of ``words + 3 * CUT - 2`` words (48) that an earlier place has loses words;
-at either end of a run less than a span may stay.
+stands around them. Spans are every run of ``RUN`` consecutive sentences, in two forms: a run of fewer than ``words`` words
+as it is, and of longer text the fewest consecutive parts with at least ``words`` words that lead from a place to a place the
+words decide, or back from a place where no such span ends. Spans are hashed, the hashes are joined over the whole corpus,
+and a part is removed if any span that covers it is not the first of its kind. The first is the one with the smallest
+(doc_id, part number). Every run of ``words + 3 * CUT - 2`` words (48) that an earlier place has loses words; at either end
+of a run less than a span may stay.
+
+A span that stands in very many documents would be one task's work. What a task sees more than once is therefore settled
+there, and only the first place goes into the join: a span has as many rows in it as there are tasks' blocks, not documents.
 """
 
 import re
+import zlib
 from itertools import accumulate
 
 import numpy as np
@@ -21,14 +26,16 @@ from pyspark.sql.window import Window
 
 from .tables import read
 
-#: The most words of a part.
-CUT = 10
+#: The most words of a part, and the sentences of a run.
+CUT, RUN = 10, 3
+#: Spans that a task settles together.
+BLOCK = 200_000
 _WORD = re.compile(r"\S+\s*")
 
 
-def _places(text: str) -> tuple[list[str], list[str], np.ndarray, np.ndarray]:
-    """The words as they stand (with the white space after them), the words as compared (without case), and the places,
-    counted in words, at which the words alone decide to cut and at which parts begin or end (0 and the last one too)."""
+def _places(text: str) -> tuple[list[str], list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """The words as they stand (with the white space after them), the words as compared (without case), and the places, counted
+    in words, at which the words alone decide to cut, at which parts begin or end, and sentences too (0 and the last one as well)."""
     raw, words = _WORD.findall(text), text.lower().split()
     n = len(raw)
     ends = np.array([w[-1] in ".!?" for w in words], bool)
@@ -38,14 +45,15 @@ def _places(text: str) -> tuple[list[str], list[str], np.ndarray, np.ndarray]:
         low = np.lib.stride_tricks.sliding_window_view(hashes, CUT).argmin(1) + np.arange(n - CUT + 1)
         before = np.concatenate([[0], np.cumsum(ends)])
         inner[low[before[CUT - 1 : n] == before[: n - CUT + 1]]] = True
-    every = inner | np.array(["\n" in w for w in raw], bool)
-    every[n - 1 :] = True
-    return raw, words, np.flatnonzero(inner) + 1, np.concatenate([[0], np.flatnonzero(every) + 1])
+    whole = ends | np.array(["\n" in w for w in raw], bool)
+    whole[n - 1 :] = True
+    every = inner | whole
+    return raw, words, np.flatnonzero(inner) + 1, np.concatenate([[0], np.flatnonzero(every) + 1]), np.concatenate([[0], np.flatnonzero(whole) + 1])
 
 
 def parts_of(text: str) -> list[str]:
     """The parts with all they are separated by; joined they give the text."""
-    raw, _, _, places = _places(text)
+    raw, _, _, places, _ = _places(text)
     at = [0, *accumulate(map(len, raw))]
     lead = len(text) - at[-1]
     cuts = [0, *(lead + at[i] for i in places[1:])] if raw else [0, len(text)][: 1 + len(text)]
@@ -54,10 +62,14 @@ def parts_of(text: str) -> list[str]:
 
 def spans_of(text: str, words: int):
     """Yields (hash, first part, parts in it) of each span. Words are compared without case or white space."""
-    _, w, inner, places = _places(text)
+    _, w, inner, places, sentences = _places(text)
+    number = {p: i for i, p in enumerate(places.tolist())}
+    key = lambda s, e: xxhash.xxh3_128_digest(" ".join(w[s:e]))
+    short = np.flatnonzero(sentences[RUN:] - sentences[:-RUN] < words)
+    for s, e in zip(sentences[short].tolist(), sentences[short + RUN].tolist(), strict=True):
+        yield key(s, e), number[s], number[e] - number[s]
     if len(w) < words:
         return
-    number = {p: i for i, p in enumerate(places.tolist())}
     starts = places[:-1]
     at = np.searchsorted(inner, starts + words)
     forward = [(s, e) for s, e in zip(starts[at < len(inner)].tolist(), inner[at[at < len(inner)]].tolist(), strict=True)]
@@ -67,39 +79,60 @@ def spans_of(text: str, words: int):
     from_ = np.concatenate([[0], inner])
     back = from_[np.searchsorted(from_, ends - words, "right") - 1]
     for s, e in [*forward, *zip(back.tolist(), ends.tolist(), strict=True)]:
-        yield xxhash.xxh3_128_digest(" ".join(w[s:e])), number[s], number[e] - number[s]
+        yield key(s, e), number[s], number[e] - number[s]
 
 
 def spans(docs: DataFrame, words: int = 20) -> DataFrame:
-    """(h1, h2, doc_id, start, n) of each span of each text."""
+    """(h1, h2, doc_id, t, start, n, later) of spans (96 bits of hash) of each text; t is the text's CRC-32.
+
+    ``later`` marks places that follow an equal one which the same task has seen; their h1 and h2 mean nothing.
+    """
+
+    def settled(doc, text, keys, start, n):
+        two = np.frombuffer(b"".join(keys), np.int64).reshape(-1, 2)
+        cols = [np.array(x, np.int64) for x in (doc, text, start, n)]
+        order = np.lexsort((cols[2], cols[1], cols[0], two[:, 1], two[:, 0]))
+        two, cols = two[order], [c[order] for c in cols]
+        equal = np.zeros(len(order), bool)
+        equal[1:] = (two[1:] == two[:-1]).all(1)
+        again = equal.copy()
+        again[1:] &= (cols[0][1:] == cols[0][:-1]) & (cols[1][1:] == cols[1][:-1]) & (cols[2][1:] == cols[2][:-1])
+        h1 = np.where(equal, cols[0] ^ (cols[2] << 32), two[:, 0])
+        rows = [h1, two[:, 1].astype(np.int32), cols[0], cols[1].astype(np.int32), cols[2].astype(np.int32), cols[3].astype(np.int32), equal]
+        return pa.RecordBatch.from_arrays([pa.array(x[~again]) for x in rows], ["h1", "h2", "doc_id", "t", "start", "n", "later"])
 
     def run(batches):
+        doc, crc, keys, start, n = [], [], [], [], []
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1)
-            doc, keys, start, n = [], [], [], []
-            for row, d in enumerate(ids):
-                for key, i, m in spans_of(texts[row].as_py() or "", words):
-                    doc.append(d), keys.append(key), start.append(i), n.append(m)
-                if len(doc) > 50_000 or row == len(ids) - 1:
-                    two = np.frombuffer(b"".join(keys), np.int64).reshape(-1, 2)
-                    yield pa.RecordBatch.from_arrays([pa.array(two[:, 0].copy()), pa.array(two[:, 1].copy()), pa.array(doc, pa.int64()), pa.array(start, pa.int32()), pa.array(n, pa.int32())], ["h1", "h2", "doc_id", "start", "n"])
-                    doc, keys, start, n = [], [], [], []
+            for d, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                text = text.as_py() or ""
+                t = zlib.crc32(text.encode()) - (1 << 31)
+                for key, i, m in spans_of(text, words):
+                    doc.append(d), crc.append(t), keys.append(key), start.append(i), n.append(m)
+                if len(doc) > BLOCK:
+                    yield settled(doc, crc, keys, start, n)
+                    doc, crc, keys, start, n = [], [], [], [], []
+        if doc:
+            yield settled(doc, crc, keys, start, n)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "h1 long, h2 long, doc_id long, start int, n int")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "h1 long, h2 int, doc_id long, t int, start int, n int, later boolean")
 
 
 def dedup_spans(docs: DataFrame, words: int = 20) -> DataFrame:
     """The columns of ``docs`` with the remaining text, and n_sentences, n_removed (both of parts), removed (numbers of the parts).
 
-    Needs a doc_id of its own in each row; rows with a null doc_id or text (kept as it is: null) lose nothing, and a
-    passage in them removes nothing elsewhere. Rows that share doc_id and text are the same document and lose the same
-    parts. Texts without a whole span, such as empty or short ones, stay as they are.
+    Rows with a null doc_id or text (kept as it is: null) lose nothing, and a passage in them removes nothing elsewhere. Rows
+    that share doc_id and text are the same document and lose the same parts; different texts under one doc_id are documents
+    of their own, in the order of their CRC-32. Texts without a whole span, such as empty or short ones, stay as they are.
+    Columns of its own named n_sentences, n_removed or removed are replaced. An empty table gives an empty result.
     """
     # one shuffle, read in order: a span's later places are known without a second pass
-    place = F.rank().over(Window.partitionBy("h1", "h2").orderBy("doc_id", "start"))
-    hit = spans(docs.where("doc_id is not null"), words).withColumn("place", place).where("place > 1")
-    gone = hit.groupBy("doc_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.sequence(F.col("start"), F.col("start") + F.col("n") - 1))))).alias("removed"))
-    out = docs.drop("removed", "n_sentences", "n_removed").join(gone, "doc_id", "left")
+    place = F.rank().over(Window.partitionBy("h1", "h2", "later").orderBy("doc_id", "t", "start"))
+    hit = spans(docs.where("doc_id is not null"), words).withColumn("place", place).where("later or place > 1")
+    parts = F.sequence(F.col("start"), F.col("start") + F.col("n") - 1)
+    gone = hit.groupBy(F.col("doc_id").alias("_doc"), F.col("t").alias("_text")).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set(parts)))).alias("_gone"))
+    crc = (F.crc32(F.coalesce("text", F.lit("")).cast("binary")) - (1 << 31)).cast("int")
+    out = docs.withColumn("_crc", crc).join(gone, (F.col("doc_id") == F.col("_doc")) & (F.col("_crc") == F.col("_text")), "left")
 
     @F.arrow_udf("struct<text string, n_sentences int, n_removed int>")
     def keep(texts: pa.Array, removed: pa.Array) -> pa.Array:
@@ -110,8 +143,9 @@ def dedup_spans(docs: DataFrame, words: int = 20) -> DataFrame:
             rows.append({"text": text and ("".join(p for i, p in enumerate(parts) if i not in drop) if drop else text), "n_sentences": len(parts), "n_removed": len(drop)})
         return pa.array(rows, pa.struct([("text", pa.string()), ("n_sentences", pa.int32()), ("n_removed", pa.int32())]))
 
-    out = out.withColumn("kept", keep("text", "removed"))
-    return out.select(*(F.col("kept.text").alias("text") if c == "text" else F.col(c) for c in docs.columns if c not in ("removed", "n_sentences", "n_removed")), "kept.n_sentences", "kept.n_removed", F.coalesce("removed", F.array().cast("array<int>")).alias("removed"))
+    out = out.withColumn("_kept", keep("text", "_gone"))
+    own = [c for c in docs.columns if c not in ("removed", "n_sentences", "n_removed")]
+    return out.select(*(F.col("_kept.text").alias("text") if c == "text" else F.col(c) for c in own), "_kept.n_sentences", "_kept.n_removed", F.coalesce("_gone", F.array().cast("array<int>")).alias("removed"))
 
 
 def query(spark, sf_dir):

@@ -6,9 +6,10 @@ exact: a prefix filter finds candidates, and whole sets decide. Two kinds of ski
 * *Index-level.* The index lists hold (set size, position) with each token. Sizes fall into geometric blocks, and the
   position of a token bounds the sizes that can still reach the overlap, so a probe names only the blocks in that
   range and never meets the others.
-* *Answer-level.* Sets that share a band of min-hashes are compared with the first and the last of them, its leaders. A set that is
-  verified to be highly similar takes over the leader's answer, its class; afterwards only pairs of different classes
-  are candidates. Equal sets share one answer from the start.
+* *Answer-level.* A set's answer is its class, all that chains of links reach. Sets that share a band of min-hashes are compared
+  with the first and the last of them, its leaders. A set that is verified to link with a leader has the leader's answer, whatever
+  is in it, without a comparison of its own; what the leader's answer doesn't tell is found afterwards among pairs of different
+  classes, and joins the classes. Equal sets share one answer from the start. Pairs inside a class are not listed.
 
 Tokens are ordered by rising frequency: the ``hot`` most frequent ones, counted over all documents, come last, which
 keeps shared passages and boilerplate out of the prefixes. The order decides only the cost.
@@ -22,11 +23,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .components import components
-from .tables import cut, read
+from .tables import cut, read, spread
 from .textnp import Words, blocks, mix, shingle_sets, shingles
 
 #: The most tokens whose frequency is known everywhere (8 bytes each), and the least frequency of such a token.
 HOT, HOT_LEAST = 100_000, 16
+#: Sets of one token that one task compares.
+SETS_A_PART = 20_000
 #: Pairs of min-hashes by which a set finds its leaders.
 BANDS = 6
 #: The fewest bits of a parity bitmap; larger sets have as many as the power of two that isn't below their size.
@@ -79,7 +82,7 @@ def signatures(docs: DataFrame, k: int = 5) -> DataFrame:
 
 
 def prefixes(docs: DataFrame, hot: np.ndarray, percent: int = 75, k: int = 5) -> DataFrame:
-    """(token, doc_id, n, pos): the first tokens of each set in the global order, as many as the threshold needs."""
+    """(doc_id, n, tokens): the first tokens of each set in the global order, as many as the threshold needs."""
     sort = np.argsort(hot, kind="stable")
     names, ranks = hot[sort], sort
     quick = np.zeros(1 << 20, bool)
@@ -109,13 +112,11 @@ def prefixes(docs: DataFrame, hot: np.ndarray, percent: int = 75, k: int = 5) ->
                 yield pack(ids, parts)
 
     def pack(ids, parts):
-        long = [len(s) for _, _, s in parts]
-        rows = np.repeat([r for r, _, _ in parts], long)
-        pos = np.arange(len(rows)) - np.repeat(np.cumsum(long) - long, long)
-        token = np.concatenate([s for _, _, s in parts]).view(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(token), ids.take(pa.array(rows)), pa.array(np.repeat([n for _, n, _ in parts], long).astype(np.int32)), pa.array(pos.astype(np.int32))], ["token", "doc_id", "n", "pos"])
+        ends = np.cumsum([0, *(len(s) for _, _, s in parts)]).astype(np.int32)
+        tokens = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([s for _, _, s in parts]).view(np.int64)))
+        return pa.RecordBatch.from_arrays([ids.take(pa.array([r for r, _, _ in parts])), pa.array([n for _, n, _ in parts], pa.int32()), tokens], ["doc_id", "n", "tokens"])
 
-    return docs.select("doc_id", "text").mapInArrow(first, "token long, doc_id long, n int, pos int")
+    return docs.select("doc_id", "text").mapInArrow(first, "doc_id long, n int, tokens array<long>")
 
 
 def maybe_in(ids: DataFrame):
@@ -142,7 +143,7 @@ def verified(docs: DataFrame, signed: DataFrame, pairs: DataFrame, percent: int
     many bits can't be similar and are left before any set is fetched. ``percent`` is at least 50.
     """
     odd = signed.select("doc_id", "n", "odd").dropDuplicates(["doc_id"])
-    both = pairs.join(odd.toDF("a", "na", "oa"), "a").join(odd.toDF("b", "nb", "ob"), "b")
+    both = spread(cut(pairs), odd.toDF("a", "na", "oa"), ["a"]).join(odd.toDF("b", "nb", "ob"), "b")
     # halving a bitmap by xor gives the bitmap of half as many residues, so the two can have one size
     m = F.least(F.size("oa"), F.size("ob"))
     halved = lambda x: F.when(F.size(x) > m, F.zip_with(F.slice(x, F.lit(1), m), F.slice(x, m + 1, m), lambda x, y: x.bitwiseXOR(y))).otherwise(F.col(x))
@@ -160,7 +161,7 @@ def verified(docs: DataFrame, signed: DataFrame, pairs: DataFrame, percent: int
 
     held = docs.select("doc_id", "text").where(maybe_in(ids)("doc_id")).join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     held = cut(held.mapInArrow(sets, "doc_id long, s array<long>"))
-    both = pairs.join(held.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), "a").join(held.select(F.col("doc_id").alias("b"), F.col("s").alias("sb")), "b")
+    both = spread(pairs, held.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), ["a"]).join(held.select(F.col("doc_id").alias("b"), F.col("s").alias("sb")), "b")
     both = both.withColumn("common", F.size(F.array_intersect("sa", "sb")))
     return both.where(100 * F.col("common") >= percent * (F.size("sa") + F.size("sb") - F.col("common"))).select("a", "b")
 
@@ -176,44 +177,49 @@ def jaccard_components(docs: DataFrame, percent: int = 75, k: int = 5) -> DataFr
     docs = docs.select("doc_id", "text")
     hot = hot_tokens(docs, k=k)
     signed = cut(signatures(docs, k))
-    classes = signed.where("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"))
+    classes = cut(signed.where("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep")))
     reps = cut(classes.where("rep is not null").select(F.col("rep").alias("doc_id")).distinct())
 
     lists = Window.partitionBy("token").orderBy("n", "doc_id")
-    rows = prefixes(docs, hot, percent, k)
+    rows = prefixes(docs, hot, percent, k).join(reps, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "n", F.posexplode("tokens").alias("pos", "token"))
     # In a list by size, only the neighbours matter: if they are out of reach, so are all others.
     shared = rows.withColumns({"x": F.lag("n").over(lists), "y": F.lead("n").over(lists)})
     shared = shared.where(f"100 * x >= {percent} * n or 100 * n >= {percent} * y and {100 + percent} * (n - pos) >= {percent} * (n + y)")
-    shared = cut(shared.drop("x", "y").join(reps, "doc_id", "left_semi"))
+    shared = cut(shared.drop("x", "y"))
 
     # Answer-level skipping: compare with the two leaders of each band first.
     block = lambda n, ratio: F.floor(F.log(n.cast("double")) / float(np.log(ratio)))
     banded = cut(signed.join(reps, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "n", F.posexplode("bands").alias("band", "key")))
     leads = banded.groupBy("band", "key").agg(F.min(F.struct("doc_id", "n")).alias("x"), F.max(F.struct("doc_id", "n")).alias("y")).where("x != y")
-    tries = banded.join(leads, ["band", "key"]).select(F.explode(F.array("x", "y")).alias("s"), F.col("doc_id").alias("b"), "n")
+    tries = spread(banded, leads, ["band", "key"]).select(F.explode(F.array("x", "y")).alias("s"), F.col("doc_id").alias("b"), "n")
     tries = tries.where((F.col("s.doc_id") != F.col("b")) & (100 * F.least("s.n", "n") >= percent * F.greatest("s.n", "n"))).select(F.col("s.doc_id").alias("a"), "b").distinct()
     taken = cut(components(verified(docs, signed, tries, percent, k)))
 
     # Index-level skipping: probe only the blocks that the position leaves in reach; pairs of one class have their answer.
     entry = cut(shared.join(taken.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("comp", F.coalesce("comp", "doc_id")))
-    mixed = entry.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.max("n").alias("top")).where("x != y").select("token", "top")
+    # a token of very many sets is dealt into parts, each with all of the index side
+    mixed = entry.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.max("n").alias("top"), (F.floor(F.count("*") / SETS_A_PART) + 1).cast("int").alias("parts")).where("x != y").select("token", "top", "parts")
     entry = cut(entry.join(mixed, "token"))
     ratio = 100 / percent
     # overlap >= percent / (100 + percent) * (n + m), and it is at most the number of tokens from the position on
     n, pos = F.col("n"), F.col("pos")
     most = F.least(F.floor((100 + percent) * (n - pos) / percent).cast("long") - n, "top")
-    index = entry.where((pos < n - F.ceil(2 * percent * n / (100 + percent)) + 1) & (most >= n)).select("token", F.col("doc_id").alias("a"), n.alias("an"), pos.alias("ap"), F.col("comp").alias("ac"), F.explode(F.sequence(block(n, ratio), block(most, ratio))).alias("block"))
-    probe = entry.select("token", F.col("doc_id").alias("b"), n.alias("bn"), pos.alias("bp"), F.col("comp").alias("bc"), block(n, ratio).alias("block"))
+    index = entry.where((pos < n - F.ceil(2 * percent * n / (100 + percent)) + 1) & (most >= n)).select("token", F.col("doc_id").alias("a"), n.alias("an"), pos.alias("ap"), F.col("comp").alias("ac"), F.explode(F.sequence(block(n, ratio), block(most, ratio))).alias("block"), "parts")
+    index = index.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    probe = entry.select("token", F.col("doc_id").alias("b"), n.alias("bn"), pos.alias("bp"), F.col("comp").alias("bc"), block(n, ratio).alias("block"), F.pmod(F.xxhash64("doc_id"), "parts").cast("int").alias("part"))
     able = (F.col("ac") != F.col("bc")) & ((F.col("bn") > F.col("an")) | (F.col("bn") == F.col("an")) & (F.col("b") > F.col("a"))) & (percent * F.col("bn") <= 100 * F.col("an")) & ((100 + percent) * F.least(F.col("an") - F.col("ap"), F.col("bn") - F.col("bp")) >= percent * (F.col("an") + F.col("bn")))
-    pairs = index.join(probe, ["token", "block"]).where(able).select("a", "b").distinct()
+    pairs = index.join(probe, ["token", "block", "part"]).where(able).select("a", "b").distinct()
     more = verified(docs, signed, pairs, percent, k)
     ends = more.join(taken.select(F.col("node").alias("a"), F.col("comp").alias("ca")), "a", "left").join(taken.select(F.col("node").alias("b"), F.col("comp").alias("cb")), "b", "left")
     merged = components(ends.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")))
 
     whole = reps.join(taken.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("comp", F.coalesce("comp", "doc_id"))
     whole = whole.join(merged.select(F.col("node").alias("comp"), F.col("comp").alias("top")), "comp", "left").select(F.col("doc_id").alias("rep"), F.coalesce("top", "comp").alias("comp"))
-    named = classes.join(whole, "rep").select("k1", "k2", "comp")
-    return signed.join(named, ["k1", "k2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("comp", "doc_id").alias("component_id"))
+    named = classes.join(whole, "rep", "left").select("k1", "k2", "comp")
+    rows = signed.select("doc_id", "n", "k1", "k2")
+    found = spread(rows.where("n > 0"), named, ["k1", "k2"]).select("doc_id", "n", "comp")
+    every = found.unionByName(rows.where("n = 0").select("doc_id", "n", F.lit(None).cast("long").alias("comp")))
+    return every.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("comp", "doc_id").alias("component_id"))
 
 
 def query(spark, sf_dir):
@@ -233,3 +239,18 @@ def keep_one_of_each(docs: DataFrame, percent: int = 75) -> DataFrame:
     of = [F.when(~blank, F.col("comp")).alias("comp"), F.when(blank, F.col("doc_id")).alias("d"), F.when(blank, F.col("h")).alias("t")]
     keep = groups.groupBy(*of).agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h", "_row")).alias("first"))
     return rows.join(cut(keep.select(F.col("first._row").alias("_row"))), "_row", "left_semi").select(docs.columns)
+
+
+SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+size_of AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+common AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.s = y.s AND x.doc_id < y.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM common JOIN size_of p ON p.doc_id = a JOIN size_of q ON q.doc_id = b WHERE 100 * c >= 75 * (p.n + q.n - c)),
+both_ AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach(a, b) AS (SELECT a, b FROM both_ UNION SELECT reach.a, both_.b FROM reach JOIN both_ ON reach.b = both_.a),
+least_ AS (SELECT a AS doc_id, min(b) AS b FROM reach GROUP BY a)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, least(doc_id, coalesce(b, doc_id)) AS component_id
+FROM documents LEFT JOIN size_of USING (doc_id) LEFT JOIN least_ USING (doc_id)"""

@@ -14,4 +14,4 @@ QUERIES = {
     "op9_toxicity": op9_toxicity.query,
     "op10_html_extraction": op10_html.query,
 }
-ORACLE: dict[str, str] = {"op1_sharding": op1_sharding.SQL, "op4_decontamination": op4_decontamination.SQL}
+ORACLE: dict[str, str] = {"op1_sharding": op1_sharding.SQL, "op4_decontamination": op4_decontamination.SQL, "op6_license_scan": op6_licenses.SQL, "op7_quality_rules": op7_quality_rules.SQL, "op8_jaccard_join": op8_jaccard.SQL}

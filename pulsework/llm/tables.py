@@ -4,6 +4,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,3 +47,36 @@ def forget(spark: SparkSession, since: int = 0, keep: DataFrame | None = None) -
             at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
             at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
     _written[since:] = [p for p in _written[since:] if p.rsplit("/", 1)[-1] in kept]
+
+
+#: The parts that the rows of a hot key are dealt into.
+SALT = 32
+
+
+def met(rows: DataFrame, index: DataFrame, on: list[str], by: str, broadcast_rows: int, how: str = "inner") -> DataFrame:
+    """``rows`` joined (``how``: inner or left_semi) with ``index``, a table that ``cut`` has written, by equal columns.
+
+    An index of at most ``broadcast_rows`` rows is broadcast. Beyond it, as any key may have a large part of all rows, the rows
+    are dealt into ``SALT`` parts by a hash of the column ``by``, and each part meets a copy of the index. The result is the same.
+    """
+    if index.count() <= broadcast_rows:
+        return rows.join(F.broadcast(index), on, how)
+    parts = index.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    return rows.withColumn("_part", F.pmod(F.xxhash64(by), F.lit(SALT)).cast("int")).join(parts, [*on, "_part"], how).drop("_part")
+
+
+#: Keys with more than one in so many of all rows are few enough to be broadcast.
+HOT = 4096
+
+
+def spread(rows: DataFrame, index: DataFrame, on: list[str]) -> DataFrame:
+    """``rows`` (a table, as it is read several times) joined with ``index``, which has one row for each key.
+
+    Keys with more than one in ``HOT`` of all rows are at most ``HOT``: their rows of the index are broadcast, and their rows aren't shuffled.
+    """
+    total = rows.count()
+    found = rows.groupBy(on).agg(F.count("*").alias("_n")).where(F.col("_n") * HOT > total).select(on).collect()
+    if not found:
+        return rows.join(index, on)
+    hot = F.broadcast(rows.sparkSession.createDataFrame(found, rows.select(on).schema))
+    return rows.join(F.broadcast(index.join(hot, on, "left_semi")), on).unionByName(rows.join(hot, on, "left_anti").join(index, on))

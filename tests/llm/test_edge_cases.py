@@ -63,8 +63,8 @@ def test_empty_tables(spark, docs):
     bench = spark.createDataFrame([], "item_id long, text string")
     assert op8_jaccard.jaccard_components(none).count() == op1_sharding.shard(none).count() == 0
     assert op4_decontamination.contaminated(docs, bench).count() == op3_substring.dedup_spans(none).count() == 0
-    assert op5_mixing.mixed(none, op5_mixing.fit(none, labels)).count() == 0
-    assert op9_toxicity.toxicity(docs, op9_toxicity.fit(docs, labels)).where("score is null").count() == 0
+    assert op5_mixing.mixed(none, op5_mixing.fit(none, labels)[0]).count() == 0
+    assert op9_toxicity.tagged(docs, op9_toxicity.fit(docs, labels)).where("score is null").count() == 0
 
 
 def test_mixing_rates_against_brute_force(spark):
