@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .operators import calibration, events, joins, reduced, series, shape, spectra
-from .plans import calibrated, combined, matched, sequences, streams, triggers
+from .plans import banks, calibrated, combined, cuts, matched, sequences, shapes, streams, triggers
 
 
 def _traces(spark, d):
@@ -107,7 +107,7 @@ ORACLE |= {
 }
 
 
-for _more in (matched, sequences, calibrated, combined, streams, triggers):
+for _more in (matched, sequences, calibrated, combined, streams, triggers, banks, cuts, shapes):
     QUERIES |= _more.QUERIES
     ORACLE |= _more.ORACLE
 

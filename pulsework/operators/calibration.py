@@ -3,6 +3,8 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .ranks import percentiles
+
 
 def within(rows: DataFrame, **ranges: tuple[float, float]) -> DataFrame:
     """Rows with every named column inside its range, ends included; the filters reach the scan."""
@@ -20,8 +22,18 @@ def histogram(rows: DataFrame, column: str, low: float, high: float, bins: int)
 
 def summary(rows: DataFrame, group: str, column: str) -> DataFrame:
     """n, mean, std (population), p1 and p99 (exact, linear) of each group."""
-    p = lambda q: F.round(F.percentile(column, F.lit(q)), 4)
-    return rows.groupBy(group).agg(F.count(column).alias("n"), F.round(F.avg(column), 4).alias("mean"), F.round(F.stddev_pop(column), 4).alias("std"), p(0.01).alias("p1"), p(0.99).alias("p99"))
+    some = rows.groupBy(group).agg(F.count(column).alias("n"), F.round(F.avg(column), 4).alias("mean"), F.round(F.stddev_pop(column), 4).alias("std"))
+    return with_percentiles(some, rows, column, {"p1": 0.01, "p99": 0.99}, group)
+
+
+def with_percentiles(groups: DataFrame, rows: DataFrame, column: str, shares: dict[str, float], *keys: str) -> DataFrame:
+    """``groups`` (one row for each key) with the percentiles of the rows, rounded; null for a group without values."""
+    found = percentiles(rows, column, shares, *keys)
+    found = found.select(*(F.col(k).alias(f"_{k}") for k in keys), *(F.round(n, 4).alias(n) for n in shares))
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    return groups.join(found, same, "left").drop(*(f"_{k}" for k in keys))
 
 
 def _place(column: str, low: float, high: float, bins: int):

@@ -3,6 +3,9 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .reduced import summed
+from .sequence import gauss_step, weights
+
 
 def mixed_score(single: DataFrame, joint: DataFrame) -> DataFrame:
     """event_id, score: the larger of an event's largest single amplitude (event_id, amp) and its joint one; an event may have either alone."""
@@ -45,8 +48,8 @@ def empty_rate(traces: DataFrame, threshold: float) -> DataFrame:
 def group_traces(traces: DataFrame, groups: dict[str, tuple[int, int]]) -> DataFrame:
     """event_id, group, i, v: sums of the channels lo..hi (both included) of each named group; groups may overlap."""
     named = F.filter(F.array(*(F.when(F.col("channel").between(lo, hi), F.lit(name)) for name, (lo, hi) in groups.items())), lambda g: g.isNotNull())
-    long = traces.select("event_id", F.explode(named).alias("group"), "samples").select("event_id", "group", F.posexplode("samples").alias("i", "v"))
-    return long.groupBy("event_id", "group", "i").agg(F.round(F.sum(F.col("v").cast("double")), 5).alias("v"))
+    sums = summed(traces.select("event_id", "channel", F.explode(named).alias("group"), "samples"), "event_id", "group")
+    return sums.select("event_id", "group", F.posexplode("samples").alias("i", "v")).withColumn("v", F.round("v", 5))
 
 
 def less_baseline(traces: DataFrame, baseline: int) -> DataFrame:
@@ -60,3 +63,50 @@ def less_baseline(traces: DataFrame, baseline: int) -> DataFrame:
 def missing(expected: DataFrame, there: DataFrame, *keys: str) -> DataFrame:
     """The distinct expected keys without a row."""
     return expected.select(*keys).distinct().join(there.select(*keys).distinct(), list(keys), "left_anti")
+
+
+def labelled(noise: DataFrame, signal: DataFrame) -> DataFrame:
+    """Both tables in one, with ``positive`` (false for noise)."""
+    return noise.withColumn("positive", F.lit(False)).unionByName(signal.withColumn("positive", F.lit(True)))
+
+
+def conservative(amps: DataFrame, noise: DataFrame, group: str, numbers: list[float]) -> DataFrame:
+    """n_sigma, threshold, n events, n_fired, eff: events whose largest amplitude is above one threshold, the largest over the groups of n_sigma
+    times the sample standard deviation of the group's amplitudes in ``noise``. Both tables have event_id, amp and the group."""
+    sigma = noise.groupBy(group).agg(F.stddev_samp("amp").alias("s"))
+    grid = sigma.select("s", F.explode(F.array(*map(F.lit, map(float, numbers)))).alias("n_sigma")).groupBy("n_sigma").agg(F.max(F.col("n_sigma") * F.col("s")).alias("threshold"))
+    tops = amps.groupBy("event_id").agg(F.max("amp").alias("top"))
+    both = tops.join(F.broadcast(grid))  # as many rows as there are numbers
+    out = both.groupBy("n_sigma", "threshold").agg(F.count("*").alias("n"), F.count_if(F.col("top") > F.col("threshold")).alias("n_fired"))
+    return out.select("n_sigma", F.round("threshold", 6).alias("threshold"), "n", "n_fired", F.round(F.col("n_fired") / F.col("n"), 6).alias("eff"))
+
+
+def union_of_curves(single: DataFrame, joint: DataFrame, sigma_single: float, sigma_joint: float, numbers: list[float]) -> DataFrame:
+    """n_sigma, n events, and the shares whose largest single amplitude (individual), whose joint amplitude (joint), or any of the two
+    (either) is above n_sigma times its own sigma. Events that one of them lacks are left out."""
+    both = single.groupBy("event_id").agg(F.max("amp").alias("a")).join(joint.select("event_id", F.col("amp").alias("b")), "event_id")
+    rows = both.select("a", "b", F.explode(F.array(*map(F.lit, map(float, numbers)))).alias("n_sigma"))
+    a, b = F.col("a") > F.col("n_sigma") * sigma_single, F.col("b") > F.col("n_sigma") * sigma_joint
+    share = lambda test: F.round(F.avg(test.cast("double")), 6)
+    return rows.groupBy("n_sigma").agg(F.count("*").alias("n"), share(a).alias("individual"), share(b).alias("joint"), share(a | b).alias("either"))
+
+
+def edge_cube(traces: DataFrame, widths: list[int], numbers: list[float], before: int) -> DataFrame:
+    """width, n_sigma, energy, n, n_fired, eff: traces whose response to an edge kernel of each width goes above n_sigma times the width's
+    sigma, the standard deviation (population) of the first ``before`` responses of channel 0. With noise alone it counts false triggers."""
+    v = F.col("samples").cast("array<double>")
+    out = None
+    for width in widths:
+        one = traces.select(F.lit(width).alias("width"), "channel", "energy", weights(F.array(*map(F.lit, gauss_step(width))), v).alias("r"))
+        out = one if out is None else out.unionByName(one)
+    quiet = out.where("channel = 0").select("width", F.explode(F.slice("r", 1, before)).alias("x")).groupBy("width").agg(F.stddev_pop("x").alias("sigma"))
+    rows = out.select("width", "energy", F.array_max("r").alias("top"), F.explode(F.array(*map(F.lit, map(float, numbers)))).alias("n_sigma")).join(F.broadcast(quiet), "width")
+    found = rows.groupBy("width", "n_sigma", "energy").agg(F.count("*").alias("n"), F.count_if(F.col("top") > F.col("n_sigma") * F.col("sigma")).alias("n_fired"))
+    return found.withColumn("eff", F.round(F.col("n_fired") / F.col("n"), 6))
+
+
+def configurations(series: DataFrame, thresholds: list[float], key: str) -> DataFrame:
+    """threshold, tp, tn, fp of the keys' hits (values above the threshold): one hit is right, none a true negative, every further one false."""
+    rows = series.select(key, "v", F.explode(F.array(*map(F.lit, map(float, thresholds)))).alias("threshold"))
+    hits = rows.groupBy("threshold", key).agg(F.count_if(F.col("v") > F.col("threshold")).alias("h"))
+    return hits.groupBy("threshold").agg(F.count_if(F.col("h") >= 1).alias("tp"), F.count_if(F.col("h") == 0).alias("tn"), F.sum(F.greatest(F.col("h") - 1, F.lit(0))).cast("long").alias("fp"))

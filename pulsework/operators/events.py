@@ -1,10 +1,11 @@
 """Statistics of events (traces that share event_id, one for each channel): coincidence, thresholds, efficiency and ROC."""
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .reduced import doubles
+from .reduced import doubles, summed
 
 
 def coincidence(traces: DataFrame, within: int) -> DataFrame:
@@ -89,8 +90,8 @@ def leading_spread(traces: DataFrame) -> DataFrame:
 
 def weighted_sum(traces: DataFrame, weights: DataFrame) -> DataFrame:
     """event_id, channel (-1), i, v: the sum of weight * sample over the channels that have a weight (channel, weight); others count as 0."""
-    long = traces.join(weights, "channel").select("event_id", "weight", F.posexplode("samples").alias("i", "v"))
-    out = long.groupBy("event_id", "i").agg(F.sum(F.col("weight") * F.col("v").cast("double")).alias("v"))
+    weighted = traces.join(weights, "channel").select("event_id", "channel", F.transform(doubles(), lambda x: x * F.col("weight")).alias("samples"))
+    out = summed(weighted, "event_id").select("event_id", F.posexplode("samples").alias("i", "v"))
     return out.select("event_id", F.lit(-1).cast("long").alias("channel"), "i", F.round("v", 5).alias("v"))
 
 
@@ -106,7 +107,68 @@ def merged_triggers(triggers: DataFrame, gap: int) -> DataFrame:
     rows = slices.join(ends.select((F.col("s") + 1).alias("s"), "end"), "s", "left").withColumn("before", F.coalesce(F.lag("t").over(inner), F.col("end")))
     begins = rows.withColumn("new", F.coalesce(F.col("t") - F.col("before") > gap, F.lit(True)).cast("long"))
     # The number of an event is a running count of beginnings: over slices first (one row each), then inside.
-    counts = begins.groupBy("s").agg(F.sum("new").alias("k")).withColumn("base", F.sum("k").over(Window.orderBy("s")) - F.col("k"))
+    # Slices are summed by thousands, so the one window without a key has a row for a thousand slices.
+    counts = begins.groupBy("s").agg(F.sum("new").alias("k")).withColumn("block", F.floor(F.col("s") / 1000))
+    blocks = counts.groupBy("block").agg(F.sum("k").alias("k")).select("block", (F.sum("k").over(Window.orderBy("block")) - F.col("k")).alias("first"))
+    counts = counts.join(blocks, "block").withColumn("base", F.col("first") + F.sum("k").over(Window.partitionBy("block").orderBy("s")) - F.col("k"))
     numbered = begins.join(counts.select("s", "base"), "s").withColumn("event", F.col("base") + F.sum("new").over(inner.rowsBetween(Window.unboundedPreceding, 0)))
     out = numbered.groupBy("event").agg(F.min("t").alias("start"), F.max("t").alias("stop"), F.count("*").alias("n"), F.count_distinct("channel").alias("n_channels"))
     return out.drop("event")
+
+
+def covariance(traces: DataFrame) -> DataFrame:
+    """a, b, cov: the sample covariance of the samples of every two channels (a <= b) at the same place of the same event; only moments leave the join."""
+    one = traces.select("event_id", "channel", doubles().alias("v"))
+    both = one.toDF("event_id", "a", "x").join(one.toDF("event_id", "b", "y"), "event_id").where("a <= b")
+    xy = F.filter(F.arrays_zip("x", "y"), lambda z: z["x"].isNotNull() & z["y"].isNotNull())
+    add = lambda f: F.sum(F.aggregate(xy, F.lit(0.0), lambda s, z: s + f(z["x"], z["y"])))
+    sums = both.groupBy("a", "b").agg(add(lambda x, y: F.lit(1.0)).alias("n"), add(lambda x, y: x).alias("x"), add(lambda x, y: y).alias("y"), add(lambda x, y: x * y).alias("xy"))
+    return sums.select("a", "b", F.round((F.col("xy") - F.col("x") * F.col("y") / F.col("n")) / F.nullif(F.col("n") - 1, F.lit(0.0)), 7).alias("cov"))
+
+
+def top_two(traces: DataFrame) -> DataFrame:
+    """event_id, rank (1, 2), channel, amp, place of the two largest channel maxima; ties go to the lower channel."""
+    v = doubles()
+    peak = F.struct((-F.array_max(v)).alias("a"), F.col("channel"), (F.array_position(v, F.array_max(v)) - 1).alias("t"))
+    two = traces.where("size(samples) > 0").groupBy("event_id").agg(F.slice(F.sort_array(F.collect_list(peak)), 1, 2).alias("p"))
+    rows = two.select("event_id", F.posexplode("p").alias("rank", "p"))
+    return rows.select("event_id", (F.col("rank") + 1).alias("rank"), "p.channel", F.round(-F.col("p.a"), 6).alias("amp"), F.col("p.t").alias("place"))
+
+
+def triggered_sum(traces: DataFrame, threshold: float) -> DataFrame:
+    """event_id, n, samples: the sum of the channels whose maximum is above the threshold; an event without such a channel has no row."""
+    return summed(traces.where(F.array_max(doubles()) > threshold), "event_id")
+
+
+def held_off(series: DataFrame, threshold: float, rearm: float, holdoff: int) -> DataFrame:
+    """channel, i of hits in rows (channel, i, v): a value above ``threshold`` while armed, after which ``holdoff`` samples are skipped, not
+    even the test for arming is made; a later value below rearm * threshold arms again.
+
+    Samples that are neither above nor below don't leave the JVM. A task reads its channels in order, with one flag and one number.
+    """
+    low = rearm * threshold
+
+    def part(batches):
+        channel, fired, free = None, False, 0
+        for batch in batches:
+            names, places, values, out = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), []
+            for row, (c, i, v) in enumerate(zip(names, places, values)):
+                if c != channel:
+                    channel, fired, free = c, False, i
+                if i < free:
+                    continue
+                if not fired and v > threshold:
+                    out.append(row)
+                    fired, free = True, i + 1 + holdoff
+                elif fired and v < low:
+                    fired = False
+            yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(out, pa.int64())) for c in (0, 1)], ["channel", "i"])
+
+    some = series.where((F.col("v") > threshold) | (F.col("v") < low)).select("channel", F.col("i").cast("long").alias("i"), F.col("v").cast("double").alias("v"))
+    return some.repartition("channel").sortWithinPartitions("channel", "i").mapInArrow(part, f"channel {series.schema['channel'].dataType.simpleString()}, i long")
+
+
+def hits_per_record(hits: DataFrame, records: DataFrame, length: int) -> DataFrame:
+    """channel, block, hits: how many hits (channel, i) each record (channel, block) of ``length`` samples has; 0 for those without any."""
+    counts = hits.groupBy("channel", F.floor(F.col("i") / length).cast("long").alias("block")).agg(F.count("*").alias("hits"))
+    return records.select("channel", "block").join(counts, ["channel", "block"], "left").na.fill(0, ["hits"])

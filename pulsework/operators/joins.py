@@ -24,15 +24,15 @@ def quiet(windows: DataFrame, triggers: DataFrame, before: int, after: int, key:
     return windows.join(near, hit, "left_anti")
 
 
-def cut_out(records: DataFrame, windows: DataFrame, key: str = "channel") -> DataFrame:
+def cut_out(records: DataFrame, windows: DataFrame, key: str = "channel", width: int = 4096) -> DataFrame:
     """window, key, i, v: the samples of records (key, i, v) inside each window (key, window, start, length), across record borders.
 
-    Places fall into buckets as wide as the longest window, which is one aggregate of the windows, so that a window
-    meets at most two buckets and the join is one by equal keys. Windows without samples give no row.
+    Places fall into buckets of ``width``, and a window is named in each bucket that it touches, so the join is one by equal
+    keys. Windows without samples give no row.
     """
-    width = max(1, windows.agg(F.max("length")).first()[0] or 1)
     bucket = lambda i: F.floor(i / width).cast("long")
-    spread = windows.select(F.col(key).alias("k"), "window", "start", "length", F.explode(F.array_distinct(F.array(bucket(F.col("start")), bucket(F.col("start") + F.col("length") - 1)))).alias("b"))
+    touched = F.sequence(bucket(F.col("start")), bucket(F.col("start") + F.col("length") - 1))
+    spread = windows.where("length > 0").select(F.col(key).alias("k"), "window", "start", "length", F.explode(touched).alias("b"))
     inside = (F.col(key) == F.col("k")) & (bucket(F.col("i")) == F.col("b")) & (F.col("i") >= F.col("start")) & (F.col("i") < F.col("start") + F.col("length"))
     return records.join(spread, inside).select("window", key, "i", "v")
 
@@ -41,18 +41,29 @@ def resampled(known: DataFrame, wanted: DataFrame, key: str, mode: str = "clamp"
     """key, x, y: ``known`` (key, x, y) interpolated linearly at the places of ``wanted`` (key, x).
 
     Both sides are sorted once by (key, x); running windows bring the neighbours. Outside the known range: ``clamp`` has the nearest known
-    value, ``zero`` has 0. A key without known places gives null (0 with ``zero``); a place that is known twice has one of its values.
+    value, ``zero`` has 0, ``extrapolate`` the line through the two nearest known ones (with one, its value). A key without known
+    places gives null (0 with ``zero``); a place that is known twice has one of its values.
     """
-    if mode not in ("clamp", "zero"):
+    if mode not in ("clamp", "zero", "extrapolate"):
         raise ValueError(mode)
     a = known.select(F.col(key).alias("k"), "x", "y", F.lit(0).alias("side"))
     b = wanted.select(F.col(key).alias("k"), "x", F.lit(None).cast("double").alias("y"), F.lit(1).alias("side"))
-    at = F.when(F.col("side") == 0, F.struct("x", "y"))
+    if mode == "extrapolate":
+        # known places bring the line through them and the next one further in
+        line = Window.partitionBy("k").orderBy("x")
+        a = a.withColumns({"bx": F.lag("x").over(line), "by": F.lag("y").over(line), "ax": F.lead("x").over(line), "ay": F.lead("y").over(line)})
+        b = b.withColumns({c: F.lit(None).cast("double") for c in ("bx", "by", "ax", "ay")})
+    at = F.when(F.col("side") == 0, F.struct(*(c for c in a.columns if c not in ("k", "side"))))
     order = Window.partitionBy("k").orderBy("x", "side")
     rows = a.unionByName(b).withColumn("p", F.last(at, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    rows = rows.withColumn("n", F.first(at, ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing))).where("side = 1")
+    back = Window.partitionBy("k").orderBy(F.desc("x"), F.desc("side")).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("n", F.last(at, ignorenulls=True).over(back)).where("side = 1")
     between = F.col("p.y") + (F.col("n.y") - F.col("p.y")) * F.coalesce(F.try_divide(F.col("x") - F.col("p.x"), F.col("n.x") - F.col("p.x")), F.lit(0.0))
     on_known = F.when(F.col("p.x") == F.col("x"), F.col("p.y"))
+    if mode == "extrapolate":
+        above = F.col("p.y") + F.coalesce(F.try_divide(F.col("p.y") - F.col("p.by"), F.col("p.x") - F.col("p.bx")), F.lit(0.0)) * (F.col("x") - F.col("p.x"))
+        below = F.col("n.y") + F.coalesce(F.try_divide(F.col("n.ay") - F.col("n.y"), F.col("n.ax") - F.col("n.x")), F.lit(0.0)) * (F.col("x") - F.col("n.x"))
+        return rows.select(F.col("k").alias(key), "x", F.coalesce(on_known, between, above, below).alias("y"))
     out = F.coalesce(on_known, between, F.lit(0.0)) if mode == "zero" else F.coalesce(on_known, between, F.col("p.y"), F.col("n.y"))
     return rows.select(F.col("k").alias(key), "x", out.alias("y"))
 
@@ -84,3 +95,30 @@ def also_significant(fits: DataFrame, key: str, value: str, threshold: float) ->
     some = fits.where(F.col(value) > threshold)
     many = some.groupBy(key).agg(F.count("*").alias("n_significant")).where("n_significant > 1")
     return some.join(many, key)
+
+
+def with_traces(quantities: DataFrame, traces: DataFrame, keys: list[str]) -> DataFrame:
+    """The selected quantities with their traces, by equal keys; rows without a trace are left out. Other columns of the traces that the quantities have too are left out."""
+    return quantities.join(traces.select(*keys, *(c for c in traces.columns if c not in quantities.columns)), keys)
+
+
+def looked_up(rows: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` with the columns of the table's row of the same keys (null if there is none); raises where the table has more than one."""
+    rest = [c for c in table.columns if c not in keys]
+    one = table.groupBy(*keys).agg(F.count("*").alias("_n"), F.any_value(F.struct(*rest)).alias("_r"))
+    checked = one.select(*keys, F.when(F.col("_n") == 1, F.col("_r")).otherwise(F.raise_error(F.lit("a key of the table isn't unique"))).alias("_r"))
+    return rows.join(checked, keys, "left").select(*rows.columns, *(F.col(f"_r.{c}").alias(c) for c in rest))
+
+
+def triggers_with_records(triggers: DataFrame, records: DataFrame) -> DataFrame:
+    """channel, block, event_id, sample: the triggers (channel, block, event_id, offset) with the sample of their record (channel, block, samples) at the offset; null outside it."""
+    both = triggers.join(records.select("channel", "block", "samples"), ["channel", "block"])
+    return both.select("channel", "block", "event_id", F.get("samples", F.col("offset").cast("int")).alias("sample"))
+
+
+def grid(spark, **axes: list[float]) -> DataFrame:
+    """A row for every combination of the values of the axes: as many as the caller names."""
+    out = spark.range(1).select()
+    for name, values in axes.items():
+        out = out.select("*", F.explode(F.array(*map(F.lit, values))).alias(name))
+    return out

@@ -9,16 +9,13 @@ from operator import add
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .calibration import histogram
+from .calibration import histogram, with_percentiles
 
 
 def describe(rows: DataFrame, column: str, *keys: str) -> DataFrame:
     """keys, n, mean, std (sample), low, q1, median, q3, high; nulls don't count. Quartiles are exact and linear."""
-    q = lambda p: F.round(F.percentile(column, F.lit(p)), 4)
-    return rows.groupBy(*keys).agg(
-        F.count(column).alias("n"), F.round(F.avg(column), 4).alias("mean"), F.round(F.stddev_samp(column), 4).alias("std"), F.min(column).alias("low"),
-        q(0.25).alias("q1"), q(0.5).alias("median"), q(0.75).alias("q3"), F.max(column).alias("high"),
-    )
+    some = rows.groupBy(*keys).agg(F.count(column).alias("n"), F.round(F.avg(column), 4).alias("mean"), F.round(F.stddev_samp(column), 4).alias("std"), F.min(column).alias("low"), F.max(column).alias("high"))
+    return with_percentiles(some, rows, column, {"q1": 0.25, "median": 0.5, "q3": 0.75}, *keys).select(*keys, "n", "mean", "std", "low", "q1", "median", "q3", "high")
 
 
 def ranged_histogram(rows: DataFrame, column: str, bins: int, *keys: str) -> DataFrame:
@@ -95,3 +92,41 @@ def envelope(rows: DataFrame, x: str, variation: str, y: str) -> DataFrame:
     """x, lower, upper: the least and the largest of the variations' means at every x."""
     means = rows.groupBy(x, variation).agg(F.avg(y).alias("m"))
     return means.groupBy(x).agg(F.round(F.min("m"), 4).alias("lower"), F.round(F.max("m"), 4).alias("upper"))
+
+
+def best(scan: DataFrame, value: str, *keys: str) -> DataFrame:
+    """The row of a scan with the least value; of several, the least by its keys."""
+    return scan.agg(F.min_by(F.struct(*scan.columns), F.struct(value, *keys)).alias("b")).select(*(f"b.{c}" for c in scan.columns))
+
+
+def share_pivot(rows: DataFrame, key: str, column: str, values: list[str]) -> DataFrame:
+    """key and for each value the share of the key's rows that have it, of those that have any of the values."""
+    counts = rows.where(F.col(column).isin(values)).groupBy(key).pivot(column, values).agg(F.count(F.lit(1))).na.fill(0)
+    total = sum((F.col(v) for v in values[1:]), F.col(values[0]))
+    return counts.select(key, *(F.round(F.col(v) / total, 6).alias(v) for v in values))
+
+
+def smoothed(counts: DataFrame, bins: int, sigma: float) -> DataFrame:
+    """bin, n: a histogram (bin, n) of ``bins`` bins smoothed by a Gaussian of ``sigma`` bins, cut at 4 sigma; at the edges the bins are mirrored.
+
+    A count goes to the bins around it, so there is no join: as many rows as bins times kernel.
+    """
+    from math import exp
+
+    reach = int(4 * sigma + 0.5)
+    bell = [exp(-0.5 * (j / sigma) ** 2) for j in range(-reach, reach + 1)]
+    kernel = [b / sum(bell) for b in bell]
+    # bin + j and all its mirror images: -1 is bin 0, ``bins`` is bin ``bins`` - 1
+    spread = counts.select("bin", "n", F.posexplode(F.array(*map(F.lit, kernel))).alias("j", "w"))
+    images = F.array(*(F.lit(2 * m * bins) + s for m in range(-1 - reach // bins, 2 + reach // bins) for s in (F.col("bin"), -F.col("bin") - 1)))
+    out = spread.select(F.explode(F.transform(images, lambda b: b + F.col("j") - reach)).alias("bin"), (F.col("n") * F.col("w")).alias("v"))
+    return out.where(F.col("bin").between(0, bins - 1)).groupBy("bin").agg(F.round(F.sum("v"), 6).alias("n"))
+
+
+def fwhm(sigma: Column) -> Column:
+    """The full width at half maximum of a Gaussian."""
+    return 2 * F.sqrt(2 * F.log(F.lit(2.0))) * sigma
+
+
+def centre(bin_: Column, low: float, high: float, bins: int) -> Column:
+    return low + (bin_ + 0.5) * (high - low) / bins

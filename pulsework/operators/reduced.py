@@ -39,5 +39,12 @@ def fold_maximum(traces: DataFrame, k: int = 2) -> DataFrame:
 
 def pooled_sum(traces: DataFrame) -> DataFrame:
     """event_id, i, v: the summed pseudo-channel of each event, sample by sample."""
-    long = traces.select("event_id", F.posexplode("samples").alias("i", "v"))
-    return long.groupBy("event_id", "i").agg(F.round(F.sum(F.col("v").cast("double")), 5).alias("v"))
+    return summed(traces, "event_id").select("event_id", F.posexplode("samples").alias("i", "v")).withColumn("v", F.round("v", 5))
+
+
+def summed(traces: DataFrame, *keys: str) -> DataFrame:
+    """keys, n, samples: the sum of the traces of each key, sample by sample. A trace is one row of the shuffle; a key has as many as the
+    detector has channels. Null traces are left out, null samples and the missing end of shorter traces count as 0."""
+    rows = traces.where("samples is not null").groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("channel", doubles().alias("v")))).alias("t"))
+    add = lambda a, x: F.zip_with(a, x["v"], lambda p, q: F.coalesce(p, F.lit(0.0)) + F.coalesce(q, F.lit(0.0)))
+    return rows.select(*keys, F.size("t").alias("n"), F.aggregate("t", F.array().cast("array<double>"), add).alias("samples"))

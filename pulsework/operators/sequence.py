@@ -122,3 +122,49 @@ def joined_segments(segments: DataFrame) -> DataFrame:
     """trace_id, samples: the segments (trace_id, start, samples) of each trace in order; a trace is one row, so its list is one trace long."""
     parts = segments.groupBy("trace_id").agg(F.sort_array(F.collect_list(F.struct("start", "samples"))).alias("s"))
     return parts.select("trace_id", F.flatten(F.col("s.samples")).alias("samples"))
+
+
+def time_axis(edge: Column, n: Column, dt: float) -> Column:
+    """The time of each sample, 0 at the edge."""
+    return F.transform(F.sequence(F.lit(0), n - 1), lambda i: (i - edge) * dt)
+
+
+def near_peak(v: Column, reach: int = 2) -> Column:
+    """(offset, value) of the samples around the first maximum, at most ``reach`` away; fewer at the ends."""
+    top = (F.array_position(v, F.array_max(v)) - 1).cast("int")
+    return F.filter(F.transform(F.sequence(F.lit(-reach), F.lit(reach)), lambda k: F.struct(k.alias("k"), F.when(top + k >= 0, F.get(v, top + k)).alias("x"))), lambda z: z["x"].isNotNull())
+
+
+def unit_area(v: Column) -> Column:
+    """The samples divided by their area; null where that is 0."""
+    return F.transform(v, lambda x: x / F.nullif(area(v), F.lit(0.0)))
+
+
+def polynomial_weights(window: int, degree: int) -> list[list[float]]:
+    """Row i: the weights of a window's samples in the value of their least-squares polynomial at place i of the window."""
+    import numpy as np
+
+    powers = np.vander(np.arange(window) - window // 2, degree + 1, increasing=True).astype(float)
+    return (powers @ np.linalg.pinv(powers)).tolist()
+
+
+def polynomial_smoothed(v: Column, window: int = 51, degree: int = 3) -> Column:
+    """Each sample is that of the polynomial through the ``window`` (odd) samples around it; within half a window of an end, of the first or
+    last window. Traces that are shorter than the window give null."""
+    half, n = window // 2, F.size(v)
+    table = F.array(*(F.array(*map(F.lit, row)) for row in polynomial_weights(window, degree)))
+    start = lambda i: F.greatest(F.lit(0), F.least(i - half, n - window))
+    at = lambda i: F.aggregate(F.zip_with(F.slice(v, start(i) + 1, F.lit(window)), F.get(table, i - start(i)), lambda x, w: x * w), F.lit(0.0), lambda a, x: a + x)
+    return F.when(n >= window, F.transform(v, lambda x, i: at(i)))
+
+
+def convolution(kernel: Column, v: Column, mode: str = "full") -> Column:
+    """The convolution with zeros outside the trace: ``full`` has every place with any overlap, ``same`` as many as the trace, from the middle; ``valid`` is ``weights``."""
+    m = F.size(kernel)
+    zeros = F.array_repeat(F.lit(0.0), m - 1)
+    full = weights(kernel, F.concat(zeros, v, zeros))
+    if mode == "full":
+        return full
+    if mode != "same":
+        raise ValueError(mode)
+    return F.slice(full, F.floor((m - 1) / 2).cast("int") + 1, F.size(v))

@@ -34,3 +34,45 @@ def self_cleaned(traces: DataFrame, batch: int, factor: float) -> DataFrame:
     rows = rows.withColumn("next", follower).withColumn("far", far)
     median = F.percentile("far", F.lit(0.5)).over(Window.partitionBy("batch"))
     return rows.withColumn("median", median).where(F.col("far") < factor * F.col("median")).select(*traces.columns)
+
+
+def absolute_normalised(template: DataFrame, *keys: str, least: float = 1e-9) -> DataFrame:
+    """The template (of each key) divided by its largest absolute value; one that is below ``least`` everywhere stays as it is."""
+    top = F.max(F.abs("t")).over(Window.partitionBy(*(keys or [F.lit(0)])))
+    return template.withColumn("t", F.when(top < least, F.col("t")).otherwise(F.col("t") / top))
+
+
+def pooled(template: DataFrame, key: str) -> DataFrame:
+    """i, t: the mean of the keys' normalised templates, normalised again."""
+    means = absolute_normalised(template, key).groupBy("i").agg(F.avg("t").alias("t"))
+    return absolute_normalised(means)
+
+
+def offset_removed(template: DataFrame, first: int, *keys: str) -> DataFrame:
+    """The template (of each key) less the mean of its ``first`` samples, scaled to a peak of 1."""
+    base = F.avg(F.when(F.col("i") < first, F.col("t"))).over(Window.partitionBy(*(keys or [F.lit(0)])))
+    return peak_normalised(template.withColumn("t", F.col("t") - base), *keys)
+
+
+def residuals(traces: DataFrame, template: DataFrame, *keys: str) -> DataFrame:
+    """trace_id, i, r: each sample less the template's (of the same keys) at its place, in units of the trace as it is."""
+    long = traces.select("trace_id", *keys, F.posexplode(F.col("samples").cast("array<double>")).alias("i", "v"))
+    return long.join(template.select(*keys, "i", "t"), [*keys, "i"]).select("trace_id", "i", (F.col("v") - F.col("t")).alias("r"))
+
+
+def stacked(**named: DataFrame) -> DataFrame:
+    """template_id, i, t: several templates in one table."""
+    out = None
+    for name, t in named.items():
+        one = t.select(F.lit(name).alias("template_id"), "i", "t")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def stretched(template: DataFrame, length: int, to: int) -> DataFrame:
+    """i, t: a template of ``length`` samples at ``to`` places over the same time, by linear interpolation; past the last sample its value stays."""
+    old = template.select("i", "t", F.lead("t", 1).over(Window.partitionBy(F.lit(0)).orderBy("i")).alias("next"))
+    # place j stands at j * length / to: a sample gives all places up to the next sample
+    first, last = F.ceil(F.col("i") * to / length).cast("int"), F.ceil((F.col("i") + 1) * to / length).cast("int") - 1
+    rows = old.where(first <= last).select("i", "t", "next", F.explode(F.sequence(first, last)).alias("j"))
+    return rows.select(F.col("j").alias("i"), (F.col("t") + F.coalesce(F.col("next") - F.col("t"), F.lit(0.0)) * (F.col("j") * length / to - F.col("i"))).alias("t"))

@@ -21,8 +21,8 @@ def _cut(s, d):
 
 def _resampled(mode):
     def query(s, d):
-        known = places(s, d).where("i % 4 = 0 and i >= 8 and i < 40").select("channel", F.col("i").cast("double").alias("x"), F.col("v").alias("y"))
-        wanted = places(s, d).select("channel", (F.col("i") + 0.5).alias("x"))
+        known = places(s, d).select("channel", F.col("i").cast("double").alias("x"), F.col("v").alias("y"))
+        wanted = places(s, d).select("channel", (0.75 * F.col("i") - 1.25).alias("x")).union(places(s, d).where("i < 5").select("channel", (F.col("i") + 1e6).alias("x")))
         return joins.resampled(known, wanted, "channel", mode).select("channel", "x", F.round("y", 6).alias("y"))
 
     return query
@@ -53,6 +53,7 @@ QUERIES = {
     "event_cut_out": _cut,
     "resampled_clamp": _resampled("clamp"),
     "resampled_zero": _resampled("zero"),
+    "resampled_extrapolate": _resampled("extrapolate"),
     "fit_truth": _truth,
     "side_by_side": lambda s, d: _methods(s, d).select("trace_id", F.round("first", 6).alias("first"), F.round("second", 6).alias("second")),
     "agreement": lambda s, d: joins.agreement(_methods(s, d)),
@@ -60,13 +61,15 @@ QUERIES = {
     "channel_psd": lambda s, d: spectra.psd(traces(s, d), keys=("channel",)).select("channel", "k", "psd"),
     "two_sided_psd": lambda s, d: spectra.unfolded(spectra.density(traces(s, d).where("energy = 0"))).select("k", F.round("psd", 8).alias("psd"), F.round("weight", 4).alias("weight")),
     "welch_psd": lambda s, d: spectra.welch(traces(s, d), 32).select("k", "frequency", F.round("psd", 8).alias("psd")),
-    "cross_density": lambda s, d: spectra.cross(traces(s, d)).select("a", "b", "k", F.round("re", 7).alias("re"), F.round("im", 7).alias("im")),
+    "cross_density": lambda s, d: spectra.cross(traces(s, d)).select("a", "b", "k", F.round("re", 7).alias("re"), (F.round("im", 7) + 0.0).alias("im")),
 }
 _DFT = f"(SELECT trace_id, event_id, channel, energy, k, sum(x * cos(2 * pi() * k * i / 64)) AS re, -sum(x * sin(2 * pi() * k * i / 64)) AS im FROM {LONG}, range(0, 33) t(k) GROUP BY ALL)"
 _PEAK = f"(SELECT *, list_max(v) AS top, list_position(v, list_max(v)) - 1 AS t FROM {T})"
-_RESAMPLED = f"""WITH s AS (SELECT channel, CAST(i AS DOUBLE) AS x, v AS y FROM {P} WHERE i % 4 = 0 AND i >= 8 AND i < 40), w AS (SELECT channel, i + 0.5::DOUBLE AS x FROM {P}),
- b AS (SELECT w.channel, w.x, max(s.x) FILTER (s.x <= w.x) AS px, arg_max(s.y, s.x) FILTER (s.x <= w.x) AS py, min(s.x) FILTER (s.x > w.x) AS nx, arg_min(s.y, s.x) FILTER (s.x > w.x) AS ny FROM w LEFT JOIN s USING (channel) GROUP BY 1, 2)
- SELECT channel, x, round(coalesce(py + (ny - py) * (x - px) / (nx - px), {{0}}), 6) AS y FROM b"""
+_RESAMPLED = f"""WITH s AS (SELECT channel, CAST(i AS DOUBLE) AS x, v AS y, lag(v) OVER w AS py, lead(v) OVER w AS ny, max(i) OVER (PARTITION BY channel) AS m FROM {P} WINDOW w AS (PARTITION BY channel ORDER BY i)),
+ w AS (SELECT channel, 0.75::DOUBLE * i - 1.25::DOUBLE AS x FROM {P} UNION ALL SELECT channel, i + 1e6 FROM {P} WHERE i < 5),
+ b AS (SELECT w.channel, w.x, p.y AS py, n.y AS ny, p.x AS px, p.py AS before, n.ny AS after FROM w LEFT JOIN s p ON p.channel = w.channel AND p.x = least(floor(w.x), (SELECT max(m) FROM s q WHERE q.channel = w.channel))
+  LEFT JOIN s n ON n.channel = w.channel AND n.x = greatest(floor(w.x) + 1, 0))
+ SELECT channel, x, round(coalesce(CASE WHEN px = x THEN py END, py + (ny - py) * (x - px), {{0}}), 6) AS y FROM b"""
 _HALVES = f"(SELECT trace_id, CASE WHEN list_max(v[1:32]) > 0.2 THEN list_max(v[1:32]) END AS a, CASE WHEN list_max(v[33:64]) > 0.2 THEN list_max(v[33:64]) END AS b FROM {T})"
 ORACLE = {
     "spike_search": f"SELECT event_id, channel, trace_id, round(top, 6) AS top FROM {_PEAK} QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY top DESC, channel) = 1",
@@ -79,6 +82,7 @@ ORACLE = {
     "event_cut_out": f"SELECT w.event_id AS \"window\", s.channel, s.i, s.v FROM {P} w JOIN {P} s ON w.channel = s.channel AND s.i >= w.i - 4 AND s.i < w.i + 12 WHERE w.v > 95",
     "resampled_clamp": _RESAMPLED.format("py, ny"),
     "resampled_zero": _RESAMPLED.format("0"),
+    "resampled_extrapolate": _RESAMPLED.format("py + coalesce(py - before, 0) * (x - px), ny + coalesce(after - ny, 0) * x"),
     "fit_truth": f"SELECT trace_id, position, d AS delta, abs(d) AS distance, abs(d) > 20 AS implausible FROM (SELECT trace_id, CAST(list_position(v, list_max(v)) - 1 AS BIGINT) AS position, CAST(list_position(v, list_max(v)) - list_position(v, list_min(v)) AS BIGINT) AS d FROM {T})",
     "side_by_side": f'SELECT trace_id, round(a, 6) AS "first", round(b, 6) AS "second" FROM {_HALVES} WHERE a IS NOT NULL OR b IS NOT NULL',
     "agreement": f"""SELECT count(*) FILTER (a - b IS NOT NULL) AS n, count(*) FILTER (a - b IS NULL) AS n_missing, round(max(abs(a - b)), 6) AS max_abs, round(sqrt(avg((a - b) ** 2)), 6) AS rms, round(sqrt(sum((a - b) ** 2) / sum(b * b) FILTER (a IS NOT NULL)), 6) AS relative,
@@ -91,5 +95,5 @@ ORACLE = {
  f AS (SELECT trace_id, a, k, sum((0.5 - 0.5 * cos(2 * pi() * i / 32)) * x * cos(2 * pi() * k * i / 32)) AS re, sum((0.5 - 0.5 * cos(2 * pi() * i / 32)) * x * sin(2 * pi() * k * i / 32)) AS im FROM s, range(0, 17) t(k) GROUP BY ALL)
  SELECT CAST(k AS INTEGER) AS k, k / 32 AS frequency, round(avg(re * re + im * im) * CASE WHEN k IN (0, 16) THEN 1 ELSE 2 END / (SELECT sum((0.5 - 0.5 * cos(2 * pi() * i / 32)) ** 2) FROM range(0, 32) h(i)), 8) AS psd FROM f GROUP BY k""",
     "cross_density": f"""WITH f AS (SELECT * FROM {_DFT}) SELECT x.channel AS a, y.channel AS b, CAST(x.k AS INTEGER) AS k, round(avg(x.re * y.re + x.im * y.im) * CASE WHEN x.k IN (0, 32) THEN 1 ELSE 2 END / 64, 7) AS re,
- round(avg(x.re * y.im - x.im * y.re) * CASE WHEN x.k IN (0, 32) THEN 1 ELSE 2 END / 64, 7) AS im FROM f x JOIN f y ON x.event_id = y.event_id AND x.k = y.k AND x.channel <= y.channel GROUP BY x.channel, y.channel, x.k""",
+ round(avg(x.re * y.im - x.im * y.re) * CASE WHEN x.k IN (0, 32) THEN 1 ELSE 2 END / 64, 7) + 0.0 AS im FROM f x JOIN f y ON x.event_id = y.event_id AND x.k = y.k AND x.channel <= y.channel GROUP BY x.channel, y.channel, x.k""",
 }

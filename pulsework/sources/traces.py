@@ -1,4 +1,4 @@
-"""Readers and writers of trace files. Files are spread over the tasks; a binary file is one row of at most 2 GB, decoded in batches."""
+"""Readers and writers of trace files. Files are spread over the tasks; a compressed file is one row of at most 2 GB, decoded in batches. Raw files are in ``raw``."""
 
 from __future__ import annotations
 
@@ -17,7 +17,6 @@ SCOPE = np.dtype([
     ("oversampling", "<u2"), ("xfac", "<f8"), ("xofs", "<f8"), ("yfac", "<f8", 2), ("yofs", "<f8", 2),
 ])
 RECORD = [("text", "S6"), ("trace_no", "<u4"), ("time_stamp", "<u4"), ("sec100", "<u2"), ("temperature", "<f4"), ("xref", "<f8"), ("yref", "<f8")]
-BLOCK = 1 << 22
 
 
 def energy_of(path: Column) -> Column:
@@ -30,48 +29,6 @@ def _binary(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content")
 
 
-def daq_files(spark: SparkSession, path: str) -> DataFrame:
-    """One row for each raw file: path, its header, and xfac, xofs (seconds a sample and start). Raises on a file shorter than its headers."""
-
-    def part(batches):
-        for batch in batches:
-            for name, content in zip(batch["path"].to_pylist(), batch["content"].to_pylist()):
-                head = np.frombuffer(content, FILE, 1)[0]
-                scope = np.frombuffer(content, SCOPE, 1, FILE.itemsize)[0]
-                size = int(head["size_data_header"]) + int(head["samples_per_block"]) * int(head["bytes_per_sample"])
-                n = (len(content) - FILE.itemsize - int(head["size_scope_settings"])) // size
-                yield pa.RecordBatch.from_pydict({
-                    "path": [name], "version": [head["version"].decode("latin-1")], "samples_per_block": [int(head["samples_per_block"])], "bytes_per_sample": [int(head["bytes_per_sample"])],
-                    "start_of_acquisition": [int(head["start_of_acquisition"])], "n_traces": [n], "xfac": [float(scope["xfac"])], "xofs": [float(scope["xofs"])],
-                })
-
-    return _binary(spark, path).mapInArrow(part, "path string, version string, samples_per_block long, bytes_per_sample long, start_of_acquisition long, n_traces long, xfac double, xofs double")
-
-
-def daq_traces(spark: SparkSession, path: str) -> DataFrame:
-    """path, place (from 0), text, trace_no, time_stamp, sec100, temperature, xref, yref, samples of every complete record; an incomplete last one is left out.
-    Filters on place or trace_no act on rows, not on the reading."""
-
-    def part(batches):
-        for batch in batches:
-            for name, content in zip(batch["path"].to_pylist(), batch["content"].to_pylist()):
-                head = np.frombuffer(content, FILE, 1)[0]
-                many = int(head["samples_per_block"])
-                kind = np.dtype([*RECORD, ("samples", {2: "<u2", 4: "<u4"}[int(head["bytes_per_sample"])], (many,))])
-                start = FILE.itemsize + int(head["size_scope_settings"])
-                n = (len(content) - start) // kind.itemsize
-                step = max(1, BLOCK // kind.itemsize)
-                for at in range(0, n, step):
-                    rows = np.frombuffer(content, kind, min(step, n - at), start + at * kind.itemsize)
-                    flat = pa.array(rows["samples"].astype(np.int64).ravel())
-                    fields = [pa.array([name] * len(rows)), pa.array(np.arange(at, at + len(rows))), pa.array([t.decode("latin-1") for t in rows["text"].tolist()])]
-                    fields += [pa.array(rows[c].astype(np.int64)) for c in ("trace_no", "time_stamp", "sec100")] + [pa.array(rows[c].astype(float)) for c in ("temperature", "xref", "yref")]
-                    lists = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * many), flat)
-                    yield pa.RecordBatch.from_arrays([*fields, lists], ["path", "place", "text", "trace_no", "time_stamp", "sec100", "temperature", "xref", "yref", "samples"])
-
-    return _binary(spark, path).mapInArrow(part, "path string, place long, text string, trace_no long, time_stamp long, sec100 long, temperature double, xref double, yref double, samples array<long>")
-
-
 def csv_traces(spark: SparkSession, path: str) -> DataFrame:
     """path, samples: a line of numbers with commas is a trace, .gz too. Empty lines are left out, what is no number is null."""
     lines = spark.read.text(path).where(F.trim("value") != "")
@@ -119,3 +76,52 @@ def read_tensors(spark: SparkSession, path: str, shape: tuple[int, int], whole:
 def write_traces(traces: DataFrame, path: str, *partitions: str) -> None:
     """Parquet with zstd, one folder for each value of the partition columns: the codec and layout take the place of shuffled byte files."""
     traces.write.mode("overwrite").option("compression", "zstd").partitionBy(*partitions).parquet(path)
+
+
+def read_traces(spark: SparkSession, path: str, kind: str | None = None, shape: tuple[int, int] | None = None) -> DataFrame:
+    """Traces of a path by its extension (or ``kind``): raw, csv (.csv, .csv.gz), zst (needs the ``shape`` of a set), else parquet. Pickles are refused: reading one runs it."""
+    from . import raw
+
+    kind = kind or next((k for k in ("raw", "csv", "csv.gz", "zst", "pkl") if path.endswith("." + k)), "parquet")
+    if kind == "pkl":
+        raise ValueError("pickles aren't read; write the traces as parquet")
+    if kind == "zst" and shape is None:
+        raise ValueError("tensors need a shape")
+    readers = {"raw": raw.daq_traces, "csv": csv_traces, "csv.gz": csv_traces, "zst": lambda s, p: read_tensors(s, p, shape), "parquet": lambda s, p: s.read.parquet(p)}
+    return readers[kind](spark, path)
+
+
+def read_quantities(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A table of reduced quantities as CSV with a header; columns are taken by their names in the header, what doesn't fit the type is null."""
+    names = spark.read.option("header", True).csv(path)
+    wanted = spark.createDataFrame([], schema).schema
+    return names.select(*(F.col(f.name).try_cast(f.dataType).alias(f.name) for f in wanted))
+
+
+def write_table(rows: DataFrame, path: str, *partitions: str, csv: bool = False) -> None:
+    """Fits, quantities or amplitude series: parquet, one folder for each value of the partition columns; or CSV with a header."""
+    writer = rows.write.mode("overwrite").partitionBy(*partitions)
+    writer.option("header", True).csv(path) if csv else writer.option("compression", "zstd").parquet(path)
+
+
+def read_npy(spark: SparkSession, path: str) -> DataFrame:
+    """path, i, x, value of arrays in .npy files: of one dimension (x is null), or two rows, frequencies and values. Other shapes and pickled objects raise."""
+
+    def part(batches):
+        import io
+
+        for batch in batches:
+            for name, content in zip(batch["path"].to_pylist(), batch["content"].to_pylist()):
+                a = np.load(io.BytesIO(content), allow_pickle=False)
+                if a.ndim != 1 and a.shape[:1] != (2,) or a.ndim > 2:
+                    raise ValueError(f"{name}: an array of shape {a.shape} is no template or spectrum")
+                y = a if a.ndim == 1 else a[1]
+                x = pa.nulls(len(y), pa.float64()) if a.ndim == 1 else pa.array(a[0].astype(float))
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(y)), pa.array(np.arange(len(y))), x, pa.array(y.astype(float))], ["path", "i", "x", "value"])
+
+    return _binary(spark, path).mapInArrow(part, "path string, i long, x double, value double")
+
+
+def last_vectors(rows: DataFrame, column: str, order: str, sensor: str) -> DataFrame:
+    """``packed_vectors`` of the rows whose sensor number is 0 or more, in the order of the column ``order``."""
+    return packed_vectors(rows.where(F.col(sensor) > -1), column).orderBy(order)

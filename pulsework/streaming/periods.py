@@ -17,7 +17,11 @@ def sliding_tops(stream: DataFrame, length: str, hop: str, late: str) -> DataFra
     return groups.agg(F.count("v").alias("n"), F.max("v").alias("top")).select(F.unix_micros("w.start").alias("start"), "n", "top")
 
 
-def merged(stream: DataFrame, gap: str, late: str) -> DataFrame:
-    """channel, start, n: triggers of a channel less than ``gap`` apart are one event; it closes when the watermark is past its end."""
-    groups = stream.withWatermark("ts", late).groupBy(F.session_window("ts", gap).alias("w"), "channel")
-    return groups.agg(F.count("*").alias("n")).select("channel", F.unix_micros("w.start").alias("start"), "n")
+def merged(stream: DataFrame, gap: str, late: str, by_channel: bool = False) -> DataFrame:
+    """start, stop, n, n_channels of events: triggers of any channel less than ``gap`` apart are one event; it closes when the watermark is
+    past its end. With ``by_channel``, channel too: each channel has events of its own. Sessions need a key, so all channels share one
+    that is 0 for each: triggers are few beside samples, and partial sessions are merged before they are shuffled."""
+    key = F.col("channel") if by_channel else (F.length(F.col("channel").cast("string")) * 0).alias("all")
+    groups = stream.withWatermark("ts", late).where("channel is not null").groupBy(F.session_window("ts", gap).alias("w"), key)
+    rows = groups.agg(F.count("*").alias("n"), F.max("ts").alias("stop"), F.size(F.collect_set("channel")).alias("n_channels"))
+    return rows.select(*(["channel"] if by_channel else []), F.unix_micros("w.start").alias("start"), F.unix_micros("stop").alias("stop"), "n", "n_channels")

@@ -8,11 +8,24 @@ from pyspark.sql import functions as F
 
 
 def folder(spark: SparkSession) -> str:
-    """A new folder in the one that all executors share, as the cluster names it; a temporary one only where it is unset, as in tests."""
+    """A new folder in the one that all executors share, as the cluster names it; where that is unset, a temporary one, on a local master only."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not where and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return f"{(where or tempfile.mkdtemp(prefix='pulsework-')).rstrip('/')}/{uuid.uuid4().hex}"
 
 
+def chunked(rows: DataFrame, order: str, key: str, chunks: int = 3, files: int = 8) -> DataFrame:
+    """A stream of a table's rows in ``chunks`` parts by the column ``order``, each written after the one before; a value of ``key`` has one file in a part, so its rows come in order."""
+    spark = rows.sparkSession
+    edges = rows.approxQuantile(order, [i / chunks for i in range(1, chunks)], 0.01)
+    path, spans = folder(spark), list(zip([None, *edges], [*edges, None]))
+    for low, high in spans:
+        part = rows.where(F.lit(True) if low is None else F.col(order) >= low).where(F.lit(True) if high is None else F.col(order) < high)
+        part.repartition(files, key).write.mode("append").parquet(path)
+    return source(spark, path, files)
+
+
 def source(spark: SparkSession, path: str, files: int | None = None) -> DataFrame:
     """A stream of the parquet files of a table, at most ``files`` of them in a chunk. The schema is the table's own."""
     reader = spark.readStream.schema(spark.read.parquet(path).schema)

@@ -4,7 +4,7 @@ import zstandard
 from pyspark.errors import PythonException
 from pyspark.sql import functions as F
 
-from pulsework.sources import store, traces
+from pulsework.sources import raw, store, traces
 
 
 def write_raw(path, data):
@@ -23,9 +23,9 @@ def write_raw(path, data):
 def test_raw_files(spark, tmp_path, kind):
     data = np.random.default_rng(1).integers(0, 60000, (7, 12)).astype(kind)
     write_raw(tmp_path / "a.raw", data)
-    head = traces.daq_files(spark, str(tmp_path)).first()
+    head = raw.daq_files(spark, str(tmp_path)).first()
     assert (head.version, head.n_traces, head.samples_per_block, head.xfac) == ("v7", 7, 12, 0.25)
-    rows = traces.daq_traces(spark, str(tmp_path)).orderBy("place").collect()
+    rows = raw.daq_traces(spark, str(tmp_path)).orderBy("place").collect()
     assert [r.samples for r in rows] == data.tolist() and [r.trace_no for r in rows] == list(range(5, 12)) and rows[0].temperature == 1.5
 
 

@@ -1,7 +1,8 @@
 import numpy as np
 import pytest
 
-from pulsework.streaming import periods, run, trigger
+from pulsework.operators import filters
+from pulsework.streaming import periods, run, sliding, trigger
 
 
 def by_hand(v, threshold, rearm, holdoff):
@@ -30,5 +31,31 @@ def test_trigger_over_chunks(spark, tmp_path, holdoff):
 def test_merged_events(spark, tmp_path):
     rows = [("a", "2024-01-01 00:00:00"), ("a", "2024-01-01 00:00:05"), ("a", "2024-01-01 00:01:00"), ("b", "2024-01-01 00:00:02"), ("b", "2024-01-02 00:00:00")]
     spark.createDataFrame(rows, "channel string, t string").selectExpr("channel", "timestamp(t) as ts").write.parquet(str(tmp_path / "t"))
-    got = run.drained(periods.merged(run.source(spark, str(tmp_path / "t")), "10 seconds", "1 minute"), "append")
+    got = run.drained(periods.merged(run.source(spark, str(tmp_path / "t")), "10 seconds", "1 minute", by_channel=True), "append")
     assert sorted((r.channel, r.n) for r in got.collect()) == [("a", 1), ("a", 2), ("b", 1)]
+    any_ = run.drained(periods.merged(run.source(spark, str(tmp_path / "t")), "10 seconds", "1 minute"), "append")
+    assert sorted((r.n, r.n_channels) for r in any_.collect()) == [(1, 1), (3, 2)]
+
+
+def test_late_rows_are_left_out(spark, tmp_path):
+    path = str(tmp_path / "t")
+    for t in ("2024-01-01 00:00:10", "2024-01-01 02:00:00", "2024-01-01 02:01:00", "2024-01-01 00:00:20"):  # the last one is later than the watermark of the chunk before
+        spark.createDataFrame([("a", t, 1.0)], "channel string, t string, v double").selectExpr("channel", "timestamp(t) as ts", "v").coalesce(1).write.mode("append").parquet(path)
+    got = run.drained(periods.rates(run.source(spark, path, 1), "30 minutes", "10 minutes", 0.5), "update", ("start", "channel"))
+    assert sorted(r.n for r in got.collect()) == [1, 2]
+
+
+def test_sliding_filter_over_chunks_and_gaps(spark, tmp_path):
+    r = np.random.default_rng(5)
+    n = 16
+    f = filters.Filter(np.exp(-np.arange(n) / 3.0), np.abs(r.normal(size=n // 2 + 1)) + 0.1)
+    v = r.normal(size=200)
+    path = str(tmp_path / "s")
+    for a, b in ((0, 5), (5, 60), (55, 61), (61, 120), (130, 200)):  # short, overlapping, with a gap at 120
+        rows = [("a", i, float(v[i])) for i in range(a, b)]
+        spark.createDataFrame(rows, "channel string, i long, v double").coalesce(1).write.mode("append").parquet(path)
+    got = {x.start: (x.amp, x.chisq) for x in run.drained(sliding.sliding(run.source(spark, path, 1), f)).collect()}
+    starts = [*range(0, 120 - n + 1), *range(130, 200 - n + 1)]
+    overlap, own = f.overlap(np.stack([v[s : s + n] for s in starts]))
+    amp = overlap[:, 0] / f.norm
+    assert sorted(got) == starts and np.allclose([got[s] for s in starts], np.stack([amp, (own - amp**2 * f.norm) / (n - 2)], 1), atol=1e-5)
