@@ -28,7 +28,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every row stays (a rate is at least 1), with the columns that it has; those of rarer languages are repeated, and so are null texts at a rate of their own."""
-    return op5_mixing.dealt(docs, op5_mixing.fit(docs, read(spark, sf_dir, "labels"), least=1.0))
+    mix, _ = op5_mixing.fit(docs, read(spark, sf_dir, "labels"), least=1.0)
+    return op5_mixing.dealt(docs, mix)
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
