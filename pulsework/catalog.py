@@ -74,7 +74,7 @@ ORACLE = {
     "range_query": "SELECT l_orderkey, l_linenumber, l_quantity, l_discount FROM lineitem WHERE l_quantity BETWEEN 10 AND 20 AND l_discount BETWEEN 0.02 AND 0.05",
     "histogram": "SELECT CAST(least(floor(l_quantity / 2.5), 19) AS BIGINT) AS bin, count(*) AS n FROM lineitem WHERE l_quantity BETWEEN 0 AND 50 GROUP BY 1",
     "group_summary": "SELECT l_returnflag, count(l_extendedprice) AS n, round(avg(l_extendedprice), 4) AS mean, round(stddev_pop(l_extendedprice), 4) AS std, round(quantile_cont(l_extendedprice, 0.01), 4) AS p1, round(quantile_cont(l_extendedprice, 0.99), 4) AS p99 FROM lineitem GROUP BY 1",
-    "tumbling_windows": f"""SELECT channel, "window", round(avg(value), 6) AS mean, max(value) AS top FROM (SELECT *, (row_number() OVER (PARTITION BY channel ORDER BY ts, event_id) - 1) // 64 AS "window" FROM {_V}) GROUP BY 1, 2 HAVING count(*) = 64""",
+    "tumbling_windows": f"""SELECT channel, "window", round(avg(value), 8) AS mean, max(value) AS top FROM (SELECT *, (row_number() OVER (PARTITION BY channel ORDER BY ts, event_id) - 1) // 64 AS "window" FROM {_V}) GROUP BY 1, 2 HAVING count(*) = 64""",
     "hysteresis_trigger": f"""SELECT channel, event_id FROM (SELECT *, last_value(mark IGNORE NULLS) OVER (PARTITION BY channel ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS was FROM (
  SELECT *, CASE WHEN value > 80 THEN 1 WHEN value < 40 THEN 0 END AS mark FROM {_V})) WHERE mark = 1 AND coalesce(was, 0) = 0""",
 }

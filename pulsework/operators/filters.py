@@ -92,7 +92,7 @@ class Filter:
         """<x, x> of every window of a longer series, by the recurrence of the sliding transform: a step takes one sample away and
         adds one, and the turn that it also makes doesn't change the power. Every block of windows starts from a transform of its own."""
         n, w = self.length, self.weight
-        rows = max(2, BLOCK // len(w))
+        rows = max(2, min(BLOCK // len(w), len(v) - n + 1))
         turns = np.exp(-2j * np.pi * np.outer(np.arange(rows - 1), np.arange(len(w))) / n)
         out = np.empty(len(v) - n + 1)
         for at in range(0, len(out), rows):

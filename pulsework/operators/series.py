@@ -16,7 +16,7 @@ def placed(series: DataFrame) -> DataFrame:
 def tumbling(series: DataFrame, length: int) -> DataFrame:
     """channel, window, mean, top of each run of ``length`` samples; the remainder is dropped."""
     rows = placed(series).withColumn("window", F.floor(F.col("i") / length).cast("long"))
-    out = rows.groupBy("channel", "window").agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"), F.max("value").alias("top"))
+    out = rows.groupBy("channel", "window").agg(F.count("*").alias("n"), F.round(F.avg("value"), 8).alias("mean"), F.max("value").alias("top"))
     return out.where(F.col("n") == length).drop("n")
 
 

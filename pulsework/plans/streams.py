@@ -30,6 +30,13 @@ def _merged(s, d):
     return run.drained(periods.merged(stream, "15 minutes", "1 hour"))
 
 
+def _spectra(s, d):
+    """Windows of 16 values of a user as traces, by the day of their first value."""
+    w = places(s, d).groupBy("channel", F.floor(F.col("i") / 16).alias("seg")).agg(F.sort_array(F.collect_list(F.struct("i", "v"))).alias("s"), F.min(F.col("ts").cast("timestamp")).alias("ts"))
+    rows = w.select("channel", "ts", F.unix_micros("ts").alias("t"), F.col("s.v").alias("samples"))
+    return run.drained(periods.noise_spectra(run.chunked(rows, "t", "channel"), "1 day", "1 hour", 16), "update", ("start", "k"))
+
+
 def _noise_windows(s, d):
     """Two windows of 4 samples of each record of 16, without a value above 95 from one sample before to one after them, in an order that a seed decides."""
     p = places(s, d)
@@ -49,12 +56,16 @@ QUERIES = {
     "stream_sliding_tops": lambda s, d: run.drained(periods.sliding_tops(_stream(s, d), "2 hours", "1 hour", "1 hour"), "update", ("start",)),
     "stream_trigger": lambda s, d: run.drained(trigger.hits(_placed(s, d), 80.0, 0.5)),
     "stream_filter": _filtered,
+    "stream_spectra": _spectra,
     "stream_events": _merged,
     "noise_windows": _noise_windows,
     "packed_vectors": _vectors,
 }
 ORACLE = {
     "stream_filter": _SLIDE,
+    "stream_spectra": f"""WITH w AS (SELECT channel, i // 16 AS seg, min(epoch_us(ts)) // 86400000000 * 86400000000 AS start FROM {P} GROUP BY 1, 2 HAVING count(*) = 16),
+ f AS (SELECT w.channel, seg, start, k, sum(v * cos(2 * pi() * k * (i % 16) / 16)) AS re, sum(v * sin(2 * pi() * k * (i % 16) / 16)) AS im FROM {P} p JOIN w ON w.channel = p.channel AND w.seg = p.i // 16, range(0, 9) r(k) GROUP BY w.channel, seg, start, k)
+ SELECT CAST(start AS BIGINT) AS start, CAST(k AS INTEGER) AS k, count(*) AS n, round(avg(re * re + im * im) * CASE WHEN k IN (0, 8) THEN 1 ELSE 2 END / 16, 4) AS psd FROM f GROUP BY start, k""",
     "stream_events": """WITH t AS (SELECT user_id AS channel, epoch_us(ts) AS t FROM events WHERE value > 80), n AS (SELECT *, CASE WHEN t - lag(t) OVER (ORDER BY t, channel) < 900000000 THEN 0 ELSE 1 END AS f FROM t)
  SELECT min(t) AS start, max(t) AS stop, count(*) AS n, CAST(count(DISTINCT channel) AS INTEGER) AS n_channels FROM (SELECT *, sum(f) OVER (ORDER BY t, channel) AS e FROM n) GROUP BY e HAVING max(t) + 900000000 <= (SELECT max(t) FROM t) - 3600000000""",
     "noise_windows": f"""WITH w AS (SELECT channel, i // 16 AS block, i AS start, md5('7-' || channel || '-' || (i // 16) || '-' || i) AS h FROM {P} a WHERE i % 4 = 0 AND NOT EXISTS (SELECT 1 FROM {P} b WHERE b.channel = a.channel AND b.v > 95 AND b.i BETWEEN a.i - 1 AND a.i + 4))

@@ -1,8 +1,10 @@
+from graphlib import CycleError
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pulsework.functions import tables
+from pulsework.functions import features, tables
 from pulsework.sources import raw, traces
 from tests.test_files import write_raw
 
@@ -25,6 +27,14 @@ def test_tables_on_demand(spark):
         tables.Run({"src": src}, [tables.Table("c", lambda t, o: t["src"], ("src",), ("z",))]).table("c")
 
 
+def test_features_of_each_other_are_a_circle(spark, monkeypatch):
+    monkeypatch.setattr(features, "REGISTRY", {n: features.Feature(n, lambda o: F.lit(1), (m,)) for n, m in (("a", "b"), ("b", "a"))})
+    with pytest.raises(CycleError):
+        features.with_features(spark.range(1), {"a": {}})
+    with pytest.raises(KeyError):
+        features.with_features(spark.range(1), {"none": {}})
+
+
 def test_mapped_traces_and_events(spark):
     df = spark.createDataFrame([(i, i // 2, float(i)) for i in range(6)], "trace_id long, event_id long, v double")
     assert tables.by_trace(df, lambda f: f[["trace_id"]].assign(w=f.v * 2), "trace_id long, w double").agg(F.sum("w")).first()[0] == 30
