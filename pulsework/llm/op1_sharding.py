@@ -59,7 +59,7 @@ def shard(docs: DataFrame, shards: int = 8, group=None, keep: list[str] | None =
     own = [c for c in (docs.columns if keep is None else keep) if c not in ("size", "text_crc32", "law", "shard", "slot", "grown_shard")]
     text = F.coalesce("text", F.lit(""))
     key = F.sha2(text, 256) if group is None else F.coalesce(group.cast("string"), F.lit("\0"))
-    rows = docs.select(*own, (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), key.alias("_key"))
+    rows = docs.select(F.struct(*own).alias("_own"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), key.alias("_key"))
     groups = cut(rows.groupBy("_key").agg(F.sum("size").alias("_bytes"), F.count("*").alias("_rows")))
     n, many = groups.agg(F.coalesce(F.sum("_rows"), F.lit(0)), F.count("*")).first()
 
@@ -75,9 +75,9 @@ def shard(docs: DataFrame, shards: int = 8, group=None, keep: list[str] | None =
     hot = placed.where(F.col("_rows") * HOT > n).select("_key", F.col("_shard").alias("_hot"))
     rows = rows.join(F.broadcast(hot), "_key", "left").withColumn("_at", F.when(F.col("_hot").isNull(), F.col("_key")).otherwise(F.concat(F.lit("\1"), F.monotonically_increasing_id())))
     rows = rows.join(placed.select(F.col("_key").alias("_at"), "_shard"), "_at", "left").withColumn("shard", F.coalesce("_hot", "_shard"))
-    order = [F.col(c) for c in ("doc_id",) if c in own]
+    order = [F.col("_own.doc_id")] if "doc_id" in own else []
     out = _numbered(rows.drop("_at", "_hot", "_shard"), "shard", "_key", n, *order)
-    return out.select(*own, "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("_place").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+    return out.select("_own.*", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("_place").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 
 def _numbered(rows: DataFrame, part: str, key: str, n: int, *order) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .components import components
-from .tables import cut, read, spread
+from .tables import cut, fresh, read, spread
 from .textnp import Words, blocks, mix, shingle_sets, shingles
 
 #: The most tokens whose frequency is known everywhere (8 bytes each), and the least frequency of such a token.
@@ -232,13 +232,14 @@ def keep_one_of_each(docs: DataFrame, percent: int = 75) -> DataFrame:
     Rows are told apart by a number of their own, not by doc_id: rows with a null doc_id and different texts under one
     doc_id are linked, kept or dropped as any other. Texts without words stay; of equal ones under one doc_id, one.
     """
-    rows = cut(docs.withColumn("_row", F.monotonically_increasing_id()))
-    groups = jaccard_components(rows.select(F.col("_row").alias("doc_id"), "text"), percent)
-    groups = rows.select("_row", "doc_id", F.xxhash64("text").alias("h")).join(groups.toDF("_row", "n", "comp"), "_row")
+    row = fresh(docs, "_row")
+    rows = cut(docs.withColumn(row, F.monotonically_increasing_id()))
+    groups = jaccard_components(rows.select(F.col(row).alias("doc_id"), "text"), percent)
+    groups = rows.select(F.col(row).alias("_row"), "doc_id", F.xxhash64("text").alias("h")).join(groups.toDF("_row", "n", "comp"), "_row")
     blank = (F.col("n") == 0) & F.col("doc_id").isNotNull()
     of = [F.when(~blank, F.col("comp")).alias("comp"), F.when(blank, F.col("doc_id")).alias("d"), F.when(blank, F.col("h")).alias("t")]
     keep = groups.groupBy(*of).agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h", "_row")).alias("first"))
-    return rows.join(cut(keep.select(F.col("first._row").alias("_row"))), "_row", "left_semi").select(docs.columns)
+    return rows.join(cut(keep.select(F.col("first._row").alias(row))), row, "left_semi").select(docs.columns)
 
 
 SQL = r"""

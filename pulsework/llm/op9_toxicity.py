@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .labelled import held_out, sample, sigmoid, sums
-from .tables import read
+from .tables import fresh, read
 from .textnp import Words, blocks, mix
 
 #: Labelled rows of either label, and characters of a text, that are learnt from at most.
@@ -251,8 +251,8 @@ def tagged(docs: DataFrame, model, least: float = 0.5, score: str = "score", spa
         spans = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.StructArray.from_arrays([pa.array(starts), pa.array(ends), pa.array(tops)], ["start", "end", "p"]))
         return pa.StructArray.from_arrays([pa.array(scores), spans], ["score", "spans"])
 
-    rows = docs.select(*(c for c in docs.columns if c not in (score, spans)), tag("text").alias("_tagged"))
-    return rows.withColumns({score: F.col("_tagged.score"), spans: F.col("_tagged.spans")}).drop("_tagged")
+    own, both = [c for c in docs.columns if c not in (score, spans)], fresh(docs, "_tagged")
+    return docs.select(*own, tag("text").alias(both)).select(*own, F.col(both)["score"].alias(score), F.col(both)["spans"].alias(spans))
 
 
 def query(spark, sf_dir):

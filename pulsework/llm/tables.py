@@ -31,6 +31,13 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A name that no column of the table has."""
+    while name in df.columns:
+        name = "_" + name
+    return name
+
+
 _written: list[str] = []
 
 
@@ -54,7 +61,7 @@ SALT = 32
 
 
 def met(rows: DataFrame, index: DataFrame, on: list[str], by: str, broadcast_rows: int, how: str = "inner") -> DataFrame:
-    """``rows`` joined (``how``: inner or left_semi) with ``index``, a table that ``cut`` has written, by equal columns.
+    """``rows`` joined (``how``: inner, left or left_semi) with ``index``, a table that ``cut`` has written, by equal columns.
 
     An index of at most ``broadcast_rows`` rows is broadcast. Beyond it, as any key may have a large part of all rows, the rows
     are dealt into ``SALT`` parts by a hash of the column ``by``, and each part meets a copy of the index. The result is the same.
