@@ -14,108 +14,160 @@ there, and only the first place goes into the join: a span has as many rows in i
 """
 
 import re
-import zlib
 from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .tables import read
+from .op8_jaccard import maybe_in
+from .tables import cut, met, read
+from .textnp import Words, blocks, mix, powers
 
 #: The most words of a part, and the sentences of a run.
 CUT, RUN = 10, 3
-#: Spans that a task settles together.
-BLOCK = 200_000
-_WORD = re.compile(r"\S+\s*")
-
-
-def _places(text: str) -> tuple[list[str], list[str], np.ndarray, np.ndarray, np.ndarray]:
-    """The words as they stand (with the white space after them), the words as compared (without case), and the places, counted
-    in words, at which the words alone decide to cut, at which parts begin or end, and sentences too (0 and the last one as well)."""
-    raw, words = _WORD.findall(text), text.lower().split()
-    n = len(raw)
-    ends = np.array([w[-1] in ".!?" for w in words], bool)
-    inner = ends.copy()
-    if n >= CUT:
-        hashes = np.array([xxhash.xxh3_64_intdigest(w) for w in words], np.uint64)
-        low = np.lib.stride_tricks.sliding_window_view(hashes, CUT).argmin(1) + np.arange(n - CUT + 1)
-        before = np.concatenate([[0], np.cumsum(ends)])
-        inner[low[before[CUT - 1 : n] == before[: n - CUT + 1]]] = True
-    whole = ends | np.array(["\n" in w for w in raw], bool)
-    whole[n - 1 :] = True
-    every = inner | whole
-    return raw, words, np.flatnonzero(inner) + 1, np.concatenate([[0], np.flatnonzero(every) + 1]), np.concatenate([[0], np.flatnonzero(whole) + 1])
+#: Spans that a task settles together, and the most doc_ids with several texts that are broadcast.
+BLOCK, BROADCAST_ROWS = 200_000, 500_000
+_WORD = re.compile(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*")
+_BASES = 0x5851F42D4C957F2D, 0x9E3779B97F4A7C15
+
+
+class Cuts:
+    """The words of a block of texts (without case), and after which of them the words alone decide to cut (``inner``), a sentence
+    ends (``whole``), and a part ends (``every``). A place is a number of words of the block; first[d] is where text d begins."""
+
+    def __init__(self, offsets: np.ndarray, data: np.ndarray):
+        w = Words(offsets, data, lower=False)
+        self.first, self.counts, n = w.first, w.counts, len(w)
+        self.hashes, self.owner = w.hashes(), w.owner()
+        ends = np.isin(data[w.ends - 1], np.frombuffer(b".!?", np.uint8))
+        self.inner = ends.copy()
+        if n >= CUT:
+            low = np.lib.stride_tricks.sliding_window_view(self.hashes, CUT).argmin(1) + np.arange(n - CUT + 1)
+            before = np.concatenate([[0], np.cumsum(ends)])
+            alone = (before[CUT - 1 : n] == before[: n - CUT + 1]) & (self.owner[CUT - 1 :] == self.owner[: n - CUT + 1])
+            self.inner[low[alone]] = True
+        lines = np.concatenate([[0], np.cumsum(data == 10)])
+        self.whole = ends
+        self.whole[:-1] |= lines[w.starts[1:]] > lines[w.ends[:-1]]
+        self.whole[self.first[1:][self.counts > 0] - 1] = True
+        self.every = self.inner | self.whole
+
+    def parts(self) -> np.ndarray:
+        """How many parts each text has."""
+        return np.bincount(self.owner[self.every], minlength=len(self.counts))
+
+
+def cuts_of(column):
+    """Yields (first row, Cuts) of blocks of an Arrow column of texts."""
+    for row, offsets, data in blocks(pc.utf8_lower(column)):
+        yield row, Cuts(offsets, data)
 
 
 def parts_of(text: str) -> list[str]:
     """The parts with all they are separated by; joined they give the text."""
-    raw, _, _, places, _ = _places(text)
+    raw = _WORD.findall(text)
+    if not raw:
+        return [text][: len(text)]
+    ((_, cuts),) = cuts_of(pa.array([text]))
     at = [0, *accumulate(map(len, raw))]
     lead = len(text) - at[-1]
-    cuts = [0, *(lead + at[i] for i in places[1:])] if raw else [0, len(text)][: 1 + len(text)]
-    return [text[i:j] for i, j in zip(cuts, cuts[1:])]
-
-
-def spans_of(text: str, words: int):
-    """Yields (hash, first part, parts in it) of each span. Words are compared without case or white space."""
-    _, w, inner, places, sentences = _places(text)
-    number = {p: i for i, p in enumerate(places.tolist())}
-    key = lambda s, e: xxhash.xxh3_128_digest(" ".join(w[s:e]))
-    short = np.flatnonzero(sentences[RUN:] - sentences[:-RUN] < words)
-    for s, e in zip(sentences[short].tolist(), sentences[short + RUN].tolist(), strict=True):
-        yield key(s, e), number[s], number[e] - number[s]
-    if len(w) < words:
-        return
-    starts = places[:-1]
+    ends = [0, *(lead + at[i + 1] for i in np.flatnonzero(cuts.every))]
+    return [text[i:j] for i, j in zip(ends, ends[1:])]
+
+
+def spans_of(cuts: Cuts, words: int) -> tuple[np.ndarray, ...]:
+    """(text, 64 bits of hash, 32 more, first part, parts in it) of each span of a block."""
+    first, owner, n = cuts.first, cuts.owner, len(cuts.hashes)
+    ends = np.flatnonzero(cuts.every) + 1
+    new = np.ones(n, bool)
+    new[1:] = cuts.every[:-1]
+    starts, inner = np.flatnonzero(new), np.flatnonzero(cuts.inner) + 1
+    begins = np.zeros(n, bool)
+    begins[first[:-1][cuts.counts > 0]] = True
+
+    # runs of few words
+    last = np.flatnonzero(cuts.whole)
+    s0, e0 = np.concatenate([[0], last[:-1] + 1])[: len(last)], last + 1
+    s, e = s0[: max(0, len(last) - RUN + 1)], e0[RUN - 1 :]
+    few = (owner[s] == owner[e - 1]) & (e - s < words)
+    from_, to = [s[few]], [e[few]]
+
+    # forward to a place that the words decide
     at = np.searchsorted(inner, starts + words)
-    forward = [(s, e) for s, e in zip(starts[at < len(inner)].tolist(), inner[at[at < len(inner)]].tolist(), strict=True)]
-    decided = {0, *inner.tolist()}
-    reached = {e for s, e in forward if s in decided}
-    ends = np.array([p for p in places.tolist() if p >= words and p not in reached], np.int64)
-    from_ = np.concatenate([[0], inner])
-    back = from_[np.searchsorted(from_, ends - words, "right") - 1]
-    for s, e in [*forward, *zip(back.tolist(), ends.tolist(), strict=True)]:
-        yield key(s, e), number[s], number[e] - number[s]
+    s, e = starts[at < len(inner)], inner[at[at < len(inner)]]
+    same = owner[s] == owner[e - 1]
+    s, e = s[same], e[same]
+    from_.append(s), to.append(e)
+
+    # and back from the others
+    decided = begins.copy()
+    decided[1:] |= cuts.inner[:-1]
+    reached = np.zeros(n + 1, bool)
+    reached[e[decided[s]]] = True
+    e = ends[(ends - first[owner[ends - 1]] >= words) & ~reached[ends]]
+    places = np.flatnonzero(decided)
+    from_.append(places[np.searchsorted(places, e - words, "right") - 1]), to.append(e)
+
+    s, e = np.concatenate(from_), np.concatenate(to)
+    out = []
+    for base in _BASES:
+        up, down = powers(base, n + 1), powers(pow(base, -1, 1 << 64), n + 1)
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(cuts.hashes ^ np.uint64(base)) * up[:n], dtype=np.uint64)])
+        out.append(mix((sums[e] - sums[s]) * down[s] + (e - s).astype(np.uint64)).view(np.int64))
+    number = np.searchsorted(starts, s)
+    text = owner[s] if n else s
+    return text, out[0], out[1] >> 32, number - np.searchsorted(starts, first[text]), np.searchsorted(starts, e) - number
 
 
 def spans(docs: DataFrame, words: int = 20) -> DataFrame:
-    """(h1, h2, doc_id, t, start, n, later) of spans (96 bits of hash) of each text; t is the text's CRC-32.
+    """(h1, h2, t, doc_id, place) of spans (96 bits of hash) of each text of ``docs`` (doc_id, text, t). A place is start << 32 | n << 1 | later
+    in one number, as there are very many.
 
-    ``later`` marks places that follow an equal one which the same task has seen; their h1 and h2 mean nothing.
+    ``later`` marks places that follow an equal one which the same task has seen; their hash is mixed with the place and means nothing.
     """
 
-    def settled(doc, text, keys, start, n):
-        two = np.frombuffer(b"".join(keys), np.int64).reshape(-1, 2)
-        cols = [np.array(x, np.int64) for x in (doc, text, start, n)]
-        order = np.lexsort((cols[2], cols[1], cols[0], two[:, 1], two[:, 0]))
-        two, cols = two[order], [c[order] for c in cols]
+    def settled(parts):
+        h1, h2, start, n, doc, text = (np.concatenate([p[i] for p in parts]) for i in range(6))
+        order = np.lexsort((start, text, doc, h2, h1))
+        h1, h2, start, n, doc, text = (x[order] for x in (h1, h2, start, n, doc, text))
         equal = np.zeros(len(order), bool)
-        equal[1:] = (two[1:] == two[:-1]).all(1)
+        equal[1:] = (h1[1:] == h1[:-1]) & (h2[1:] == h2[:-1])
         again = equal.copy()
-        again[1:] &= (cols[0][1:] == cols[0][:-1]) & (cols[1][1:] == cols[1][:-1]) & (cols[2][1:] == cols[2][:-1])
-        h1 = np.where(equal, cols[0] ^ (cols[2] << 32), two[:, 0])
-        rows = [h1, two[:, 1].astype(np.int32), cols[0], cols[1].astype(np.int32), cols[2].astype(np.int32), cols[3].astype(np.int32), equal]
-        return pa.RecordBatch.from_arrays([pa.array(x[~again]) for x in rows], ["h1", "h2", "doc_id", "t", "start", "n", "later"])
+        again[1:] &= (doc[1:] == doc[:-1]) & (text[1:] == text[:-1]) & (start[1:] == start[:-1])
+        h1 = np.where(equal, h1 ^ mix((doc ^ (start << 32)).view(np.uint64)).view(np.int64), h1)
+        rows = [h1, h2.astype(np.int32), text.astype(np.int32), doc, start << 32 | n << 1 | equal]
+        return pa.RecordBatch.from_arrays([pa.array(x[~again]) for x in rows], ["h1", "h2", "t", "doc_id", "place"])
 
     def run(batches):
-        doc, crc, keys, start, n = [], [], [], [], []
+        parts, many = [], 0
         for batch in batches:
-            for d, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                text = text.as_py() or ""
-                t = zlib.crc32(text.encode()) - (1 << 31)
-                for key, i, m in spans_of(text, words):
-                    doc.append(d), crc.append(t), keys.append(key), start.append(i), n.append(m)
-                if len(doc) > BLOCK:
-                    yield settled(doc, crc, keys, start, n)
-                    doc, crc, keys, start, n = [], [], [], [], []
-        if doc:
-            yield settled(doc, crc, keys, start, n)
-
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "h1 long, h2 int, doc_id long, t int, start int, n int, later boolean")
+            ids, crcs = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 2))
+            for row, cuts in cuts_of(batch.column(1)):
+                text, *found = spans_of(cuts, words)
+                if len(text):
+                    parts.append((*found, ids[row + text], crcs[row + text]))
+                    many += len(text)
+                if many > BLOCK:
+                    yield settled(parts)
+                    parts, many = [], 0
+        if parts:
+            yield settled(parts)
+
+    return docs.select(F.col("doc_id").cast("long"), "text", "t").mapInArrow(run, "h1 long, h2 int, t int, doc_id long, place long")
+
+
+def _numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with _t, which tells texts under one doc_id apart: their CRC-32 where a doc_id has several, else 0."""
+    crc = (F.crc32(F.coalesce("text", F.lit("")).cast("binary")) - (1 << 31)).cast("int")
+    several = docs.where("doc_id is not null").groupBy("doc_id").agg(F.min(crc).alias("a"), F.max(crc).alias("b")).where("a != b").select("doc_id")
+    several = cut(several.withColumn("_several", F.lit(True)))
+    if not several.count():
+        return docs.withColumn("_t", F.lit(0))
+    return met(docs, several, ["doc_id"], "text", BROADCAST_ROWS, "left").withColumn("_t", F.when(F.col("_several"), crc).otherwise(0)).drop("_several")
 
 
 def dedup_spans(docs: DataFrame, words: int = 20) -> DataFrame:
@@ -126,26 +178,32 @@ def dedup_spans(docs: DataFrame, words: int = 20) -> DataFrame:
     of their own, in the order of their CRC-32. Texts without a whole span, such as empty or short ones, stay as they are.
     Columns of its own named n_sentences, n_removed or removed are replaced. An empty table gives an empty result.
     """
+    own = [c for c in docs.columns if c not in ("removed", "n_sentences", "n_removed")]
+    rows = _numbered(docs.select(F.struct(*(c for c in own if c != "text")).alias("_own"), "doc_id", "text"))
     # one shuffle, read in order: a span's later places are known without a second pass
-    place = F.rank().over(Window.partitionBy("h1", "h2", "later").orderBy("doc_id", "t", "start"))
-    hit = spans(docs.where("doc_id is not null"), words).withColumn("place", place).where("later or place > 1")
-    parts = F.sequence(F.col("start"), F.col("start") + F.col("n") - 1)
-    gone = hit.groupBy(F.col("doc_id").alias("_doc"), F.col("t").alias("_text")).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set(parts)))).alias("_gone"))
-    crc = (F.crc32(F.coalesce("text", F.lit("")).cast("binary")) - (1 << 31)).cast("int")
-    out = docs.withColumn("_crc", crc).join(gone, (F.col("doc_id") == F.col("_doc")) & (F.col("_crc") == F.col("_text")), "left")
+    order = F.rank().over(Window.partitionBy("h1", "h2").orderBy("doc_id", "t", "place"))
+    hit = spans(rows.where("doc_id is not null").select("doc_id", "text", F.col("_t").alias("t")), words).withColumn("order", order).where("order > 1 or (place & 1) = 1")
+    gone = hit.groupBy(F.col("doc_id").alias("_doc"), F.col("t").alias("_text")).agg(F.collect_set("place").alias("_places"))
+    parts = F.transform("_places", lambda p: F.sequence(F.shiftright(p, 32).cast("int"), (F.shiftright(p, 32) + F.shiftright(p.bitwiseAND(F.lit(0xFFFFFFFF)), 1) - 1).cast("int")))
+    gone = cut(gone.select("_doc", "_text", F.array_sort(F.array_distinct(F.flatten(parts))).alias("_gone")))
+    # texts that lose nothing aren't shuffled: a bitmap of the others lets few of them into the join
+    maybe = F.coalesce(maybe_in(gone.select(F.col("_doc").alias("doc_id")))("doc_id"), F.lit(False))
+    some = rows.where(maybe).join(gone, (F.col("doc_id") == F.col("_doc")) & (F.col("_t") == F.col("_text")), "left").select("_own", "text", "_gone")
+    out = some.unionByName(rows.where(~maybe).select("_own", "text", F.lit(None).cast("array<int>").alias("_gone")))
 
     @F.arrow_udf("struct<text string, n_sentences int, n_removed int>")
     def keep(texts: pa.Array, removed: pa.Array) -> pa.Array:
-        rows = []
-        for text, numbers in zip(texts, removed, strict=True):
-            text, drop = text.as_py(), set(numbers.as_py() or [])
-            parts = parts_of(text or "")
-            rows.append({"text": text and ("".join(p for i, p in enumerate(parts) if i not in drop) if drop else text), "n_sentences": len(parts), "n_removed": len(drop)})
-        return pa.array(rows, pa.struct([("text", pa.string()), ("n_sentences", pa.int32()), ("n_removed", pa.int32())]))
+        lost = pc.fill_null(pc.list_value_length(removed), 0)
+        n = np.concatenate([cuts.parts() for _, cuts in cuts_of(texts)] or [np.zeros(0, np.int64)])
+        n = np.maximum(n, pc.greater(pc.fill_null(pc.binary_length(texts), 0), 0).to_numpy(zero_copy_only=False))  # white space alone is a part
+        left = texts.to_pylist()
+        for row in np.flatnonzero(lost.to_numpy(zero_copy_only=False)).tolist():
+            drop = set(removed[row].as_py())
+            left[row] = "".join(p for i, p in enumerate(parts_of(left[row])) if i not in drop)
+        return pa.StructArray.from_arrays([pa.array(left, pa.string()), pa.array(n, pa.int32()), lost.cast(pa.int32())], ["text", "n_sentences", "n_removed"])
 
     out = out.withColumn("_kept", keep("text", "_gone"))
-    own = [c for c in docs.columns if c not in ("removed", "n_sentences", "n_removed")]
-    return out.select(*(F.col("_kept.text").alias("text") if c == "text" else F.col(c) for c in own), "_kept.n_sentences", "_kept.n_removed", F.coalesce("_gone", F.array().cast("array<int>")).alias("removed"))
+    return out.select(*(F.col("_kept.text" if c == "text" else f"_own.{c}").alias(c) for c in own), "_kept.n_sentences", "_kept.n_removed", F.coalesce("_gone", F.array().cast("array<int>")).alias("removed"))
 
 
 def query(spark, sf_dir):

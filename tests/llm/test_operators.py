@@ -103,7 +103,7 @@ def test_a_run_of_short_sentences_goes_but_for_its_first_place(spark):
     r = random.Random(3)
     run = "One small thing. Two of them. Three more now."
     docs = [(i, some(r, 30, end=0.05) + ".\n" + run + "\n" + some(r, 20, end=0.05) + ".") for i in range(3)] + [(9, run), (3, None), (4, ""), (None, run)]
-    rows = {x.doc_id: x for x in op3_substring.dedup_spans(spark.createDataFrame([(*d, "own") for d in docs], "doc_id long, text string, t string")).collect()}
+    rows = {x.doc_id: x for x in op3_substring.dedup_spans(spark.createDataFrame([(*d, "own") for d in docs], "doc_id int, text string, t string")).collect()}
     assert rows[0].text == docs[0][1] and all(run not in rows[i].text and rows[i].n_removed == 3 for i in (1, 2)) and rows[9].text == ""
     assert rows[None].text == run and rows[3].text is None and rows[4].text == "" and rows[1].t == "own"
 
