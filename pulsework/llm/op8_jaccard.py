@@ -8,8 +8,8 @@ exact: a prefix filter finds candidates, and whole sets decide. Two kinds of ski
   range and never meets the others.
 * *Answer-level.* A set's answer is its class, all that chains of links reach. Sets that share a band of min-hashes are compared
   with the first and the last of them, its leaders. A set that is verified to link with a leader has the leader's answer, whatever
-  is in it, without a comparison of its own; what the leader's answer doesn't tell is found afterwards among pairs of different
-  classes, and joins the classes. Equal sets share one answer from the start. Pairs inside a class are not listed.
+  is in it, without a comparison of its own; the same is done along the index lists, with one leader of a list at a time.
+  What the leaders' answers don't tell is found afterwards among pairs of different classes, and joins the classes. Equal sets share one answer from the start. Pairs inside a class are not listed.
 
 Tokens are ordered by rising frequency: the ``hot`` most frequent ones, counted over all documents, come last, which
 keeps shared passages and boilerplate out of the prefixes. The order decides only the cost.
@@ -28,6 +28,8 @@ from .textnp import Words, blocks, mix, shingle_sets, shingles
 
 #: The most tokens whose frequency is known everywhere (8 bytes each), and the least frequency of such a token.
 HOT, HOT_LEAST = 100_000, 16
+#: Turns in which the sets of each index list are compared with a leader, before pairs are made.
+TURNS = 1
 #: Sets of one token that one task compares.
 SETS_A_PART = 20_000
 #: Pairs of min-hashes by which a set finds its leaders.
@@ -133,7 +135,7 @@ def maybe_in(ids: DataFrame):
         i = place.to_numpy(zero_copy_only=False)
         return pa.array((table[i >> 6] >> (i & 63)) & 1 == 1)
 
-    return lambda column: test(F.pmod(F.xxhash64(column), F.lit(bits)))
+    return lambda column: test(F.pmod(F.xxhash64(F.col(column).cast("long")), F.lit(bits)))
 
 
 def verified(docs: DataFrame, signed: DataFrame, pairs: DataFrame, percent: int = 75, k: int = 5) -> DataFrame:
@@ -174,7 +176,7 @@ def jaccard_components(docs: DataFrame, percent: int = 75, k: int = 5) -> DataFr
     component_id unless such a set has a doc_id. Of rows that repeat a doc_id with other texts one text stands for all.
     Shingles are compared by 64-bit hashes. An empty table gives an empty result.
     """
-    docs = docs.select("doc_id", "text")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     hot = hot_tokens(docs, k=k)
     signed = cut(signatures(docs, k))
     classes = cut(signed.where("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep")))
@@ -195,8 +197,19 @@ def jaccard_components(docs: DataFrame, percent: int = 75, k: int = 5) -> DataFr
     tries = tries.where((F.col("s.doc_id") != F.col("b")) & (100 * F.least("s.n", "n") >= percent * F.greatest("s.n", "n"))).select(F.col("s.doc_id").alias("a"), "b").distinct()
     taken = cut(components(verified(docs, signed, tries, percent, k)))
 
-    # Index-level skipping: probe only the blocks that the position leaves in reach; pairs of one class have their answer.
+    # The same along the index lists: each set of a list is compared with one leader of another class, a new one in each turn.
     entry = cut(shared.join(taken.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("comp", F.coalesce("comp", "doc_id")))
+    whole = reps.join(taken.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("comp", F.coalesce("comp", "doc_id"))
+    for turn in range(TURNS):
+        # any set of the list may lead it
+        heads = entry.groupBy("token").agg(F.min_by(F.struct("doc_id", "n", "pos", "comp"), F.xxhash64("doc_id", F.lit(turn))).alias("h"), F.min("comp").alias("x"), F.max("comp").alias("y")).where("x != y").select("token", "h")
+        tries = spread(entry, heads, ["token"]).where((F.col("comp") != F.col("h.comp")) & (100 * F.least("n", "h.n") >= percent * F.greatest("n", "h.n")))
+        tries = tries.where((100 + percent) * F.least(F.col("n") - F.col("pos"), F.col("h.n") - F.col("h.pos")) >= percent * (F.col("n") + F.col("h.n")))
+        tries = tries.select(F.col("h.doc_id").alias("a"), F.col("doc_id").alias("b")).distinct()
+        merged = cut(_merged(verified(docs, signed, tries, percent, k), whole))
+        entry, whole = cut(_renamed(entry, merged)), cut(_renamed(whole, merged))
+
+    # Index-level skipping: probe only the blocks that the position leaves in reach; pairs of one class have their answer.
     # a token of very many sets is dealt into parts, each with all of the index side
     mixed = entry.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.max("n").alias("top"), (F.floor(F.count("*") / SETS_A_PART) + 1).cast("int").alias("parts")).where("x != y").select("token", "top", "parts")
     entry = cut(entry.join(mixed, "token"))
@@ -210,11 +223,7 @@ def jaccard_components(docs: DataFrame, percent: int = 75, k: int = 5) -> DataFr
     able = (F.col("ac") != F.col("bc")) & ((F.col("bn") > F.col("an")) | (F.col("bn") == F.col("an")) & (F.col("b") > F.col("a"))) & (percent * F.col("bn") <= 100 * F.col("an")) & ((100 + percent) * F.least(F.col("an") - F.col("ap"), F.col("bn") - F.col("bp")) >= percent * (F.col("an") + F.col("bn")))
     pairs = index.join(probe, ["token", "block", "part"]).where(able).select("a", "b").distinct()
     more = verified(docs, signed, pairs, percent, k)
-    ends = more.join(taken.select(F.col("node").alias("a"), F.col("comp").alias("ca")), "a", "left").join(taken.select(F.col("node").alias("b"), F.col("comp").alias("cb")), "b", "left")
-    merged = components(ends.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")))
-
-    whole = reps.join(taken.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("comp", F.coalesce("comp", "doc_id"))
-    whole = whole.join(merged.select(F.col("node").alias("comp"), F.col("comp").alias("top")), "comp", "left").select(F.col("doc_id").alias("rep"), F.coalesce("top", "comp").alias("comp"))
+    whole = _renamed(whole, _merged(more, whole)).select(F.col("doc_id").alias("rep"), "comp")
     named = classes.join(whole, "rep", "left").select("k1", "k2", "comp")
     rows = signed.select("doc_id", "n", "k1", "k2")
     found = spread(rows.where("n > 0"), named, ["k1", "k2"]).select("doc_id", "n", "comp")
@@ -222,6 +231,18 @@ def jaccard_components(docs: DataFrame, percent: int = 75, k: int = 5) -> DataFr
     return every.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("comp", "doc_id").alias("component_id"))
 
 
+def _merged(links: DataFrame, whole: DataFrame) -> DataFrame:
+    """(node, comp): the classes (of ``whole``: doc_id, comp) that the links (a, b) join, and what they become."""
+    ends = links.join(whole.toDF("a", "ca"), "a").join(whole.toDF("b", "cb"), "b")
+    return components(ends.select("ca", "cb").distinct(), "ca", "cb")
+
+
+def _renamed(rows: DataFrame, merged: DataFrame) -> DataFrame:
+    """The rows with their class (comp) as it is after the merge."""
+    both = rows.join(merged.select(F.col("node").alias("comp"), F.col("comp").alias("_top")), "comp", "left")
+    return both.withColumn("comp", F.coalesce("_top", "comp")).select(rows.columns)
+
+
 def query(spark, sf_dir):
     return jaccard_components(read(spark, sf_dir, "documents"))
 

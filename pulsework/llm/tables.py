@@ -72,8 +72,8 @@ def met(rows: DataFrame, index: DataFrame, on: list[str], by: str, broadcast_row
     return rows.withColumn("_part", F.pmod(F.xxhash64(by), F.lit(SALT)).cast("int")).join(parts, [*on, "_part"], how).drop("_part")
 
 
-#: Keys with more than one in so many of all rows are few enough to be broadcast.
-HOT = 4096
+#: Keys with more than one in so many of all rows are few enough to be broadcast. A table of ``SMALL`` rows or fewer is no burden to any task.
+HOT, SMALL = 4096, 100_000
 
 
 def spread(rows: DataFrame, index: DataFrame, on: list[str]) -> DataFrame:
@@ -82,6 +82,8 @@ def spread(rows: DataFrame, index: DataFrame, on: list[str]) -> DataFrame:
     Keys with more than one in ``HOT`` of all rows are at most ``HOT``: their rows of the index are broadcast, and their rows aren't shuffled.
     """
     total = rows.count()
+    if total <= SMALL:
+        return rows.join(index, on)
     found = rows.groupBy(on).agg(F.count("*").alias("_n")).where(F.col("_n") * HOT > total).select(on).collect()
     if not found:
         return rows.join(index, on)
