@@ -1,6 +1,6 @@
 """Mixing sources to target weights with soft membership. DataFrame functions only.
 
-A naive-Bayes classifier over hashed words, learned by one aggregation over the labelled rows, gives each document a posterior
+A naive-Bayes classifier over hashed words, learned by one aggregation over labelled rows, gives each document a posterior
 over domains (by default its language). Rates of documents are then fitted so that the expected tokens of each domain, the
 sum of rate * tokens * posterior, equal the targets: scaled projected-gradient least squares from a rate of 1, with the
 rates projected to at least ``least``. Only the totals of the domains travel to the driver; a document's rate is an
@@ -18,6 +18,8 @@ from .tables import cut, read
 
 #: Buckets of hashed words: the driver holds a number for each and each domain.
 BUCKETS = 1 << 13
+#: Labelled doc_ids that the classifier learns from at most, chosen by a hash: they are broadcast, so no text is shuffled.
+LEARN = 20_000
 #: Share of the tokens that each domain would have at this power of its present share.
 FLATTEN = 0.7
 STEPS, CLOSE = 50, 1e-9
@@ -74,13 +76,14 @@ def _with_posterior(docs: DataFrame, mix: Mix) -> DataFrame:
 def fit(docs: DataFrame, labels: DataFrame, domain: str = "lang", weights: dict[str, float] | None = None, least: float = 0.0, keep: list[str] | None = None) -> tuple[Mix, DataFrame]:
     """The fitted mix, and a table of _tokens and _p (and the columns ``keep``) of each row of ``docs``.
 
-    The classifier learns the column ``domain`` from rows of ``docs`` whose doc_id is in ``labels``; without such rows, from
-    all. ``weights``: the share of tokens wanted of each domain (0 for one that isn't named), by default its present share to
+    The classifier learns the column ``domain`` from rows of ``docs`` whose doc_id is in ``labels`` (``LEARN`` doc_ids at most);
+    without such rows, from all. ``weights``: the share of tokens wanted of each domain (0 for one that isn't named), by default its present share to
     the power FLATTEN. The sum of the targets is the smallest that asks no domain for fewer tokens than it has. Null texts have
     no tokens and count for nothing; repeated rows count each. The fit ends at ``STEPS`` steps, when it is close, or when the
     projection leaves no better one; ``residual`` of the mix tells how close it came.
     """
-    known = docs.select("doc_id", domain, "text").join(labels.select("doc_id").where("doc_id is not null").distinct(), "doc_id", "left_semi")
+    some = labels.select("doc_id").where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(LEARN)
+    known = docs.select("doc_id", domain, "text").join(F.broadcast(some), "doc_id", "left_semi")
     domains, table = learnt(known.select(domain, _buckets().alias("_b")), domain)
     if not domains:
         domains, table = learnt(docs.select(domain, _buckets().alias("_b")), domain)
@@ -132,17 +135,19 @@ def rated(rows: DataFrame, mix: Mix) -> DataFrame:
 
 
 def mixed(docs: DataFrame, mix: Mix) -> DataFrame:
-    """``docs`` with tokens, domain, posterior and rate, as ``rated`` has them."""
-    return rated(_with_posterior(docs, mix), mix)
+    """``docs`` with tokens, domain, posterior and rate, as ``rated`` has them; columns of its own of these names are replaced."""
+    own = [c for c in docs.columns if c not in ("tokens", "domain", "posterior", "rate")]
+    out = rated(_with_posterior(docs.select(F.struct(*own).alias("_own"), "text"), mix), mix)
+    return out.select("_own.*", "tokens", "domain", "posterior", "rate")
 
 
 def dealt(docs: DataFrame, mix: Mix) -> DataFrame:
     """Each row of ``docs``, with its own columns as they are, as often as its rate says: the whole part, and once more if a hash of its doc_id falls below the rest."""
     chance = F.pmod(F.xxhash64("doc_id", F.lit("mix")), F.lit(1_000_000)) / 1e6
-    out = _with_posterior(docs, mix).withColumn("_rate", _rate(mix.steps, mix.least) if mix.domains else F.lit(1.0))
+    out = _with_posterior(docs.select(F.struct(*docs.columns).alias("_own"), "text", "doc_id"), mix).withColumn("_rate", _rate(mix.steps, mix.least) if mix.domains else F.lit(1.0))
     times = (F.floor("_rate") + F.when(chance < F.col("_rate") - F.floor("_rate"), 1).otherwise(0)).cast("int")
-    out = out.withColumn("_copy", F.explode_outer(F.array_repeat(F.lit(1), times))).where("_copy is not null")
-    return out.select(docs.columns)
+    out = out.select("_own", F.explode_outer(F.array_repeat(F.lit(1), times)).alias("_copy")).where("_copy is not null")
+    return out.select("_own.*")
 
 
 def query(spark, sf_dir):
