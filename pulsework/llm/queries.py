@@ -1,6 +1,6 @@
 """The registered queries of this subpackage, and their SQL."""
 
-from . import op1_sharding, op2_quality, op3_substring, op4_decontamination, op5_mixing, op6_licenses, op7_quality_rules, op8_jaccard, op9_toxicity, op10_html, op12_search
+from . import op1_sharding, op2_quality, op3_substring, op4_decontamination, op5_mixing, op6_licenses, op7_quality_rules, op8_jaccard, op9_toxicity, op10_html, op12_search, op13_trie
 
 QUERIES = {
     "op1_sharding": op1_sharding.query,
@@ -14,5 +14,6 @@ QUERIES = {
     "op9_toxicity": op9_toxicity.query,
     "op10_html_extraction": op10_html.query,
     "op12_lexical_search": op12_search.query,
+    "op13_conversation_trie": op13_trie.query,
 }
-ORACLE: dict[str, str] = {"op1_sharding": op1_sharding.SQL, "op4_decontamination": op4_decontamination.SQL, "op6_license_scan": op6_licenses.SQL, "op7_quality_rules": op7_quality_rules.SQL, "op8_jaccard_join": op8_jaccard.SQL, "op12_lexical_search": op12_search.SQL}
+ORACLE: dict[str, str] = {"op1_sharding": op1_sharding.SQL, "op4_decontamination": op4_decontamination.SQL, "op6_license_scan": op6_licenses.SQL, "op7_quality_rules": op7_quality_rules.SQL, "op8_jaccard_join": op8_jaccard.SQL, "op12_lexical_search": op12_search.SQL, "op13_conversation_trie": op13_trie.SQL}
