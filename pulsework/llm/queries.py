@@ -1,6 +1,6 @@
 """The registered queries of this subpackage, and their SQL."""
 
-from . import op1_sharding, op2_quality, op3_substring, op4_decontamination, op5_mixing, op6_licenses, op7_quality_rules, op8_jaccard, op9_toxicity, op10_html, op12_search, op13_trie
+from . import op1_sharding, op2_quality, op3_substring, op4_decontamination, op5_mixing, op6_licenses, op7_quality_rules, op8_jaccard, op9_toxicity, op10_html, op11_language, op12_search, op13_trie
 
 QUERIES = {
     "op1_sharding": op1_sharding.query,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_jaccard_join": op8_jaccard.query,
     "op9_toxicity": op9_toxicity.query,
     "op10_html_extraction": op10_html.query,
+    "op11_language_id": op11_language.query,
     "op12_lexical_search": op12_search.query,
     "op13_conversation_trie": op13_trie.query,
 }
