@@ -4,7 +4,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .reduced import summed
-from .sequence import gauss_step, weights
+from .kernels import responses
+from .sequence import gauss_step
 
 
 def mixed_score(single: DataFrame, joint: DataFrame) -> DataFrame:
@@ -94,13 +95,11 @@ def union_of_curves(single: DataFrame, joint: DataFrame, sigma_single: float, si
 def edge_cube(traces: DataFrame, widths: list[int], numbers: list[float], before: int) -> DataFrame:
     """width, n_sigma, energy, n, n_fired, eff: traces whose response to an edge kernel of each width goes above n_sigma times the width's
     sigma, the standard deviation (population) of the first ``before`` responses of channel 0. With noise alone it counts false triggers."""
-    v = F.col("samples").cast("array<double>")
-    out = None
-    for width in widths:
-        one = traces.select(F.lit(width).alias("width"), "channel", "energy", weights(F.array(*map(F.lit, gauss_step(width))), v).alias("r"))
-        out = one if out is None else out.unionByName(one)
-    quiet = out.where("channel = 0").select("width", F.explode(F.slice("r", 1, before)).alias("x")).groupBy("width").agg(F.stddev_pop("x").alias("sigma"))
-    rows = out.select("width", "energy", F.array_max("r").alias("top"), F.explode(F.array(*map(F.lit, map(float, numbers)))).alias("n_sigma")).join(F.broadcast(quiet), "width")
+    made = responses(F.col("samples").cast("array<double>"), {w: gauss_step(w) for w in widths}, before)
+    out = traces.select("channel", "energy", F.inline(made))
+    quiet = out.where("channel = 0").groupBy("width").agg(F.sum("n").alias("k"), F.sum(F.col("n") * F.col("mean")).alias("s"), F.sum(F.col("m2") + F.col("n") * F.col("mean") * F.col("mean")).alias("q"))
+    quiet = quiet.select("width", F.sqrt(F.greatest((F.col("q") - F.col("s") * F.col("s") / F.col("k")) / F.col("k"), F.lit(0.0))).alias("sigma"))  # a row for each width
+    rows = out.select("width", "energy", "top", F.explode(F.array(*map(F.lit, map(float, numbers)))).alias("n_sigma")).join(F.broadcast(quiet), "width")
     found = rows.groupBy("width", "n_sigma", "energy").agg(F.count("*").alias("n"), F.count_if(F.col("top") > F.col("n_sigma") * F.col("sigma")).alias("n_fired"))
     return found.withColumn("eff", F.round(F.col("n_fired") / F.col("n"), 6))
 

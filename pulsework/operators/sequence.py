@@ -1,11 +1,12 @@
 """Sequences of samples: expressions on one row each (column ``samples``), without a shuffle.
 
-Null and empty traces give null or empty results.
+Null and empty traces give null or empty results. What looks at a sample's neighbours is in ``kernels``.
 """
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import kernels
 from .reduced import doubles
 from .shape import total
 
@@ -15,26 +16,11 @@ def first_difference(v: Column) -> Column:
     return F.zip_with(F.slice(v, 2, F.greatest(F.size(v) - 1, F.lit(0))), F.slice(v, 1, F.greatest(F.size(v) - 1, F.lit(0))), lambda a, b: a - b)
 
 
-def gradient(v: Column) -> Column:
-    """Central differences, one-sided at both ends; a single sample has none."""
-    n = F.size(v)
-    at = lambda i: F.get(v, i)
-    return F.transform(v, lambda x, i: F.when(n < 2, None).when(i == 0, at(i + 1) - x).when(i == n - 1, x - at(i - 1)).otherwise((at(i + 1) - at(i - 1)) / 2))
-
-
 def area(v: Column) -> Column:
     """Trapezoids with unit spacing."""
     return total(v) - (F.get(v, F.lit(0)) + F.element_at(v, -1)) / 2
 
 
-def median_filter(v: Column, kernel: int) -> Column:
-    """The median of ``kernel`` (odd) samples around each one; outside the trace there are zeros."""
-    half = kernel // 2
-    zeros = F.array_repeat(F.lit(0.0), half)
-    padded = F.concat(zeros, v, zeros)
-    return F.transform(v, lambda x, i: F.get(F.sort_array(F.slice(padded, i + 1, kernel)), F.lit(half)))
-
-
 def roll(v: Column, by: int) -> Column:
     """Circular: sample i goes to i + by."""
     n = F.size(v)
@@ -61,13 +47,6 @@ def quantised(v: Column, scale: float, limit: int = 32767) -> Column:
     return F.transform(clipped(F.transform(v, lambda x: x * scale), float(limit)), lambda x: x.cast("short"))
 
 
-def weights(kernel: Column, v: Column) -> Column:
-    """The 'valid' convolution of ``v`` with an array of weights: one value for each place where the kernel lies inside the trace."""
-    m, back = F.size(kernel), F.reverse(kernel)
-    starts = F.when(F.size(v) >= m, F.sequence(F.lit(1), F.size(v) - m + 1)).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda s: F.aggregate(F.zip_with(F.slice(v, s, m), back, lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x))
-
-
 def gauss_step(sigma: int, n_sigma: int = 3) -> list[float]:
     """Differences of a Gaussian over +- n_sigma widths, scaled so that a unit step gives a response of 1."""
     from math import exp
@@ -89,26 +68,10 @@ def edges(traces: DataFrame, low: float = 0.2, high: float = 0.8, baseline: int
     base: mean up to the edge (null if the edge is 0). height: mean of ``average`` samples from the maximum on, less the mean of the first
     ``baseline`` samples. rise: samples from the first above ``low`` to the first above ``high`` of (maximum - baseline), both before the
     maximum, 0 where there is none; null if the maximum is the first sample. peak: place of the maximum by a parabola through it and its
-    neighbours; at the ends the place itself.
+    neighbours; at the ends the place itself. Traces with a null sample have nulls.
     """
-    v, top, base = F.col("v"), F.col("top"), F.col("start")
-    rows = traces.where("size(samples) > 2").select("trace_id", doubles().alias("v"))
-    rows = rows.withColumn("d", first_difference(first_difference(v)))
-    n = F.size("d")
-    mean = total(F.col("d")) / n
-    rows = rows.withColumn("s", F.sqrt(F.greatest(total(F.transform("d", lambda x: x * x)) / n - mean * mean, F.lit(0.0))))
-    above = lambda k: F.greatest(F.array_position(F.transform("d", lambda x: x > k * F.col("s")), F.lit(True)) - 1, F.lit(0))
-    rows = rows.withColumn("edge", F.when(above(5) > 0, above(5)).otherwise(above(4)).cast("int"))
-    rows = rows.withColumn("top", (F.array_position(v, F.array_max(v)) - 1).cast("int")).withColumn("start", total(F.slice(v, 1, baseline)) / F.size(F.slice(v, 1, baseline)))
-    before = F.slice(v, F.lit(1), top)
-    first = lambda q: F.greatest(F.array_position(F.transform(before, lambda x: x - base > q * (F.array_max(v) - base)), F.lit(True)) - 1, F.lit(0))
-    ten = F.slice(v, top + 1, average)
-    left, mid, right = F.get(v, top - 1), F.get(v, top), F.get(v, top + 1)
-    bend = F.when((top > 0) & (top < F.size(v) - 1), F.try_divide(left - right, 2 * (left - 2 * mid + right)))
-    return rows.select(
-        "trace_id", "edge", F.when(F.col("edge") > 0, F.round(total(F.slice(v, F.lit(1), F.col("edge"))) / F.col("edge"), 6)).alias("base"),
-        F.round(total(ten) / F.size(ten) - base, 6).alias("height"), F.when(top > 0, first(high) - first(low)).cast("int").alias("rise"), F.round(top + F.coalesce(bend, F.lit(0.0)), 5).alias("peak"),
-    )
+    rows = traces.where("size(samples) > 2").select("trace_id", kernels.edges(doubles(), low, high, baseline, average).alias("e"))
+    return rows.select("trace_id", "e.edge", *(F.round(f"e.{c}", 6).alias(c) for c in ("base", "height")), "e.rise", F.round("e.peak", 5).alias("peak"))
 
 
 def hop_windows(traces: DataFrame, length: int, hop: int) -> DataFrame:
@@ -137,34 +100,4 @@ def near_peak(v: Column, reach: int = 2) -> Column:
 
 def unit_area(v: Column) -> Column:
     """The samples divided by their area; null where that is 0."""
-    return F.transform(v, lambda x: x / F.nullif(area(v), F.lit(0.0)))
-
-
-def polynomial_weights(window: int, degree: int) -> list[list[float]]:
-    """Row i: the weights of a window's samples in the value of their least-squares polynomial at place i of the window."""
-    import numpy as np
-
-    powers = np.vander(np.arange(window) - window // 2, degree + 1, increasing=True).astype(float)
-    return (powers @ np.linalg.pinv(powers)).tolist()
-
-
-def polynomial_smoothed(v: Column, window: int = 51, degree: int = 3) -> Column:
-    """Each sample is that of the polynomial through the ``window`` (odd) samples around it; within half a window of an end, of the first or
-    last window. Traces that are shorter than the window give null."""
-    half, n = window // 2, F.size(v)
-    table = F.array(*(F.array(*map(F.lit, row)) for row in polynomial_weights(window, degree)))
-    start = lambda i: F.greatest(F.lit(0), F.least(i - half, n - window))
-    at = lambda i: F.aggregate(F.zip_with(F.slice(v, start(i) + 1, F.lit(window)), F.get(table, i - start(i)), lambda x, w: x * w), F.lit(0.0), lambda a, x: a + x)
-    return F.when(n >= window, F.transform(v, lambda x, i: at(i)))
-
-
-def convolution(kernel: Column, v: Column, mode: str = "full") -> Column:
-    """The convolution with zeros outside the trace: ``full`` has every place with any overlap, ``same`` as many as the trace, from the middle; ``valid`` is ``weights``."""
-    m = F.size(kernel)
-    zeros = F.array_repeat(F.lit(0.0), m - 1)
-    full = weights(kernel, F.concat(zeros, v, zeros))
-    if mode == "full":
-        return full
-    if mode != "same":
-        raise ValueError(mode)
-    return F.slice(full, F.floor((m - 1) / 2).cast("int") + 1, F.size(v))
+    return F.transform(v, lambda x: x / F.nullif(area(v), F.lit(0.0)))
\ No newline at end of file

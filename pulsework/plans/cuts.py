@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from ..operators import calibration, combined, events, joins, models, reduced, selection, sequence, series
+from ..operators import calibration, combined, events, joins, kernels, models, reduced, selection, sequence, series
 from .calibrated import _HIST, _scan
 from .tables import LONG, P, T, items, places, traces
 from .tables import events as stream
@@ -107,9 +107,9 @@ QUERIES = {
     "triggered_sum": lambda s, d: events.triggered_sum(traces(s, d), 0.3).select("event_id", "n", F.posexplode("samples").alias("i", "v")).withColumn("v", F.round("v", 5)),
     "top_two": lambda s, d: events.top_two(traces(s, d)),
     "unit_area": lambda s, d: sequence.exploded(traces(s, d), sequence.unit_area(F.transform(reduced.doubles(), lambda x: x + 1)), "v").select("trace_id", "i", F.round("v", 8).alias("v")),
-    "polynomial_smoothed": lambda s, d: sequence.exploded(traces(s, d), sequence.polynomial_smoothed(reduced.doubles(), 5, 2), "v").select("trace_id", "i", F.round("v", 6).alias("v")),
-    "full_convolution": lambda s, d: sequence.exploded(traces(s, d), sequence.convolution(F.array(*map(F.lit, [1.0, -2.0, 0.5])), reduced.doubles()), "v").select("trace_id", "i", F.round("v", 6).alias("v")),
-    "same_convolution": lambda s, d: sequence.exploded(traces(s, d), sequence.convolution(F.array(*map(F.lit, [1.0, -2.0, 0.5])), reduced.doubles(), "same"), "v").select("trace_id", "i", F.round("v", 6).alias("v")),
+    "polynomial_smoothed": lambda s, d: sequence.exploded(traces(s, d), kernels.polynomial_smoothed(reduced.doubles(), 5, 2), "v").select("trace_id", "i", F.round("v", 6).alias("v")),
+    "full_convolution": lambda s, d: sequence.exploded(traces(s, d), kernels.convolution([1.0, -2.0, 0.5], reduced.doubles()), "v").select("trace_id", "i", F.round("v", 6).alias("v")),
+    "same_convolution": lambda s, d: sequence.exploded(traces(s, d), kernels.convolution([1.0, -2.0, 0.5], reduced.doubles(), "same"), "v").select("trace_id", "i", F.round("v", 6).alias("v")),
     "series_records": lambda s, d: series.records(_series(s, d), 64).select("channel", "block", "n", F.round(sequence.total(F.col("samples")), 4).alias("total")),
     "record_times": _described,
     "holdoff_trigger": _hits,

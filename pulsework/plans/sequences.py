@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from ..operators import reduced, selection, sequence
+from ..operators import kernels, reduced, selection, sequence
 from .tables import LONG, P, T, places, traces
 
 def _exploded(values, name):
@@ -18,7 +18,7 @@ def _area(s, d):
 
 
 def _edge_response(s, d):
-    return sequence.exploded(traces(s, d), sequence.weights(F.array(*map(F.lit, sequence.gauss_step(2))), reduced.doubles()), "x").select("trace_id", "i", F.round("x", 6).alias("v"))
+    return sequence.exploded(traces(s, d), kernels.weights(sequence.gauss_step(2), reduced.doubles()), "x").select("trace_id", "i", F.round("x", 6).alias("v"))
 
 
 def _segments(s, d):
@@ -30,9 +30,9 @@ def _segments(s, d):
 QUERIES = {
     "first_difference": _exploded(sequence.first_difference, "d"),
     "second_difference": _exploded(_second, "d"),
-    "gradient": _exploded(sequence.gradient, "g"),
+    "gradient": _exploded(kernels.gradient, "g"),
     "trapezoid_area": _area,
-    "median_filter": _exploded(lambda v: sequence.median_filter(v, 5), "m"),
+    "median_filter": _exploded(lambda v: kernels.median_filter(v, 5), "m"),
     "rolled_traces": _exploded(lambda v: sequence.roll(v, 7), "v"),
     "shifted_traces": _exploded(lambda v: sequence.shifted(v, -5), "v"),
     "padded_traces": lambda s, d: traces(s, d).select("trace_id", F.size(sequence.padded(reduced.doubles(), 100)).alias("n"), F.round(sequence.total(sequence.padded(reduced.doubles(), 100)), 6).alias("total")),

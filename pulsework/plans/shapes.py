@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from ..operators import filters, joins, models, reduced, selection, sequence, spectra, templates
+from ..operators import filters, joins, kernels, models, reduced, selection, sequence, spectra, templates
 from .banks import _mean_shape, _noise
 from .tables import LONG, T, traces
 
@@ -55,10 +55,10 @@ def _means(s, d, *keys):
 
 def _smooth_template(s, d):
     """Less the baseline, smoothed, averaged, and filtered by medians."""
-    v = sequence.polynomial_smoothed(F.transform("samples", lambda x: x - F.col("b")), 5, 2)
+    v = kernels.polynomial_smoothed(F.transform("samples", lambda x: x - F.col("b")), 5, 2)
     rows = traces(s, d).where("energy = 1").withColumn("b", reduced.mean(F.slice(reduced.doubles(), 1, 16))).withColumn("samples", reduced.doubles()).withColumn("samples", v)
     mean = templates.mean_trace(rows).agg(F.sort_array(F.collect_list(F.struct("i", "t"))).alias("s")).select(F.lit(0).alias("trace_id"), F.col("s.t").alias("v"))
-    return sequence.exploded(mean, sequence.median_filter(F.col("v"), 3), "t").select("i", F.round("t", 6).alias("t"))
+    return sequence.exploded(mean, kernels.median_filter(F.col("v"), 3), "t").select("i", F.round("t", 6).alias("t"))
 
 
 def _line_template(s, d):

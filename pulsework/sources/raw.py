@@ -1,8 +1,10 @@
 """Raw trace files as a data source: records have one size, so a task reads a range of them and nothing else of the file.
 
-``spark.dataSource.register(RawTraces)`` is done by the functions below. Options: ``path`` (a file or a folder; any file system that
-Arrow reads), ``records`` (records of a partition), ``part`` (``records`` or ``header``). Filters on place and on path reach the
-planning of partitions, so a point read opens one file at one place.
+``spark.dataSource.register(RawTraces)`` is done by the functions below. Options: ``path`` (a file or a folder, as a URI that Arrow's
+file systems read; without a scheme, a local one), ``first`` and ``last`` (places, both inclusive), ``file`` (of a folder, the
+files of this name), ``records`` (records of a partition), ``part`` (``records`` or ``header``) and ``pushdown``. Partitions are
+planned from the options, so a point read opens one file at one place, in any session. Where the session has
+``spark.sql.python.filterPushdown.enabled``, the functions also ask for ``pushdown``: filters on place and path then narrow the same plan.
 """
 
 from __future__ import annotations
@@ -52,22 +54,17 @@ def _head(f):
 class RawReader(DataSourceReader):
     def __init__(self, options: dict):
         self.root, self.header = options["path"], options.get("part", "records") == "header"
-        self.records, self.low, self.high, self.paths = int(options.get("records", RECORDS)), 0, None, None
-
-    def pushFilters(self, filters):
-        for f in filters:
-            if isinstance(f, (EqualTo, GreaterThanOrEqual)) and f.attribute == ("place",):
-                self.low = max(self.low, int(f.value))
-            if isinstance(f, (EqualTo, LessThanOrEqual)) and f.attribute == ("place",):
-                self.high = int(f.value) if self.high is None else min(self.high, int(f.value))
-            if isinstance(f, EqualTo) and f.attribute == ("path",):
-                self.paths = {f.value} & (self.paths or {f.value})
-            yield f  # rows are tested again
+        self.records, self.low, self.high, self.paths = int(options.get("records", RECORDS)), int(options.get("first", 0)), None, None
+        if options.get("last") is not None:
+            self.high = int(options["last"])
+        if self.records < 1 or self.low < 0:
+            raise ValueError("records has to be 1 at least, and first 0")
+        self.file = options.get("file")
 
     def partitions(self):
         out = []
         for path in _files(self.root):
-            if self.paths is not None and path not in self.paths:
+            if self.paths is not None and path not in self.paths or self.file is not None and path.rsplit("/", 1)[-1] != self.file:
                 continue
             if self.header:
                 out.append(Range(path, 0, 0))
@@ -78,7 +75,9 @@ class RawReader(DataSourceReader):
             out += [Range(path, at, min(at + self.records, last)) for at in range(self.low, last, self.records)]
         return out
 
-    def read(self, part: Range):
+    def read(self, part: Range | None):
+        if part is None:  # what Spark makes of an empty plan
+            return
         with _open(self.root, part.path) as f:
             head, scope, many, kind, start, n = _head(f)
             if self.header:
@@ -96,6 +95,20 @@ class RawReader(DataSourceReader):
                 yield pa.RecordBatch.from_arrays([*fields, lists], ["path", "place", "text", "trace_no", "time_stamp", "sec100", "temperature", "xref", "yref", "samples"])
 
 
+class PushedReader(RawReader):
+    """The same with filters on place and path, which Spark refuses of any reader unless the session allows them."""
+
+    def pushFilters(self, filters):
+        for f in filters:
+            if isinstance(f, (EqualTo, GreaterThanOrEqual)) and f.attribute == ("place",):
+                self.low = max(self.low, int(f.value))
+            if isinstance(f, (EqualTo, LessThanOrEqual)) and f.attribute == ("place",):
+                self.high = int(f.value) if self.high is None else min(self.high, int(f.value))
+            if isinstance(f, EqualTo) and f.attribute == ("path",):
+                self.paths = {f.value} & (self.paths or {f.value})
+            yield f  # rows are tested again
+
+
 class RawTraces(DataSource):
     @classmethod
     def name(cls):
@@ -105,21 +118,32 @@ class RawTraces(DataSource):
         return HEADER if self.options.get("part") == "header" else ROWS
 
     def reader(self, schema):
-        return RawReader(self.options)
+        return (PushedReader if self.options.get("pushdown") == "true" else RawReader)(self.options)
 
 
-def daq_traces(spark: SparkSession, path: str, records: int = RECORDS) -> DataFrame:
-    """path, place (from 0), text, trace_no, time_stamp, sec100, temperature, xref, yref, samples of every complete record; an incomplete last one is left out."""
+def _reader(spark: SparkSession, path: str, **options) -> DataFrame:
+    """A path without a scheme is one of the session's default file system, as in Spark's own readers."""
     spark.dataSource.register(RawTraces)
-    return spark.read.format("daq_raw").option("path", path).option("records", records).load()
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    whole = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(at).toString()
+    whole = "file://" + whole.removeprefix("file:") if whole.startswith("file:/") and not whole.startswith("file://") else whole
+    pushdown = spark.conf.get("spark.sql.python.filterPushdown.enabled", "false")
+    return spark.read.format("daq_raw").options(path=whole, pushdown=pushdown, **{k: v for k, v in options.items() if v is not None}).load()
+
+
+def daq_traces(spark: SparkSession, path: str, records: int = RECORDS, first: int | None = None, last: int | None = None, file: str | None = None) -> DataFrame:
+    """path, place (from 0), text, trace_no, time_stamp, sec100, temperature, xref, yref, samples of every complete record; an incomplete last one is left out.
+
+    ``first`` and ``last`` bound the places that are read (both inclusive), ``file`` is the name of the only file of a folder to be read.
+    """
+    return _reader(spark, path, records=records, first=first, last=last, file=file)
 
 
 def daq_files(spark: SparkSession, path: str) -> DataFrame:
     """One row for each raw file: path, its header, and xfac, xofs (seconds a sample and start); only the headers are read."""
-    spark.dataSource.register(RawTraces)
-    return spark.read.format("daq_raw").option("path", path).option("part", "header").load()
+    return _reader(spark, path, part="header")
 
 
-def daq_record(spark: SparkSession, path: str, place: int) -> DataFrame:
-    """The record at one place of a file (of each file of a folder); with spark.sql.python.filterPushdown.enabled only that one is read."""
-    return daq_traces(spark, path).where(f"place = {int(place)}")
+def daq_record(spark: SparkSession, path: str, place: int, file: str | None = None) -> DataFrame:
+    """The record at one place of a file (of each file of a folder, or of the named one); no other record is read. A place past the end gives no row."""
+    return daq_traces(spark, path, first=int(place), last=int(place), file=file)

@@ -41,12 +41,15 @@ def test_mapped_traces_and_events(spark):
     assert tables.by_event(df, lambda f: f.groupby("event_id", as_index=False).v.sum(), "event_id long, v double").count() == 3
 
 
+@pytest.mark.parametrize("pushdown", [None, "true"])
 @pytest.mark.parametrize("kind", ["<u2", "<u4"])
-def test_raw_source_by_ranges(spark, tmp_path, kind):
+def test_raw_source_by_ranges(spark, tmp_path, kind, pushdown):
     data = np.random.default_rng(1).integers(0, 60000, (23, 12)).astype(kind)
     write_raw(tmp_path / "a.raw", data)
     write_raw(tmp_path / "b.raw", data[:5])
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    spark = spark.newSession()
+    if pushdown:
+        spark.conf.set("spark.sql.python.filterPushdown.enabled", pushdown)
     assert {(x.version, x.n_traces, x.samples_per_block) for x in raw.daq_files(spark, str(tmp_path)).collect()} == {("v7", 23, 12), ("v7", 5, 12)}
     rows = raw.daq_traces(spark, str(tmp_path / "a.raw"), records=4)
     assert rows.rdd.getNumPartitions() == 6
@@ -54,6 +57,15 @@ def test_raw_source_by_ranges(spark, tmp_path, kind):
     one = raw.daq_record(spark, str(tmp_path), 7)
     assert [(x.place, x.samples) for x in one.collect()] == [(7, data[7].tolist())] and one.rdd.getNumPartitions() == 1
     assert traces.read_traces(spark, str(tmp_path / "b.raw")).where("place between 1 and 2").count() == 2
+    two = raw.daq_record(spark, f"file://{tmp_path}", 3)
+    assert [x.samples for x in two.collect()] == [data[3].tolist()] * 2 and two.rdd.getNumPartitions() == 2
+    named = raw.daq_record(spark, str(tmp_path), 3, file="b.raw")
+    assert [x.path.rsplit("/", 1)[-1] for x in named.collect()] == ["b.raw"] and named.rdd.getNumPartitions() == 1
+    part = raw.daq_traces(spark, str(tmp_path), records=4, first=3, last=9)
+    assert sorted(x.place for x in part.collect()) == [3, 3, 4, 4, 5, 6, 7, 8, 9] and part.rdd.getNumPartitions() == 3
+    filtered = raw.daq_traces(spark, str(tmp_path), records=4).where("place >= 20")
+    assert filtered.count() == 3 and filtered.rdd.getNumPartitions() == (1 if pushdown else 8)
+    assert raw.daq_record(spark, str(tmp_path), 99).count() == 0
     (tmp_path / "c.raw").write_bytes(b"short")
     with pytest.raises(Exception, match="shorter"):
         raw.daq_files(spark, str(tmp_path / "c.raw")).collect()
