@@ -43,13 +43,13 @@ def test_mapped_traces_and_events(spark):
 
 @pytest.mark.parametrize("pushdown", [None, "true"])
 @pytest.mark.parametrize("kind", ["<u2", "<u4"])
-def test_raw_source_by_ranges(spark, tmp_path, kind, pushdown):
+def test_raw_source_by_ranges(spark, tmp_path, kind, pushdown, request):
     data = np.random.default_rng(1).integers(0, 60000, (23, 12)).astype(kind)
     write_raw(tmp_path / "a.raw", data)
     write_raw(tmp_path / "b.raw", data[:5])
-    spark = spark.newSession()
     if pushdown:
         spark.conf.set("spark.sql.python.filterPushdown.enabled", pushdown)
+        request.addfinalizer(lambda: spark.conf.unset("spark.sql.python.filterPushdown.enabled"))
     assert {(x.version, x.n_traces, x.samples_per_block) for x in raw.daq_files(spark, str(tmp_path)).collect()} == {("v7", 23, 12), ("v7", 5, 12)}
     rows = raw.daq_traces(spark, str(tmp_path / "a.raw"), records=4)
     assert rows.rdd.getNumPartitions() == 6
