@@ -34,7 +34,8 @@ TURNS = 1
 SETS_A_PART = 20_000
 #: Pairs of min-hashes by which a set finds its leaders.
 BANDS = 6
-#: The fewest bits of a parity bitmap; larger sets have as many as the power of two that isn't below their size.
+#: The fewest bits of a parity bitmap; larger sets have four times the power of two that isn't below their size, so that hardly a pair
+#: that isn't similar passes.
 BITS = 512
 #: Bits of the filter that spares most texts the shuffle; a fixed bound, so on very large inputs it lets more through.
 FILTER = 1 << 26
@@ -71,7 +72,7 @@ def signatures(docs: DataFrame, k: int = 5) -> DataFrame:
                 n.append(len(s))
                 keys.append(xxhash.xxh3_128_digest(s.tobytes()))
                 low = np.array([((s ^ x) * np.uint64(0xD6E8FEB86659FD93)).min() for x in seeds]) if len(s) else seeds
-                m = max(BITS, 1 << (len(s) - 1).bit_length())
+                m = max(BITS, 4 << (len(s) - 1).bit_length())
                 odd.append(np.packbits(np.bincount((s & np.uint64(m - 1)).astype(np.int64), minlength=m) & 1).view(np.int64))
                 bands.append(mix(low[::2] + mix(low[1::2])))
             two = np.frombuffer(b"".join(keys), np.int64).reshape(-1, 2) if keys else np.zeros((0, 2), np.int64)
@@ -138,20 +139,18 @@ def maybe_in(ids: DataFrame):
     return lambda column: test(F.pmod(F.xxhash64(F.col(column).cast("long")), F.lit(bits)))
 
 
+def odd_of(signed: DataFrame, *more: str) -> DataFrame:
+    return signed.select("doc_id", *more, "odd").dropDuplicates(["doc_id"])
+
+
 def verified(docs: DataFrame, signed: DataFrame, pairs: DataFrame, percent: int = 75, k: int = 5) -> DataFrame:
     """Those of the pairs (a, b) whose whole sets are similar enough.
 
     Sets differ in at least as many shingles as their parity bitmaps differ in bits; pairs whose bitmaps differ in too
     many bits can't be similar and are left before any set is fetched. ``percent`` is at least 50.
     """
-    odd = signed.select("doc_id", "n", "odd").dropDuplicates(["doc_id"])
-    both = spread(cut(pairs), odd.toDF("a", "na", "oa"), ["a"]).join(odd.toDF("b", "nb", "ob"), "b")
-    # halving a bitmap by xor gives the bitmap of half as many residues, so the two can have one size
-    m = F.least(F.size("oa"), F.size("ob"))
-    halved = lambda x: F.when(F.size(x) > m, F.zip_with(F.slice(x, F.lit(1), m), F.slice(x, m + 1, m), lambda x, y: x.bitwiseXOR(y))).otherwise(F.col(x))
-    both = both.where((F.size("oa") <= 2 * F.size("ob")) & (F.size("ob") <= 2 * F.size("oa"))).withColumns({"oa": halved("oa"), "ob": halved("ob")})
-    apart = F.aggregate(F.zip_with("oa", "ob", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
-    pairs = cut(both.where((100 + percent) * apart <= (100 - percent) * (F.col("na") + F.col("nb"))).select("a", "b"))
+    both = spread(cut(pairs), odd_of(signed, "n").toDF("a", "na", "oa"), ["a"]).join(odd_of(signed, "n").toDF("b", "nb", "ob"), "b")
+    pairs = cut(both.where(_may_be_similar("na", "oa", "nb", "ob", percent)).select("a", "b"))
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
 
     def sets(batches):
@@ -168,6 +167,18 @@ def verified(docs: DataFrame, signed: DataFrame, pairs: DataFrame, percent: int
     return both.where(100 * F.col("common") >= percent * (F.size("sa") + F.size("sb") - F.col("common"))).select("a", "b")
 
 
+def _may_be_similar(na: str, oa: str, nb: str, ob: str, percent: int):
+    """False if the bitmaps (columns) of two sets and their sizes rule out that they are similar enough.
+
+    Halving a bitmap by exclusive or gives the bitmap of half as many residues, so the two can have one size: sets of similar sizes have
+    bitmaps that differ by a factor of two at most.
+    """
+    m = F.least(F.size(oa), F.size(ob))
+    halved = lambda x: F.when(F.size(x) > m, F.zip_with(F.slice(x, F.lit(1), m), F.slice(x, m + 1, m), lambda x, y: x.bitwiseXOR(y))).otherwise(F.col(x))
+    apart = F.aggregate(F.zip_with(halved(oa), halved(ob), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
+    return (F.size(oa) <= 2 * F.size(ob)) & (F.size(ob) <= 2 * F.size(oa)) & ((100 + percent) * apart <= (100 - percent) * (F.col(na) + F.col(nb)))
+
+
 def jaccard_components(docs: DataFrame, percent: int = 75, k: int = 5) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of ``docs`` (doc_id, text; other columns are not looked at).
 
@@ -212,15 +223,18 @@ def jaccard_components(docs: DataFrame, percent: int = 75, k: int = 5) -> DataFr
     # Index-level skipping: probe only the blocks that the position leaves in reach; pairs of one class have their answer.
     # a token of very many sets is dealt into parts, each with all of the index side
     mixed = entry.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.max("n").alias("top"), (F.floor(F.count("*") / SETS_A_PART) + 1).cast("int").alias("parts")).where("x != y").select("token", "top", "parts")
-    entry = cut(entry.join(mixed, "token"))
+    entry = cut(spread(entry, mixed, ["token"]))
+    entry = cut(spread(entry, odd_of(signed), ["doc_id"]))
     ratio = 100 / percent
     # overlap >= percent / (100 + percent) * (n + m), and it is at most the number of tokens from the position on
     n, pos = F.col("n"), F.col("pos")
     most = F.least(F.floor((100 + percent) * (n - pos) / percent).cast("long") - n, "top")
-    index = entry.where((pos < n - F.ceil(2 * percent * n / (100 + percent)) + 1) & (most >= n)).select("token", F.col("doc_id").alias("a"), n.alias("an"), pos.alias("ap"), F.col("comp").alias("ac"), F.explode(F.sequence(block(n, ratio), block(most, ratio))).alias("block"), "parts")
+    index = entry.where((pos < n - F.ceil(2 * percent * n / (100 + percent)) + 1) & (most >= n)).select("token", F.col("doc_id").alias("a"), n.alias("an"), pos.alias("ap"), F.col("comp").alias("ac"), F.col("odd").alias("ao"), F.explode(F.sequence(block(n, ratio), block(most, ratio))).alias("block"), "parts")
     index = index.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
-    probe = entry.select("token", F.col("doc_id").alias("b"), n.alias("bn"), pos.alias("bp"), F.col("comp").alias("bc"), block(n, ratio).alias("block"), F.pmod(F.xxhash64("doc_id"), "parts").cast("int").alias("part"))
+    probe = entry.select("token", F.col("doc_id").alias("b"), n.alias("bn"), pos.alias("bp"), F.col("comp").alias("bc"), F.col("odd").alias("bo"), block(n, ratio).alias("block"), F.pmod(F.xxhash64("doc_id"), "parts").cast("int").alias("part"))
     able = (F.col("ac") != F.col("bc")) & ((F.col("bn") > F.col("an")) | (F.col("bn") == F.col("an")) & (F.col("b") > F.col("a"))) & (percent * F.col("bn") <= 100 * F.col("an")) & ((100 + percent) * F.least(F.col("an") - F.col("ap"), F.col("bn") - F.col("bp")) >= percent * (F.col("an") + F.col("bn")))
+    # The bitmaps are compared inside the join: of sets that share a token but aren't similar hardly a row is made.
+    able = able & _may_be_similar("an", "ao", "bn", "bo", percent)
     pairs = index.join(probe, ["token", "block", "part"]).where(able).select("a", "b").distinct()
     more = verified(docs, signed, pairs, percent, k)
     whole = _renamed(whole, _merged(more, whole)).select(F.col("doc_id").alias("rep"), "comp")

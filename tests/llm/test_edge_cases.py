@@ -113,3 +113,32 @@ def test_a_frequent_line_of_a_large_host_counts(spark):
     got = {r.doc_id: r for r in op7_quality_rules.quality_rules(rows).collect()}
     assert not any(r.base_failed for r in got.values())
     assert {i for i, r in got.items() if not r.kept} == set(range(31)) and got[0].n_removed_words == 60 and got[31].n_removed_words == 0
+
+
+@pytest.mark.parametrize("sets", [60, 120])
+def test_sets_below_the_threshold_make_few_pairs(spark, monkeypatch, sets):
+    """Texts that differ from one base in 7 of 300 words: nearly all pairs have a similarity near 0.64, and each shares most words with all others."""
+    r = random.Random(4)
+    base, rows, tried = [f"w{r.randrange(5000)}" for _ in range(300)], [], []
+    for i in range(sets):
+        words = list(base)
+        for j in r.sample(range(300), 7):
+            words[j] = f"x{r.randrange(10**9)}"
+        rows.append((i, " ".join(words)))
+    real = op8_jaccard.verified
+
+    def counting(docs, signed, pairs, *more):
+        tried.append(pairs.count())
+        return real(docs, signed, pairs, *more)
+
+    monkeypatch.setattr(op8_jaccard, "verified", counting)
+    got = {x.doc_id: x.component_id for x in op8_jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    shingled = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for _, t in rows for w in [t.split()]]
+    comp = list(range(sets))
+    for a in range(sets):
+        for b in range(a):
+            if 100 * len(shingled[a] & shingled[b]) >= 75 * len(shingled[a] | shingled[b]) and comp[a] != comp[b]:
+                old, new = max(comp[a], comp[b]), min(comp[a], comp[b])
+                comp = [new if c == old else c for c in comp]
+    assert got == dict(enumerate(comp))
+    assert tried[-1] <= sets and sum(tried) <= 12 * sets
