@@ -34,9 +34,11 @@ TURNS = 1
 SETS_A_PART = 20_000
 #: Pairs of min-hashes by which a set finds its leaders.
 BANDS = 6
-#: The fewest bits of a parity bitmap; larger sets have four times the power of two that isn't below their size, so that hardly a pair
-#: that isn't similar passes.
+#: The fewest bits of a parity bitmap; larger sets have as many as the power of two that isn't below their size. Wide ones have four times
+#: as many, so that hardly a pair that isn't similar passes.
 BITS = 512
+#: Sets of a list that are paired without a look at their wide bitmaps, so a set makes no more rows of a list than this.
+FEW_SETS = 32
 #: Bits of the filter that spares most texts the shuffle; a fixed bound, so on very large inputs it lets more through.
 FILTER = 1 << 26
 
@@ -61,27 +63,29 @@ def hot_tokens(docs: DataFrame, hot: int = HOT, k: int = 5) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, k: int = 5) -> DataFrame:
-    """(doc_id, n, k1, k2, bands, odd): the set's size, a 128-bit hash of the set, ``BANDS`` hashes of two min-hashes each, and
-    a bitmap (``BITS`` bits, or more for large sets) that tells of which residues of the hashes the set has an odd number."""
+    """(doc_id, n, k1, k2, bands, odd, wide): the set's size, a 128-bit hash of the set, ``BANDS`` hashes of two min-hashes each, and
+    bitmaps (``BITS`` bits, or more for large sets) that tell of which residues of the hashes the set has an odd number."""
     seeds = mix(np.arange(1, 2 * BANDS + 1, dtype=np.uint64))
 
     def sign(batches):
         for batch in batches:
-            n, keys, bands, odd = [], [], [], []
+            n, keys, bands, odd, wide = [], [], [], [], []
             for s in shingle_sets(batch.column(1), k):
                 n.append(len(s))
                 keys.append(xxhash.xxh3_128_digest(s.tobytes()))
                 low = np.array([((s ^ x) * np.uint64(0xD6E8FEB86659FD93)).min() for x in seeds]) if len(s) else seeds
-                m = max(BITS, 4 << (len(s) - 1).bit_length())
-                odd.append(np.packbits(np.bincount((s & np.uint64(m - 1)).astype(np.int64), minlength=m) & 1).view(np.int64))
+                m = 4 * max(BITS, 1 << (len(s) - 1).bit_length())
+                bits = np.bincount((s & np.uint64(m - 1)).astype(np.int64), minlength=m) & 1
+                wide.append(np.packbits(bits).view(np.int64))
+                odd.append(np.packbits(bits.reshape(4, -1).sum(0) & 1).view(np.int64))
                 bands.append(mix(low[::2] + mix(low[1::2])))
             two = np.frombuffer(b"".join(keys), np.int64).reshape(-1, 2) if keys else np.zeros((0, 2), np.int64)
             flat = np.concatenate(bands).view(np.int64) if bands else np.zeros(0, np.int64)
-            bits = np.concatenate(odd) if odd else np.zeros(0, np.int64)
+            whole = lambda x: pa.array(np.concatenate(x) if x else np.zeros(0, np.int64))
             listed = lambda x, sizes: pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes], dtype=np.int32)), pa.array(x))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(two[:, 0].copy()), pa.array(two[:, 1].copy()), listed(flat, [BANDS] * len(n)), listed(bits, map(len, odd))], ["doc_id", "n", "k1", "k2", "bands", "odd"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(two[:, 0].copy()), pa.array(two[:, 1].copy()), listed(flat, [BANDS] * len(n)), listed(whole(odd), map(len, odd)), listed(whole(wide), map(len, wide))], ["doc_id", "n", "k1", "k2", "bands", "odd", "wide"])
 
-    return docs.select("doc_id", "text").mapInArrow(sign, "doc_id long, n long, k1 long, k2 long, bands array<long>, odd array<long>")
+    return docs.select("doc_id", "text").mapInArrow(sign, "doc_id long, n long, k1 long, k2 long, bands array<long>, odd array<long>, wide array<long>")
 
 
 def prefixes(docs: DataFrame, hot: np.ndarray, percent: int = 75, k: int = 5) -> DataFrame:
@@ -139,17 +143,14 @@ def maybe_in(ids: DataFrame):
     return lambda column: test(F.pmod(F.xxhash64(F.col(column).cast("long")), F.lit(bits)))
 
 
-def odd_of(signed: DataFrame, *more: str) -> DataFrame:
-    return signed.select("doc_id", *more, "odd").dropDuplicates(["doc_id"])
-
-
 def verified(docs: DataFrame, signed: DataFrame, pairs: DataFrame, percent: int = 75, k: int = 5) -> DataFrame:
     """Those of the pairs (a, b) whose whole sets are similar enough.
 
     Sets differ in at least as many shingles as their parity bitmaps differ in bits; pairs whose bitmaps differ in too
     many bits can't be similar and are left before any set is fetched. ``percent`` is at least 50.
     """
-    both = spread(cut(pairs), odd_of(signed, "n").toDF("a", "na", "oa"), ["a"]).join(odd_of(signed, "n").toDF("b", "nb", "ob"), "b")
+    odd = signed.select("doc_id", "n", "odd").dropDuplicates(["doc_id"])
+    both = spread(cut(pairs), odd.toDF("a", "na", "oa"), ["a"]).join(odd.toDF("b", "nb", "ob"), "b")
     pairs = cut(both.where(_may_be_similar("na", "oa", "nb", "ob", percent)).select("a", "b"))
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
 
@@ -201,7 +202,6 @@ def jaccard_components(docs: DataFrame, percent: int = 75, k: int = 5) -> DataFr
     shared = cut(shared.drop("x", "y"))
 
     # Answer-level skipping: compare with the two leaders of each band first.
-    block = lambda n, ratio: F.floor(F.log(n.cast("double")) / float(np.log(ratio)))
     banded = cut(signed.join(reps, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "n", F.posexplode("bands").alias("band", "key")))
     leads = banded.groupBy("band", "key").agg(F.min(F.struct("doc_id", "n")).alias("x"), F.max(F.struct("doc_id", "n")).alias("y")).where("x != y")
     tries = spread(banded, leads, ["band", "key"]).select(F.explode(F.array("x", "y")).alias("s"), F.col("doc_id").alias("b"), "n")
@@ -222,20 +222,11 @@ def jaccard_components(docs: DataFrame, percent: int = 75, k: int = 5) -> DataFr
 
     # Index-level skipping: probe only the blocks that the position leaves in reach; pairs of one class have their answer.
     # a token of very many sets is dealt into parts, each with all of the index side
-    mixed = entry.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.max("n").alias("top"), (F.floor(F.count("*") / SETS_A_PART) + 1).cast("int").alias("parts")).where("x != y").select("token", "top", "parts")
+    mixed = entry.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.max("n").alias("top"), (F.floor(F.count("*") / SETS_A_PART) + 1).cast("int").alias("parts"), (F.count("*") > FEW_SETS).alias("many")).where("x != y").select("token", "top", "parts", "many")
     entry = cut(spread(entry, mixed, ["token"]))
-    entry = cut(spread(entry, odd_of(signed), ["doc_id"]))
-    ratio = 100 / percent
-    # overlap >= percent / (100 + percent) * (n + m), and it is at most the number of tokens from the position on
-    n, pos = F.col("n"), F.col("pos")
-    most = F.least(F.floor((100 + percent) * (n - pos) / percent).cast("long") - n, "top")
-    index = entry.where((pos < n - F.ceil(2 * percent * n / (100 + percent)) + 1) & (most >= n)).select("token", F.col("doc_id").alias("a"), n.alias("an"), pos.alias("ap"), F.col("comp").alias("ac"), F.col("odd").alias("ao"), F.explode(F.sequence(block(n, ratio), block(most, ratio))).alias("block"), "parts")
-    index = index.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
-    probe = entry.select("token", F.col("doc_id").alias("b"), n.alias("bn"), pos.alias("bp"), F.col("comp").alias("bc"), F.col("odd").alias("bo"), block(n, ratio).alias("block"), F.pmod(F.xxhash64("doc_id"), "parts").cast("int").alias("part"))
-    able = (F.col("ac") != F.col("bc")) & ((F.col("bn") > F.col("an")) | (F.col("bn") == F.col("an")) & (F.col("b") > F.col("a"))) & (percent * F.col("bn") <= 100 * F.col("an")) & ((100 + percent) * F.least(F.col("an") - F.col("ap"), F.col("bn") - F.col("bp")) >= percent * (F.col("an") + F.col("bn")))
-    # The bitmaps are compared inside the join: of sets that share a token but aren't similar hardly a row is made.
-    able = able & _may_be_similar("an", "ao", "bn", "bo", percent)
-    pairs = index.join(probe, ["token", "block", "part"]).where(able).select("a", "b").distinct()
+    # In long lists the bitmaps are compared inside the join: of sets that share a token but aren't similar hardly a row is made.
+    long = spread(cut(entry.where("many")), signed.select("doc_id", "wide").dropDuplicates(["doc_id"]), ["doc_id"])
+    pairs = _probed(entry.where("not many"), percent).unionByName(_probed(cut(long), percent, _may_be_similar("an", "aw", "bn", "bw", percent))).distinct()
     more = verified(docs, signed, pairs, percent, k)
     whole = _renamed(whole, _merged(more, whole)).select(F.col("doc_id").alias("rep"), "comp")
     named = classes.join(whole, "rep", "left").select("k1", "k2", "comp")
@@ -245,6 +236,22 @@ def jaccard_components(docs: DataFrame, percent: int = 75, k: int = 5) -> DataFr
     return every.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("comp", "doc_id").alias("component_id"))
 
 
+def _probed(entry: DataFrame, percent: int, able=None) -> DataFrame:
+    """Pairs (a, b) of sets of different classes that an index list (token, with doc_id, n, pos, comp, top, parts) brings together in reach of the
+    threshold, and for which ``able`` holds. Lists fall into blocks by size; a pair may come from several lists."""
+    ratio = 100 / percent
+    block = lambda n: F.floor(F.log(n.cast("double")) / float(np.log(ratio)))
+    # overlap >= percent / (100 + percent) * (n + m), and it is at most the number of tokens from the position on
+    n, pos = F.col("n"), F.col("pos")
+    most = F.least(F.floor((100 + percent) * (n - pos) / percent).cast("long") - n, "top")
+    side = lambda x: [F.col("doc_id").alias(x), n.alias(f"{x}n"), pos.alias(f"{x}p"), F.col("comp").alias(f"{x}c"), *([F.col("wide").alias(f"{x}w")] if able is not None else [])]
+    index = entry.where((pos < n - F.ceil(2 * percent * n / (100 + percent)) + 1) & (most >= n)).select("token", *side("a"), F.explode(F.sequence(block(n), block(most))).alias("block"), "parts")
+    index = index.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    probe = entry.select("token", *side("b"), block(n).alias("block"), F.pmod(F.xxhash64("doc_id"), "parts").cast("int").alias("part"))
+    near = (F.col("ac") != F.col("bc")) & ((F.col("bn") > F.col("an")) | (F.col("bn") == F.col("an")) & (F.col("b") > F.col("a"))) & (percent * F.col("bn") <= 100 * F.col("an")) & ((100 + percent) * F.least(F.col("an") - F.col("ap"), F.col("bn") - F.col("bp")) >= percent * (F.col("an") + F.col("bn")))
+    return index.join(probe, ["token", "block", "part"]).where(near if able is None else near & able).select("a", "b")
+
+
 def _merged(links: DataFrame, whole: DataFrame) -> DataFrame:
     """(node, comp): the classes (of ``whole``: doc_id, comp) that the links (a, b) join, and what they become."""
     ends = links.join(whole.toDF("a", "ca"), "a").join(whole.toDF("b", "cb"), "b")
