@@ -140,34 +140,6 @@ def triggered_sum(traces: DataFrame, threshold: float) -> DataFrame:
     return summed(traces.where(F.array_max(doubles()) > threshold), "event_id")
 
 
-def held_off(series: DataFrame, threshold: float, rearm: float, holdoff: int) -> DataFrame:
-    """channel, i of hits in rows (channel, i, v): a value above ``threshold`` while armed, after which ``holdoff`` samples are skipped, not
-    even the test for arming is made; a later value below rearm * threshold arms again.
-
-    Samples that are neither above nor below don't leave the JVM. A task reads its channels in order, with one flag and one number.
-    """
-    low = rearm * threshold
-
-    def part(batches):
-        channel, fired, free = None, False, 0
-        for batch in batches:
-            names, places, values, out = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), []
-            for row, (c, i, v) in enumerate(zip(names, places, values)):
-                if c != channel:
-                    channel, fired, free = c, False, i
-                if i < free:
-                    continue
-                if not fired and v > threshold:
-                    out.append(row)
-                    fired, free = True, i + 1 + holdoff
-                elif fired and v < low:
-                    fired = False
-            yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(out, pa.int64())) for c in (0, 1)], ["channel", "i"])
-
-    some = series.where((F.col("v") > threshold) | (F.col("v") < low)).select("channel", F.col("i").cast("long").alias("i"), F.col("v").cast("double").alias("v"))
-    return some.repartition("channel").sortWithinPartitions("channel", "i").mapInArrow(part, f"channel {series.schema['channel'].dataType.simpleString()}, i long")
-
-
 def hits_per_record(hits: DataFrame, records: DataFrame, length: int) -> DataFrame:
     """channel, block, hits: how many hits (channel, i) each record (channel, block) of ``length`` samples has; 0 for those without any."""
     counts = hits.groupBy("channel", F.floor(F.col("i") / length).cast("long").alias("block")).agg(F.count("*").alias("hits"))

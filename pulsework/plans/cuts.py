@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from ..operators import calibration, combined, events, joins, kernels, models, reduced, selection, sequence, series
+from ..operators import calibration, combined, events, holdoff, joins, kernels, models, reduced, selection, sequence, series
 from .calibrated import _HIST, _scan
 from .tables import LONG, P, T, items, places, traces
 from .tables import events as stream
@@ -62,7 +62,7 @@ def _finite(s, d):
 
 
 def _hits(s, d):
-    return events.held_off(places(s, d), 80.0, 0.5, 4)
+    return holdoff.held_off(places(s, d), 80.0, 0.5, 4)
 
 
 def _scalars(s, d):

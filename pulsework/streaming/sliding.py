@@ -13,36 +13,47 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 from ..operators.filters import Filter
 
 
+def advanced(f: Filter, ddof: int, first: int, tail, i: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, int, np.ndarray]:
+    """start, amp and chisq of the windows that the samples (rising places ``i``) complete, and the new tail with its first place.
+
+    The tail holds the last samples, one fewer than a window. Samples up to its end are left out; after a gap it starts anew.
+    """
+    n, norm = f.length, f.norm
+    if len(tail):
+        new = i >= first + len(tail)
+        i, v = i[new], v[new]
+    none = np.zeros(0)
+    if not len(i):
+        return none.astype(np.int64), none, none, first, np.asarray(tail, float)
+    if not len(tail) or i[0] != first + len(tail):
+        first, tail = int(i[0]), none
+    holes = np.flatnonzero(np.diff(i) > 1)
+    runs, starts = np.split(v, holes + 1), [first, *(int(i[h + 1]) for h in holes)]
+    runs[0] = np.concatenate([tail, runs[0]])
+    found = []
+    for at, x in zip(starts, runs, strict=True):
+        if len(x) >= n:
+            amp = f.correlated(x)
+            found.append((np.arange(at, at + len(amp)), amp, (f.powers(x) - amp**2 * norm) / (n - ddof)))
+    keep = runs[-1][max(0, len(runs[-1]) - n + 1) :]
+    start, amp, chi = (np.concatenate(c) for c in zip(*found, strict=True)) if found else (none.astype(np.int64), none, none)
+    return start, amp, chi, starts[-1] + len(runs[-1]) - len(keep), keep
+
+
 def sliding(samples: DataFrame, f: Filter, ddof: int = 2) -> DataFrame:
     """channel, start, amp, chisq of every window of the template's length in a stream of (channel, i, v), as the batch form has them.
 
     The state of a channel is its last samples, one fewer than a window, so windows cross chunks. Chunks are taken to come in
-    order and without gaps; samples that come again are left out, and after a gap the channel starts anew. Null values count as 0.
+    order (``ordered.sliding`` puts them in order) and without gaps; samples that come again are left out, and after a gap the
+    channel starts anew. Null values count as 0.
     """
-    n, norm = f.length, f.norm
 
     def channel(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         first, tail = state.get if state.exists else (0, [])
         rows = pd.concat(list(frames)).drop_duplicates("i").sort_values("i")
-        i, v = rows["i"].to_numpy(), rows["v"].fillna(0.0).to_numpy(float)
-        if tail:
-            new = i >= first + len(tail)
-            i, v = i[new], v[new]
-        if len(i):
-            if not tail or i[0] != first + len(tail):
-                first, tail = int(i[0]), []
-            holes = np.flatnonzero(np.diff(i) > 1)
-            runs = np.split(v, holes + 1)
-            starts = [first, *(int(i[h + 1]) for h in holes)]
-            runs[0] = np.concatenate([tail, runs[0]])
-            for at, x in zip(starts, runs):
-                if len(x) >= n:
-                    amp = f.correlated(x)
-                    chi = (f.powers(x) - amp**2 * norm) / (n - ddof)
-                    yield pd.DataFrame({"channel": [key[0]] * len(amp), "start": np.arange(at, at + len(amp)), "amp": amp, "chisq": chi})
-            keep = runs[-1][max(0, len(runs[-1]) - n + 1) :]
-            first, tail = starts[-1] + len(runs[-1]) - len(keep), keep.tolist()
-        state.update((first, list(tail)))
+        start, amp, chi, first, tail = advanced(f, ddof, first, tail, rows["i"].to_numpy(), rows["v"].fillna(0.0).to_numpy(float))
+        state.update((first, tail.tolist()))
+        yield pd.DataFrame({"channel": [key[0]] * len(amp), "start": start, "amp": amp, "chisq": chi})
 
     kind = samples.schema["channel"].dataType.simpleString()
     rows = samples.select("channel", F.col("i").cast("long").alias("i"), F.col("v").cast("double").alias("v"))

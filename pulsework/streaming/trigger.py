@@ -8,30 +8,24 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupStateTimeout
 
+from ..operators import holdoff as steps
+
 
 def hits(samples: DataFrame, threshold: float, rearm: float, holdoff: int = 0) -> DataFrame:
     """channel, i of hits: a value above ``threshold`` while armed, after which ``holdoff`` samples are skipped; a later one below rearm * threshold arms again.
 
     ``samples`` is a stream of (channel, i, v). The state of a channel is one flag and one number, so a hit may lie in any chunk;
-    within a chunk samples are put in order. Chunks are taken to come in order; samples that come again or late are left out.
-    Samples that are neither above nor below change nothing and don't leave the JVM.
+    within a chunk samples are put in order. Chunks are taken to come in order; samples that come again or late are left out
+    (``ordered.hits`` waits for them). Samples that are neither above nor below change nothing and don't leave the JVM.
     """
     low = rearm * threshold
 
     def channel(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        fired, free = state.get if state.exists else (False, -(1 << 62))
+        fired, free = state.get if state.exists else (False, steps.START)
         rows = pd.concat(list(frames)).sort_values("i")
-        found = []
-        for i, v in zip(rows["i"].tolist(), rows["v"].tolist()):
-            if i < free:
-                continue
-            free = i + 1
-            if not fired and v > threshold:
-                found.append(i)
-                fired, free = True, i + 1 + holdoff
-            elif fired and v < low:
-                fired = False
-        state.update((fired, free))
+        i = rows["i"].to_numpy()
+        found, fired, free = steps.run(i, rows["v"].to_numpy() > threshold, fired, free, holdoff)
+        state.update((fired, max(free, int(i[-1]) + 1)))
         yield pd.DataFrame({"channel": [key[0]] * len(found), "i": pd.Series(found, dtype="int64")})
 
     kind = samples.schema["channel"].dataType.simpleString()

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pulsework.operators import events, filters, joins, ranks, scores, selection, series, spectra
+from pulsework.operators import events, filters, holdoff as steps, joins, ranks, scores, selection, series, spectra
 
 
 def test_running_totals_and_numbers(spark):
@@ -127,7 +127,7 @@ def test_held_off_batch(spark):
     v = np.random.default_rng(7).normal(size=500)
     df = spark.createDataFrame([(c, i, float(x)) for c in "ab" for i, x in enumerate(v if c == "a" else -v)], "channel string, i long, v double").repartition(3)
     for holdoff in (0, 5):
-        got = {c: sorted(x.i for x in events.held_off(df, 1.0, 0.5, holdoff).collect() if x.channel == c) for c in "ab"}
+        got = {c: sorted(x.i for x in steps.held_off(df, 1.0, 0.5, holdoff).collect() if x.channel == c) for c in "ab"}
         for c, s in (("a", v), ("b", -v)):
             found, fired, i = [], False, 0
             while i < len(s):
