@@ -1,5 +1,6 @@
 """Statistics of events (traces that share event_id, one for each channel): coincidence, thresholds, efficiency and ROC."""
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -52,17 +53,58 @@ def roc(scores: DataFrame, thresholds: list[float]) -> DataFrame:
     return rows.groupBy(F.col("t.threshold").alias("threshold")).agg(rate(F.col("positive")).alias("tpr"), rate(~F.col("positive")).alias("fpr"))
 
 
-def correlation(traces: DataFrame) -> DataFrame:
-    """a, b, corr: correlation of the samples of every two channels (a <= b) at the same place of the same event.
+def moments(traces: DataFrame) -> DataFrame:
+    """a, b, n, x, y, xx, yy, xy: sums over the samples that two channels (a <= b) have at the same place of the same event, where neither is null.
 
-    Only moments leave the join: each pair of traces is one row of sums, so nothing grows with the samples.
+    Rows are dealt by event and read event by event (as many traces as the detector has channels). An event is one matrix, and its sums are
+    products of matrices; a task adds them up and sends one row for each pair of channels. Rows without an event, a channel or samples are left out.
     """
-    one = traces.select("event_id", "channel", doubles().alias("v"))
-    both = one.toDF("event_id", "a", "x").join(one.toDF("event_id", "b", "y"), "event_id").where("a <= b")
-    xy = F.arrays_zip("x", "y")
-    add = lambda f: F.sum(F.aggregate(F.filter(xy, lambda z: z["x"].isNotNull() & z["y"].isNotNull()), F.lit(0.0), lambda s, z: s + f(z["x"], z["y"])))
-    sums = both.groupBy("a", "b").agg(add(lambda x, y: F.lit(1.0)).alias("n"), add(lambda x, y: x).alias("x"), add(lambda x, y: y).alias("y"), add(lambda x, y: x * x).alias("xx"), add(lambda x, y: y * y).alias("yy"), add(lambda x, y: x * y).alias("xy"))
-    return sums.select("a", "b", F.round(F.expr("(n * xy - x * y) / sqrt((n * xx - x * x) * (n * yy - y * y))"), 6).alias("corr"))
+
+    def part(batches):
+        names: dict = {}
+        sums, seen = np.zeros((6, 0, 0)), np.zeros((0, 0), bool)
+        now, held = None, []
+
+        def close():
+            nonlocal sums, seen
+            if not held:
+                return
+            own = np.array([names.setdefault(c, len(names)) for c, _ in held])
+            if len(names) > len(seen):
+                wider = (0, len(names) - len(seen))
+                sums, seen = np.pad(sums, ((0, 0), wider, wider)), np.pad(seen, (wider, wider))
+            x = np.full((len(held), max(len(v) for _, v in held)), np.nan)
+            for row, (_, v) in zip(x, held, strict=True):
+                row[: len(v)] = v
+            known = ~np.isnan(x)
+            x, one = np.where(known, x, 0.0), known.astype(float)
+            left, square = x @ one.T, (x * x) @ one.T
+            at = np.ix_(own, own)
+            for k, value in enumerate((one @ one.T, left, left.T, square, square.T, x @ x.T)):
+                np.add.at(sums[k], at, value)
+            seen[at] = True
+
+        for batch in batches:
+            for event, channel, samples in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                if event != now:
+                    close()
+                    now, held = event, []
+                held.append((channel, samples.values.to_numpy(zero_copy_only=False)))
+        close()
+        order = sorted(names)
+        pairs = [(a, b) for i, a in enumerate(order) for b in order[i:] if seen[names[a], names[b]]]
+        columns = [pa.array([sums[k, names[a], names[b]] for a, b in pairs], pa.float64()) for k in range(6)]
+        yield pa.RecordBatch.from_arrays([*(pa.array([p[i] for p in pairs], pa.int64()) for i in (0, 1)), *columns], ["a", "b", "n", "x", "y", "xx", "yy", "xy"])
+
+    rows = traces.where("event_id is not null and channel is not null and samples is not null").select("event_id", F.col("channel").cast("long").alias("channel"), F.col("samples").cast("array<double>").alias("samples"))
+    parts = rows.repartition("event_id").sortWithinPartitions("event_id", "channel").mapInArrow(part, "a long, b long, n double, x double, y double, xx double, yy double, xy double")
+    return parts.groupBy("a", "b").agg(*(F.sum(c).alias(c) for c in ("n", "x", "y", "xx", "yy", "xy")))
+
+
+def correlation(traces: DataFrame) -> DataFrame:
+    """a, b, corr: correlation of the samples of every two channels (a <= b) at the same place of the same event; null where one doesn't vary."""
+    spread = lambda v, vv: f"(n * {vv} - {v} * {v})"
+    return moments(traces).select("a", "b", F.round(F.expr(f"try_divide(n * xy - x * y, sqrt({spread('x', 'xx')} * {spread('y', 'yy')}))"), 6).alias("corr"))
 
 
 def spike(traces: DataFrame) -> DataFrame:
@@ -117,13 +159,8 @@ def merged_triggers(triggers: DataFrame, gap: int) -> DataFrame:
 
 
 def covariance(traces: DataFrame) -> DataFrame:
-    """a, b, cov: the sample covariance of the samples of every two channels (a <= b) at the same place of the same event; only moments leave the join."""
-    one = traces.select("event_id", "channel", doubles().alias("v"))
-    both = one.toDF("event_id", "a", "x").join(one.toDF("event_id", "b", "y"), "event_id").where("a <= b")
-    xy = F.filter(F.arrays_zip("x", "y"), lambda z: z["x"].isNotNull() & z["y"].isNotNull())
-    add = lambda f: F.sum(F.aggregate(xy, F.lit(0.0), lambda s, z: s + f(z["x"], z["y"])))
-    sums = both.groupBy("a", "b").agg(add(lambda x, y: F.lit(1.0)).alias("n"), add(lambda x, y: x).alias("x"), add(lambda x, y: y).alias("y"), add(lambda x, y: x * y).alias("xy"))
-    return sums.select("a", "b", F.round((F.col("xy") - F.col("x") * F.col("y") / F.col("n")) / F.nullif(F.col("n") - 1, F.lit(0.0)), 7).alias("cov"))
+    """a, b, cov: the sample covariance of the samples of every two channels (a <= b) at the same place of the same event."""
+    return moments(traces).select("a", "b", F.round(F.expr("try_divide(xy - try_divide(x * y, n), n - 1)"), 7).alias("cov"))
 
 
 def top_two(traces: DataFrame) -> DataFrame:

@@ -4,6 +4,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .ranks import slice_of
+
 
 def by_channel_range(traces: DataFrame, bank: DataFrame) -> DataFrame:
     """Rows with the columns of the range (lo, hi, both included) that holds their channel; rows outside all ranges are left out."""
@@ -37,27 +39,27 @@ def cut_out(records: DataFrame, windows: DataFrame, key: str = "channel", width:
     return records.join(spread, inside).select("window", key, "i", "v")
 
 
-def resampled(known: DataFrame, wanted: DataFrame, key: str, mode: str = "clamp") -> DataFrame:
+def resampled(known: DataFrame, wanted: DataFrame, key: str, mode: str = "clamp", slices: int | None = None) -> DataFrame:
     """key, x, y: ``known`` (key, x, y) interpolated linearly at the places of ``wanted`` (key, x).
 
-    Both sides are sorted once by (key, x); running windows bring the neighbours. Outside the known range: ``clamp`` has the nearest known
-    value, ``zero`` has 0, ``extrapolate`` the line through the two nearest known ones (with one, its value). A key without known
-    places gives null (0 with ``zero``); a place that is known twice has one of its values.
+    Places are cut into slices by x, which are sorted by themselves; the nearest known places before and after a slice are carried
+    to it from the others, so a key may be in many tasks. Outside the known range: ``clamp`` has the nearest known value, ``zero`` has 0,
+    ``extrapolate`` the line through the two nearest known ones (with one, its value). A key without known places gives null (0 with
+    ``zero``); a place that is known twice has one of its values. Null places are left out.
     """
     if mode not in ("clamp", "zero", "extrapolate"):
         raise ValueError(mode)
-    a = known.select(F.col(key).alias("k"), "x", "y", F.lit(0).alias("side"))
-    b = wanted.select(F.col(key).alias("k"), "x", F.lit(None).cast("double").alias("y"), F.lit(1).alias("side"))
+    a = known.where("x is not null").select(F.col(key).alias("k"), F.col("x").cast("double").alias("at"), "x", "y", F.lit(0).alias("side"))
+    b = wanted.where("x is not null").select(F.col(key).alias("k"), F.col("x").cast("double").alias("at"), "x", F.lit(None).cast("double").alias("y"), F.lit(1).alias("side"))
+    rows = a.unionByName(b)
+    rows = rows.withColumn("slice", slice_of(rows, "at", slices))
+    value = F.struct("x", "y")
     if mode == "extrapolate":
-        # known places bring the line through them and the next one further in
-        line = Window.partitionBy("k").orderBy("x")
-        a = a.withColumns({"bx": F.lag("x").over(line), "by": F.lag("y").over(line), "ax": F.lead("x").over(line), "ay": F.lead("y").over(line)})
-        b = b.withColumns({c: F.lit(None).cast("double") for c in ("bx", "by", "ax", "ay")})
-    at = F.when(F.col("side") == 0, F.struct(*(c for c in a.columns if c not in ("k", "side"))))
-    order = Window.partitionBy("k").orderBy("x", "side")
-    rows = a.unionByName(b).withColumn("p", F.last(at, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    back = Window.partitionBy("k").orderBy(F.desc("x"), F.desc("side")).rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("n", F.last(at, ignorenulls=True).over(back)).where("side = 1")
+        # known places bring the known ones next to them, for the line through both
+        steps = _beside(rows, F.when(F.col("side") == 0, value), strict=True)
+        rows = steps.select("k", "at", "x", "y", "side", "slice", F.col("p.x").alias("bx"), F.col("p.y").alias("by"), F.col("n.x").alias("ax"), F.col("n.y").alias("ay"))
+        value = F.struct("x", "y", "bx", "by", "ax", "ay")
+    rows = _beside(rows, F.when(F.col("side") == 0, value)).where("side = 1")
     between = F.col("p.y") + (F.col("n.y") - F.col("p.y")) * F.coalesce(F.try_divide(F.col("x") - F.col("p.x"), F.col("n.x") - F.col("p.x")), F.lit(0.0))
     on_known = F.when(F.col("p.x") == F.col("x"), F.col("p.y"))
     if mode == "extrapolate":
@@ -68,6 +70,20 @@ def resampled(known: DataFrame, wanted: DataFrame, key: str, mode: str = "clamp"
     return rows.select(F.col("k").alias(key), "x", out.alias("y"))
 
 
+def _beside(rows: DataFrame, value, strict: bool = False) -> DataFrame:
+    """``rows`` (k, slice, x, side) with p and n, the last ``value`` that isn't null up to each row and the first one from it on, in the order of (x, side); with ``strict``, before and after it."""
+    rows = rows.withColumn("value", value)
+    order = F.struct("x", "side")
+    per = rows.groupBy("k", "slice").agg(F.max_by("value", F.when(F.col("value").isNotNull(), order)).alias("last"), F.min_by("value", F.when(F.col("value").isNotNull(), order)).alias("first"))
+    above, below = (Window.partitionBy("k").orderBy(o).rowsBetween(Window.unboundedPreceding, -1) for o in (F.col("slice"), F.desc("slice")))
+    per = per.select(F.col("k").alias("sk"), F.col("slice").alias("ss"), F.last("last", ignorenulls=True).over(above).alias("before"), F.last("first", ignorenulls=True).over(below).alias("after"))
+    end = -1 if strict else 0
+    on, back = (Window.partitionBy("k", "slice").orderBy(*o).rowsBetween(Window.unboundedPreceding, end) for o in (("x", "side"), (F.desc("x"), F.desc("side"))))
+    rows = rows.withColumns({"p": F.last("value", ignorenulls=True).over(on), "n": F.last("value", ignorenulls=True).over(back)})
+    rows = rows.join(per, F.col("k").eqNullSafe(F.col("sk")) & (F.col("slice") == F.col("ss")))
+    return rows.withColumns({"p": F.coalesce("p", "before"), "n": F.coalesce("n", "after")}).drop("sk", "ss", "before", "after", "value")
+
+
 def with_truth(fits: DataFrame, truth: DataFrame, key: str, limit: int) -> DataFrame:
     """The fits (key, position) with truth (key, inject): delta, distance, and whether the distance is above ``limit``; fits without truth are left out."""
     delta = F.col("position") - F.col("inject")

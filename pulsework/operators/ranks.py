@@ -8,23 +8,27 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-SLICES = 64
+#: Rows of a slice, about; a table of fewer has one slice and isn't read for edges. Equal values share a slice.
+ROWS_A_SLICE = 500_000
+#: Edges that a leaf of the search for a slice compares with.
+LEAF = 32
 
 
-def slice_of(rows: DataFrame, order: str, slices: int = SLICES) -> Column:
-    """The number of the slice of the column ``order``, a number; nulls are in slice 0."""
-    edges = sorted(set(rows.approxQuantile(order, [i / slices for i in range(1, slices)], 0.25 / slices)))
+def slice_of(rows: DataFrame, order: str, slices: int | None = None) -> Column:
+    """The number of the slice of the column ``order``, a number; nulls are in slice 0. Without ``slices`` there are as many as the rows need."""
+    slices = slices or rows.count() // ROWS_A_SLICE + 1
+    edges = sorted(set(rows.approxQuantile(order, [i / slices for i in range(1, slices)], 0.25 / slices))) if slices > 1 else []
 
     def halved(low: int, high: int) -> Column:  # the slice is between low and high edges passed
-        if low == high:
-            return F.lit(low)
+        if high - low <= LEAF:
+            return F.lit(low) + sum((F.when(F.col(order) >= e, 1).otherwise(0) for e in edges[low:high]), F.lit(0))
         middle = (low + high) // 2
         return F.when(F.col(order) >= edges[middle], halved(middle + 1, high)).otherwise(halved(low, middle))
 
     return F.coalesce(F.when(F.col(order).isNull(), 0), halved(0, len(edges)))
 
 
-def running(rows: DataFrame, keys: list[str], order: list[str], sums: dict[str, str], slices: int = SLICES, down: bool = False) -> DataFrame:
+def running(rows: DataFrame, keys: list[str], order: list[str], sums: dict[str, str], slices: int | None = None, down: bool = False) -> DataFrame:
     """``rows`` with a running total (of all rows up to this one) and a grand total for each entry name -> column of ``sums``, as
     ``name`` and ``name_all``, in each value of ``keys``, in the order of the columns ``order``, of which the first is a number.
 
@@ -46,7 +50,7 @@ def running(rows: DataFrame, keys: list[str], order: list[str], sums: dict[str,
     return both.withColumns({n: F.col(n) + F.col(f"_{n}") for n in sums}).drop("_slice", "_slice_at", *(f"_{n}" for n in sums), *(f"_slice_k{i}" for i in range(len(keys))))
 
 
-def numbered(rows: DataFrame, keys: list[str], order: list[str], name: str = "place", slices: int = SLICES) -> DataFrame:
+def numbered(rows: DataFrame, keys: list[str], order: list[str], name: str = "place", slices: int | None = None) -> DataFrame:
     """``rows`` with their number from 0 in each value of ``keys``, as ``name``, and the number of all, as ``name_all``."""
     out = running(rows.withColumn("_one", F.lit(1)), keys, order, {name: "_one"}, slices).drop("_one")
     return out.withColumn(name, F.col(name) - 1)

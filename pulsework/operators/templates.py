@@ -1,9 +1,13 @@
 """Pulse templates: averages of traces, sample by sample."""
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from . import kernels
+
 
 def mean_trace(traces: DataFrame, *keys: str) -> DataFrame:
     """keys, i, n, t: the mean of the traces (of each key) at every place; partial sums leave the tasks. Null samples don't count."""
@@ -76,3 +80,41 @@ def stretched(template: DataFrame, length: int, to: int) -> DataFrame:
     first, last = F.ceil(F.col("i") * to / length).cast("int"), F.ceil((F.col("i") + 1) * to / length).cast("int") - 1
     rows = old.where(first <= last).select("i", "t", "next", F.explode(F.sequence(first, last)).alias("j"))
     return rows.select(F.col("j").alias("i"), (F.col("t") + F.coalesce(F.col("next") - F.col("t"), F.lit(0.0)) * (F.col("j") * length / to - F.col("i"))).alias("t"))
+
+
+def spline(y: np.ndarray, to: int) -> np.ndarray:
+    """Rows of samples at ``to`` places from the first to the last one, by the cubic spline whose third derivative doesn't jump at the
+    second and the last but one sample. Up to three samples: the polynomial through them."""
+    n = y.shape[1]
+    if n < 2:
+        return np.repeat(y[:, :1], to, 1) if n else np.full((len(y), to), np.nan)
+    bend = np.zeros_like(y)  # second derivatives
+    if n > 2:
+        d = y[:, :-2] - 2 * y[:, 1:-1] + y[:, 2:]
+        bend[:, 1], bend[:, -2] = d[:, 0], d[:, -1]
+        share, right = np.zeros(n), np.zeros_like(y)
+        right[:, 1] = bend[:, 1]
+        for i in range(2, n - 2):
+            share[i] = 1 / (4 - share[i - 1])
+            right[:, i] = (6 * d[:, i - 1] - right[:, i - 1]) * share[i]
+        for i in range(n - 3, 1, -1):
+            bend[:, i] = right[:, i] - share[i] * bend[:, i + 1]
+        bend[:, 0] = 2 * bend[:, 1] - bend[:, min(2, n - 2)]
+        bend[:, -1] = 2 * bend[:, -2] - bend[:, max(n - 3, 1)]
+    x = np.arange(to) * ((n - 1) / (to - 1)) if to > 1 else np.zeros(1)
+    at = np.minimum(x.astype(np.int64), n - 2)
+    u = x - at
+    low, high = bend[:, at] / 6, bend[:, at + 1] / 6
+    return low * (1 - u) ** 3 + high * u**3 + (y[:, at] - low) * (1 - u) + (y[:, at + 1] - high) * u
+
+
+def resampled(templates: DataFrame, to: int, *keys: str) -> DataFrame:
+    """keys, i, t: each template (keys, i, t) at ``to`` places over the same time, ends included, by ``spline``. A template is one row of its task. A
+    missing sample (null) makes null all that depends on it; an empty table gives an empty one."""
+
+    @F.arrow_udf("array<double>")
+    def run(column: pa.Array) -> pa.Array:
+        return kernels.mapped(column, lambda y: spline(y, to))
+
+    rows = templates.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("i", "t"))).alias("s")).where(F.size("s") > 0)
+    return rows.select(*keys, F.posexplode(run(F.col("s.t").cast("array<double>"))).alias("i", "t"))

@@ -89,6 +89,7 @@ QUERIES = {
     "template_residuals": lambda s, d: templates.residuals(traces(s, d), _means(s, d, "channel"), "channel").select("trace_id", "i", F.round("r", 6).alias("r")),
     "template_stack": lambda s, d: templates.stacked(raw=_means(s, d), peak=templates.peak_normalised(_means(s, d))).select("template_id", "i", F.round("t", 5).alias("t")),
     "stretched_template": lambda s, d: templates.stretched(_means(s, d), 64, 96).select("i", F.round("t", 6).alias("t")),
+    "cubic_template": lambda s, d: templates.resampled(_means(s, d, "energy"), 96, "energy").select("energy", "i", F.round("t", 6).alias("t")),
     "offset_template": lambda s, d: templates.offset_removed(_means(s, d, "energy"), 16, "energy").select("energy", "i", F.round("t", 4).alias("t")),
     "sum_template": lambda s, d: templates.peak_normalised(templates.mean_trace(reduced.summed(traces(s, d), "event_id"))).select("i", F.round("t", 4).alias("t")),
 }
@@ -128,6 +129,14 @@ ORACLE = {
     "template_residuals": f"SELECT trace_id, i, round(x - avg(x) OVER (PARTITION BY channel, i), 6) AS r FROM {LONG}",
     "template_stack": f"WITH m AS (SELECT i, avg(x) AS t FROM {LONG} GROUP BY i) SELECT 'raw' AS template_id, i, round(t, 5) AS t FROM m UNION ALL SELECT 'peak', i, round(t / max(t) OVER (), 5) FROM m",
     "stretched_template": f"WITH m AS (SELECT i, avg(x) AS t FROM {LONG} GROUP BY i) SELECT CAST(j AS INTEGER) AS i, round(a.t + coalesce((b.t - a.t) * (j * 2 / 3 - a.i), 0), 6) AS t FROM range(0, 96) r(j) JOIN m a ON a.i = j * 2 // 3 LEFT JOIN m b ON b.i = a.i + 1",
+    "cubic_template": f"""WITH RECURSIVE m AS MATERIALIZED (SELECT energy, i, avg(x) AS t FROM {LONG} GROUP BY ALL),
+ d AS MATERIALIZED (SELECT energy, i, lag(t) OVER w - 2 * t + lead(t) OVER w AS d FROM m WINDOW w AS (PARTITION BY energy ORDER BY i)),
+ fwd AS (SELECT energy, i, 0::DOUBLE AS c, d AS g FROM d WHERE i = 1 UNION ALL SELECT f.energy, d.i, 1 / (4 - f.c), (6 * d.d - f.g) / (4 - f.c) FROM fwd f JOIN d ON d.energy = f.energy AND d.i = f.i + 1 WHERE d.i <= 61),
+ bwd AS (SELECT energy, i, d AS b FROM d WHERE i = 62 UNION ALL SELECT f.energy, f.i, CASE WHEN f.i = 1 THEN f.g ELSE f.g - f.c * b.b END FROM bwd b JOIN fwd f ON f.energy = b.energy AND f.i = b.i - 1),
+ b AS (SELECT energy, i, b FROM bwd UNION ALL SELECT energy, 0, 2 * max(b) FILTER (i = 1) - max(b) FILTER (i = 2) FROM bwd GROUP BY energy UNION ALL SELECT energy, 63, 2 * max(b) FILTER (i = 62) - max(b) FILTER (i = 61) FROM bwd GROUP BY energy),
+ p AS (SELECT CAST(j AS INTEGER) AS j, least(j * 63 // 95, 62) AS k, j * 63 / 95 - least(j * 63 // 95, 62) AS u FROM range(0, 96) r(j))
+ SELECT x.energy, j AS i, round(bx.b / 6 * (1 - u) ** 3 + b_y.b / 6 * u ** 3 + (x.t - bx.b / 6) * (1 - u) + (y.t - b_y.b / 6) * u, 6) AS t
+ FROM p JOIN m x ON x.i = k JOIN m y ON y.i = k + 1 AND y.energy = x.energy JOIN b bx ON bx.i = k AND bx.energy = x.energy JOIN b b_y ON b_y.i = k + 1 AND b_y.energy = x.energy""",
     "offset_template": f"SELECT energy, i, round(t / max(t) OVER (PARTITION BY energy), 4) AS t FROM (SELECT energy, i, t - avg(t) FILTER (i < 16) OVER (PARTITION BY energy) AS t FROM {_MEAN.format('energy')})",
     "sum_template": f"SELECT i, round(t / max(t) OVER (), 4) AS t FROM (SELECT i, avg(x) AS t FROM (SELECT event_id, i, sum(x) AS x FROM {LONG} GROUP BY 1, 2) GROUP BY i)",
 }

@@ -27,16 +27,19 @@ class Range(InputPartition):
         self.path, self.first, self.last = path, first, last
 
 
+def _system(path: str) -> tuple[pafs.FileSystem, str]:
+    return pafs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pafs.LocalFileSystem(), path)
+
+
 def _files(path: str) -> list[str]:
-    fs, inner = pafs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pafs.LocalFileSystem(), path)
+    fs, inner = _system(path)
     info = fs.get_file_info(inner)
     found = fs.get_file_info(pafs.FileSelector(inner, recursive=True)) if info.type == pafs.FileType.Directory else [info]
     return sorted(f.path for f in found if f.type == pafs.FileType.File and not f.base_name.startswith(("_", ".")))
 
 
 def _open(root: str, path: str):
-    fs = pafs.FileSystem.from_uri(root)[0] if "://" in root or root.startswith("file:") else pafs.LocalFileSystem()
-    return fs.open_input_file(path)
+    return _system(root)[0].open_input_file(path)
 
 
 def _head(f):
@@ -121,14 +124,17 @@ class RawTraces(DataSource):
         return (PushedReader if self.options.get("pushdown") == "true" else RawReader)(self.options)
 
 
-def _reader(spark: SparkSession, path: str, **options) -> DataFrame:
-    """A path without a scheme is one of the session's default file system, as in Spark's own readers."""
-    spark.dataSource.register(RawTraces)
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path as a URI; without a scheme it is one of the session's default file system, as in Spark's own readers."""
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     whole = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(at).toString()
-    whole = "file://" + whole.removeprefix("file:") if whole.startswith("file:/") and not whole.startswith("file://") else whole
+    return "file://" + whole.removeprefix("file:") if whole.startswith("file:/") and not whole.startswith("file://") else whole
+
+
+def _reader(spark: SparkSession, path: str, **options) -> DataFrame:
+    spark.dataSource.register(RawTraces)
     pushdown = spark.conf.get("spark.sql.python.filterPushdown.enabled", "false")
-    return spark.read.format("daq_raw").options(path=whole, pushdown=pushdown, **{k: v for k, v in options.items() if v is not None}).load()
+    return spark.read.format("daq_raw").options(path=qualified(spark, path), pushdown=pushdown, **{k: v for k, v in options.items() if v is not None}).load()
 
 
 def daq_traces(spark: SparkSession, path: str, records: int = RECORDS, first: int | None = None, last: int | None = None, file: str | None = None) -> DataFrame:

@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from pulsework.operators import kernels, sequence
+from pulsework.operators import kernels, sequence, templates
 
 @pytest.fixture(scope="module")
 def some(spark):
@@ -84,3 +84,23 @@ def test_time_grows_with_the_length(name, kernel):
         return best
 
     assert seconds(32768) < 2.5 * seconds(16384) + 0.05
+
+
+@pytest.mark.parametrize("n, to", [(1, 5), (2, 5), (3, 7), (4, 9), (5, 1), (64, 96), (300, 601)])
+def test_spline_against_a_dense_solve(spark, n, to):
+    y = np.random.default_rng(n).normal(size=n)
+    x = np.arange(to) * ((n - 1) / (to - 1)) if to > 1 else np.zeros(1)
+    if n < 4:
+        want = np.polyval(np.polyfit(range(n), y, n - 1), x)
+    else:
+        a, b = np.zeros((n, n)), np.zeros(n)
+        for i in range(1, n - 1):
+            a[i, i - 1 : i + 2], b[i] = (1, 4, 1), 6 * (y[i - 1] - 2 * y[i] + y[i + 1])
+        a[0, :3], a[-1, -3:] = (1, -2, 1), (1, -2, 1)
+        m = np.linalg.solve(a, b)
+        at = np.minimum(x.astype(int), n - 2)
+        u = x - at
+        want = m[at] / 6 * (1 - u) ** 3 + m[at + 1] / 6 * u**3 + (y[at] - m[at] / 6) * (1 - u) + (y[at + 1] - m[at + 1] / 6) * u
+    df = spark.createDataFrame([("a", i, float(v)) for i, v in enumerate(y)] + [("b", i, 2.0) for i in range(6)], "k string, i int, t double")
+    got = {(r.k, r.i): r.t for r in templates.resampled(df, to, "k").collect()}
+    assert np.allclose([got["a", i] for i in range(to)], want, atol=1e-9) and len(got) == 2 * to and abs(got["b", to - 1] - 2) < 1e-12

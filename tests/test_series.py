@@ -143,3 +143,53 @@ def test_held_off_batch(spark):
 def test_filled_and_ranked(spark):
     df = spark.createDataFrame([(1, 0, 2.0), (1, 2, 1.0), (1, 2, 3.0), (1, 9, 1.0), (2, None, 1.0), (3, 1, None)], "k int, p int, x double")
     assert {r.k: r.samples for r in selection.filled(df, "k", "p", "x", 3).collect()} == {1: [2.0, 0.0, 3.0], 3: [0.0, 0.0, 0.0]}
+
+
+@pytest.mark.parametrize("mode", ["clamp", "zero", "extrapolate"])
+def test_resampling_in_slices(spark, mode):
+    r = np.random.default_rng(11)
+    xs = np.sort(r.choice(1000, 60, replace=False)).astype(float)
+    ys, at = r.normal(size=60), np.concatenate([r.uniform(-50, 1050, 80), xs[:5]])
+    known = spark.createDataFrame([("a", float(x), float(y)) for x, y in zip(xs, ys)] + [("b", 500.0, 3.0), (None, 1.0, 2.0)], "k string, x double, y double").repartition(3)
+    wanted = spark.createDataFrame([("a", float(x)) for x in at] + [("b", 1.0), ("c", 2.0), (None, 5.0), ("a", None)], "k string, x double")
+    want = np.interp(at, xs, ys)
+    if mode == "zero":
+        want = np.where((at < xs[0]) | (at > xs[-1]), 0, want)
+    if mode == "extrapolate":
+        want = np.where(at < xs[0], ys[0] + (at - xs[0]) * (ys[1] - ys[0]) / (xs[1] - xs[0]), np.where(at > xs[-1], ys[-1] + (at - xs[-1]) * (ys[-1] - ys[-2]) / (xs[-1] - xs[-2]), want))
+    for slices in (1, 7, 64):
+        got = {(g.k, g.x): g.y for g in joins.resampled(known, wanted, "k", mode, slices).collect()}
+        assert np.allclose([got["a", float(x)] for x in at], want, atol=1e-9) and len(got) == len({*at}) + 3
+        assert got["b", 1.0] == (0 if mode == "zero" else 3) and got["c", 2.0] == (0 if mode == "zero" else None) and got[None, 5.0] == (0 if mode == "zero" else 2)
+
+
+def test_channel_moments_of_odd_events(spark):
+    r = np.random.default_rng(12)
+    rows = [(e, c, [None if r.random() < 0.1 else float(x) for x in r.normal(size=int(r.choice([9, 12])))]) for e in range(15) for c in range(4) if r.random() < 0.9]
+    rows += [(3, 1, [1.0, 2.0]), (None, 1, [1.0]), (4, None, [1.0]), (5, 2, None), (6, 3, [])]
+    df = spark.createDataFrame(rows, "event_id long, channel int, samples array<double>").repartition(4)
+    pairs = {}
+    for e, a, x in rows:
+        for f, b, y in rows:
+            if e is not None and e == f and a is not None and b is not None and a <= b and x is not None and y is not None:
+                pairs.setdefault((a, b), []).extend((p, q) for p, q in zip(x, y) if p is not None and q is not None)
+    corr, cov = ({(g.a, g.b): g[2] for g in f(df).collect()} for f in (events.correlation, events.covariance))
+    assert set(corr) == set(cov) == set(pairs)
+    for k, v in pairs.items():
+        x, y = np.array(v).T
+        assert abs(corr[k] - np.corrcoef(x, y)[0, 1]) < 1e-6 and abs(cov[k] - np.cov(x, y)[0, 1]) < 1e-6
+
+
+def test_slices_follow_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(ranks, "ROWS_A_SLICE", 40)
+    monkeypatch.setattr(ranks, "LEAF", 3)
+    r = np.random.default_rng(13)
+    x = r.choice(500, 2000).astype(float)
+    rows = [("ab"[i % 3 == 0], float(v), i) for i, v in enumerate(x)] + [("a", None, 5000)]
+    df = spark.createDataFrame(rows, "k string, x double, i long").repartition(3)
+    sizes = [g["count"] for g in df.groupBy(ranks.slice_of(df, "x").alias("s")).count().collect()]
+    assert len(sizes) > 40 and max(sizes) < 120  # 51 edges at most
+    got = {(g.k, g.i): (g.place, g.place_all) for g in ranks.numbered(df, ["k"], ["x", "i"]).collect()}
+    for k in "ab":
+        own = sorted((v is not None, v or 0, i) for kk, v, i in rows if kk == k)
+        assert [got[k, i] for *_, i in own] == [(n, len(own)) for n in range(len(own))]
