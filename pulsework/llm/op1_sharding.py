@@ -9,14 +9,15 @@ Sizes that differ add up to all bytes at least, so there are at most sqrt(2 * by
 import heapq
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .tables import cut, read
 
-#: Rows (or groups) that one task numbers at a time.
-ROWS_A_BUCKET = 20_000
+#: Rows (or groups) that one task numbers, about.
+ROWS_A_RANGE = 200_000
 #: Groups with more than one in so many of all rows are few enough to be broadcast, and so need no shuffle by their key.
 HOT = 4096
 
@@ -53,8 +54,8 @@ def shard(docs: DataFrame, shards: int = 8, group=None, keep: list[str] | None =
 
     ``size`` is the text's UTF-8 bytes plus 1; a null text has no bytes, as an empty one. ``group`` is a column that
     names the groups, by default a digest of the text: equal texts stay together, null and empty ones too, and repeated
-    rows are rows of their own. A null group is a group. ``slot`` numbers the rows of a shard from 0 without gaps; rows that are
-    equal have any order. Law ``bytes`` holds: loads are near equal. An empty table gives an empty result.
+    rows are rows of their own. A null group is a group. ``slot`` numbers the rows of a shard from 0 without gaps, by doc_id
+    (a null one first) and group; rows that are equal in both have any order. Law ``bytes`` holds: loads are near equal. An empty table gives an empty result.
     """
     own = [c for c in (docs.columns if keep is None else keep) if c not in ("size", "text_crc32", "law", "shard", "slot", "grown_shard")]
     text = F.coalesce("text", F.lit(""))
@@ -67,7 +68,8 @@ def shard(docs: DataFrame, shards: int = 8, group=None, keep: list[str] | None =
     runs = groups.groupBy("_bytes").agg(F.count("*").alias("n")).orderBy(F.desc("_bytes")).toArrow()
     sizes = runs["_bytes"].to_numpy()
     ends = deal(sizes, runs["n"].to_numpy(), shards).cumsum(1)
-    ends = cut(docs.sparkSession.createDataFrame(list(zip(sizes.tolist(), ends.tolist(), strict=True)), "_bytes long, _ends array<long>"))
+    lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sizes) + 1, dtype=np.int32) * shards), pa.array(ends.ravel()))
+    ends = cut(docs.sparkSession.createDataFrame(pa.table({"_bytes": pa.array(sizes, pa.int64()), "_ends": lists})))
     placed = _numbered(groups, "_bytes", "_key", many).join(ends, "_bytes").select("_key", "_rows", F.expr("size(filter(_ends, e -> e <= _place))").alias("_shard"))
     placed = cut(placed)
 
@@ -81,13 +83,18 @@ def shard(docs: DataFrame, shards: int = 8, group=None, keep: list[str] | None =
 
 
 def _numbered(rows: DataFrame, part: str, key: str, n: int, *order) -> DataFrame:
-    """``rows`` with _place, numbered from 0 in each value of ``part``; buckets of rows are numbered apart, so no task has to sort a large part."""
-    buckets = n // ROWS_A_BUCKET + 1
-    rows = cut(rows.withColumn("_bucket", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(buckets))))
-    before = rows.groupBy(part, "_bucket").agg(F.count("*").alias("_start"))
-    before = before.withColumn("_start", F.sum("_start").over(Window.partitionBy(part).orderBy("_bucket")) - F.col("_start"))
-    number = F.row_number().over(Window.partitionBy(part, "_bucket").orderBy(*order, key))
-    return rows.withColumn("_place", number).join(before, [part, "_bucket"]).withColumn("_place", F.col("_start") + F.col("_place") - 1).drop("_bucket", "_start")
+    """``rows`` with _place, numbered from 0 in each value of ``part`` in the order of ``order`` and ``key``.
+
+    The whole order is cut into ranges of about ``ROWS_A_RANGE`` rows, which are numbered apart, and the counts of the ranges are carried over: so the
+    numbers don't depend on the ranges, and rows that tie in all of the order may be in several of them.
+    """
+    line = [*order, F.col(key), F.col("_row")]
+    rows = cut(rows.withColumn("_row", F.monotonically_increasing_id()))
+    rows = cut(rows.repartitionByRange(n // ROWS_A_RANGE + 1, F.col(part), *line).withColumn("_range", F.spark_partition_id()))
+    before = rows.groupBy(part, "_range").agg(F.count("*").alias("_start"))
+    before = before.withColumn("_start", F.sum("_start").over(Window.partitionBy(part).orderBy("_range")) - F.col("_start"))
+    number = F.row_number().over(Window.partitionBy(part, "_range").orderBy(*line))
+    return rows.withColumn("_place", number).join(before, [part, "_range"]).withColumn("_place", F.col("_start") + F.col("_place") - 1).drop("_range", "_start", "_row")
 
 
 def query(spark, sf_dir):
@@ -95,7 +102,7 @@ def query(spark, sf_dir):
     return out.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
-#: The same schedule, a group at a time; CRC-32 by its table, which a rule makes. Of slots, the order that up to ROWS_A_BUCKET rows have.
+#: The same schedule, a group at a time; CRC-32 by its table, which a rule makes.
 SQL = r"""
 WITH RECURSIVE crc_step(i, c, k) AS (
   SELECT i, i, 0 FROM range(256) t(i)

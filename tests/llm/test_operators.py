@@ -54,7 +54,7 @@ def test_runs_of_equal_groups_are_dealt_as_by_a_heap():
 
 
 def test_shards_of_repeated_null_and_long_texts(spark, monkeypatch):
-    monkeypatch.setattr(op1_sharding, "ROWS_A_BUCKET", 7)
+    monkeypatch.setattr(op1_sharding, "ROWS_A_RANGE", 7)
     texts = ["é" * 50_000, None, "", "same", "same", "a", "b", "c", "d" * 300, None] + [f"t{i}" for i in range(60)] + ["hot one"] * 40
     docs = spark.createDataFrame([(i % 90 if i else None, t, "mine", -7) for i, t in enumerate(texts)], "doc_id long, text string, law string, slot int")
     rows = op1_sharding.shard(docs, 3).collect()
