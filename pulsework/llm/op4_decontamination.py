@@ -3,8 +3,8 @@
 Documents are partitioned by the size of their shingle set. A document of partition p has 2**p bins, at least twice as
 many bins as shingles, and its MinHash signature is the smallest hash of each bin that isn't empty (one permutation,
 as many minima as the size calls for); so a short item's minima survive in a long document's signature whatever the
-ratio of the sizes. Items get the signature of every partition whose documents are large enough to hold them. One equal
-(partition, minimum) makes a candidate, and exact shingle containment decides.
+ratio of the sizes. Of the items' signatures in every partition whose documents are large enough to hold them, each shingle is
+kept once, with the first partition where it is a minimum. An equal minimum makes a candidate, and exact shingle containment decides.
 
 A shingle of the item that the document has is the minimum of its bin with a probability of about 0.8, so an item of s
 shared shingles is missed with a probability of about 0.2**s. Items with fewer than ``FEW`` shingles are therefore looked for by
@@ -15,7 +15,7 @@ words: for both the search is exact. Of the others, at least 6 shingles are shar
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import cut, met, read
+from .tables import cut, fresh, met, read
 
 #: The most rows of signatures or shingles of items that are broadcast (about 30 bytes each), and of whole items.
 BROADCAST_ROWS, BROADCAST_ITEMS = 500_000, 2_000
@@ -63,9 +63,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = 75, k: in
     many = items.where((F.col("m") == k) & (F.size("s") >= FEW))
     part = F.greatest(F.lit(2), F.ceil(F.log2(F.greatest(F.size("s"), F.lit(1)))).cast("int") + 1)
     least = F.greatest(F.lit(2), F.ceil(F.log2(F.size("s") * percent / 100)).cast("int") + 1)
-    wanted = cut(_minima(many.withColumn("p", F.explode(F.sequence(least, F.lit(PARTITIONS)))), "item_id"))
+    # The smallest of a bin stays the smallest when bins are split: a shingle has one row, with the first partition where it is a minimum.
+    apart = F.expr("transform(s, (x, i) -> struct(x as h, case when i = 0 then 0 else 65 - length(bin(x ^ s[i - 1])) end as first))")
+    wanted = many.select("item_id", least.alias("least"), F.explode(apart).alias("x")).select("item_id", "x.h", F.greatest("least", "x.first").alias("first"))
+    wanted = cut(wanted.where(F.col("first") <= PARTITIONS))
     sets = shingled(docs, "doc_id", k).withColumn("p", part)
-    found = met(_minima(sets, "doc_id"), wanted, ["p", "h"], "doc_id", broadcast_rows).select("doc_id", "item_id")
+    found = met(_minima(sets, "doc_id"), wanted, ["h"], "doc_id", broadcast_rows).where("p >= first").select("doc_id", "item_id")
 
     few = cut(items.where((F.col("m") < k) | (F.size("s") < FEW)).select("item_id", "m", F.explode("s").alias("h")))
     exact = None
@@ -94,8 +97,12 @@ def query(spark, sf_dir):
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that hold no benchmark item. Rows with a null doc_id stay."""
-    return docs.join(cut(contaminated(docs, benchmark).select("doc_id").distinct()), "doc_id", "left_anti").select(docs.columns)
+    """The rows of ``docs`` whose text holds no benchmark item, whatever their doc_id: it is the text that is looked up, by a digest, so a null
+    doc_id is as good as any, and other texts under the doc_id of a leak stay. Null texts stay."""
+    digest = fresh(docs, "_digest")
+    named = docs.withColumn(digest, F.md5(F.col("text").cast("binary")))
+    leaks = cut(contaminated(named.select(F.col(digest).alias("doc_id"), "text"), benchmark).select(F.col("doc_id").alias(digest)).distinct())
+    return named.join(leaks, digest, "left_anti").select(docs.columns)
 
 
 _WORDS = r"""{name}_w AS (SELECT DISTINCT {key}, list_filter(regexp_split_to_array(lower(text), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') AS w FROM {name} WHERE text IS NOT NULL AND {key} IS NOT NULL)"""

@@ -142,3 +142,40 @@ def test_sets_below_the_threshold_make_few_pairs(spark, monkeypatch, sets):
                 comp = [new if c == old else c for c in comp]
     assert got == dict(enumerate(comp))
     assert tried[-1] <= sets and sum(tried) <= 12 * sets
+
+
+@pytest.mark.parametrize("bound, parts", [(200_000, 3), (5, 1), (5, 7)])
+def test_sharding_is_the_same_in_any_ranges(spark, monkeypatch, bound, parts):
+    """Shards and slots as the SQL has them, however few rows are numbered at a time and however the table is partitioned."""
+    import duckdb
+
+    monkeypatch.setattr(op1_sharding, "ROWS_A_RANGE", bound)
+    r = random.Random(6)
+    rows = [(i, r.choice([None, "", "aa", "bb", "text " * r.randrange(1, 9), f"own {i}"])) for i in range(120)] + [(None, "aa"), (None, "zz")]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    want = con.execute(f"SELECT doc_id, size, text_crc32, law, shard, slot, grown_shard FROM ({op1_sharding.SQL})").fetchall()
+    got = op1_sharding.shard(spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard").collect()
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+
+
+def test_leaks_go_by_row(spark):
+    leak = " ".join(f"word{i}" for i in range(30))
+    rows = [(1, "clean text under the number of a leak"), (1, f"before {leak} after"), (None, leak), (None, "clean without a number"), (2, None)]
+    kept = op4_decontamination.without_leaks(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(7, leak)], "item_id long, text string"))
+    assert sorted(map(tuple, kept.collect()), key=str) == sorted([rows[0], rows[3], rows[4]], key=str)
+
+
+def test_index_of_items_has_a_row_for_each_shingle(spark, monkeypatch):
+    """Long and short documents find the items that are in them, with an index that isn't repeated for each size of document."""
+    r = random.Random(8)
+    words = lambda n: [f"v{r.randrange(10**6)}" for _ in range(n)]
+    items = [(i, " ".join(words(15 + 4 * i))) for i in range(12)]
+    docs = [(i, " ".join([*words(n), *t.split(), *words(n)])) for i, (_, t) in enumerate(items) for n in [[0, 5, 200, 4000][i % 4]]] + [(50 + i, " ".join(words(300))) for i in range(5)]
+    seen = []
+    real = op4_decontamination.met
+    monkeypatch.setattr(op4_decontamination, "met", lambda rows, index, on, *more: seen.append((on, index.count())) or real(rows, index, on, *more))
+    got = op4_decontamination.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(x.doc_id, x.item_id) for x in got if x.containment == 1} == {(i, i) for i in range(12)} and len(got) == 12
+    assert seen[0][0] == ["h"] and seen[0][1] <= sum(len(t.split()) - 4 for _, t in items)
