@@ -2,9 +2,9 @@
 
 A text is cut into parts: at line ends, after words that end a sentence, and in stretches of ``CUT`` words without such an
 end after the word with the smallest hash. The words alone decide the latter two, so equal passages are cut alike whatever
-stands around them. Spans are every run of ``RUN`` consecutive sentences, in two forms: a run of fewer than ``words`` words
-as it is, and of longer text the fewest consecutive parts with at least ``words`` words that lead from a place to a place the
-words decide, or back from a place where no such span ends. Spans are hashed, the hashes are joined over the whole corpus,
+stands around them. Spans are every run of ``RUN`` consecutive sentences, however long, and, so that passages are found which hold no whole
+sentences, the fewest consecutive parts with at least ``words`` words that lead from a place to a place the words decide, or back
+from a place where no such span ends. Spans are hashed, the hashes are joined over the whole corpus,
 and a part is removed if any span that covers it is not the first of its kind. The first is the one with the smallest
 (doc_id, part number). Every run of ``words + 3 * CUT - 2`` words (48) that an earlier place has loses words; at either end
 of a run less than a span may stay.
@@ -89,12 +89,12 @@ def spans_of(cuts: Cuts, words: int) -> tuple[np.ndarray, ...]:
     begins = np.zeros(n, bool)
     begins[first[:-1][cuts.counts > 0]] = True
 
-    # runs of few words
+    # every run of sentences
     last = np.flatnonzero(cuts.whole)
     s0, e0 = np.concatenate([[0], last[:-1] + 1])[: len(last)], last + 1
     s, e = s0[: max(0, len(last) - RUN + 1)], e0[RUN - 1 :]
-    few = (owner[s] == owner[e - 1]) & (e - s < words)
-    from_, to = [s[few]], [e[few]]
+    one = owner[s] == owner[e - 1]
+    from_, to = [s[one]], [e[one]]
 
     # forward to a place that the words decide
     at = np.searchsorted(inner, starts + words)

@@ -1,6 +1,7 @@
 """Nulls, empty texts, repeated rows, empty tables and clashing columns; op8 against brute force."""
 
 import random
+import re
 
 import pytest
 
@@ -179,3 +180,44 @@ def test_index_of_items_has_a_row_for_each_shingle(spark, monkeypatch):
     got = op4_decontamination.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
     assert {(x.doc_id, x.item_id) for x in got if x.containment == 1} == {(i, i) for i in range(12)} and len(got) == 12
     assert seen[0][0] == ["h"] and seen[0][1] <= sum(len(t.split()) - 4 for _, t in items)
+
+
+@pytest.mark.parametrize("n", [6, 7, 8, 9, 12])
+def test_three_repeated_lines_without_end_marks_go(spark, n):
+    """Of every text the three lines that an earlier one has, at any length of line and whatever stands around them."""
+    r = random.Random(n)
+    line = lambda: " ".join(f"{r.choice('abcdefgh')}{r.randrange(10**6)}" for _ in range(n))
+    texts, places = [], []
+    for _ in range(40):
+        three = [line() for _ in range(3)]
+        for _ in range(2):
+            before, after = ([line() for _ in range(r.randrange(4))] for _ in range(2))
+            places.append((len(before), three))
+            texts.append("\n".join([*before, *three, *after]))
+    rows = {x.doc_id: x.text for x in op3_substring.dedup_spans(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, (at, three) in enumerate(places):
+        assert rows[i] == texts[i] if i % 2 == 0 else not any(x in rows[i] for x in three)
+        if i % 2:
+            assert [x for x in rows[i].split("\n") if x] == [x for x in texts[i].split("\n") if x not in three]
+
+
+def test_every_run_of_three_sentences_against_brute_force(spark):
+    """Sentences that a repeated run covers: all of them go, in any text but the first that has the run."""
+    r = random.Random(21)
+    pool = [" ".join(f"w{r.randrange(10**6)}" for _ in range(r.randrange(1, 15))) + r.choice(".!?") for _ in range(25)]
+    texts = [" ".join(r.choices(pool, k=r.randrange(1, 12))) for _ in range(60)]
+    first, gone = {}, {}
+    for i, text in enumerate(texts):
+        s = [x for x in re.split(r"(?<=[.!?]) ", text)]
+        for k in range(len(s) - 2):
+            run = tuple(s[k : k + 3])
+            if run in first:
+                gone.setdefault(i, set()).update(range(k, k + 3))
+            first.setdefault(run, (i, k))
+    rows = {x.doc_id: x.text for x in op3_substring.dedup_spans(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert gone
+    for i, text in enumerate(texts):
+        s = re.split(r"(?<=[.!?]) ", text)
+        left = [x for k, x in enumerate(s) if k not in gone.get(i, ())]
+        kept = rows[i].split(" ")
+        assert len(kept) <= len(" ".join(left).split(" ")) and all(x in " ".join(left) for x in rows[i].split())
