@@ -1,8 +1,8 @@
 """License scans: an exact set-similarity join of text blocks with license templates. DataFrame functions only.
 
 A block is a run of as many consecutive words as the template has, wherever lines end in it (of a shorter text, all of it). It
-matches if it contains at least ``PERCENT`` % of the template's distinct words, all the words that the template can't do
-without, and none that would make it another license. The join finds every such block:
+matches if it contains at least ``PERCENT`` % of the template's distinct words; it fits if it also has all the words that the
+template can't do without, and none that would make it another license. The join finds every block that matches; labels are of those that fit:
 
 * Template words are ordered by their count over all documents, rarest first. A block with enough of them has one of the
   first ones (prefix filter), so only places of those words are joined with the templates, by equal words.
@@ -40,7 +40,7 @@ TEMPLATES = (
 _WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_FOUND = "array<struct<start:long,n_block:int,template:int,label:string,containment:double>>"
+_FOUND = "array<struct<start:long,n_block:int,template:int,label:string,containment:double,fits:boolean>>"
 
 
 def words_of(text: Column) -> Column:
@@ -59,8 +59,8 @@ def ordered_templates(docs: DataFrame, templates=TEMPLATES) -> list[list[str]]:
 def scanned(docs: DataFrame, templates=TEMPLATES) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels and found for each row of ``docs`` (doc_id, text).
 
-    ``found`` has every block that matches: start (its first word, from 0), n_block (words), template (its number), label and
-    containment. Null texts count as empty: no words, no blocks. Repeated rows each get a result of their own, ties are all
+    ``found`` has every block that matches: start (its first word, from 0), n_block (words), template (its number), label,
+    containment and whether it fits. Null texts count as empty: no words, no blocks. Repeated rows each get a result of their own, ties are all
     returned, and texts are scanned whole, however long. Other columns are not looked at. An empty table gives an empty result.
     """
     order = ordered_templates(docs, templates)
@@ -94,18 +94,20 @@ def scanned(docs: DataFrame, templates=TEMPLATES) -> DataFrame:
     block = F.slice("near", F.col("s") + 1, F.col("n_block"))
     blocks = blocks.select("row", "template", "label", "need", "words", "must", "never", "n_block", (F.col("base") + F.col("s")).alias("start"), block.alias("b"))
     common = F.size(F.array_intersect("b", "words"))
-    match = blocks.where((100 * common >= PERCENT * F.size("words")) & (F.size(F.array_intersect("b", "must")) == F.size("must")) & ~F.arrays_overlap("b", "never"))
-    match = match.select("row", F.struct("start", "n_block", "template", "label", (common / F.size("words")).alias("containment")).alias("m")).groupBy("row").agg(F.array_sort(F.collect_set("m")).alias("found"))
+    match = blocks.where(100 * common >= PERCENT * F.size("words"))
+    fits = (F.size(F.array_intersect("b", "must")) == F.size("must")) & ~F.arrays_overlap("b", "never")
+    match = match.select("row", F.struct("start", "n_block", "template", "label", (common / F.size("words")).alias("containment"), fits.alias("fits")).alias("m")).groupBy("row").agg(F.array_sort(F.collect_set("m")).alias("found"))
     out = rows.join(match, "row", "left")
     return out.select("doc_id", "n_words", F.size("at").cast("long").alias("n_base"), F.array_min("at").cast("long").alias("first_word"), F.array_max("at").cast("long").alias("last_word"), "base_labels", F.coalesce("found", F.array().cast(_FOUND)).alias("found"))
 
 
 def licenses(docs: DataFrame, templates=TEMPLATES) -> DataFrame:
-    """As ``scanned``, with labels (those of blocks that match, and the base ones) and score, the largest containment of such a block or 0."""
+    """As ``scanned``, with labels (those of blocks that fit, and the base ones) and score, the largest containment of such a block or 0."""
     out = scanned(docs, templates)
     base = F.when(F.col("base_labels") == "", F.array().cast("array<string>")).otherwise(F.split("base_labels", ","))
-    labels = F.array_join(F.sort_array(F.array_union(base, F.transform("found", lambda m: m["label"]))), ",")
-    return out.withColumns({"labels": labels, "score": F.coalesce(F.array_max(F.transform("found", lambda m: m["containment"])), F.lit(0.0))})
+    own = F.filter("found", lambda m: m["fits"])
+    labels = F.array_join(F.sort_array(F.array_union(base, F.transform(own, lambda m: m["label"]))), ",")
+    return out.withColumns({"labels": labels, "score": F.coalesce(F.array_max(F.transform(own, lambda m: m["containment"])), F.lit(0.0))})
 
 
 def _any(tests):
