@@ -98,6 +98,7 @@ class _Page:
     def __init__(self):
         self.out, self.text, self.linked = [], [], []
         self.stack: list[tuple[str, bool, bool]] = []  # open elements that aren't inline, and whether each is an article or another part
+        self.places: dict[str, list[int]] = {}  # where the open elements of each name stand in it
         self.article = self.other = 0
         self.link = None  # how many elements were open where the open link began
         self.unseen: list[str] = []  # open inline elements that a class marks as another part, and those of their names inside
@@ -116,18 +117,17 @@ class _Page:
 
     def close(self, names: set[str], stops: set[str]):
         """Ends the innermost open element of these names and all in it, unless a stop stands further in."""
-        for at in range(len(self.stack) - 1, -1, -1):
-            name = self.stack[at][0]
-            if name in names:
-                for _, a, o in self.stack[at:]:
-                    self.article, self.other = self.article - a, self.other - o
-                del self.stack[at:]
-                self.unseen = []
-                if self.link is not None and self.link > at:
-                    self.link = None
-                return
-            if name in stops:
-                return
+        innermost = lambda some: max((self.places[n][-1] for n in some if self.places.get(n)), default=-1)
+        at = innermost(names)
+        if at < 0 or innermost(stops - names) > at:
+            return
+        for name, a, o in self.stack[at:]:
+            self.article, self.other = self.article - a, self.other - o
+            self.places[name].pop()
+        del self.stack[at:]
+        self.unseen = []
+        if self.link is not None and self.link > at:
+            self.link = None
 
     def inline(self, name: str, ends: bool, attributes: str):
         if name == "br":
@@ -150,6 +150,7 @@ class _Page:
         names = marks(attributes)
         a = name in ("article", "main") or "main" in names and not names & OTHER
         o = name in ASIDE or bool(names & OTHER) and name not in ("html", "body", "article", "main")
+        self.places.setdefault(name, []).append(len(self.stack))
         self.stack.append((name, a, o))
         self.article, self.other = self.article + a, self.other + o
 
@@ -160,7 +161,7 @@ def blocks_of(page: str) -> list[tuple[str, int, int, bool, bool]]:
     A start tag ends what it can't stand in (a paragraph, list item or cell before it), with all its marks. A link ends with
     its end tag, the next link or the element it began in. Inline elements with a class of another part have no text.
     """
-    state, at = _Page(), 0
+    state, at, endless = _Page(), 0, set()
     while m := _TOKEN.match(page, at):
         at = m.end()
         if m[2] is None:
@@ -172,7 +173,8 @@ def blocks_of(page: str) -> list[tuple[str, int, int, bool, bool]]:
             state.inline(name, ends, attributes)
         elif name in RAW or name in HIDDEN:
             if not ends and not attributes.rstrip().endswith("/"):
-                end = re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I).search(page, at)
+                end = None if name in endless else re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I).search(page, at)
+                endless |= {name} if end is None else set()  # there is none further on either
                 at = end.end() if end else len(page) if name in RAW else at
         elif ends:
             state.flush()

@@ -3,6 +3,7 @@
 import heapq
 import random
 import re
+import time
 import zlib
 from itertools import product
 
@@ -178,8 +179,8 @@ def _blocks(text):
         m, s = len(t.split()), set(t.split())
         for at in range(max(len(w) - m, 0) + 1):
             b = set(w[at : at + m])
-            if 100 * len(b & s) >= 80 * len(s) and set(must.split()) <= b and not b & set(never.split()):
-                out.add((at, min(m, len(w)), i, label))
+            if 100 * len(b & s) >= 80 * len(s):
+                out.add((at, min(m, len(w)), i, label, set(must.split()) <= b and not b & set(never.split())))
     return out
 
 
@@ -194,8 +195,8 @@ def test_every_license_block_is_found_and_no_other(spark):
         texts.append(" ".join(r.choice(["the", "a", "license", "Mit"]) for _ in range(r.randrange(6))) + "\n" + " ".join(w) + r.choice([" end", "", " license the"]))
     docs = spark.createDataFrame([(i % 40, t, "own", 1) for i, t in enumerate(texts)], "doc_id long, text string, labels string, row int")
     rows = op6_licenses.licenses(docs).collect()
-    got = sorted((x.doc_id, x.n_words, sorted((m.start, m.n_block, m.template, m.label) for m in x.found)) for x in rows)
-    assert got == sorted((i % 40, len(re.findall(op6_licenses._WORD, t or "")), sorted(_blocks(t))) for i, t in enumerate(texts)) and sum(bool(x[2]) for x in got) > 40
+    got = sorted((x.doc_id, x.n_words, sorted((m.start, m.n_block, m.template, m.label, m.fits) for m in x.found)) for x in rows)
+    assert got == sorted((i % 40, len(re.findall(op6_licenses._WORD, t or "")), sorted(_blocks(t))) for i, t in enumerate(texts)) and sum(bool(x[2]) for x in got) > 40 and any(not m[4] for x in got for m in x[2])
     first = sorted((x for x in rows if x.doc_id < 5), key=lambda x: (x.doc_id, x.n_words))
     by = {i: {x.labels for x in first if x.doc_id == i} for i in range(5)}
     assert "apache" in by[0] and "" in by[1] and "cc-by-nc" in by[2] and "cc-by" in by[3] and "mit" in by[4]
@@ -391,6 +392,17 @@ def test_what_a_start_tag_ends_takes_its_marks_along(spark):
     assert used >= {0, 1, 4, 5}
 
 
+@pytest.mark.parametrize("piece", ["<div>x", "<ul><li>y", "<svg><p>z", "<select>", "<span class=ad>q", "<table><tr><td>c"])
+def test_deeply_nested_pages_take_time_in_proportion(piece):
+    def seconds(n):
+        t = time.perf_counter()
+        op10_html.blocks_of(piece * n)
+        return time.perf_counter() - t
+
+    seconds(1000)
+    assert seconds(100_000) < 40 * min(seconds(10_000) for _ in range(3)) + 0.5
+
+
 def test_links_go_on_through_blocks():
     page = "<a href=x><div>a menu entry</div><div>another one</div></a><div>no link</div><p><a>open<p>not in it"
     assert [b[1:3] for b in op10_html.blocks_of(page)] == [(3, 3), (2, 2), (2, 0), (1, 1), (3, 0)]
