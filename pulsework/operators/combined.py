@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .reduced import summed
-from .kernels import responses
+from .kernels import pooled, responses
 from .sequence import gauss_step
 
 
@@ -36,8 +36,8 @@ def count_score(traces: DataFrame, threshold: float) -> DataFrame:
 
 def channel_statistics(traces: DataFrame) -> DataFrame:
     """channel, mean, std (population) of all samples; sums leave the tasks."""
-    long = traces.select("channel", F.explode(F.col("samples").cast("array<double>")).alias("v"))
-    return long.groupBy("channel").agg(F.round(F.avg("v"), 7).alias("mean"), F.round(F.stddev_pop("v"), 7).alias("std"))
+    all_ = pooled(traces, "channel", v=F.col("samples").cast("array<double>"))
+    return all_.select("channel", F.round("mean", 7).alias("mean"), F.round(F.sqrt(F.expr("try_divide(m2, n)")), 7).alias("std"))
 
 
 def empty_rate(traces: DataFrame, threshold: float) -> DataFrame:

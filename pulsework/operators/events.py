@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .kernels import pooled
 from .reduced import doubles, summed
 
 
@@ -31,8 +32,7 @@ def multiplicity(traces: DataFrame, threshold: float) -> DataFrame:
 
 def sigma_thresholds(traces: DataFrame, numbers: list[float]) -> DataFrame:
     """channel, n_sigma, threshold: multiples of the sample standard deviation of each channel's samples."""
-    long = traces.select("channel", F.explode(doubles()).alias("v"))
-    sigma = long.groupBy("channel").agg(F.stddev_samp("v").alias("s"))
+    sigma = pooled(traces, "channel", v=doubles()).select("channel", F.sqrt(F.expr("try_divide(m2, n - 1)")).alias("s"))
     many = sigma.select("channel", "s", F.explode(F.array(*map(F.lit, map(float, numbers)))).alias("n_sigma"))
     return many.select("channel", "n_sigma", F.round(F.col("n_sigma") * F.col("s"), 6).alias("threshold"))
 

@@ -10,7 +10,7 @@ from collections.abc import Callable, Sequence
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Samples of a block, and taps from which a convolution goes through transforms.
@@ -171,6 +171,32 @@ def responses(v: Column, kernels: dict[int, Sequence[float]], before: int) -> Co
     return run(v)
 
 
+def moments(v: Column) -> Column:
+    """n, mean and m2 (sum of squares about the mean) of a trace's samples that aren't null; a trace without any has n = 0 and no mean."""
+
+    @F.arrow_udf("struct<n:long,mean:double,m2:double>")
+    def run(column: pa.Array) -> pa.Array:
+        n, mean, m2 = np.zeros(len(column), np.int64), np.full(len(column), np.nan), np.zeros(len(column))
+        nulls = _has_null(column)
+        for rows, x in by_length(column):
+            known = ~(np.isnan(x) & nulls[rows][:, None])
+            many = known.sum(1)
+            middle = np.where(known, x, 0).sum(1) / np.maximum(many, 1)
+            n[rows], mean[rows] = many, np.where(many > 0, middle, np.nan)
+            m2[rows] = (np.where(known, x - middle[:, None], 0) ** 2).sum(1)
+        return pa.StructArray.from_arrays([pa.array(n), pa.array(mean, mask=n == 0), pa.array(m2)], ["n", "mean", "m2"])
+
+    return run(v)
+
+
+def pooled(rows: DataFrame, *keys: str, v: Column) -> DataFrame:
+    """keys, n, mean, m2 of all samples of each key's traces: a trace is one row of moments, and these are summed before the shuffle."""
+    m = rows.select(*keys, moments(v).alias("m")).select(*keys, "m.*")
+    sums = m.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("mean")).alias("s"), F.sum("m2").alias("inside"), F.sum(F.col("n") * F.col("mean") * F.col("mean")).alias("q"))
+    between = F.greatest(F.col("q") - F.try_divide(F.col("s") * F.col("s"), F.col("n")), F.lit(0.0))
+    return sums.select(*keys, "n", F.try_divide("s", "n").alias("mean"), (F.col("inside") + F.coalesce(between, F.lit(0.0))).alias("m2"))
+
+
 def _first(test: np.ndarray) -> np.ndarray:
     """The first place where it holds, else 0."""
     return test.argmax(1)

@@ -56,7 +56,8 @@ def records(series: DataFrame, length: int) -> DataFrame:
 def described(records_: DataFrame, starts: DataFrame, dt: int, kinds: DataFrame) -> DataFrame:
     """``records_`` (channel, block, n) with time and endtime (ns), dt and kind: the run's start (starts: channel, start in seconds; 0 if
     absent) and the records before it. ``kinds`` (channel, kind) names the kind of channel; unknown ones are null."""
-    length = F.max("n").over(Window.partitionBy("channel"))
-    rows = records_.withColumn("_length", length).join(starts, "channel", "left").join(kinds, "channel", "left")
+    # the lengths are reduced before they are shuffled; the samples of a channel never meet
+    lengths = records_.groupBy("channel").agg(F.max("n").alias("_length"))
+    rows = records_.join(lengths, "channel").join(starts, "channel", "left").join(kinds, "channel", "left")
     time = (F.coalesce("start", F.lit(0)) * 1_000_000_000 + F.col("block") * F.col("_length") * dt).cast("long")
     return rows.withColumns({"time": time, "dt": F.lit(dt)}).withColumn("endtime", F.col("time") + F.col("n") * dt).drop("_length", "start")

@@ -48,9 +48,9 @@ def _thresholds(s, d):
 
 def _grid(s, d):
     """Every pair of sigma and threshold met by every channel's count."""
-    counts = traces(s, d).groupBy("channel").agg(F.collect_list(F.array_max("samples").cast("double")).alias("t"))
-    both = counts.join(F.broadcast(joins.grid(s, sigma=[0.05, 0.1], n=[2.0, 3.0, 4.0])))
-    return both.select("channel", "sigma", "n", F.size(F.filter("t", lambda x: x > F.col("sigma") * F.col("n"))).alias("hits"))
+    tops = traces(s, d).select("channel", F.array_max("samples").cast("double").alias("top"))
+    both = tops.join(F.broadcast(joins.grid(s, sigma=[0.05, 0.1], n=[2.0, 3.0, 4.0])))
+    return both.groupBy("channel", "sigma", "n").agg(F.count_if(F.col("top") > F.col("sigma") * F.col("n")).cast("int").alias("hits"))
 
 
 def _finite(s, d):

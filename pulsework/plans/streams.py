@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from ..operators import joins
 from ..sources import traces as files
-from ..streaming import periods, run, sliding, trigger
+from ..streaming import ordered, periods, run, sliding, trigger
 from .matched import _SLIDE, _short
 from .tables import P, events, places
 
@@ -51,10 +51,21 @@ def _vectors(s, d):
     return v.select("doc_id", F.size("vector").alias("n"), F.md5("last").alias("last"))
 
 
+def _unordered(s, d):
+    """The trigger over samples that come up to 50 minutes out of order, behind a watermark of an hour; the samples of the last hour are still waited for."""
+    session = s.newSession()
+    session.conf.set("spark.sql.streaming.stateStore.providerClass", ordered.PROVIDER)
+    e = events(session, d).select(F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").alias("channel"), F.unix_micros(F.col("ts").cast("timestamp")).alias("i"), F.col("value").alias("v"))
+    mixed = e.withColumn("turn", F.col("i") + F.pmod(F.xxhash64("i", "channel"), F.lit(3_000_000_000)))
+    stream = run.chunked(mixed, "turn")
+    return run.drained(ordered.hits(stream, 80.0, 0.5, late="1 hour")).where("not late").select("channel", "i")
+
+
 QUERIES = {
     "stream_rates": lambda s, d: run.drained(periods.rates(_stream(s, d), "30 minutes", "1 hour", 80.0), "update", ("start", "channel")),
     "stream_sliding_tops": lambda s, d: run.drained(periods.sliding_tops(_stream(s, d), "2 hours", "1 hour", "1 hour"), "update", ("start",)),
     "stream_trigger": lambda s, d: run.drained(trigger.hits(_placed(s, d), 80.0, 0.5)),
+    "stream_unordered_trigger": _unordered,
     "stream_filter": _filtered,
     "stream_spectra": _spectra,
     "stream_events": _merged,
@@ -74,5 +85,7 @@ ORACLE = {
     "stream_sliding_tops": "SELECT CAST((epoch_us(ts) // 3600000000 - k) * 3600000000 AS BIGINT) AS start, count(value) AS n, max(value) AS top FROM events, (VALUES (0), (1)) h(k) GROUP BY 1",
     "stream_trigger": """SELECT user_id AS channel, epoch_us(ts) AS i FROM (SELECT *, last_value(mark IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS was FROM (
  SELECT *, CASE WHEN value > 80 THEN 1 WHEN value < 40 THEN 0 END AS mark FROM events)) WHERE mark = 1 AND coalesce(was, 0) = 0""",
+    "stream_unordered_trigger": """SELECT user_id AS channel, epoch_us(ts) AS i FROM (SELECT *, last_value(mark IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS was FROM (
+ SELECT *, CASE WHEN value > 80 THEN 1 WHEN value < 40 THEN 0 END AS mark FROM events)) WHERE mark = 1 AND coalesce(was, 0) = 0 AND epoch_us(ts) <= (SELECT max(epoch_us(ts)) // 1000 * 1000 FROM events WHERE value > 80 OR value < 40) - 3600000000""",
     "packed_vectors": "SELECT doc_id, CAST(len(string_split(text, chr(10))) AS INTEGER) AS n, md5(string_split(text, chr(10))[-1]) AS last FROM documents",
 }

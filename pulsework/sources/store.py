@@ -26,11 +26,21 @@ def write_versioned(rows: DataFrame, base: str, kind: str, run: int | str, confi
     stamped.write.mode("append").partitionBy("run_id", "config", "written").parquet(f"{base}/{kind}")
 
 
-def read_latest(spark: SparkSession, base: str, kind: str, *runs: int | str) -> DataFrame:
-    """The newest version of each of the runs (of all, if none is named). Folders give run and time, so only theirs are read."""
+def versions(spark: SparkSession, base: str, kind: str) -> DataFrame:
+    """run_id, config, written of every version that is there, from the folders alone."""
+    return spark.read.option("recursiveFileLookup", "false").schema(_with_text(spark, f"{base}/{kind}")).parquet(f"{base}/{kind}").select("run_id", "config", "written").distinct()
+
+
+def read_latest(spark: SparkSession, base: str, kind: str, *runs: int | str, config: dict | None = None, written: int | None = None) -> DataFrame:
+    """The newest version of each of the runs (of all, if none is named); of a configuration, the newest that was written with it, and with ``written`` the version
+    of that time (microseconds, as ``versions`` has it) and no other. Folders give run, configuration and time, so only theirs are read."""
     rows = spark.read.option("recursiveFileLookup", "false").schema(_with_text(spark, f"{base}/{kind}")).parquet(f"{base}/{kind}")
     if runs:
         rows = rows.where(F.col("run_id").isin([run_name(r) for r in runs]))
+    if config is not None:
+        rows = rows.where(F.col("config") == config_key(config))
+    if written is not None:
+        return rows.where(F.col("written") == written)
     newest = rows.groupBy("run_id").agg(F.max("written").alias("written"))
     return rows.join(F.broadcast(newest), ["run_id", "written"], "left_semi")
 

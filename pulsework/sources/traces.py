@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,6 +76,45 @@ def read_tensors(spark: SparkSession, path: str, shape: tuple[int, int], whole:
     return rows.select("path", energy_of(F.col("path")).alias("energy"), "set", "channel", "samples")
 
 
+def write_tensors(traces: DataFrame, path: str, shape: tuple[int, int], sets_a_file: int = 256, level: int = 15) -> list[str]:
+    """Writes rows (energy, set, channel, samples) as files of shuffled half-precision bytes, each of the sets of one energy, which ``read_tensors`` reads; returns their paths.
+
+    ``shape`` is (channels, samples). A set without just these channels, numbered from 0, or with a trace of another length raises, as does a null
+    sample; then files of other sets may be there already. A task holds the sets of one file; a file is moved into place when it is whole.
+    Values outside half precision become infinite.
+    """
+    from .raw import _system, qualified  # which reads the formats above
+
+    channels, many = shape
+    root = qualified(traces.sparkSession, path)
+
+    def write(key, table):
+        import zstandard
+
+        energy, block = key[0].as_py(), key[1].as_py()
+        table = table.sort_by([("set", "ascending"), ("channel", "ascending")])
+        sets = np.unique(table["set"].to_numpy())
+        samples = table["samples"].combine_chunks()
+        if len(table) != len(sets) * channels or (table["channel"].to_numpy().reshape(-1, channels) != np.arange(channels)).any():
+            raise ValueError(f"a set of energy {energy} hasn't the channels 0 to {channels - 1}")
+        if (pc.fill_null(pc.list_value_length(samples), -1).to_numpy() != many).any() or samples.flatten().null_count:
+            raise ValueError(f"a trace of energy {energy} hasn't {many} samples")
+        with np.errstate(over="ignore"):
+            x = samples.flatten().to_numpy().astype(np.float16).reshape(len(sets), -1)
+        raw = x.view(np.uint8).reshape(len(sets), -1, 2).transpose(0, 2, 1).tobytes()
+        fs, inner = _system(root)
+        fs.create_dir(inner)
+        name = f"{inner.rstrip('/')}/traces_{block:06d}_energy_{energy}eV.zst"
+        part = f"{inner.rstrip('/')}/_{uuid.uuid4().hex}"  # readers pass over such a name
+        with fs.open_output_stream(part) as f:
+            f.write(zstandard.ZstdCompressor(level=level).compress(raw))
+        fs.move(part, name)
+        return pa.table({"path": [name]})
+
+    rows = traces.select(F.col("energy").cast("long").alias("energy"), F.floor(F.col("set") / sets_a_file).cast("long").alias("block"), F.col("set").cast("long").alias("set"), F.col("channel").cast("long").alias("channel"), F.col("samples").cast("array<double>").alias("samples"))
+    return sorted(r.path for r in rows.groupBy("energy", "block").applyInArrow(write, "path string").collect())  # a name for each file
+
+
 def write_traces(traces: DataFrame, path: str, *partitions: str) -> None:
     """Parquet with zstd, one folder for each value of the partition columns: the codec and layout take the place of shuffled byte files."""
     traces.write.mode("overwrite").option("compression", "zstd").partitionBy(*partitions).parquet(path)

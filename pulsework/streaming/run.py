@@ -15,14 +15,15 @@ def folder(spark: SparkSession) -> str:
     return f"{(where or tempfile.mkdtemp(prefix='pulsework-')).rstrip('/')}/{uuid.uuid4().hex}"
 
 
-def chunked(rows: DataFrame, order: str, key: str, chunks: int = 3, files: int = 8) -> DataFrame:
-    """A stream of a table's rows in ``chunks`` parts by the column ``order``, each written after the one before; a value of ``key`` has one file in a part, so its rows come in order."""
+def chunked(rows: DataFrame, order: str, key: str | None = None, chunks: int = 3, files: int = 8) -> DataFrame:
+    """A stream of a table's rows in ``chunks`` parts by the column ``order``, each written after the one before; a value of ``key`` has one file in a part, so its
+    rows come in order. Without a key each part has just ``files`` files (if it has as many rows), and so is a batch of its own."""
     spark = rows.sparkSession
     edges = rows.approxQuantile(order, [i / chunks for i in range(1, chunks)], 0.01)
     path, spans = folder(spark), list(zip([None, *edges], [*edges, None]))
     for low, high in spans:
         part = rows.where(F.lit(True) if low is None else F.col(order) >= low).where(F.lit(True) if high is None else F.col(order) < high)
-        part.repartition(files, key).write.mode("append").parquet(path)
+        part.repartition(files, *([key] if key else [])).write.mode("append").parquet(path)
     return source(spark, path, files)
 
 

@@ -65,3 +65,18 @@ def test_written_traces_come_back(spark, tmp_path):
     df = spark.createDataFrame([(1, 20, [1.0, 2.0]), (2, 40, None)], "trace_id long, energy int, samples array<double>")
     traces.write_traces(df, str(tmp_path / "t"), "energy")
     assert spark.read.parquet(str(tmp_path / "t")).select(df.columns).orderBy("trace_id").collect() == df.collect()
+
+
+def test_tensors_written_and_read(spark, tmp_path):
+    r = np.random.default_rng(4)
+    data = {(e, s, c): r.normal(size=8).astype(np.float16).astype(float).tolist() for e in (20, 40) for s in range(5) for c in range(3)}
+    df = spark.createDataFrame([(*k, v) for k, v in data.items()], "energy int, set long, channel int, samples array<double>").repartition(3)
+    names = traces.write_tensors(df, str(tmp_path / "t"), (3, 8), sets_a_file=2)
+    assert len(names) == 6 and [n[-9:] for n in names] == ["_20eV.zst", "_40eV.zst"] * 3
+    back = {(x.energy, int(x.path.split("_")[-3]) * 2 + x.set, x.channel): x.samples for x in traces.read_tensors(spark, str(tmp_path / "t"), (3, 8)).collect()}
+    assert back == data
+    series = df.where("energy = 20 and set = 0")  # one table of amplitudes of each channel
+    assert len(traces.write_tensors(series, str(tmp_path / "a"), (3, 8))) == 1 and traces.read_tensors(spark, str(tmp_path / "a"), (3, 8)).count() == 3
+    for odd in (df.where("set <> 1 or channel <> 2"), df.withColumn("samples", F.slice("samples", 1, 7)), df.withColumn("channel", F.col("channel") + 1)):
+        with pytest.raises(PythonException, match="hasn't"):
+            traces.write_tensors(odd, str(tmp_path / "odd"), (3, 8))

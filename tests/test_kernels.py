@@ -104,3 +104,13 @@ def test_spline_against_a_dense_solve(spark, n, to):
     df = spark.createDataFrame([("a", i, float(v)) for i, v in enumerate(y)] + [("b", i, 2.0) for i in range(6)], "k string, i int, t double")
     got = {(r.k, r.i): r.t for r in templates.resampled(df, to, "k").collect()}
     assert np.allclose([got["a", i] for i in range(to)], want, atol=1e-9) and len(got) == 2 * to and abs(got["b", to - 1] - 2) < 1e-12
+
+
+def test_pooled_moments(spark):
+    r = np.random.default_rng(9)
+    rows = [(i % 3, [None if r.random() < 0.1 else float(x) for x in 1000 + r.normal(size=r.integers(1, 30))]) for i in range(40)] + [(0, None), (1, []), (7, [None])]
+    got = {g.k: g for g in kernels.pooled(spark.createDataFrame(rows, "k int, samples array<double>").repartition(3), "k", v=F.col("samples")).collect()}
+    for k in range(3):
+        x = np.array([y for kk, v in rows if kk == k and v for y in v if y is not None])
+        assert got[k].n == len(x) and abs(got[k].mean - x.mean()) < 1e-9 and abs(got[k].m2 - ((x - x.mean()) ** 2).sum()) < 1e-5
+    assert (got[7].n, got[7].mean, got[7].m2) == (0, None, 0)
