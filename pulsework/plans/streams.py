@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from ..operators import joins
 from ..sources import traces as files
-from ..streaming import ordered, periods, run, sliding, trigger
+from ..streaming import buckets, ordered, periods, run, sliding, trigger
 from .matched import _SLIDE, _short
 from .tables import P, events, places
 
@@ -61,11 +61,20 @@ def _unordered(s, d):
     return run.drained(ordered.hits(stream, 80.0, 0.5, late="1 hour")).where("not late").select("channel", "i")
 
 
+def _bucketed(s, d):
+    """Events in buckets of two hours; of the last ones, those whose buckets the watermark hasn't passed are still open."""
+    session = s.newSession()
+    session.conf.set("spark.sql.streaming.stateStore.providerClass", ordered.PROVIDER)
+    e = events(session, d).where("value > 80").select(F.col("ts").cast("timestamp").alias("ts"), F.unix_micros(F.col("ts").cast("timestamp")).alias("t"), F.col("user_id").alias("channel"))
+    return buckets.joined(run.drained(buckets.pieces(run.chunked(e, "t"), 900_000_000, 7_200_000_000, "1 hour")))
+
+
 QUERIES = {
     "stream_rates": lambda s, d: run.drained(periods.rates(_stream(s, d), "30 minutes", "1 hour", 80.0), "update", ("start", "channel")),
     "stream_sliding_tops": lambda s, d: run.drained(periods.sliding_tops(_stream(s, d), "2 hours", "1 hour", "1 hour"), "update", ("start",)),
     "stream_trigger": lambda s, d: run.drained(trigger.hits(_placed(s, d), 80.0, 0.5)),
     "stream_unordered_trigger": _unordered,
+    "stream_bucketed_events": _bucketed,
     "stream_filter": _filtered,
     "stream_spectra": _spectra,
     "stream_events": _merged,
@@ -79,6 +88,8 @@ ORACLE = {
  SELECT CAST(start AS BIGINT) AS start, CAST(k AS INTEGER) AS k, count(*) AS n, round(avg(re * re + im * im) * CASE WHEN k IN (0, 8) THEN 1 ELSE 2 END / 16, 4) AS psd FROM f GROUP BY start, k""",
     "stream_events": """WITH t AS (SELECT user_id AS channel, epoch_us(ts) AS t FROM events WHERE value > 80), n AS (SELECT *, CASE WHEN t - lag(t) OVER (ORDER BY t, channel) < 900000000 THEN 0 ELSE 1 END AS f FROM t)
  SELECT min(t) AS start, max(t) AS stop, count(*) AS n, CAST(count(DISTINCT channel) AS INTEGER) AS n_channels FROM (SELECT *, sum(f) OVER (ORDER BY t, channel) AS e FROM n) GROUP BY e HAVING max(t) + 900000000 <= (SELECT max(t) FROM t) - 3600000000""",
+    "stream_bucketed_events": """WITH t AS (SELECT user_id AS channel, epoch_us(ts) AS t FROM events WHERE value > 80), n AS (SELECT *, CASE WHEN t - lag(t) OVER (ORDER BY t, channel) < 900000000 THEN 0 ELSE 1 END AS f FROM t)
+ SELECT min(t) AS start, max(t) AS stop, count(*) AS n, CAST(count(DISTINCT channel) AS INTEGER) AS n_channels FROM (SELECT *, sum(f) OVER (ORDER BY t, channel) AS e FROM n) GROUP BY e HAVING (max(t) // 7200000000 + 1) * 7200000000 + 900000000 <= (SELECT max(t) // 1000 * 1000 FROM t) - 3600000000""",
     "noise_windows": f"""WITH w AS (SELECT channel, i // 16 AS block, i AS start, md5('7-' || channel || '-' || (i // 16) || '-' || i) AS h FROM {P} a WHERE i % 4 = 0 AND NOT EXISTS (SELECT 1 FROM {P} b WHERE b.channel = a.channel AND b.v > 95 AND b.i BETWEEN a.i - 1 AND a.i + 4))
  SELECT channel, block, start FROM w QUALIFY row_number() OVER (PARTITION BY channel, block ORDER BY h) <= 2""",
     "stream_rates": """SELECT CAST(epoch_us(ts) // 1800000000 * 1800000000 AS BIGINT) AS start, event_type AS channel, count(value) AS n, count(*) FILTER (value > 80) AS n_pass, round(avg(value), 5) AS mean FROM events GROUP BY 1, 2""",

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from pulsework.operators import filters, holdoff
-from pulsework.streaming import ordered, run
+from pulsework.streaming import buckets, ordered, run
 from tests.test_streaming import by_hand
 
 T0 = datetime.datetime(2024, 1, 1)
@@ -77,3 +77,23 @@ def test_slices_are_a_loop(spark, size, hold):
     loop = lambda u: [i - 50 for i in by_hand(u, 1.0, 0.5, hold)]
     assert sorted(got["a"]) == loop(v) and sorted(got["b"]) == loop(-v) and got["d"] == [0] and "c" not in got
     assert sorted(got[None]) == loop(np.where(np.arange(400) % 3 > 0, 0.9 * v, 0.7))
+
+
+@pytest.mark.parametrize("width", [10, 60, 1000])
+def test_events_in_buckets_of_time(timed, tmp_path, width):
+    r = np.random.default_rng(8)
+    t = np.sort(r.choice(2000, 220, replace=False))
+    t = np.concatenate([t, np.arange(500, 700, 4)])  # one event over many buckets
+    order = np.argsort(t + r.uniform(0, 29, len(t)))
+    parts = [[(f"c{t[i] % 7}", t[i], 0.0) for i in part] for part in np.array_split(order, 5)] + [[("z", 4000, 0.0)], [("z", 4001, 0.0), ("y", 30, 0.0)], [("z", 8000, 0.0)]]
+    found = run.drained(buckets.pieces(chunks(timed, str(tmp_path / "s"), parts), 10_000_000, width * 1_000_000, "30 seconds"))
+    assert [x.channels for x in found.where("late").collect()] == [["y"]]
+    line = np.sort(np.concatenate([t, [4000, 4001]]))
+    want = []
+    for run_ in np.split(line, np.flatnonzero(np.diff(line) >= 10) + 1):
+        want.append((int(run_[0]), int(run_[-1]), len(run_), 1 if run_[0] >= 4000 else len({x % 7 for x in run_.tolist()})))
+    base = int((T0 - datetime.datetime(1970, 1, 1)).total_seconds())
+    got = sorted((x.start // 1_000_000 - base, x.stop // 1_000_000 - base, x.n, x.n_channels) for x in buckets.joined(found).collect())
+    assert got == want
+    if width == 10:
+        assert found.where("not (opens and closes)").count() > 10 and found.where("not late").agg({"n": "max"}).first()[0] <= 10
