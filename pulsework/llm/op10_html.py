@@ -1,9 +1,9 @@
 """Main text of web pages: flat text blocks, classified by a decision tree.
 
 A page becomes a flat list of text blocks. Each has its word count and link density, those of the blocks before and
-after it, and whether it stands in an article or in a part that pages use for other things (menus, headers, adverts,
-forms, comments). A decision tree, grown in numpy from the small labelled table below, says which blocks are main text:
-it asks for link density first, then for words, neighbours and the two marks.
+after it, and one mark: whether it stands in an article (1), in a part that pages use for other things (menus, headers, adverts,
+forms, comments: -1), or in neither. A decision tree, grown in numpy from the small labelled table below, says which blocks are
+main text. It asks for link density and words, and for the mark only where no question about these removes much doubt.
 """
 
 import html
@@ -46,7 +46,7 @@ _TABLES = {"table", "caption", "tbody", "thead", "tfoot", "tr", "td", "th", "bod
 #: words, link density, words before, density before, words after, density after, in an article, in another part
 MAIN = [
     (40, 0, 30, 0, 50, 0, 1, 0), (3, 0, 40, 0, 60, 0, 1, 0), (1, 0, 0, 0, 20, 0, 1, 0), (8, 0, 4, 0, 90, 0, 1, 0), (120, 0.1, 10, 0, 0, 0, 1, 0), (2, 1, 30, 0, 30, 0, 1, 0),
-    (12, 0.5, 20, 0, 4, 1, 1, 0), (1, 1, 1, 1, 1, 1, 1, 0), (3, 1, 2, 1, 60, 0, 1, 0), (2, 0, 1, 1, 1, 1, 1, 0), (4, 0, 60, 0, 0, 0, 1, 0), (3, 0, 0, 0, 5, 1, 1, 0), (20, 0.8, 40, 0, 30, 0, 1, 0),
+    (12, 0.5, 20, 0, 4, 1, 1, 0), (2, 0, 1, 1, 1, 1, 1, 0), (4, 0, 60, 0, 0, 0, 1, 0), (3, 0, 0, 0, 5, 1, 1, 0), (20, 0.8, 40, 0, 30, 0, 1, 0),
     (2, 0, 3, 0, 2, 0, 1, 0), (25, 0, 1, 1, 1, 1, 1, 0), (7, 0, 7, 0, 6, 0, 1, 0), (12, 0, 1, 1, 1, 1, 1, 0), (6, 0, 1, 1, 3, 1, 1, 0), (5, 0.2, 30, 0, 2, 1, 1, 0),
     (60, 0, 2, 1, 80, 0, 0, 0), (45, 0.05, 60, 0, 3, 1, 0, 0), (30, 0, 5, 1, 25, 0, 0, 0), (18, 0, 70, 0, 40, 0, 0, 0), (6, 0, 55, 0, 48, 0, 0, 0), (4, 0, 30, 0.1, 90, 0, 0, 0), (2, 0, 2, 1, 21, 0, 0, 0),
     (3, 0, 1, 1, 35, 0, 0, 0), (2, 0, 40, 0, 21, 0, 0, 0), (1, 0, 21, 0, 30, 0, 0, 0), (50, 0, 1, 1, 1, 1, 0, 0), (80, 0, 0, 0, 0, 0, 0, 0), (21, 0, 2, 0, 1, 1, 0, 0), (21, 0, 2, 0, 12, 0, 0, 0), (25, 0.2, 21, 0, 2, 1, 0, 0),
@@ -60,21 +60,35 @@ NOT_MAIN = [
     (40, 0, 30, 0, 50, 0, 1, 1), (40, 0, 30, 0, 50, 0, 0, 1), (5, 0, 1, 1, 12, 0, 0, 1), (30, 0, 2, 1, 40, 0, 0, 1), (90, 0, 10, 0, 20, 0, 0, 1), (3, 0, 12, 0, 40, 0, 1, 1), (2, 1, 8, 0, 0, 0, 1, 1), (25, 0, 20, 0, 30, 0, 1, 1),
     (60, 0.1, 5, 0, 70, 0, 1, 1), (2, 0, 30, 0, 50, 0, 0, 1), (1, 1, 3, 0, 40, 0, 1, 1), (6, 0, 5, 0, 2, 0, 1, 1), (50, 0, 1, 1, 1, 1, 0, 1), (4, 0, 4, 0, 4, 0, 0, 1),
 ]
-TABLE = [(*x, 1) for x in MAIN] + [(*x, 0) for x in NOT_MAIN]
+#: The two last columns as one mark; then the label.
+TABLE = [(*x[:6], -1 if x[7] else x[6], label) for rows, label in ((MAIN, 1), (NOT_MAIN, 0)) for x in rows]
+#: The mark's column, and the share of the doubt that a question about the others has to remove, if the mark isn't to be asked for.
+MARK, WORTH = 6, 0.15
 
 
-def grow(x: np.ndarray, y: np.ndarray):
-    """A decision tree by Gini impurity: (column, threshold, tree up to it, tree above) or the label. Ties go to the last column, then the lowest threshold."""
-    if len(set(y.tolist())) == 1:
-        return int(y[0])
+def _doubt(y: np.ndarray) -> float:
+    return len(y) * y.mean() * (1 - y.mean()) if len(y) else 0.0
+
+
+def _question(x: np.ndarray, y: np.ndarray, columns):
+    """(doubt left, column, threshold) of the question that leaves the least Gini impurity; of equal ones the first column, then the lowest threshold."""
     best = None
-    for j in range(x.shape[1] - 1, -1, -1):
+    for j in columns:
         values = np.unique(x[:, j])
         for cut in (values[1:] + values[:-1]) / 2:
-            sides = [y[x[:, j] <= cut], y[x[:, j] > cut]]
-            gini = sum(len(s) * s.mean() * (1 - s.mean()) for s in sides)
-            if best is None or gini < best[0] - 1e-12:
-                best = gini, j, cut
+            left = _doubt(y[x[:, j] <= cut]) + _doubt(y[x[:, j] > cut])
+            if best is None or left < best[0] - 1e-12:
+                best = left, j, cut
+    return best
+
+
+def grow(x: np.ndarray, y: np.ndarray):
+    """A decision tree: (column, threshold, tree up to it, tree above) or the label."""
+    if len(set(y.tolist())) == 1:
+        return int(y[0])
+    best = _question(x, y, range(MARK))
+    if best is None or best[0] > (1 - WORTH) * _doubt(y):
+        best = _question(x, y, [MARK]) or best
     if best is None:
         return int(y.mean() >= 0.5)
     _, j, cut = best
@@ -191,7 +205,7 @@ def main_text(page: str, rules) -> str:
     dense = [(n, k / n) for _, n, k, _, _ in parts]
     out = []
     for i, (text, n, _, article, other) in enumerate(parts):
-        x = (n, dense[i][1], *(dense[i - 1] if i else (0, 0)), *(dense[i + 1] if i + 1 < len(dense) else (0, 0)), article, other)
+        x = (n, dense[i][1], *(dense[i - 1] if i else (0, 0)), *(dense[i + 1] if i + 1 < len(dense) else (0, 0)), -1 if other else int(article))
         node = rules
         while not isinstance(node, int):
             node = node[2] if x[node[0]] <= node[1] else node[3]
