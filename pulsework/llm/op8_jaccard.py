@@ -28,8 +28,8 @@ from .textnp import Words, blocks, mix, shingle_sets, shingles
 
 #: The most tokens whose frequency is known everywhere (8 bytes each), and the least frequency of such a token.
 HOT, HOT_LEAST = 100_000, 16
-#: Turns in which the sets of each index list are compared with a leader, before pairs are made.
-TURNS = 1
+#: Turns in which the sets of each index list are compared with leaders, before pairs are made, and leaders of a long list.
+TURNS, LEADERS = 1, 4
 #: Sets of one token that one task compares.
 SETS_A_PART = 20_000
 #: Pairs of min-hashes by which a set finds its leaders.
@@ -208,13 +208,16 @@ def jaccard_components(docs: DataFrame, percent: int = 75, k: int = 5) -> DataFr
     tries = tries.where((F.col("s.doc_id") != F.col("b")) & (100 * F.least("s.n", "n") >= percent * F.greatest("s.n", "n"))).select(F.col("s.doc_id").alias("a"), "b").distinct()
     taken = cut(components(verified(docs, signed, tries, percent, k)))
 
-    # The same along the index lists: each set of a list is compared with one leader of another class, a new one in each turn.
+    # The same along the index lists: each set of a list is compared with leaders of another class, new ones in each turn. Long lists have
+    # several, so that of a large group whose sets are partly linked few are left outside its class, and few links are found again among pairs.
     entry = cut(shared.join(taken.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("comp", F.coalesce("comp", "doc_id")))
     whole = reps.join(taken.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("comp", F.coalesce("comp", "doc_id"))
     for turn in range(TURNS):
         # any set of the list may lead it
-        heads = entry.groupBy("token").agg(F.min_by(F.struct("doc_id", "n", "pos", "comp"), F.xxhash64("doc_id", F.lit(turn))).alias("h"), F.min("comp").alias("x"), F.max("comp").alias("y")).where("x != y").select("token", "h")
-        tries = spread(entry, heads, ["token"]).where((F.col("comp") != F.col("h.comp")) & (100 * F.least("n", "h.n") >= percent * F.greatest("n", "h.n")))
+        leader = [F.min_by(F.struct("doc_id", "n", "pos", "comp"), F.xxhash64("doc_id", F.lit(turn * LEADERS + j))).alias(f"h{j}") for j in range(LEADERS)]
+        heads = entry.groupBy("token").agg(*leader, F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("sets")).where("x != y")
+        heads = heads.select("token", F.when(F.col("sets") > FEW_SETS, F.array_distinct(F.array(*(f"h{j}" for j in range(LEADERS))))).otherwise(F.array("h0")).alias("heads"))
+        tries = spread(entry, heads, ["token"]).select("*", F.explode("heads").alias("h")).where((F.col("comp") != F.col("h.comp")) & (100 * F.least("n", "h.n") >= percent * F.greatest("n", "h.n")))
         tries = tries.where((100 + percent) * F.least(F.col("n") - F.col("pos"), F.col("h.n") - F.col("h.pos")) >= percent * (F.col("n") + F.col("h.n")))
         tries = tries.select(F.col("h.doc_id").alias("a"), F.col("doc_id").alias("b")).distinct()
         merged = cut(_merged(verified(docs, signed, tries, percent, k), whole))
