@@ -78,23 +78,27 @@ def shard(docs: DataFrame, shards: int = 8, group=None, keep: list[str] | None =
     rows = rows.join(F.broadcast(hot), "_key", "left").withColumn("_at", F.when(F.col("_hot").isNull(), F.col("_key")).otherwise(F.concat(F.lit("\1"), F.monotonically_increasing_id())))
     rows = rows.join(placed.select(F.col("_key").alias("_at"), "_shard"), "_at", "left").withColumn("shard", F.coalesce("_hot", "_shard"))
     order = [F.col("_own.doc_id")] if "doc_id" in own else []
-    out = _numbered(rows.drop("_at", "_hot", "_shard"), "shard", "_key", n, *order)
+    out = _numbered(rows.drop("_at", "_hot", "_shard"), "shard", "_key", n, *order, few=True)
     return out.select("_own.*", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("_place").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 
-def _numbered(rows: DataFrame, part: str, key: str, n: int, *order) -> DataFrame:
+def _numbered(rows: DataFrame, part: str, key: str, n: int, *order, few: bool = False) -> DataFrame:
     """``rows`` with _place, numbered from 0 in each value of ``part`` in the order of ``order`` and ``key``.
 
-    The whole order is cut into ranges of about ``ROWS_A_RANGE`` rows, which are numbered apart, and the counts of the ranges are carried over: so the
-    numbers don't depend on the ranges, and rows that tie in all of the order may be in several of them.
+    The whole order is cut into ranges of about ``ROWS_A_RANGE`` rows, which are sorted apart, and the counts of the ranges are carried over: so the
+    numbers don't depend on the ranges, and rows that tie in all of the order may be in several of them. ``few``: ``part`` has few values.
     """
-    line = [*order, F.col(key), F.col("_row")]
-    rows = cut(rows.withColumn("_row", F.monotonically_increasing_id()))
-    rows = cut(rows.repartitionByRange(n // ROWS_A_RANGE + 1, F.col(part), *line).withColumn("_range", F.spark_partition_id()))
-    before = rows.groupBy(part, "_range").agg(F.count("*").alias("_start"))
-    before = before.withColumn("_start", F.sum("_start").over(Window.partitionBy(part).orderBy("_range")) - F.col("_start"))
-    number = F.row_number().over(Window.partitionBy(part, "_range").orderBy(*line))
-    return rows.withColumn("_place", number).join(before, [part, "_range"]).withColumn("_place", F.col("_start") + F.col("_place") - 1).drop("_range", "_start", "_row")
+    line = [*order, F.col(key)]
+    ranged = rows.withColumn("_row", F.monotonically_increasing_id()).repartitionByRange(n // ROWS_A_RANGE + 1, F.col(part), *line, F.col("_row"))
+    # in a sorted range the id is the number of the range, and in the low 33 bits the place in it
+    rows = cut(ranged.sortWithinPartitions(F.col(part), *line, F.col("_row")).drop("_row").withColumn("_at", F.monotonically_increasing_id()))
+    rows = rows.withColumn("_range", F.shiftright("_at", 33))
+    before = rows.groupBy(part, "_range").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
+    earlier = Window.partitionBy(part).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    before = before.select(part, "_range", (F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_first")).alias("_start"))
+    # a value of part is in neighbouring ranges, so there are no more rows than values and ranges
+    before = F.broadcast(before) if few else before
+    return rows.join(before, [part, "_range"]).withColumn("_place", F.col("_at") + F.col("_start")).drop("_range", "_start", "_at")
 
 
 def query(spark, sf_dir):
