@@ -9,7 +9,8 @@ exact: a prefix filter finds candidates, and whole sets decide. Two kinds of ski
 * *Answer-level.* A set's answer is its class, all that chains of links reach. Sets that share a band of min-hashes are compared
   with the first and the last of them, its leaders. A set that is verified to link with a leader has the leader's answer, whatever
   is in it, without a comparison of its own; the same is done along the index lists, with one leader of a list at a time.
-  What the leaders' answers don't tell is found afterwards among pairs of different classes, and joins the classes. Equal sets share one answer from the start. Pairs inside a class are not listed.
+  In long lists each set that the leaders leave outside the largest class is then compared with its nearest one of another class.
+  What these answers don't tell is found afterwards among pairs of different classes, and joins the classes. Equal sets share one answer from the start. Pairs inside a class are not listed.
 
 Tokens are ordered by rising frequency: the ``hot`` most frequent ones, counted over all documents, come last, which
 keeps shared passages and boilerplate out of the prefixes. The order decides only the cost.
@@ -32,6 +33,8 @@ HOT, HOT_LEAST = 100_000, 16
 TURNS, LEADERS = 1, 4
 #: Sets of one token that one task compares.
 SETS_A_PART = 20_000
+#: Sets of a long list that are compared with each other for the nearest, the largest classes in which it is looked for, and 64-bit words compared at a time.
+SETS_NEAR, LARGE, CELLS = 2_000, 3, 1 << 21
 #: Pairs of min-hashes by which a set finds its leaders.
 BANDS = 6
 #: The fewest bits of a parity bitmap; larger sets have as many as the power of two that isn't below their size. Wide ones have four times
@@ -228,8 +231,14 @@ def jaccard_components(docs: DataFrame, percent: int = 75, k: int = 5) -> DataFr
     mixed = entry.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.max("n").alias("top"), (F.floor(F.count("*") / SETS_A_PART) + 1).cast("int").alias("parts"), (F.count("*") > FEW_SETS).alias("many")).where("x != y").select("token", "top", "parts", "many")
     entry = cut(spread(entry, mixed, ["token"]))
     # In long lists the bitmaps are compared inside the join: of sets that share a token but aren't similar hardly a row is made.
-    long = spread(cut(entry.where("many")), signed.select("doc_id", "wide").dropDuplicates(["doc_id"]), ["doc_id"])
-    pairs = _probed(entry.where("not many"), percent).unionByName(_probed(cut(long), percent, _may_be_similar("an", "aw", "bn", "bw", percent))).distinct()
+    long = cut(spread(cut(entry.where("many")), signed.select("doc_id", "wide").dropDuplicates(["doc_id"]), ["doc_id"]))
+    # Before that each set outside a long list's largest class is compared with its nearest one of another class: two classes of a large group
+    # may be joined by very many links, of which one is enough.
+    merged = cut(_merged(verified(docs, signed, _nearest(long, percent), percent, k), whole))
+    entry, long, whole = _renamed(entry.where("not many"), merged), cut(_renamed(long, merged)), cut(_renamed(whole, merged))
+    mixed = long.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x != y").select("token")
+    long = cut(spread(long, mixed, ["token"]))
+    pairs = _probed(entry, percent).unionByName(_probed(long, percent, _may_be_similar("an", "aw", "bn", "bw", percent))).distinct()
     more = verified(docs, signed, pairs, percent, k)
     whole = _renamed(whole, _merged(more, whole)).select(F.col("doc_id").alias("rep"), "comp")
     named = classes.join(whole, "rep", "left").select("k1", "k2", "comp")
@@ -255,6 +264,45 @@ def _probed(entry: DataFrame, percent: int, able=None) -> DataFrame:
     return index.join(probe, ["token", "block", "part"]).where(near if able is None else near & able).select("a", "b")
 
 
+def _nearest(long: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b): for each set b of an index list (token, doc_id, n, comp, wide) outside the list's largest class the set a of another class whose
+    bitmap is nearest, of each of the ``LARGE`` largest classes and of all, if it may be similar. Lists are dealt into parts of about ``SETS_NEAR`` sets, each list in another way; no pair is
+    ruled out by that, it is made later."""
+
+    def near(table: pa.Table) -> pa.Table:
+        ids, n, comp = (table.column(c).to_numpy() for c in ("doc_id", "n", "comp"))
+        names, of, many = np.unique(comp, return_inverse=True, return_counts=True)
+        large = np.argsort(-many, kind="stable")[:LARGE]
+        least, found = np.full((len(ids), LARGE + 1), np.inf), np.full((len(ids), LARGE + 1), -1)
+        lists = table.column("wide").combine_chunks()
+        ends, values = lists.offsets.to_numpy(), lists.values.to_numpy().view(np.uint64)
+        sizes = np.diff(ends)
+        for m in np.unique(sizes).tolist() if len(names) > 1 else []:
+            # sets with twice as many bits are compared as in _may_be_similar
+            at = np.flatnonzero((sizes == m) | (sizes == 2 * m))
+            bits = np.stack([values[ends[i] : ends[i] + m] ^ (values[ends[i] + m : ends[i + 1]] if sizes[i] > m else np.uint64(0)) for i in at])
+            small = np.flatnonzero(of[at] != large[0])
+            step = max(1, CELLS // bits.size)
+            for part in (small[i : i + step] for i in range(0, len(small), step)):
+                apart = np.bitwise_count(bits[part][:, None] ^ bits[None]).sum(2, dtype=np.int64)
+                able = ((100 + percent) * apart <= (100 - percent) * (n[at[part]][:, None] + n[at][None])) & (of[at[part]][:, None] != of[at][None])
+                apart = np.where(able, apart, np.inf)
+                for j in range(len(large) + 1):
+                    own = np.flatnonzero(of[at] == large[j]) if j < len(large) else np.arange(len(at))
+                    if len(own):
+                        best = own[apart[:, own].argmin(1)]
+                        value = apart[np.arange(len(part)), best]
+                        better = value < least[at[part], j]
+                        least[at[part[better]], j], found[at[part[better]], j] = value[better], at[best[better]]
+        b, j = np.nonzero(found >= 0)
+        return pa.table({"a": pa.array(ids[found[b, j]], pa.int64()), "b": pa.array(ids[b], pa.int64())})
+
+    parts = F.ceil(F.col("sets") / SETS_NEAR)
+    sizes = long.groupBy("token").agg(F.count("*").alias("sets"))
+    rows = spread(long, sizes, ["token"]).select("token", F.pmod(F.xxhash64("token", "doc_id"), parts).alias("part"), "doc_id", "n", "comp", "wide")
+    return rows.groupBy("token", "part").applyInArrow(near, "a long, b long").distinct()
+
+
 def _merged(links: DataFrame, whole: DataFrame) -> DataFrame:
     """(node, comp): the classes (of ``whole``: doc_id, comp) that the links (a, b) join, and what they become."""
     ends = links.join(whole.toDF("a", "ca"), "a").join(whole.toDF("b", "cb"), "b")

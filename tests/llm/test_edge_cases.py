@@ -145,6 +145,35 @@ def test_sets_below_the_threshold_make_few_pairs(spark, monkeypatch, sets):
     assert tried[-1] <= sets and sum(tried) <= (2 * op8_jaccard.BANDS + 4 * op8_jaccard.LEADERS) * sets  # all pairs: sets * (sets - 1) / 2
 
 
+def test_classes_with_many_links_between_them_make_few_pairs(spark, monkeypatch):
+    """Texts of 60 words that differ from one base in one to three words: most are linked with some others, in many classes at first."""
+    r, tried = random.Random(1), []
+    vocabulary = [f"w{i}" for i in range(3000)]
+    base, rows = [r.choice(vocabulary) for _ in range(60)], []
+    for i in range(400):
+        words = list(base)
+        for _ in range(r.randint(1, 3)):
+            words[r.randrange(60)] = r.choice(vocabulary)
+        rows.append((i, " ".join(words)))
+    real = op8_jaccard.verified
+
+    def counting(docs, signed, pairs, *more):
+        tried.append(pairs.count())
+        return real(docs, signed, pairs, *more)
+
+    monkeypatch.setattr(op8_jaccard, "verified", counting)
+    got = {x.doc_id: x.component_id for x in op8_jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    shingled = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for _, t in rows for w in [t.split()]]
+    comp = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            if 100 * len(shingled[a] & shingled[b]) >= 75 * len(shingled[a] | shingled[b]) and comp[a] != comp[b]:
+                old, new = max(comp[a], comp[b]), min(comp[a], comp[b])
+                comp = [new if c == old else c for c in comp]
+    assert got == dict(enumerate(comp)) and len(set(comp)) > 1
+    assert tried[-1] <= len(rows) // 10, tried
+
+
 @pytest.mark.parametrize("bound, parts", [(200_000, 3), (5, 1), (5, 7)])
 def test_sharding_is_the_same_in_any_ranges(spark, monkeypatch, bound, parts):
     """Shards and slots as the SQL has them, however few rows are numbered at a time and however the table is partitioned."""
