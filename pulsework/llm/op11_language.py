@@ -6,7 +6,7 @@ there too. Probabilities and back-off weights are folded into hashes of ``HASH_B
 so the sorted hash arrays that go to the tasks have a bound whatever the size of the corpus (2 ** ``HASH_BITS`` entries of an order and
 a language). A text gets the language with the lowest cross-entropy for each character.
 
-Rejection and score are calibrated on texts that the calibrated model hasn't counted: a limit on the cross-entropy of each language that narrows
+Rejection and score are calibrated on a quarter of the texts, all of them and whole, by a model of the others: a limit on the cross-entropy of each language that narrows
 with the length, and a logistic curve over the margin between the two best languages.
 """
 
@@ -24,8 +24,8 @@ from .tables import cut, fresh, read
 from .textnp import blocks, mix
 
 ORDER, HASH_BITS = 4, 21
-#: Texts, and characters of a text, that the calibration looks at at most; the share of right texts that a limit lets through.
-CALIBRATE, CHARS, PASS = 1000, 4_000, 0.999
+#: The share of right texts that a limit lets through.
+PASS = 0.999
 #: Distinct n-grams that a task holds before it sends them on, and probabilities that it looks up at a time.
 HELD, CELLS = 1 << 20, 1 << 22
 
@@ -246,24 +246,38 @@ def _find(sorted_hashes: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndar
 def fit(docs: DataFrame):
     """The model, the curve of the score (slope, base) and the limits (mean, width) of each language, from ``docs`` (doc_id, text, lang).
 
-    All rows that may be learnt from are counted: null texts, langs and doc_ids teach nothing. Without any, there are no languages.
+    All rows that may be learnt from are counted, and all of those kept from the trial model calibrate: null texts, langs and doc_ids teach nothing. Without any, there are no languages.
     """
     counts = cut(counted(docs))
     model, trial = Model(counts.select("lang", "gram", "n")), Model(counts.where("most > 0").select("lang", "gram", F.col("most").alias("n")))
     curve, limits = (1.0, 0.0), {}
-    own = docs.where(F.col("lang").isNotNull() & (_fold() == 1) & (F.length("text") <= CHARS)).select("text", "lang", F.xxhash64("doc_id", "text", "lang").alias("h"))
-    keys = F.broadcast(own.select("h").distinct().orderBy("h").limit(CALIBRATE))
-    some = own.join(keys, "h", "left_semi").groupBy("h").agg(F.min("text").alias("text"), F.min("lang").alias("lang")).orderBy("h").toArrow()
-    if trial.langs and some.num_rows:
-        entropy, n, has = trial.entropies(some["text"])
-        right = np.array(trial.langs)[entropy.argmin(1)] == np.array(some["lang"].to_pylist())
-        best = entropy.min(1)
-        curve = logistic(_margin(entropy, n)[has], right[has])
-        for lang in trial.langs:
-            own = has & right & (np.array(trial.langs)[entropy.argmin(1)] == lang)
-            if own.any():
-                mean = float(best[own].mean())
-                limits[lang] = (mean, float(np.quantile((best[own] - mean) * np.sqrt(n[own]), PASS)))
+    if not trial.langs:
+        return model, curve, limits
+
+    @F.arrow_udf("lang string, best double, margin double, n long, has boolean")
+    def tried(text: pa.Array) -> pa.Array:
+        entropy, n, has = trial.entropies(text)
+        lang = pa.array(np.array(trial.langs)[entropy.argmin(1)].tolist(), pa.string())
+        return pa.StructArray.from_arrays([lang, *map(pa.array, (entropy.min(1), _margin(entropy, n), n, has))], ["lang", "best", "margin", "n", "has"])
+
+    own = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (_fold() == 1)).select("lang", tried("text").alias("x"))
+    own = cut(own.where("x.has").select("x.lang", "x.best", "x.margin", "x.n", (F.col("x.lang") == F.col("lang")).alias("right")))
+    # all margins, in steps of a thousandth of their size: some ten thousand rows, however many the texts are
+    steps = own.groupBy(F.round(F.log1p("margin") * 1000).alias("step"), "right").agg(F.avg("margin").alias("x"), F.count("*").alias("n")).orderBy("step", "right").toArrow()
+    if steps.num_rows:
+        x, right, n = (steps[c].to_numpy() for c in ("x", "right", "n"))
+        curve = logistic(x, right.astype(float), n)
+    own = own.where("right").join(F.broadcast(own.where("right").groupBy("lang").agg(F.avg("best").alias("mean"))), "lang")  # a row for each language
+    # all distances from the mean, in steps of a thousandth of their size too; the limit is the least step that lets through enough
+    z = (F.col("best") - F.col("mean")) * F.sqrt("n")
+    over = F.ceil(F.signum(z) * F.log1p(F.abs(z)) * 1000).cast("double")
+    far = own.groupBy("lang", "mean", over.alias("step")).agg(F.count("*").alias("n")).orderBy("lang", "step").toArrow()
+    names, mean, step, n = (far[c].to_numpy(zero_copy_only=False) for c in ("lang", "mean", "step", "n"))
+    for lang in set(names.tolist()):
+        of = names == lang
+        total = np.cumsum(n[of])
+        last = step[of][np.searchsorted(total, PASS * total[-1])] / 1000
+        limits[lang] = (float(mean[of][0]), float(np.sign(last) * np.expm1(abs(last))))
     return model, curve, limits
 
 
@@ -273,13 +287,13 @@ def _margin(entropy: np.ndarray, n: np.ndarray) -> np.ndarray:
     return (two[:, 1] - two[:, 0] if two.shape[1] == 2 else np.full(len(two), 1.0)) * np.sqrt(n)
 
 
-def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and base of a logistic regression by Newton's method, drawn a little towards 1 and 0."""
+def logistic(x: np.ndarray, y: np.ndarray, many: np.ndarray) -> tuple[float, float]:
+    """Slope and base of a logistic regression by Newton's method, each row counted ``many`` times, drawn a little towards 1 and 0."""
     w, rows = np.array([1.0, 0.0]), np.stack([x, np.ones(len(x))], 1)
     for _ in range(30):
         p = sigmoid(rows @ w)
-        slope = rows.T @ (p - y) + 0.1 * (w - [1, 0])
-        w = w - np.linalg.solve(rows.T @ (rows * (p * (1 - p))[:, None]) + 0.1 * np.eye(2), slope)
+        slope = rows.T @ (many * (p - y)) + 0.1 * (w - [1, 0])
+        w = w - np.linalg.solve(rows.T @ (rows * (many * p * (1 - p))[:, None]) + 0.1 * np.eye(2), slope)
         w[0] = max(w[0], 0.01)
     return float(w[0]), float(w[1])
 

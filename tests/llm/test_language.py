@@ -102,6 +102,30 @@ def test_held_out_rows(spark, fitted):
     assert len(found) > 10 and all(x.lang == x.lang_pred and 0.5 < x.score <= 1 for x in found)
 
 
+def test_limits_are_of_all_texts_and_whole(spark):
+    """1,200 short texts and two long ones of each language of the calibration's fold; the mean of a language is that of all its right texts."""
+    fold = [i for i in range(40_000) if zlib.crc32(str(i).encode()) % 5 == 1]
+    other = [i for i in range(2_000) if zlib.crc32(str(i).encode()) % 5 == 2]
+    few = {a: SYLLABLES[a] for a in ("aa", "cc")}
+    r, docs = random.Random(3), []
+    for ids, sizes in ((other[:60], [40]), (fold[:2400], [8]), (fold[2400:2404], [4000])):
+        docs += [(i, " ".join("".join(r.choices(few[lang], k=2)) for _ in range(sizes[0])), lang, "x", 1) for j, i in enumerate(ids) for lang in [list(few)[j % 2]]]
+    docs = [d for d in docs if d[2]]
+    model, curve, limits = language.fit(spark.createDataFrame(docs, SCHEMA).repartition(3))
+    counts = language.counted(spark.createDataFrame(docs, SCHEMA))
+    trial = language.Model(counts.where("most > 0").selectExpr("lang", "gram", "most AS n"))
+    own = [d for d in docs if zlib.crc32(str(d[0]).encode()) % 5 == 1]
+    entropy, n, _ = trial.entropies(pa.array([d[1] for d in own]))
+    assert len(own) == 2404 and n.max() > 4000
+    for lang in few:
+        k = trial.langs.index(lang)
+        of = np.array([d[2] == lang for d in own]) & (entropy.argmin(1) == k)
+        mean = entropy[of, k].mean()
+        z = np.sort((entropy[of, k] - mean) * np.sqrt(n[of]))
+        want = z[math.ceil(0.999 * len(z)) - 1]
+        assert abs(limits[lang][0] - mean) < 1e-9 * mean and want <= limits[lang][1] + 1e-9 and limits[lang][1] <= want + 0.002 * (1 + abs(want))
+
+
 def test_lookups_a_few_at_a_time(fitted, monkeypatch):
     texts = pa.array([x[1] for x in rows()[:30]] + [None, "", "y"])
     whole = fitted[0].entropies(texts)[0]
