@@ -31,6 +31,8 @@ from .textnp import Words, blocks, mix, powers
 CUT, RUN = 10, 3
 #: Spans that a task settles together, and the most doc_ids with several texts that are broadcast.
 BLOCK, BROADCAST_ROWS = 200_000, 500_000
+#: Bytes of text that a task cuts at a time, as it needs about 60 times as much memory.
+BYTES = 1 << 18
 _WORD = re.compile(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*")
 _BASES = 0x5851F42D4C957F2D, 0x9E3779B97F4A7C15
 
@@ -63,8 +65,9 @@ class Cuts:
 
 def cuts_of(column):
     """Yields (first row, Cuts) of blocks of an Arrow column of texts."""
-    for row, offsets, data in blocks(pc.utf8_lower(column)):
-        yield row, Cuts(offsets, data)
+    for row, offsets, _ in blocks(column, BYTES):
+        for at, offsets, data in blocks(pc.utf8_lower(column.slice(row, len(offsets) - 1))):
+            yield row + at, Cuts(offsets, data)
 
 
 def parts_of(text: str) -> list[str]:
@@ -196,11 +199,13 @@ def dedup_spans(docs: DataFrame, words: int = 20) -> DataFrame:
         lost = pc.fill_null(pc.list_value_length(removed), 0)
         n = np.concatenate([cuts.parts() for _, cuts in cuts_of(texts)] or [np.zeros(0, np.int64)])
         n = np.maximum(n, pc.greater(pc.fill_null(pc.binary_length(texts), 0), 0).to_numpy(zero_copy_only=False))  # white space alone is a part
-        left = texts.to_pylist()
-        for row in np.flatnonzero(lost.to_numpy(zero_copy_only=False)).tolist():
-            drop = set(removed[row].as_py())
-            left[row] = "".join(p for i, p in enumerate(parts_of(left[row])) if i not in drop)
-        return pa.StructArray.from_arrays([pa.array(left, pa.string()), pa.array(n, pa.int32()), lost.cast(pa.int32())], ["text", "n_sentences", "n_removed"])
+        less = pc.greater(lost, 0)
+        left = []
+        for text, drop in zip(texts.filter(less), removed.filter(less), strict=True):
+            drop = set(drop.as_py())
+            left.append("".join(p for i, p in enumerate(parts_of(text.as_py())) if i not in drop))
+        left = pc.replace_with_mask(texts, less, pa.array(left, texts.type))
+        return pa.StructArray.from_arrays([left.cast(pa.string()), pa.array(n, pa.int32()), lost.cast(pa.int32())], ["text", "n_sentences", "n_removed"])
 
     out = out.withColumn("_kept", keep("text", "_gone"))
     return out.select(*(F.col("_kept.text" if c == "text" else f"_own.{c}").alias(c) for c in own), "_kept.n_sentences", "_kept.n_removed", F.coalesce("_gone", F.array().cast("array<int>")).alias("removed"))

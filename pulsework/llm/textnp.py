@@ -38,8 +38,8 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def blocks(column):
-    """Yields (first row, offsets, bytes) of runs of whole texts."""
+def blocks(column, size: int = BLOCK):
+    """Yields (first row, offsets, bytes) of runs of whole texts, of at most ``size`` bytes or one longer text."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     column = pc.fill_null(column.cast(pa.large_string()), "")
@@ -51,7 +51,7 @@ def blocks(column):
     data = np.frombuffer(raw, np.uint8) if raw is not None and raw.size else np.zeros(0, np.uint8)
     at = 0
     while at < n:
-        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + BLOCK, "right")) - 1)
+        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + size, "right")) - 1)
         to = min(to, n)
         yield at, offsets[at : to + 1] - offsets[at], data[offsets[at] : offsets[to]]
         at = to

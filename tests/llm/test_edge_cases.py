@@ -2,7 +2,9 @@
 
 import random
 import re
+from itertools import accumulate
 
+import pyarrow as pa
 import pytest
 
 from pulsework.llm import op1_sharding, op3_substring, op4_decontamination, op5_mixing, op6_licenses, op7_quality_rules, op8_jaccard, op9_toxicity, op10_html
@@ -157,6 +159,14 @@ def test_frequent_lines_are_removed_from_the_text(spark):
     assert lines[0] == [0, 3] and lines[90] == lines[92] == [] and lines[93] == list(range(30))
 
 
+def test_cuts_are_made_of_little_text_at_a_time():
+    texts = [" ".join(f"Ab{i}c{j}" for j in range(500)) + ". İst" for i in range(300)]
+    got = list(op3_substring.cuts_of(pa.array([None, *texts, ""])))
+    assert len(got) > 4 and sum(len(c.counts) for _, c in got) == 302
+    assert [row for row, _ in got] == [0, *accumulate(len(c.counts) for _, c in got[:-1])]
+    assert max(len(c.hashes) for _, c in got) * 7 <= op3_substring.BYTES
+
+
 def test_classes_with_many_links_between_them_make_few_pairs(spark, monkeypatch):
     """Texts of 60 words that differ from one base in one to three words: most are linked with some others, in many classes at first."""
     r, tried = random.Random(1), []
