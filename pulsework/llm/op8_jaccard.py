@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .components import components
-from .tables import cut, fresh, read, spread
+from .tables import cut, forget, fresh, mark, read, spread
 from .textnp import Words, blocks, mix, shingle_sets, shingles
 
 #: The most tokens whose frequency is known everywhere (8 bytes each), and the least frequency of such a token.
@@ -192,11 +192,14 @@ def jaccard_components(docs: DataFrame, percent: int = 75, k: int = 5) -> DataFr
     Shingles are compared by 64-bit hashes. An empty table gives an empty result.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    spark = docs.sparkSession
     hot = hot_tokens(docs, k=k)
     signed = cut(signatures(docs, k))
     classes = cut(signed.where("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep")))
     reps = cut(classes.where("rep is not null").select(F.col("rep").alias("doc_id")).distinct())
 
+    # tables that are needed no more are deleted on the way
+    since = mark()
     lists = Window.partitionBy("token").orderBy("n", "doc_id")
     rows = prefixes(docs, hot, percent, k).join(reps, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "n", F.posexplode("tokens").alias("pos", "token"))
     # In a list by size, only the neighbours matter: if they are out of reach, so are all others.
@@ -210,6 +213,7 @@ def jaccard_components(docs: DataFrame, percent: int = 75, k: int = 5) -> DataFr
     tries = spread(banded, leads, ["band", "key"]).select(F.explode(F.array("x", "y")).alias("s"), F.col("doc_id").alias("b"), "n")
     tries = tries.where((F.col("s.doc_id") != F.col("b")) & (100 * F.least("s.n", "n") >= percent * F.greatest("s.n", "n"))).select(F.col("s.doc_id").alias("a"), "b").distinct()
     taken = cut(components(verified(docs, signed, tries, percent, k)))
+    forget(spark, since, keep=[shared, taken])
 
     # The same along the index lists: each set of a list is compared with leaders of another class, new ones in each turn. Long lists have
     # several, so that of a large group whose sets are partly linked few are left outside its class, and few links are found again among pairs.
@@ -225,48 +229,57 @@ def jaccard_components(docs: DataFrame, percent: int = 75, k: int = 5) -> DataFr
         tries = tries.select(F.col("h.doc_id").alias("a"), F.col("doc_id").alias("b")).distinct()
         merged = cut(_merged(verified(docs, signed, tries, percent, k), whole))
         entry, whole = cut(_renamed(entry, merged)), cut(_renamed(whole, merged))
+        forget(spark, since, keep=[entry, whole])
 
     # Index-level skipping: probe only the blocks that the position leaves in reach; pairs of one class have their answer.
     # a token of very many sets is dealt into parts, each with all of the index side
-    mixed = entry.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.max("n").alias("top"), (F.floor(F.count("*") / SETS_A_PART) + 1).cast("int").alias("parts"), (F.count("*") > FEW_SETS).alias("many")).where("x != y").select("token", "top", "parts", "many")
+    mixed = entry.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.max("n").alias("top"), (F.floor(F.count("*") / SETS_A_PART) + 1).cast("int").alias("parts"), F.count("*").alias("sets")).where("x != y").select("token", "top", "parts", "sets")
     entry = cut(spread(entry, mixed, ["token"]))
-    # In long lists the bitmaps are compared inside the join: of sets that share a token but aren't similar hardly a row is made.
-    long = cut(spread(cut(entry.where("many")), signed.select("doc_id", "wide").dropDuplicates(["doc_id"]), ["doc_id"]))
+    forget(spark, since, keep=[entry, whole])
+    # In long lists the bitmaps are compared inside the join: of sets that share a token but aren't similar hardly a row is made. Lists stay without
+    # bitmaps, which are of the sets of long lists alone and are fetched where they are compared.
+    many = F.col("sets") > FEW_SETS
+    ids = cut(entry.where(many).select("doc_id").distinct())
+    wide = cut(signed.select("doc_id", "wide").where(maybe_in(ids)("doc_id")).join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
     # Before that each set outside a long list's largest class is compared with its nearest one of another class: two classes of a large group
     # may be joined by very many links, of which one is enough.
-    merged = cut(_merged(verified(docs, signed, _nearest(long, percent), percent, k), whole))
-    entry, long, whole = _renamed(entry.where("not many"), merged), cut(_renamed(long, merged)), cut(_renamed(whole, merged))
-    mixed = long.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x != y").select("token")
-    long = cut(spread(long, mixed, ["token"]))
-    pairs = _probed(entry, percent).unionByName(_probed(long, percent, _may_be_similar("an", "aw", "bn", "bw", percent))).distinct()
+    merged = cut(_merged(verified(docs, signed, _nearest(entry.where(many), wide, percent), percent, k), whole))
+    entry, whole = cut(_renamed(entry, merged)), cut(_renamed(whole, merged))
+    forget(spark, since, keep=[entry, whole, wide])
+    mixed = entry.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x != y").select("token")
+    entry = cut(spread(entry, mixed, ["token"]))
+    pairs = _probed(entry.where(~many), percent).unionByName(_probed(entry.where(many), percent, wide)).distinct()
     more = verified(docs, signed, pairs, percent, k)
     whole = _renamed(whole, _merged(more, whole)).select(F.col("doc_id").alias("rep"), "comp")
-    named = classes.join(whole, "rep", "left").select("k1", "k2", "comp")
+    named = cut(classes.join(whole, "rep", "left").select("k1", "k2", "comp"))
+    forget(spark, since, keep=named)
     rows = signed.select("doc_id", "n", "k1", "k2")
     found = spread(rows.where("n > 0"), named, ["k1", "k2"]).select("doc_id", "n", "comp")
     every = found.unionByName(rows.where("n = 0").select("doc_id", "n", F.lit(None).cast("long").alias("comp")))
     return every.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("comp", "doc_id").alias("component_id"))
 
 
-def _probed(entry: DataFrame, percent: int, able=None) -> DataFrame:
+def _probed(entry: DataFrame, percent: int, wide: DataFrame | None = None) -> DataFrame:
     """Pairs (a, b) of sets of different classes that an index list (token, with doc_id, n, pos, comp, top, parts) brings together in reach of the
-    threshold, and for which ``able`` holds. Lists fall into blocks by size; a pair may come from several lists."""
+    threshold, and which may be similar by their bitmaps (``wide``: doc_id, wide). Lists fall into blocks by size; a pair may come from several lists."""
     ratio = 100 / percent
     block = lambda n: F.floor(F.log(n.cast("double")) / float(np.log(ratio)))
     # overlap >= percent / (100 + percent) * (n + m), and it is at most the number of tokens from the position on
     n, pos = F.col("n"), F.col("pos")
     most = F.least(F.floor((100 + percent) * (n - pos) / percent).cast("long") - n, "top")
-    side = lambda x: [F.col("doc_id").alias(x), n.alias(f"{x}n"), pos.alias(f"{x}p"), F.col("comp").alias(f"{x}c"), *([F.col("wide").alias(f"{x}w")] if able is not None else [])]
+    side = lambda x: [F.col("doc_id").alias(x), n.alias(f"{x}n"), pos.alias(f"{x}p"), F.col("comp").alias(f"{x}c")]
     index = entry.where((pos < n - F.ceil(2 * percent * n / (100 + percent)) + 1) & (most >= n)).select("token", *side("a"), F.explode(F.sequence(block(n), block(most))).alias("block"), "parts")
     index = index.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
     probe = entry.select("token", *side("b"), block(n).alias("block"), F.pmod(F.xxhash64("doc_id"), "parts").cast("int").alias("part"))
+    if wide is not None:
+        index, probe = (spread(cut(side), wide.toDF(x, f"{x}w"), [x]) for side, x in ((index, "a"), (probe, "b")))
     near = (F.col("ac") != F.col("bc")) & ((F.col("bn") > F.col("an")) | (F.col("bn") == F.col("an")) & (F.col("b") > F.col("a"))) & (percent * F.col("bn") <= 100 * F.col("an")) & ((100 + percent) * F.least(F.col("an") - F.col("ap"), F.col("bn") - F.col("bp")) >= percent * (F.col("an") + F.col("bn")))
-    return index.join(probe, ["token", "block", "part"]).where(near if able is None else near & able).select("a", "b")
+    return index.join(probe, ["token", "block", "part"]).where(near if wide is None else near & _may_be_similar("an", "aw", "bn", "bw", percent)).select("a", "b")
 
 
-def _nearest(long: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b): for each set b of an index list (token, doc_id, n, comp, wide) outside the list's largest class the set a of another class whose
-    bitmap is nearest, of each of the ``LARGE`` largest classes and of all, if it may be similar. Lists are dealt into parts of about ``SETS_NEAR`` sets, each list in another way; no pair is
+def _nearest(long: DataFrame, wide: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b): for each set b of an index list (token, doc_id, n, comp, sets) outside the list's largest class the set a of another class whose
+    bitmap (``wide``: doc_id, wide) is nearest, of each of the ``LARGE`` largest classes and of all, if it may be similar. Lists are dealt into parts of about ``SETS_NEAR`` sets, each list in another way; no pair is
     ruled out by that, it is made later."""
 
     def near(table: pa.Table) -> pa.Table:
@@ -297,9 +310,9 @@ def _nearest(long: DataFrame, percent: int) -> DataFrame:
         b, j = np.nonzero(found >= 0)
         return pa.table({"a": pa.array(ids[found[b, j]], pa.int64()), "b": pa.array(ids[b], pa.int64())})
 
-    parts = F.ceil(F.col("sets") / SETS_NEAR)
-    sizes = long.groupBy("token").agg(F.count("*").alias("sets"))
-    rows = spread(long, sizes, ["token"]).select("token", F.pmod(F.xxhash64("token", "doc_id"), parts).alias("part"), "doc_id", "n", "comp", "wide")
+    part = F.pmod(F.xxhash64("token", "doc_id"), F.ceil(F.col("sets") / SETS_NEAR)).alias("part")
+    rows = spread(cut(long.select("token", part, "doc_id", "n", "comp")), wide, ["doc_id"])
+    rows = rows.select("token", "part", "doc_id", "n", "comp", "wide")
     return rows.groupBy("token", "part").applyInArrow(near, "a long, b long").distinct()
 
 

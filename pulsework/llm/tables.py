@@ -46,9 +46,9 @@ def mark() -> int:
     return len(_written)
 
 
-def forget(spark: SparkSession, since: int = 0, keep: DataFrame | None = None) -> None:
-    """Deletes the tables that ``cut`` has written since the mark, but for those that ``keep`` reads: nothing that is still to be computed may need the others."""
-    kept = {f.rsplit("/", 2)[-2] for f in keep.inputFiles()} if keep is not None else set()
+def forget(spark: SparkSession, since: int = 0, keep: DataFrame | list[DataFrame] | None = None) -> None:
+    """Deletes the tables that ``cut`` has written since the mark, but for those that ``keep`` (a table or several) reads: nothing that is still to be computed may need the others."""
+    kept = {f.rsplit("/", 2)[-2] for df in (keep if isinstance(keep, list) else [keep] if keep is not None else []) for f in df.inputFiles()}
     for path in _written[since:]:
         if path.rsplit("/", 1)[-1] not in kept:
             at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

@@ -4,10 +4,11 @@ import random
 import re
 from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
 import pytest
 
-from pulsework.llm import op1_sharding, op3_substring, op4_decontamination, op5_mixing, op6_licenses, op7_quality_rules, op8_jaccard, op9_toxicity, op10_html
+from pulsework.llm import labelled, op1_sharding, op3_substring, op4_decontamination, op5_mixing, op6_licenses, op7_quality_rules, op8_jaccard, op9_toxicity, op10_html, tables
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, removed string"
 
@@ -272,3 +273,37 @@ def test_every_run_of_three_sentences_against_brute_force(spark):
         left = [x for k, x in enumerate(s) if k not in gone.get(i, ())]
         kept = rows[i].split(" ")
         assert len(kept) <= len(" ".join(left).split(" ")) and all(x in " ".join(left) for x in rows[i].split())
+
+
+def test_index_lists_are_dealt_without_bitmaps(spark, monkeypatch):
+    """Lists of more than ``FEW_SETS`` sets go by token without the sets' bitmaps, and what was written on the way is deleted."""
+    r, dealt = random.Random(3), []
+    base = [f"w{r.randrange(5000)}" for _ in range(300)]
+    rows = [(i, " ".join(f"x{r.randrange(10**9)}" if j in gone else w for j, w in enumerate(base))) for i in range(60) for gone in [set(r.sample(range(300), 7))]]
+    real = op8_jaccard.spread
+
+    def seen(rows, index, on):
+        dealt.append((list(rows.columns), on))
+        return real(rows, index, on)
+
+    monkeypatch.setattr(op8_jaccard, "spread", seen)
+    since = tables.mark()
+    out = op8_jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert any(on == ["token"] for _, on in dealt) and not any("wide" in columns for columns, _ in dealt)
+    assert len(tables._written) <= since + 4 and out.count() == 60
+
+
+def test_the_driver_gets_the_toxicity_model_alone(spark, monkeypatch):
+    """A task learns; its model is what the sample gives on the driver, and without rows there is one too."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "labels"))
+    texts, y, odds = labelled.sample(docs, labels, "toxic", op9_toxicity.EACH, op9_toxicity.CHARS)
+    want = op9_toxicity.train(texts, y, odds)
+    empty = op9_toxicity.fit(docs.limit(0), labels.limit(0))
+    assert not empty[0].any() and empty[2].tolist() == [0.0] * 5
+
+    def never(*_):
+        raise AssertionError("the driver learns")
+
+    monkeypatch.setattr(op9_toxicity, "train", never)
+    got = op9_toxicity.fit(docs, labels)
+    assert all(np.array_equal(a, b) for a, b in zip(got, want, strict=True))
