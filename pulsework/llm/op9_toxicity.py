@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .labelled import held_out, sample, sigmoid, sums
+from .labelled import held_out, sampled, sigmoid, sums
 from .tables import fresh, read
 from .textnp import Words, blocks, mix
 
@@ -112,7 +112,7 @@ def toxic_names(texts: list[str], labels: np.ndarray) -> list[np.ndarray]:
     """
     kept = []
     for kind in range(1 + len(HEADS)):
-        sides = [np.zeros((0, 2), np.uint64)] * 2
+        sides = [[np.zeros((0, 2), np.uint64)], [np.zeros((0, 2), np.uint64)]]
         for w, toxic in pieces(texts, labels):
             h = w.hashes()
             if not len(h):
@@ -120,11 +120,12 @@ def toxic_names(texts: list[str], labels: np.ndarray) -> list[np.ndarray]:
             around = mix(np.roll(h, 1)) + np.roll(h, -1)
             name, mine = next(x for i, x in enumerate(spans(w)) if i == kind), toxic[w.owner()] == 1
             for i, rows in enumerate((~mine, mine)):
-                sides[i] = np.concatenate([sides[i], np.stack([name[rows], around[rows]], 1)])
+                sides[i].append(np.stack([name[rows], around[rows]], 1))
         counts = []
-        for rows in sides:
-            order = np.lexsort((rows[:, 1], rows[:, 0]))
-            rows = rows[order]
+        for parts in sides:
+            rows = np.concatenate(parts)
+            parts.clear()
+            rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
             new = np.ones(len(rows), bool)
             new[1:] = (rows[1:] != rows[:-1]).any(1)
             counts.append((np.unique(rows[new, 0], return_counts=True), max(1, int(new.sum()))))
@@ -212,8 +213,21 @@ def train(texts: list[str], labels: np.ndarray, odds: float, rounds: int = 30, r
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic"):
     """The model for ``tagged``. Null texts and labels teach nothing. Of several texts or labels under one doc_id the least text
-    and the largest label count, so ties don't depend on the order of rows. Without rows of both labels all scores are one number."""
-    return train(*sample(docs, labels, label, EACH, CHARS))
+    and the largest label count, so ties don't depend on the order of rows. Without rows of both labels all scores are one number.
+
+    A task learns from the sample, which is bounded; the driver gets the model alone.
+    """
+    rows, odds = sampled(docs, labels, label, EACH, CHARS)
+
+    def learn(batches):
+        rows = sorted(r for b in batches for r in zip(*(b.column(c).to_pylist() for c in ("doc_id", "y", "text")), strict=True))
+        model = train([r[2] for r in rows], np.array([r[1] for r in rows], np.int64), odds)
+        yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()]) for x in model], ["table", "chain", "weights"])
+
+    found = rows.select("doc_id", "y", "text").repartition(1).mapInArrow(learn, "table binary, chain binary, weights binary").collect()
+    if not found:  # no task runs over no rows
+        return train([], np.zeros(0, np.int64), odds)
+    return tuple(np.frombuffer(bytes(x), kind) for x, kind in zip(found[0], (np.float32, float, float), strict=True))
 
 
 def read_spans(column: pa.Array, model, least: float):
