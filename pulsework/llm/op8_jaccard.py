@@ -237,18 +237,19 @@ def jaccard_components(docs: DataFrame, percent: int = 75, k: int = 5) -> DataFr
     entry = cut(spread(entry, mixed, ["token"]))
     forget(spark, since, keep=[entry, whole])
     # In long lists the bitmaps are compared inside the join: of sets that share a token but aren't similar hardly a row is made. Lists stay without
-    # bitmaps, which are of the sets of long lists alone and are fetched where they are compared.
+    # bitmaps, which are fetched where they are compared, of the sets of these lists alone.
     many = F.col("sets") > FEW_SETS
-    ids = cut(entry.where(many).select("doc_id").distinct())
-    wide = cut(signed.select("doc_id", "wide").where(maybe_in(ids)("doc_id")).join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
     # Before that each set outside a long list's largest class is compared with its nearest one of another class: two classes of a large group
-    # may be joined by very many links, of which one is enough.
-    merged = cut(_merged(verified(docs, signed, _nearest(entry.where(many), wide, percent), percent, k), whole))
-    entry, whole = cut(_renamed(entry, merged)), cut(_renamed(whole, merged))
-    forget(spark, since, keep=[entry, whole, wide])
+    # may be joined by very many links, of which one is enough. Lists of which all pairs that may be similar were among these are done with.
+    found = cut(_nearest(entry.where(many), signed, percent))
+    merged = cut(_merged(verified(docs, signed, found.where("a is not null").select("a", "b").distinct(), percent, k), whole))
+    left = found.where("token is not null").select("token").distinct()
+    long = entry.where(F.col("sets") > SETS_NEAR).unionByName(entry.where(many & (F.col("sets") <= SETS_NEAR)).join(left, "token", "left_semi"))
+    entry, whole = cut(_renamed(entry.where(~many).unionByName(long), merged)), cut(_renamed(whole, merged))
+    forget(spark, since, keep=[entry, whole])
     mixed = entry.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x != y").select("token")
     entry = cut(spread(entry, mixed, ["token"]))
-    pairs = _probed(entry.where(~many), percent).unionByName(_probed(entry.where(many), percent, wide)).distinct()
+    pairs = _probed(entry.where(~many), percent).unionByName(_probed(entry.where(many), percent, signed)).distinct()
     more = verified(docs, signed, pairs, percent, k)
     whole = _renamed(whole, _merged(more, whole)).select(F.col("doc_id").alias("rep"), "comp")
     named = cut(classes.join(whole, "rep", "left").select("k1", "k2", "comp"))
@@ -259,9 +260,9 @@ def jaccard_components(docs: DataFrame, percent: int = 75, k: int = 5) -> DataFr
     return every.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("comp", "doc_id").alias("component_id"))
 
 
-def _probed(entry: DataFrame, percent: int, wide: DataFrame | None = None) -> DataFrame:
+def _probed(entry: DataFrame, percent: int, signed: DataFrame | None = None) -> DataFrame:
     """Pairs (a, b) of sets of different classes that an index list (token, with doc_id, n, pos, comp, top, parts) brings together in reach of the
-    threshold, and which may be similar by their bitmaps (``wide``: doc_id, wide). Lists fall into blocks by size; a pair may come from several lists."""
+    threshold, and which may be similar by their bitmaps (of ``signed``, if it is given). Lists fall into blocks by size; a pair may come from several lists."""
     ratio = 100 / percent
     block = lambda n: F.floor(F.log(n.cast("double")) / float(np.log(ratio)))
     # overlap >= percent / (100 + percent) * (n + m), and it is at most the number of tokens from the position on
@@ -271,22 +272,30 @@ def _probed(entry: DataFrame, percent: int, wide: DataFrame | None = None) -> Da
     index = entry.where((pos < n - F.ceil(2 * percent * n / (100 + percent)) + 1) & (most >= n)).select("token", *side("a"), F.explode(F.sequence(block(n), block(most))).alias("block"), "parts")
     index = index.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
     probe = entry.select("token", *side("b"), block(n).alias("block"), F.pmod(F.xxhash64("doc_id"), "parts").cast("int").alias("part"))
-    if wide is not None:
+    if signed is not None:
+        wide = _bitmaps(entry, signed)
         index, probe = (spread(cut(side), wide.toDF(x, f"{x}w"), [x]) for side, x in ((index, "a"), (probe, "b")))
     near = (F.col("ac") != F.col("bc")) & ((F.col("bn") > F.col("an")) | (F.col("bn") == F.col("an")) & (F.col("b") > F.col("a"))) & (percent * F.col("bn") <= 100 * F.col("an")) & ((100 + percent) * F.least(F.col("an") - F.col("ap"), F.col("bn") - F.col("bp")) >= percent * (F.col("an") + F.col("bn")))
-    return index.join(probe, ["token", "block", "part"]).where(near if wide is None else near & _may_be_similar("an", "aw", "bn", "bw", percent)).select("a", "b")
+    return index.join(probe, ["token", "block", "part"]).where(near if signed is None else near & _may_be_similar("an", "aw", "bn", "bw", percent)).select("a", "b")
+
+
+def _bitmaps(entry: DataFrame, signed: DataFrame) -> DataFrame:
+    """(doc_id, wide) of the sets of index lists (doc_id), and of few others."""
+    ids = cut(entry.select("doc_id").distinct())
+    return signed.select("doc_id", "wide").where(maybe_in(ids)("doc_id")).dropDuplicates(["doc_id"])
 
 
-def _nearest(long: DataFrame, wide: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b): for each set b of an index list (token, doc_id, n, comp, sets) outside the list's largest class the set a of another class whose
-    bitmap (``wide``: doc_id, wide) is nearest, of each of the ``LARGE`` largest classes and of all, if it may be similar. Lists are dealt into parts of about ``SETS_NEAR`` sets, each list in another way; no pair is
-    ruled out by that, it is made later."""
+def _nearest(long: DataFrame, signed: DataFrame, percent: int) -> DataFrame:
+    """(a, b, token): for each set b of an index list (token, doc_id, n, comp, sets) outside the list's largest class the set a of another class whose
+    bitmap (of ``signed``) is nearest, of each of the ``LARGE`` largest classes and of all, if it may be similar. Lists are dealt into parts of about ``SETS_NEAR`` sets, each list in another way; no pair is
+    ruled out by that, it is made later. A row with a token alone: pairs of this list that may be similar are not among the rows. Lists of more than
+    ``SETS_NEAR`` sets have such pairs whether they are named or not."""
 
     def near(table: pa.Table) -> pa.Table:
         ids, n, comp = (table.column(c).to_numpy() for c in ("doc_id", "n", "comp"))
         names, of, many = np.unique(comp, return_inverse=True, return_counts=True)
         large = np.argsort(-many, kind="stable")[:LARGE]
-        least, found = np.full((len(ids), LARGE + 1), np.inf), np.full((len(ids), LARGE + 1), -1)
+        least, found, alike = np.full((len(ids), LARGE + 1), np.inf), np.full((len(ids), LARGE + 1), -1), np.zeros(len(ids), np.int64)
         lists = table.column("wide").combine_chunks()
         ends, values = lists.offsets.to_numpy(), lists.values.to_numpy().view(np.uint64)
         sizes = np.diff(ends)
@@ -299,6 +308,9 @@ def _nearest(long: DataFrame, wide: DataFrame, percent: int) -> DataFrame:
             for part in (small[i : i + step] for i in range(0, len(small), step)):
                 apart = np.bitwise_count(bits[part][:, None] ^ bits[None]).sum(2, dtype=np.int64)
                 able = ((100 + percent) * apart <= (100 - percent) * (n[at[part]][:, None] + n[at][None])) & (of[at[part]][:, None] != of[at][None])
+                # each pair is compared once, at the smaller one's number of bits
+                able &= (sizes[at[part]] == m)[:, None] | (sizes[at] == m)[None]
+                alike[at[part]] += able.sum(1)
                 apart = np.where(able, apart, np.inf)
                 for j in range(len(large) + 1):
                     own = np.flatnonzero(of[at] == large[j]) if j < len(large) else np.arange(len(at))
@@ -308,12 +320,15 @@ def _nearest(long: DataFrame, wide: DataFrame, percent: int) -> DataFrame:
                         better = value < least[at[part], j]
                         least[at[part[better]], j], found[at[part[better]], j] = value[better], at[best[better]]
         b, j = np.nonzero(found >= 0)
-        return pa.table({"a": pa.array(ids[found[b, j]], pa.int64()), "b": pa.array(ids[b], pa.int64())})
+        ordered = np.sort(found, 1)
+        named = (ordered[:, 0] >= 0) + ((ordered[:, 1:] >= 0) & (ordered[:, 1:] != ordered[:, :-1])).sum(1)
+        left = table.column("token").to_pylist()[:1] if (alike > named).any() else []
+        return pa.table({"a": pa.array([*ids[found[b, j]].tolist(), *(None for _ in left)], pa.int64()), "b": pa.array([*ids[b].tolist(), *(None for _ in left)], pa.int64()), "token": pa.array([*(None for _ in b), *left], pa.int64())})
 
     part = F.pmod(F.xxhash64("token", "doc_id"), F.ceil(F.col("sets") / SETS_NEAR)).alias("part")
-    rows = spread(cut(long.select("token", part, "doc_id", "n", "comp")), wide, ["doc_id"])
+    rows = spread(cut(long.select("token", part, "doc_id", "n", "comp")), _bitmaps(long, signed), ["doc_id"])
     rows = rows.select("token", "part", "doc_id", "n", "comp", "wide")
-    return rows.groupBy("token", "part").applyInArrow(near, "a long, b long").distinct()
+    return rows.groupBy("token", "part").applyInArrow(near, "a long, b long, token long").distinct()
 
 
 def _merged(links: DataFrame, whole: DataFrame) -> DataFrame:
