@@ -1,7 +1,7 @@
 """Operators over streams whose samples come out of order, with a buffer, event-time timers and a side output of late samples.
 
-A sample waits in its channel's state until the watermark has passed its time; then all that are due are put in order of their place
-and go through the operator. Timers do this, so a channel that has gone silent is worked off too. What comes when the
+A sample waits in the state of its channel's slot (``slots``) until the watermark has passed its time; then all that are due are put in order of their place
+and go through the operator. Timers do this, one of a slot, so a channel that has gone silent is worked off too. What comes when the
 watermark has passed its time is late: it is returned as a row with ``late`` = true and changes nothing else.
 
 The state holds the samples of the time that the watermark lags behind, whatever the length of the stream. The session needs
@@ -12,65 +12,67 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
-from ..operators import holdoff as steps
 from ..operators.filters import Filter
 from .sliding import advanced
+from .slots import SLOTS, named, packed, slotted, together, unpacked
+from .trigger import stepped
 
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-_WAITING = "i array<long>, v array<double>, t array<long>"
+_ROWS = "rows binary"
 
 
 class Reordered(StatefulProcessor):
-    """``work(i, v, state)`` takes rising places with their values and returns columns (without the channel) and the new state."""
+    """``work(rows, state)`` takes rows (channel, i, v) of several channels, each place once, with the state it returned before (at first None), and
+    returns rows (channel and ``columns``) and the new state. Both states are tables."""
 
-    def __init__(self, columns: list[str], state: str, start: tuple, work: Callable):
-        self.columns, self.schema, self.start, self.work = columns, state, start, work
+    def __init__(self, columns: list[str], work: Callable):
+        self.columns, self.work = columns, work
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.waiting, self.state = handle.getListState("waiting", _WAITING), handle.getValueState("state", self.schema)
+        self.waiting, self.state = handle.getListState("waiting", _ROWS), handle.getValueState("state", _ROWS)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        now = timerValues.getCurrentWatermarkInMs()
+        now, some = timerValues.getCurrentWatermarkInMs(), []
         for frame in rows:
             late = (frame["t"] <= now * 1000) & (now > 0)
-            some = frame[~late]
-            if len(some):
-                self.waiting.appendValue((some["i"].tolist(), some["v"].tolist(), some["t"].tolist()))
-                self.handle.registerTimer(now + 1)
+            some.append(frame.loc[~late, ["channel", "i", "v", "t"]])
             if late.any():
-                yield self._rows(key, {self.columns[0]: frame["i"][late].to_numpy()}, True)
+                yield self._rows(key, frame.loc[late, ["channel", "i"]].rename(columns={"i": self.columns[0]}), True)
+        if any(map(len, some)):
+            self.waiting.appendValue((packed(together(some)),))
+            self.handle.registerTimer(now + 1)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentWatermarkInMs()
-        parts = list(self.waiting.get())
-        i, v, t = (np.concatenate([np.array(p[c], kind) for p in parts]) if parts else np.zeros(0, kind) for c, kind in enumerate((np.int64, float, np.int64)))
-        due = t <= now * 1000
+        parts = [unpacked(p[0]) for p in self.waiting.get()]
+        if not parts:
+            return
+        rows = together(parts)
+        due = rows["t"] <= now * 1000
         self.waiting.clear()
         if not due.all():
-            self.waiting.appendValue((i[~due].tolist(), v[~due].tolist(), t[~due].tolist()))
+            self.waiting.appendValue((packed(rows[~due]),))
             self.handle.registerTimer(now + 1)
         if due.any():
-            place, first = np.unique(i[due], return_index=True)
-            columns, state = self.work(place, v[due][first], self.state.get() if self.state.exists() else self.start)
-            self.state.update(state)
-            yield self._rows(key, columns, False)
+            once = rows.loc[due, ["channel", "i", "v"]].drop_duplicates(["channel", "i"])
+            found, state = self.work(once, unpacked(self.state.get()[0]) if self.state.exists() else None)
+            self.state.update((packed(state),))
+            yield self._rows(key, found, False)
 
-    def _rows(self, key, columns: dict, late: bool) -> pd.DataFrame:
-        n = len(columns[self.columns[0]])
-        return pd.DataFrame({"channel": [key[0]] * n, **{c: columns.get(c, np.full(n, np.nan)) for c in self.columns}, "late": [late] * n})
+    def _rows(self, key, rows: pd.DataFrame, late: bool) -> pd.DataFrame:
+        return named(key, rows.reindex(columns=["channel", *self.columns]).assign(late=late))
 
     def close(self) -> None:
         pass
 
 
-def _through(samples: DataFrame, late: str, columns: dict[str, str], state: str, start: tuple, work: Callable, only: str | None = None) -> DataFrame:
+def _through(samples: DataFrame, late: str, columns: dict[str, str], work: Callable, slots: int, only: str | None = None) -> DataFrame:
     spark = samples.sparkSession
     if spark.conf.get("spark.sql.streaming.stateStore.providerClass") != PROVIDER:
         raise ValueError(f"set spark.sql.streaming.stateStore.providerClass to {PROVIDER}")
@@ -80,31 +82,26 @@ def _through(samples: DataFrame, late: str, columns: dict[str, str], state: str,
     rows = rows.where(only) if only else rows
     kind = samples.schema["channel"].dataType.simpleString()
     schema = f"channel {kind}, {', '.join(f'{c} {k}' for c, k in columns.items())}, late boolean"
-    return rows.groupBy("channel").transformWithStateInPandas(Reordered(list(columns), state, start, work), schema, "Append", "EventTime")
+    return slotted(rows, slots).transformWithStateInPandas(Reordered(list(columns), work), schema, "Append", "EventTime")
 
 
-def hits(samples: DataFrame, threshold: float, rearm: float, holdoff: int = 0, late: str = "1 minute") -> DataFrame:
+def hits(samples: DataFrame, threshold: float, rearm: float, holdoff: int = 0, late: str = "1 minute", slots: int = SLOTS) -> DataFrame:
     """channel, i, late: the hits of ``trigger.hits`` in a stream (ts, channel, i, v) whose samples come in any order within ``late``, and the late samples.
 
     Samples that are neither above nor below change nothing and don't leave the JVM, nor are they counted when late. Of a place that comes twice one sample counts.
     """
     low = rearm * threshold
-
-    def work(i, v, state):
-        found, fired, free = steps.run(i, v > threshold, bool(state[0]), int(state[1]), holdoff)
-        return {"i": np.array(found, np.int64)}, (fired, max(free, int(i[-1]) + 1))
-
-    return _through(samples, late, {"i": "long"}, "fired boolean, free long", (False, steps.START), work, f"v > {threshold!r} or v < {low!r}")
+    return _through(samples, late, {"i": "long"}, lambda rows, state: stepped(rows, state, threshold, holdoff), slots, f"v > {threshold!r} or v < {low!r}")
 
 
-def sliding(samples: DataFrame, f: Filter, ddof: int = 2, late: str = "1 minute") -> DataFrame:
+def sliding(samples: DataFrame, f: Filter, ddof: int = 2, late: str = "1 minute", slots: int = SLOTS) -> DataFrame:
     """channel, start, amp, chisq, late: the windows of ``sliding.sliding`` in a stream (ts, channel, i, v) whose samples come in any order within ``late``.
 
     Late samples are rows with their place as start and no amp and chisq; where one is missing, the channel starts anew. Null values count as 0.
     """
 
-    def work(i, v, state):
-        start, amp, chi, first, tail = advanced(f, ddof, int(state[0]), np.array(state[1], float), i, np.nan_to_num(v, nan=0.0))
-        return {"start": start, "amp": np.round(amp, 5), "chisq": np.round(chi, 5)}, (int(first), tail.tolist())
+    def work(rows, tails):
+        found, tails = advanced(f, ddof, rows, tails)
+        return found.round({"amp": 5, "chisq": 5}), tails
 
-    return _through(samples, late, {"start": "long", "amp": "double", "chisq": "double"}, "first long, tail array<double>", (0, []), work)
+    return _through(samples, late, {"start": "long", "amp": "double", "chisq": "double"}, work, slots)

@@ -97,3 +97,18 @@ def test_events_in_buckets_of_time(timed, tmp_path, width):
     assert got == want
     if width == 10:
         assert found.where("not (opens and closes)").count() > 10 and found.where("not late").agg({"n": "max"}).first()[0] <= 10
+
+
+def test_out_of_order_by_slots(timed, tmp_path):
+    r = np.random.default_rng(12)
+    v = {c: r.normal(size=30) for c in [*range(100, 140), None]}
+    order = [(c, i) for c in v for i in range(30)]
+    turn = np.argsort(np.array([i for _, i in order]) + r.uniform(0, 19, len(order)))
+    parts = [[order[k] for k in part] for part in np.array_split(turn, 3)] + [[(100, 1000)], [(101, 1001)]]
+    path = str(tmp_path / "s")
+    for part in parts:
+        rows = [(T0 + datetime.timedelta(seconds=int(i)), c, int(i), float(v[c][i]) if i < 30 else 0.0) for c, i in part]
+        timed.createDataFrame(rows, "ts timestamp, channel long, i long, v double").coalesce(1).write.mode("append").parquet(path)
+    got = run.drained(ordered.hits(run.source(timed, path, 1), 1.0, 0.5, 2, "20 seconds", slots=3)).collect()
+    assert not any(x.late for x in got)
+    assert {c: sorted(x.i for x in got if x.channel == c) for c in v} == {c: by_hand(x, 1.0, 0.5, 2) for c, x in v.items()}
