@@ -24,11 +24,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .components import components
-from .tables import cut, forget, fresh, mark, read, spread
+from .tables import cut, forget, fresh, mark, read, small_batches, spread
 from .textnp import Words, blocks, mix, shingle_sets, shingles
 
 #: The most tokens whose frequency is known everywhere (8 bytes each), and the least frequency of such a token.
 HOT, HOT_LEAST = 100_000, 16
+#: Bytes of text whose shingles are counted together.
+COUNTED = 1 << 20
 #: Turns in which the sets of each index list are compared with leaders, before pairs are made, and leaders of a long list.
 TURNS, LEADERS = 1, 4
 #: Sets of one token that one task compares.
@@ -49,16 +51,25 @@ FILTER = 1 << 26
 def hot_tokens(docs: DataFrame, hot: int = HOT, k: int = 5) -> np.ndarray:
     """The most frequent shingles in rising order of frequency; at most ``hot``.
 
-    Blocks of texts are counted in place and only what repeats inside a block is sent on, so a shingle that is in
-    more documents than there are blocks can't be missed.
+    Texts are counted in place, ``COUNTED`` bytes or one longer text at a time, and only what repeats inside such a part is sent on, so a
+    shingle that is in more documents than there are parts can't be missed.
     """
 
     def count(batches):
         for batch in batches:
+            parts, size = [], 0
             for _, offsets, data in blocks(batch.column(0)):
-                token, n = np.unique(shingles(Words(offsets, data), k)[0], return_counts=True)
-                token, n = token[n > 1], n[n > 1]
-                yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(n)], ["token", "n"])
+                if size + len(data) > COUNTED and parts:
+                    yield repeated(parts)
+                    parts, size = [], 0
+                parts.append(shingles(Words(offsets, data), k)[0])
+                size += len(data)
+            if parts:
+                yield repeated(parts)
+
+    def repeated(parts):
+        token, n = np.unique(np.concatenate(parts), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(token[n > 1].view(np.int64)), pa.array(n[n > 1])], ["token", "n"])
 
     rows = docs.select("text").mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
     found = rows.where(F.col("n") >= HOT_LEAST).orderBy(F.desc("n"), "token").limit(hot).collect()
@@ -191,7 +202,12 @@ def jaccard_components(docs: DataFrame, percent: int = 75, k: int = 5) -> DataFr
     component_id unless such a set has a doc_id. Of rows that repeat a doc_id with other texts one text stands for all.
     Shingles are compared by 64-bit hashes. An empty table gives an empty result.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    # all work on texts is done in here, before the result is read
+    with small_batches(docs.sparkSession):
+        return _components(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), percent, k)
+
+
+def _components(docs: DataFrame, percent: int, k: int) -> DataFrame:
     spark = docs.sparkSession
     hot = hot_tokens(docs, k=k)
     signed = cut(signatures(docs, k))

@@ -2,6 +2,7 @@
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,6 +39,22 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+#: Bytes of rows that a Python task gets at once: what it and its JVM hold of them, workers that wait for their next task too.
+BATCH = 1 << 21
+_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+@contextmanager
+def small_batches(spark: SparkSession, size: int | None = None):
+    """What runs meanwhile hands its rows to Python ``size`` bytes at a time (``BATCH``), or one longer row; the setting is put back after it."""
+    was = spark.conf.get(_BYTES)
+    spark.conf.set(_BYTES, size or BATCH)
+    try:
+        yield
+    finally:
+        spark.conf.set(_BYTES, was)
+
+
 _written: list[str] = []
 
 
@@ -84,8 +101,9 @@ def spread(rows: DataFrame, index: DataFrame, on: list[str]) -> DataFrame:
     total = rows.count()
     if total <= SMALL:
         return rows.join(index, on)
-    found = rows.groupBy(on).agg(F.count("*").alias("_n")).where(F.col("_n") * HOT > total).select(on).collect()
-    if not found:
+    found = rows.groupBy(on).agg(F.count("*").alias("_n")).where(F.col("_n") * HOT > total).select(on).toArrow()
+    if not found.num_rows:
         return rows.join(index, on)
+    # as an Arrow table: rows of Python would start Python workers of another kind in each executor, which stay
     hot = F.broadcast(rows.sparkSession.createDataFrame(found, rows.select(on).schema))
     return rows.join(F.broadcast(index.join(hot, on, "left_semi")), on).unionByName(rows.join(hot, on, "left_anti").join(index, on))

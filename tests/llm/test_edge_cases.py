@@ -312,3 +312,26 @@ def test_the_driver_gets_the_toxicity_model_alone(spark, monkeypatch):
     monkeypatch.setattr(op9_toxicity, "train", elsewhere)
     got = op9_toxicity.fit(docs, labels)
     assert all(np.array_equal(a, b) for a, b in zip(got, want, strict=True))
+
+
+def test_join_takes_bounded_bytes_and_starts_no_other_workers(spark, monkeypatch):
+    """Python tasks of the join get ``BATCH`` bytes at a time, hot keys need no Python task, and the setting is put back."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    was, sets = spark.conf.get(key), op8_jaccard.shingle_sets
+
+    def bounded(column, k=5, most=2 * tables.BATCH):
+        if column.nbytes > most:
+            raise ValueError(f"{column.nbytes} bytes at once")
+        return sets(column, k)
+
+    monkeypatch.setattr(op8_jaccard, "shingle_sets", bounded)
+    docs = spark.range(3000).repartition(1).selectExpr("id as doc_id", "concat_ws(' ', transform(sequence(1, 400), x -> concat('w', id div 2, '-', x))) as text")
+    got = op8_jaccard.jaccard_components(docs)
+    assert spark.conf.get(key) == was
+    assert got.where("component_id != doc_id - doc_id % 2 or n_shingles != 396").count() == 0 and got.count() == 3000
+
+    monkeypatch.setattr(tables, "SMALL", 10)
+    monkeypatch.setattr(type(spark.sparkContext), "parallelize", lambda *a, **b: pytest.fail("rows of Python"))
+    rows = tables.cut(spark.range(5000).selectExpr("if(id % 2 = 0, -1, id) as k", "id as v"))
+    index = tables.cut(rows.select("k").distinct().selectExpr("k", "k + 1 as w"))
+    assert tables.spread(rows, index, ["k"]).where("w = k + 1").count() == 5000
