@@ -23,8 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .op8_jaccard import maybe_in
-from .tables import cut, met, read
+from .op8_jaccard import FILTER
+from .tables import cut, met, read, small_batches
 from .textnp import Words, blocks, mix, powers
 
 #: The most words of a part, and the sentences of a run.
@@ -173,6 +173,21 @@ def _numbered(docs: DataFrame) -> DataFrame:
     return met(docs, several, ["doc_id"], "text", BROADCAST_ROWS, "left").withColumn("_t", F.when(F.col("_several"), crc).otherwise(0)).drop("_several")
 
 
+def _parted(rows: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows whose doc_id is one of the ids or, by a broadcast bitmap of hashes of ``FILTER`` bits at most, may be; and the others. Rows aren't shuffled, and no Python worker is asked."""
+    bits = min(FILTER, 1 << max(16, (16 * ids.count()).bit_length()))
+    at = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(bits))
+    bit = F.expr(f"shiftleft(1L, cast(pmod(xxhash64(cast(doc_id as long)), {bits}) & 63 as int))")
+    bitmap = F.broadcast(ids.groupBy(F.shiftright(at, 6).alias("_word")).agg(F.bit_or(bit).alias("_bits")))
+    here = (F.shiftright(at, 6) == F.col("_word")) & (bit.bitwiseAND(F.col("_bits")) != 0)
+    return rows.join(bitmap, here, "left_semi"), rows.join(bitmap, here, "left_anti")
+
+
+def _n_parts(texts: pa.Array) -> np.ndarray:
+    n = np.concatenate([cuts.parts() for _, cuts in cuts_of(texts)] or [np.zeros(0, np.int64)])
+    return np.maximum(n, pc.greater(pc.fill_null(pc.binary_length(texts), 0), 0).to_numpy(zero_copy_only=False))  # white space alone is a part
+
+
 def dedup_spans(docs: DataFrame, words: int = 20) -> DataFrame:
     """The columns of ``docs`` with the remaining text, and n_sentences, n_removed (both of parts), removed (numbers of the parts).
 
@@ -188,27 +203,31 @@ def dedup_spans(docs: DataFrame, words: int = 20) -> DataFrame:
     hit = spans(rows.where("doc_id is not null").select("doc_id", "text", F.col("_t").alias("t")), words).withColumn("order", order).where("order > 1 or (place & 1) = 1")
     gone = hit.groupBy(F.col("doc_id").alias("_doc"), F.col("t").alias("_text")).agg(F.collect_set("place").alias("_places"))
     parts = F.transform("_places", lambda p: F.sequence(F.shiftright(p, 32).cast("int"), (F.shiftright(p, 32) + F.shiftright(p.bitwiseAND(F.lit(0xFFFFFFFF)), 1) - 1).cast("int")))
-    gone = cut(gone.select("_doc", "_text", F.array_sort(F.array_distinct(F.flatten(parts))).alias("_gone")))
-    # texts that lose nothing aren't shuffled: a bitmap of the others lets few of them into the join
-    maybe = F.coalesce(maybe_in(gone.select(F.col("_doc").alias("doc_id")))("doc_id"), F.lit(False))
-    some = rows.where(maybe).join(gone, (F.col("doc_id") == F.col("_doc")) & (F.col("_t") == F.col("_text")), "left").select("_own", "text", "_gone")
-    out = some.unionByName(rows.where(~maybe).select("_own", "text", F.lit(None).cast("array<int>").alias("_gone")))
+    with small_batches(docs.sparkSession):
+        gone = cut(gone.select("_doc", "_text", F.array_sort(F.array_distinct(F.flatten(parts))).alias("_gone")))
+    # texts that lose nothing aren't shuffled, and of them Python gives back a number alone
+    some, others = _parted(rows, gone.select(F.col("_doc").alias("doc_id")))
 
     @F.arrow_udf("struct<text string, n_sentences int, n_removed int>")
     def keep(texts: pa.Array, removed: pa.Array) -> pa.Array:
         lost = pc.fill_null(pc.list_value_length(removed), 0)
-        n = np.concatenate([cuts.parts() for _, cuts in cuts_of(texts)] or [np.zeros(0, np.int64)])
-        n = np.maximum(n, pc.greater(pc.fill_null(pc.binary_length(texts), 0), 0).to_numpy(zero_copy_only=False))  # white space alone is a part
         less = pc.greater(lost, 0)
         left = []
         for text, drop in zip(texts.filter(less), removed.filter(less), strict=True):
             drop = set(drop.as_py())
             left.append("".join(p for i, p in enumerate(parts_of(text.as_py())) if i not in drop))
         left = pc.replace_with_mask(texts, less, pa.array(left, texts.type))
-        return pa.StructArray.from_arrays([left.cast(pa.string()), pa.array(n, pa.int32()), lost.cast(pa.int32())], ["text", "n_sentences", "n_removed"])
+        return pa.StructArray.from_arrays([left.cast(pa.string()), pa.array(_n_parts(texts), pa.int32()), lost.cast(pa.int32())], ["text", "n_sentences", "n_removed"])
+
+    @F.arrow_udf("int")
+    def counted(texts: pa.Array) -> pa.Array:
+        return pa.array(_n_parts(texts), pa.int32())
 
-    out = out.withColumn("_kept", keep("text", "_gone"))
-    return out.select(*(F.col("_kept.text" if c == "text" else f"_own.{c}").alias(c) for c in own), "_kept.n_sentences", "_kept.n_removed", F.coalesce("_gone", F.array().cast("array<int>")).alias("removed"))
+    nothing = F.array().cast("array<int>")
+    some = some.join(gone, (F.col("doc_id") == F.col("_doc")) & (F.col("_t") == F.col("_text")), "left").withColumn("_kept", keep("text", "_gone"))
+    some = some.select("_own", "_kept.text", "_kept.n_sentences", "_kept.n_removed", F.coalesce("_gone", nothing).alias("removed"))
+    out = some.unionByName(others.select("_own", "text", counted("text").alias("n_sentences"), F.lit(0).alias("n_removed"), nothing.alias("removed")))
+    return out.select(*(F.col("text" if c == "text" else f"_own.{c}").alias(c) for c in own), "n_sentences", "n_removed", "removed")
 
 
 def query(spark, sf_dir):

@@ -120,6 +120,20 @@ def test_spans_settled_in_blocks_give_the_same_rows(spark, monkeypatch):
     assert sum(x[3] > 0 for x in whole) == 62  # of texts under one doc_id each counts
 
 
+def test_a_text_meets_one_python_worker_in_small_batches(spark, monkeypatch):
+    """Which texts lose nothing is known without Python; it only counts their parts. Spans are made of small batches, and the setting is put back."""
+    r = random.Random(5)
+    passage, sizes, cut, was = some(r, 80), [], op3_substring.cut, spark.conf.get(tables._BYTES)
+    docs = [(1, passage), (2, "New. " + passage), (3, some(r, 30)), (None, passage), (4, None), (5, " \n")]
+    monkeypatch.setattr(op3_substring, "cut", lambda df: (sizes.append(spark.conf.get(tables._BYTES)), cut(df))[1])
+    out = op3_substring.dedup_spans(spark.createDataFrame(docs, "doc_id long, text string"))
+    assert out._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 2  # one for each of the two kinds of texts
+    assert sizes[-1] == str(tables.BATCH) and spark.conf.get(tables._BYTES) == was
+    rows = {x.doc_id: (x.text, x.n_sentences, x.n_removed, x.removed) for x in out.collect()}
+    assert all(rows[i] == (text, rows[i][1], 0, []) for i, text in docs if i != 2) and [rows[i][1] for i in (4, 5)] == [0, 1]
+    assert rows[2][2] == len(rows[2][3]) > 0
+
+
 # 4
 
 
